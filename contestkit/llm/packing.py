@@ -26,7 +26,7 @@ from contestkit.llm.common import chunks, pick, stash
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length and one bucket that a task ranks, on average at most.
-RANKED_TOGETHER = 20_000
+RANKED_TOGETHER = 4_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

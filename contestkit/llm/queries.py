@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestkit.llm import packing, secrets, simhash
+from contestkit.llm import decontaminate, packing, secrets, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: str, of: int, part: int) -> F.Column:
+    """Whether crc32 of the id as text leaves this remainder; false for null."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of == part, F.lit(False))
+
+
+def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out("doc_id", 3, 1))
+    scored = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), toxicity.toxicity(model)(F.col("text")).alias("t"))
+    score = F.col("t.score")
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.col("t.passages").alias("passages"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the secrets in every document."""
     found = secrets.scan_documents(table(spark, sf_dir, "documents"))
@@ -30,10 +44,15 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified overlaps of documents and benchmark items."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op8_simhash_near_dedup, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxic_segments, op3_secret_scan, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
+ORACLES: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.oracle()}

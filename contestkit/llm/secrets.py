@@ -18,10 +18,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestkit.llm.common import chunks, fresh_path, pick
+from contestkit.llm.common import chunks, fresh_path, pick, stash
 
 LEDGER = "blob string, rules array<string>, findings array<struct<rule:string,start:int,end:int>>"
-#: Blobs with findings up to this count, and spans up to this count, may be broadcast for redaction.
+#: Up to this many blobs with findings, holding up to this many spans, are broadcast to the rows.
 BROADCAST_BLOBS, BROADCAST_SPANS = 200_000, 1_000_000
 
 
@@ -127,6 +127,17 @@ def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES)
     return read_ledger(spark, ledger).select("blob", F.array_sort(F.transform(current, span)).alias("spans")).filter(F.size("spans") > 0)
 
 
+def small_or_stored(found: DataFrame) -> DataFrame:
+    """``findings`` as a written table, to be broadcast only if its counts are within the stated bounds.
+
+    Beyond them it stays a plain side of a shuffled join, whose hot blobs adaptive execution can split.
+    """
+    found = stash(found, "findings")
+    size = found.agg(F.count("*").alias("blobs"), F.sum(F.size("spans")).alias("spans")).first()
+    small = size["blobs"] <= BROADCAST_BLOBS and (size["spans"] or 0) <= BROADCAST_SPANS
+    return F.broadcast(found) if small else found
+
+
 def spans_text(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -142,7 +153,7 @@ def scan_documents(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule
     spark = docs.sparkSession
     ledger = ledger or fresh_path(spark, "secret-ledger")
     update_ledger(docs, ledger, rules)
-    found = findings(spark, ledger, rules)
+    found = small_or_stored(findings(spark, ledger, rules))
     paths = pick(docs, "doc_id", "text").select("doc_id", blob_id(F.col("text")).alias("blob"))
     none = F.array().cast(found.schema["spans"].dataType)
     return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
@@ -152,15 +163,12 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     """``docs`` with every secret in its text replaced by ``[kind]``; all rows and columns stay.
 
     ``n_chars``, if there is such a column, follows the new length of a changed text. Of overlapping spans the
-    first one's kind is shown. The findings are broadcast only if their count is within a stated bound.
+    first one's kind is shown.
     """
     spark = docs.sparkSession
     ledger = ledger or fresh_path(spark, "secret-ledger")
     update_ledger(docs, ledger, rules)
-    found = findings(spark, ledger, rules)
-    size = found.agg(F.count("*").alias("blobs"), F.sum(F.size("spans")).alias("spans")).first()
-    if size["blobs"] <= BROADCAST_BLOBS and (size["spans"] or 0) <= BROADCAST_SPANS:
-        found = F.broadcast(found)
+    found = small_or_stored(findings(spark, ledger, rules))
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     text = F.col(f"c{columns.index('text')}")
