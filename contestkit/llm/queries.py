@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestkit.llm import decontaminate, packing, secrets, simhash, toxicity
+from contestkit.llm import decontaminate, html, langid, neighbours, packing, quality, secrets, simhash, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def held_out(doc_id: str, of: int, part: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of == part, F.lit(False))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urls.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -39,6 +44,31 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(n, secrets.BASE_KINDS), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.main_text()(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of every row whose id is divisible by 100."""
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~held_out("doc_id", 5, 0)))
+    found = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), langid.language(model)(F.col("text")).alias("t"))
+    return found.select("doc_id", "held_out", F.col("t.lang").alias("lang_pred"), F.col("t.score").alias("score"), F.array_sort(F.map_entries("t.mixture")).alias("mixture"))
+
+
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document and whether it is sampled."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -54,5 +84,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxic_segments, op3_secret_scan, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_toxic_segments, op3_secret_scan, op4_html_extraction, op5_nearest_neighbours, op6_language_mixture, op7_importance_resampling, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.oracle()}
