@@ -2,7 +2,7 @@
 
 A mask is a set of word offsets; the words between them are ignored, so a seed survives a
 substituted word there. The masks are chosen so that every overlap that passes the verification has a seed. Every position of every text is hashed under each mask and joined
-with the same hashes of the benchmark. Around each hit the two texts are laid over each other word by word
+with the same hashes of the benchmark; the first two words that a mask reads are looked up before the rest is hashed. Around each hit the two texts are laid over each other word by word
 and the overlap is verified: some ``OVERLAP`` words in a row of which a share of ``SIMILARITY`` agree.
 
 The benchmark's hashes are broadcast in blocks of a bounded number of rows, so that no text is
@@ -41,13 +41,13 @@ def masks_for(lengths: list[int]) -> list[tuple[int, ...]]:
         masks += MASKS_OF_10
     for n in sorted(set(lengths)):
         if n < 10:
-            masks += [tuple(k for k in range(n) if k != out) for out in range(n)]
+            masks += [tuple(k - (out == 0) for k in range(n) if k != out) for out in range(n)]  # all begin at 0
     return list(dict.fromkeys(masks))
 
 
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _hashed(df: DataFrame, key: str) -> DataFrame:
@@ -55,16 +55,32 @@ def _hashed(df: DataFrame, key: str) -> DataFrame:
     return tokens.select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
 
 
-def _seeds(hashed: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """Adds (at, seed) for every position and mask that fits; one generator, so texts stay in place."""
-    n = len(masks)
-    spread = hashed.filter(F.size("h") >= min(m[-1] + 1 for m in masks)).withColumn("v", F.explode(F.sequence(F.lit(0), F.size("h") * n - 1)))
-    at = F.expr(f"v div {n}").cast("int")
-    seed = F.lit(None).cast("long")
-    for k, mask in reversed(list(enumerate(masks))):
-        whole = F.xxhash64(F.lit(k), *[F.get("h", F.col("at") + o) for o in mask])
-        seed = F.when((F.col("v") % n == k) & (F.col("at") + mask[-1] < F.size("h")), whole).otherwise(seed)
-    return spread.withColumn("at", at).withColumn("seed", seed).filter("seed is not null").drop("v")
+def _constant(values: list[int | None]) -> Column:
+    return F.array(*[F.lit(x).cast("int") for x in values])
+
+
+def _pairs(hashed: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """Adds (at, gap, pair) for every position: the hash of its word and the one ``gap`` further on, the first two that a mask reads."""
+    gaps = sorted({m[1] for m in masks})
+    n = len(gaps)
+    spread = hashed.filter(F.size("h") > min(m[-1] for m in masks)).withColumn("v", F.explode(F.sequence(F.lit(0), F.size("h") * n - 1)))
+    placed = spread.withColumn("at", F.expr(f"v div {n}").cast("int")).withColumn("gap", F.get(_constant(gaps), F.col("v") % n)).drop("v")
+    return placed.withColumn("pair", F.xxhash64("gap", F.get("h", F.col("at")), F.get("h", F.col("at") + F.col("gap"))))
+
+
+def _seeds(placed: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """Adds seed for every mask that begins with the row's gap and fits.
+
+    Offsets are looked up by the mask's number in constant arrays, so one hash expression serves all masks and
+    the generated code stays small enough for the JIT compiler. Slots that a short mask lacks are null, which the hash skips.
+    """
+    slots = [_constant([m[j] if j < len(m) else None for m in masks]) for j in range(max(map(len, masks)))]
+    own = F.when(F.col("gap").isNull(), _constant([]))
+    for gap in sorted({m[1] for m in masks}):
+        own = own.when(F.col("gap") == gap, _constant([k for k, m in enumerate(masks) if m[1] == gap]))
+    spread = placed.withColumn("mask", F.explode(own))
+    fitting = spread.filter(F.col("at") + F.get(_constant([m[-1] for m in masks]), F.col("mask")) < F.size("h"))
+    return fitting.withColumn("seed", F.xxhash64("mask", *[F.get("h", F.col("at") + F.get(slot, F.col("mask"))) for slot in slots])).drop("gap", "mask")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -79,7 +95,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = stash(_hashed(pick(benchmark, "item_id", "text"), "item_id").filter(F.size("h") >= LEAST_WORDS).distinct(), "items")
     short = [r["n"] for r in items.select(F.size("h").alias("n")).filter(F.col("n") < OVERLAP).distinct().collect()]  # seven values at most
     masks = masks_for(short)
-    seeds = stash(_seeds(items, masks).select("seed", "item_id", F.col("at").alias("item_at"), F.size("h").alias("item_n")), "seeds")
+    seeds = stash(_seeds(_pairs(items, masks), masks).select("pair", "seed", "item_id", F.col("at").alias("item_at"), F.size("h").alias("item_n")), "seeds")
     hashed = _hashed(pick(docs, "doc_id", "text"), "doc_id")
     blocks = max(1, -(-seeds.count() // BLOCK_ROWS))
     shift = F.col("at") - F.col("item_at")
@@ -87,8 +103,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = F.slice("h", begin + 1, F.least(F.col("item_n") + shift, F.size("h")) - begin)
     found = []
     for block in range(blocks):
-        part = seeds.filter(F.pmod("seed", F.lit(blocks)) == block)  # about BLOCK_ROWS rows of four numbers
-        found.append(_seeds(hashed, masks).join(F.broadcast(part), "seed").select("doc_id", "item_id", shift.alias("shift"), covered.alias("covered")))
+        part = seeds.filter(F.pmod("pair", F.lit(blocks)) == block)  # about BLOCK_ROWS rows of five numbers
+        near = _pairs(hashed, masks).join(F.broadcast(part.select("pair").distinct()), "pair", "left_semi")
+        met = _seeds(near, masks).drop("pair").join(F.broadcast(part.drop("pair")), "seed")
+        found.append(met.select("doc_id", "item_id", shift.alias("shift"), covered.alias("covered")))
     hits = reduce(DataFrame.union, found).distinct()
     left = items.withColumnRenamed("item_id", "of")
     first = F.greatest(-F.col("shift"), F.lit(0))
