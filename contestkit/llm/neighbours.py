@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from contestkit.llm.common import pick, stash
 
 TREES, LEAF = 8, 64
+#: At most about so many leaves a tree: a query then has a bounded number of places to look at, and leaves grow with the sample.
+LEAVES = 64
 #: The sample: at most about so many rows and so many numbers.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 60_000, 4_000_000
 #: Recall to reach on the sample, and queries of the sample that measure it.
@@ -32,6 +34,8 @@ COVERAGES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 #: Rows of a leaf that one part holds, about.
 PART_ROWS = 20_000
 SEED = 17
+#: Rows and queries compared at once.
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -91,7 +95,8 @@ class Forest:
     @classmethod
     def fit(cls, points: np.ndarray, k: int, trees: int = TREES) -> Forest:
         rng = np.random.default_rng(SEED)
-        forest = cls([Tree.fit(points, rng) for _ in range(trees)], 0.0)
+        leaf = max(LEAF, -(-len(points) // LEAVES))
+        forest = cls([Tree.fit(points, rng, leaf) for _ in range(trees)], 0.0)
         if len(points) <= 4 * LEAF:
             return cls(forest.trees, float("inf"))
         tried = rng.permutation(len(points))[:TRIALS]
@@ -144,6 +149,30 @@ def _rows(names: tuple[np.ndarray, ...], keys: list[int], ids: list[list[int]],
     return pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "part", "kind", "key", "ids", "vector"])
 
 
+def closest(vectors: np.ndarray, block: np.ndarray, ids: list[list[int]], best: list[list[tuple[float, int]]], keep: int) -> None:
+    """Merges a block of rows into each query's ``keep`` best (distance, id).
+
+    A matrix product finds who can be among the best, with room for its rounding; their distances are then computed exactly.
+    """
+    norms = (block**2).sum(axis=1)
+    for first in range(0, len(vectors), BLOCK):
+        asked = vectors[first : first + BLOCK]
+        own = (asked**2).sum(axis=1)[:, None]
+        square = own + norms[None, :] - 2 * (asked @ block.T)
+        slack = 1e-9 * (own + norms.max())
+        bound = np.array([[best[first + q][-1][0] ** 2 if len(best[first + q]) >= keep else np.inf] for q in range(len(asked))])
+        if len(block) > keep:
+            bound = np.minimum(bound, np.partition(square, keep - 1, axis=1)[:, keep - 1 : keep])
+        rows, columns = np.nonzero(square <= bound + slack)
+        far = np.sqrt(((asked[rows] - block[columns]) ** 2).sum(axis=1)).tolist()
+        ends = np.searchsorted(rows, np.arange(len(asked) + 1)).tolist()
+        columns = columns.tolist()
+        for q, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+            if b > a:
+                more = [(far[x], i) for x in range(a, b) for i in ids[columns[x]]]
+                best[first + q] = sorted(best[first + q] + more)[:keep]
+
+
 def usable(vector: Column) -> Column:
     """Neither null nor zero, and all numbers finite."""
     finite = F.forall(vector, lambda x: F.coalesce((x == x) & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x), F.lit(False)))
@@ -221,24 +250,15 @@ def nearest(table: DataFrame, queries: Column, k: int = 10) -> DataFrame:
                     vectors = np.concatenate([vectors, own])
                     best += [[] for _ in ids]
                     continue
-                for at in range(0, len(own), 256):
-                    block = own[at : at + 256]
-                    for q, vector in enumerate(vectors):
-                        far = np.sqrt(((block - vector) ** 2).sum(axis=1))
-                        worst = best[q][-1][0] if len(best[q]) > k else np.inf
-                        near = np.flatnonzero(far <= worst)
-                        if len(near) > k + 1:
-                            near = near[far[near] <= np.partition(far[near], k)[k]]
-                        if len(near):
-                            more = [(float(far[x]), i) for x in near for i in ids[at + x]]
-                            best[q] = sorted(best[q] + more)[: k + 1]
+                for at in range(0, len(own), BLOCK):
+                    closest(vectors, own[at : at + BLOCK], ids[at : at + BLOCK], best, k + 1)
         yield from done()
 
     met = distinct.select("key", "ids", "vector").mapInArrow(index, ROW).union(sought.mapInArrow(probe, ROW))
     met = met.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "kind")
     pairs = met.mapInArrow(compare, "key long, check long, vec_id long, score double").distinct()
-    closest = F.row_number().over(Window.partitionBy("key", "check").orderBy("score", "vec_id"))
-    found = stash(pairs.withColumn("nth", closest).filter(F.col("nth") <= k + 1).groupBy("key", "check").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found")), "found")
+    by_score = F.row_number().over(Window.partitionBy("key", "check").orderBy("score", "vec_id"))
+    found = stash(pairs.withColumn("nth", by_score).filter(F.col("nth") <= k + 1).groupBy("key", "check").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found")), "found")
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     joined = asked.select(F.col("vec_id").alias("query_id"), "key", "check").join(found, ["key", "check"])
     ranked = joined.select("query_id", F.posexplode(others).alias("at", "x"))
