@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PARTS = 4096
+
+
 @dataclass(frozen=True)
 class Cut:
     """Rows from (day, fight_id) on come after the cut."""
@@ -29,16 +32,18 @@ def nth_cut(rows: DataFrame, n: int) -> Cut:
     found = days.withColumn("before", before).filter((F.col("before") <= n) & (F.col("before") + F.col("n") > n)).first()
     if found is None:
         return Cut(None, None)
-    # ids below the wanted one are counted in halves, so no day is sorted in one task
+    # the wanted id's range is split, by counts per part of it, until a part is one id: no day is sorted in one task
     day = rows.filter(F.col("date") == found["date"])
     low, high = day.agg(F.min("fight_id"), F.max("fight_id")).first()
     want = n - found["before"]
     while low < high:
-        middle = (low + high) // 2
-        if day.filter(F.col("fight_id") <= middle).count() > want:
-            high = middle
-        else:
-            low = middle + 1
+        width = (high - low) // PARTS + 1
+        counts = day.filter(F.col("fight_id").between(low, high)).groupBy(F.expr(f"(fight_id - {low}) div {width}").alias("part")).agg(F.count("*").alias("n")).collect()  # PARTS rows at most
+        for r in sorted(counts, key=lambda r: r["part"]):
+            if want < r["n"]:
+                low, high = low + r["part"] * width, min(high, low + (r["part"] + 1) * width - 1)
+                break
+            want -= r["n"]
     return Cut(found["date"], low)
 
 

@@ -417,21 +417,21 @@ def asof_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider payloads made of orders and their lines."""
     keys = [b[5][0] for b in quotes.BOOKS]
-    key = F.get(F.array(*map(F.lit, [*keys, "kalshi"])), (F.col("l_suppkey") % 12).cast("int"))
+    key = F.get(F.array(*map(F.lit, [*keys, "an_exchange"])), (F.col("l_suppkey") % 12).cast("int"))
     outcome = lambda n, p: F.struct(F.lit(n).alias("name"), p.alias("price"))
     outcomes = F.when(F.col("l_linenumber") == 5, F.array(outcome("A", F.col("l_quantity")))).otherwise(F.array(outcome("A", 1 + F.col("l_quantity") / 25), outcome("B", F.when(F.col("l_linenumber") == 6, F.lit(0.5)).otherwise(F.lit(2.0)))))
     time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     market = F.struct(F.when(F.col("l_linenumber") == 4, "totals").otherwise("h2h").alias("key"), F.when(F.col("l_linenumber") % 2 == 0, time(F.col("l_shipdate"))).alias("last_update"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), outcomes.alias("outcomes"))
     book = F.struct(key.alias("key"), key.alias("title"), F.when(F.col("l_linenumber") != 3, time(F.col("l_shipdate"))).alias("last_update"), F.array(market).alias("markets"))
     books = table(spark, sf_dir, "lineitem").withColumn("book", book).groupBy("l_orderkey").agg(F.collect_list("book").alias("bookmakers"))
-    event = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit("mma").alias("sport_key"), F.lit("UFC").alias("sport_title"), time(F.col("o_orderdate") + F.expr("interval 60 days")).alias("commence_time"), F.lit("A").alias("home_team"), F.lit("B").alias("away_team"), F.when(F.col("o_orderstatus") == "P", "cancelled").alias("status"), "bookmakers")
+    event = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.lit("mma").alias("sport_key"), F.lit("League").alias("sport_title"), time(F.col("o_orderdate") + F.expr("interval 60 days")).alias("commence_time"), F.lit("A").alias("home_team"), F.lit("B").alias("away_team"), F.when(F.col("o_orderstatus") == "P", "cancelled").alias("status"), "bookmakers")
     joined = table(spark, sf_dir, "orders").join(books, F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select(time(F.col("o_orderdate")).alias("timestamp"), F.array(event).alias("data"))
 
 
 @query(
     f"""with reg as (select * from (values {", ".join(f"({k}, '{b[5][0]}', {b[2]})" for k, b in enumerate(quotes.BOOKS))}) t(no, provider_key, approved)),
-m as (select l.*, o.*, coalesce(reg.provider_key, 'kalshi') as provider_key, reg.approved, case when l_linenumber = 3 then o_orderdate else l_shipdate end as observed, o_orderdate + interval 60 day as starts from lineitem l join orders o on l_orderkey = o_orderkey left join reg on reg.no = l_suppkey % 12),
+m as (select l.*, o.*, coalesce(reg.provider_key, 'an_exchange') as provider_key, reg.approved, case when l_linenumber = 3 then o_orderdate else l_shipdate end as observed, o_orderdate + interval 60 day as starts from lineitem l join orders o on l_orderkey = o_orderkey left join reg on reg.no = l_suppkey % 12),
 s as (select *, case when l_linenumber = 4 then 'rejected_unsupported_market' when o_orderstatus = 'P' then 'rejected_cancelled_bout' when approved is null then 'rejected_unknown' when not approved then 'rejected_unapproved_sportsbook' when date_trunc('second', observed) >= date_trunc('second', starts) then 'rejected_live_market' when l_linenumber = 5 then 'rejected_incomplete_market' when l_linenumber = 6 then 'rejected_invalid_odds' else 'normalized' end as status from m)
 select provider_key, status, count(*) as n from s group by provider_key, status"""
 )

@@ -19,14 +19,14 @@ def test_text(spark):
     assert values(spark, T.name_key, "  José  ALDO ", None) == ["josé aldo", ""]
     assert values(spark, T.folded_name, "José  O'Neil-St. Pre", None, "A&B") == ["jose oneil st pre", "", "ab"]
     assert values(spark, T.folded_card_name, "A&B") == ["a b"]
-    assert values(spark, T.weight_class, "UFC Women's Flyweight Title Bout", "Light Heavyweight", "Catchweight", "Superfight") == ["Women's Flyweight", "Light Heavyweight", "Catch Weight", None]
+    assert values(spark, T.weight_class, "League Women's Flyweight Title Bout", "Light Heavyweight", "Catchweight", "Superfight") == ["Women's Flyweight", "Light Heavyweight", "Catch Weight", None]
     assert values(spark, T.division_limit, "Women's Flyweight", "Light Heavyweight", "Catch Weight") == [125.0, 205.0, None]
     assert values(spark, T.url_slug, "http://a/b/c1", "http://a/b/c2/", "") == ["c1", "c2", None]
     assert values(spark, T.bout_sides, "A One vs. B Two", "A VS B", "alone") == [["A One", "B Two"], ["A", "B"], None]
     assert values(spark, T.resolve_alias, "bobby green", "x") == ["king green", "x"]
     assert values(spark, T.method_name, "U-DEC", "KO/TKO") == ["Decision - Unanimous", "KO/TKO"]
     assert values(spark, T.cells, "a | |b") == [["a", "b"]]
-    assert values(spark, lambda c: T.event_slug(c, F.lit("2026-01-02")), "UFC 300: A")[0].startswith("ufc-300-a-2026-01-02-")
+    assert values(spark, lambda c: T.event_slug(c, F.lit("2026-01-02")), "Night 300: A")[0].startswith("night-300-a-2026-01-02-")
     assert T.canonical_json({"b": 1, "a": [1.5]}) == '{"a":[1.5],"b":1}'
     with pytest.raises(ValueError):
         T.canonical_json({"a": float("nan")})
@@ -86,7 +86,7 @@ def test_sources(spark, tmp_path):
 
 def test_scraped_files(spark):
     events = spark.createDataFrame([("E1 ", "January 05, 2020")], "EVENT string, DATE string")
-    results = spark.createDataFrame([("E1", "A One vs. B Two", "L/W", "UFC Flyweight Bout", "SUB", "2", "1:30", "3 Rnd (5-5-5)"), ("E1", "C vs. D", "NC/NC", "", "", "1", "0:00", "")], ["EVENT", "BOUT", "OUTCOME", "WEIGHTCLASS", "METHOD", "ROUND", "TIME", "TIME FORMAT"])
+    results = spark.createDataFrame([("E1", "A One vs. B Two", "L/W", "League Flyweight Bout", "SUB", "2", "1:30", "3 Rnd (5-5-5)"), ("E1", "C vs. D", "NC/NC", "", "", "1", "0:00", "")], ["EVENT", "BOUT", "OUTCOME", "WEIGHTCLASS", "METHOD", "ROUND", "TIME", "TIME FORMAT"])
     got = tables.convert_results(results, events).orderBy("red_fighter").collect()
     assert [(r["date"], r["winner"], r["weight_class"]) for r in got] == [(date(2020, 1, 5), "Blue", "Flyweight"), (date(2020, 1, 5), "", None)]
     line = lambda r, f, s: ("E1", "A One vs. B Two", r, f, "1", s, "1 of 2", "0", "1:00")
