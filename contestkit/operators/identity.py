@@ -13,6 +13,8 @@ from contestkit.functions.text import display_name, division_limit, name_key, re
 from contestkit.operators.history import keep_first
 
 CONTINUITY_DAYS = 540
+#: New keys that a task ranks, about.
+RANKED_TOGETHER = 10_000
 PLAUSIBLE_AGE = (18.0, 45.0)
 
 
@@ -92,12 +94,22 @@ def assign(bouts: DataFrame, identities: DataFrame) -> DataFrame:
 def numbered(sides: DataFrame, known: DataFrame) -> DataFrame:
     """Entity numbers by first appearance (IDN-05). sides: (ref, side, key); known: (key, entity) keep their number.
 
-    Keys are ranked by their first (ref, side), a before b; the ranking sees one row per new key.
+    Keys are ranked by their first (ref, side), a before b. Ranges of refs are counted and summed up first, so that
+    each range is ranked on its own.
     """
     first = sides.groupBy("key").agg(F.min(F.struct("ref", "side")).alias("first")).join(known, "key", "left")
+    new = first.filter("entity is null")
+    low, high, n = new.agg(F.min("first.ref"), F.max("first.ref"), F.count("*")).first()
+    if not n:
+        return first.select("key", "entity")
+    width = max(1, (high - low + 1) // max(1, n // RANKED_TOGETHER))
+    placed = new.withColumn("part", F.expr(f"(first.ref - {low}) div {width}"))
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a range
     highest = known.agg(F.coalesce(F.max("entity"), F.lit(0)).alias("highest"))
-    new = first.filter("entity is null").withColumn("nth", F.row_number().over(Window.orderBy("first"))).crossJoin(F.broadcast(highest))  # one row
-    return first.filter("entity is not null").select("key", "entity").unionByName(new.select("key", (F.col("highest") + F.col("nth")).alias("entity")))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("first"))
+    ranked = placed.withColumn("nth", nth).join(before, "part").crossJoin(F.broadcast(highest))  # one row
+    return first.filter("entity is not null").select("key", "entity").unionByName(ranked.select("key", (F.col("highest") + F.col("before") + F.col("nth")).alias("entity")))
 
 
 def lookup(rows: DataFrame, entities: DataFrame, key: str = "name_key") -> DataFrame:

@@ -45,13 +45,11 @@ def mapping(columns: list[str], spellings: dict[str, tuple[str, ...]] = SPELLING
     return {field: there[s] for field, names in spellings.items() if (s := next((n for n in names if n in there), None))}
 
 
-def with_row_id(raw: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
-    """source_row_id from 0. Without an ordering column it is the position in the files, per partition and then counted on.
+def with_row_id(raw: DataFrame) -> DataFrame:
+    """source_row_id from 0: the position in the files, per partition and then counted on.
 
     Positions come from two passes, counts per partition and a prefix sum of those, so no task holds all rows.
     """
-    if order:
-        return raw.withColumn("source_row_id", F.row_number().over(Window.orderBy(*order)) - 1)
     placed = raw.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
     counts = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # one row a partition
