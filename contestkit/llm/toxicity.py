@@ -176,7 +176,18 @@ def _word_model(rows: list[tuple[str, int, int]], toxic_all: int, clean_all: int
             in_toxic, in_clean = in_toxic + t, in_clean + c
     other = math.log(max(1e-9, 1 - in_toxic / max(1, toxic_all))) - math.log(max(1e-9, 1 - in_clean / max(1, clean_all)))
     other = min(other, -1e-3)
-    return Model({f: s if s > 0 else other for f, s in known.items()}, other)
+    return Model(_told_apart({f: s if s > 0 else other for f, s in known.items()}, other), other)
+
+
+def _told_apart(known: dict[str, float], other: float) -> dict[str, float]:
+    """Only the features whose score differs from that of the next shorter prefix; words score the same without the rest."""
+    out = {}
+    for f, s in known.items():
+        stem = f[:-1] if f.endswith("$") else f
+        shorter = next((known[stem[:n]] for n in reversed(PREFIXES) if n < len(stem) and stem[:n] in known), other)
+        if s != shorter:
+            out[f] = s
+    return out
 
 
 def _lambda(scores: np.ndarray) -> float:
