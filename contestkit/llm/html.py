@@ -30,27 +30,28 @@ _DROPPED = frozenset("script style noscript iframe template textarea title head
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form toolbar".split())
 _UNLIKELY = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertise\w*|advertising|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|comments?|comment-?list|disqus|respond|reply|replies|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager"
-    r"|footer|header|masthead|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|share|sharing|social|related|recommended|subscribe|subscription|newsletter|signup|login|widget|toolbar|skip|hidden)(?:$|[\s_-])",
+    r"|\w*(?:comments|sidebar|cookie|menu|banner|newsletter|navbar|advert)\w*|ad(?:box|slot|unit|container|wrapper|space)s?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|share|sharing|social|related|recommended|subscribe|subscription|newsletter|signup|login|widget|toolbar|skip|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+_REMARKS = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.IGNORECASE)
 _LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _PASSED_ON = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
 
 
 class Node:
-    __slots__ = ("tag", "about", "parent", "children", "out", "points", "chars", "linked")
+    __slots__ = ("tag", "about", "parent", "children", "out", "points", "chars", "linked", "named")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.children = tag, parent, []
         self.points, self.chars, self.linked = 0.0, 0, 0
-        self.about, self.out = "", tag in _DROPPED
+        self.about, self.out, self.named = "", tag in _DROPPED, False
         if attributes.strip():
             found = {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
             self.about = f"{found.get('class', '')} {found.get('id', '')}".strip()
             self.out = self.out or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").strip().lower() in _ROLES or bool(_HIDDEN.search(found.get("style", "")))
             if not self.out and self.about and tag not in ("body", "html", "article", "main"):
-                self.out = bool(_UNLIKELY.search(self.about))
+                self.out = self.named = bool(_UNLIKELY.search(self.about))
 
 
 def parse(page: str) -> Node:
@@ -93,9 +94,29 @@ def parse(page: str) -> Node:
             stack.append(node)
     if at < len(page):
         stack[-1].children.append(references.unescape(page[max(at, raw_until) :]))
+    _forgive(root)
     return root
 
 
+def _forgive(root: Node) -> None:
+    """Wrappers named after a part, such as "with-sidebar", stay if they hold the article or the heading and most text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and (c.named or not c.out)]
+    if not any(n.named for n in order):
+        return
+    chars, holds = {}, {}
+    for n in reversed(order):
+        inside = [c for c in n.children if isinstance(c, Node) and id(c) in chars]
+        chars[id(n)] = sum(len(c) for c in n.children if isinstance(c, str)) + sum(chars[id(c)] for c in inside)
+        holds[id(n)] = max([holds[id(c)] for c in inside] + [2 * (n.tag in ("article", "main")) or (n.tag == "h1") * 1])
+    for n in order:
+        if n.named and not _REMARKS.search(n.about) and (holds[id(n)] == 2 or (holds[id(n)] == 1 and chars[id(n)] > 0.5 * chars[id(root)])):
+            n.out = False
+
+
 def _close_implied(stack: list[Node], tag: str) -> None:
     if tag in _ENDS_P:
         for k in range(len(stack) - 1, 0, -1):

@@ -21,6 +21,8 @@ def page(body):
         (f"<main><h1>Title</h1><section><p>{ARTICLE}</p></section><section><p>{ARTICLE}</p></section></main><aside>x</aside>", f"Title {ARTICLE} {ARTICLE}"),
         (f"<div class=cookie-notice>We use cookies, really, many, many cookies, so many.</div><div><p>{ARTICLE}</p><!-- a <p>no</p> --></div>", ARTICLE),
         (f"<article><p>{ARTICLE}</p><ul class=x><li><a href=1>one link</a></li><li><a href=2>two link</a></li></ul><ul><li>kept item</li></ul></article>", f"{ARTICLE} kept item"),
+        (f"<div class='has-sidebar wrap'><article><p>{ARTICLE}</p></article><div class='topmenu'>x</div></div><div id=usercomments><p>{ARTICLE}</p></div><div class=cookiebar>We use them</div>", ARTICLE),
+        (f"<div class='page with-banner'><h1>Title</h1><p>{ARTICLE}</p><p>{ARTICLE}</p><div class=adbox>Buy</div></div>", f"Title {ARTICLE} {ARTICLE}"),
         ("plain text only", "plain text only"),
         ("", ""),
         ("<script>x</script>", ""),
