@@ -8,6 +8,7 @@ does not fall; what remains is the document's language set.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,16 +25,17 @@ BINS = 1 << 15
 SMOOTHING = 0.3
 ROUNDS, TOLERANCE = 40, 1e-4
 UNDETERMINED = "und"
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def grams(text: str | None) -> np.ndarray:
     """Bins of the letter trigrams of the whole text; runs of anything else count as one space."""
     if not text:
         return np.zeros(0, np.int64)
-    kept = "".join(c if c.isalpha() else " " for c in text.lower()).split()
-    if not kept:
+    kept = _OTHER.sub(" ", text.lower()).strip()
+    if not any(c.isalpha() for c in kept):
         return np.zeros(0, np.int64)
-    codes = np.frombuffer(f" {' '.join(kept)} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    codes = np.frombuffer(f" {kept} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     mixed = (codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[2:] * np.uint64(0x165667B19E3779F9)) ^ (codes[1:-1] << np.uint64(17))
     return ((mixed * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - 15)).astype(np.int64)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestkit.llm import decontaminate, html, langid, neighbours, packing, quality, secrets, simhash, toxicity, urls
+from contestkit.llm.common import pick
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +27,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), held_out("doc_id", 3, 1))
     scored = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), toxicity.toxicity(model)(F.col("text")).alias("t"))
     score = F.col("t.score")
@@ -46,7 +47,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", html.main_text()(F.col("html")).alias("text"))
+    pages = pick(table(spark, sf_dir, "pages"), "page_id", "url", "html").select("page_id", "url", html.main_text()(F.col("html")).alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -58,7 +59,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
-    docs = table(spark, sf_dir, "documents")
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     model = langid.train(docs.filter(~held_out("doc_id", 5, 0)))
     found = docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), langid.language(model)(F.col("text")).alias("t"))
     return found.select("doc_id", "held_out", F.col("t.lang").alias("lang_pred"), F.col("t.score").alias("score"), F.array_sort(F.map_entries("t.mixture")).alias("mixture"))
