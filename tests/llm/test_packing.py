@@ -75,3 +75,48 @@ def test_one_length_only(spark):
     rows = packing.pack_documents(documents(spark, [(k, "same text") for k in range(300)]), capacity=16).collect()
     n = rows[0]["length"]
     assert check(rows, 16) == -(-300 // (16 // n))
+
+
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_of_added_tokens_and_long_runs(spark):
+    texts = ["text <|endoftext|> more", "<|endoftext|><|endoftext|>", "<|endoftext", "a" + "\n" * 1_100_000 + "b", "x" + " \n" * 60_000, "y  z " * 30_000]
+    rows = packing.token_pieces(documents(spark, list(enumerate(texts))), capacity=1 << 22).collect()
+    want = {}
+    for k, text in enumerate(texts):
+        ids = np.array([*tokenizer().encode(text, add_special_tokens=False).ids, packing.END_ID], dtype="<u4")
+        want[k] = (len(ids), zlib.crc32(ids.tobytes()))
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows} == want
+    assert want[0][0] == 5
+
+
+def test_fast_ids_are_the_tokenizers():
+    """Both merge the pair of least rank, so they agree if ranks are ids and every entry's own merges lead to it."""
+    import base64
+
+    import public_tokenizers
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    exact = tokenizer()
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    # the byte alphabet as the pre-tokenizer writes it: printable Latin-1 as is, the others from U+0100 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
+    assert set(letter.values()) == set(pre_tokenizers.ByteLevel.alphabet())
+    merges = Tokenizer(exact.model)  # no pre-tokenizer: each text is one piece
+    vocabulary = {k: v for k, v in exact.get_vocab(with_added_tokens=False).items() if v != 50256}
+    assert {"".join(letter[b] for b in word): rank for word, rank in ranks.items()} == vocabulary
+    for word, number in vocabulary.items():
+        assert merges.encode(word).ids == [number]
+    fast, rng = packing.encoder(), random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("aeinst  \n'é漢1!\u3000") for _ in range(rng.choice((5, 50, 700))))
+        assert fast(text) == exact.encode(text, add_special_tokens=False).ids
+        letters = "".join(rng.choice("aeinst") for _ in range(1500))
+        assert fast(letters) == exact.encode(letters, add_special_tokens=False).ids
