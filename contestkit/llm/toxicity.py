@@ -2,7 +2,8 @@
 
 Words get log-odds of toxic against clean use. Their priors are Dirichlet priors in a chain: a word's prior
 is its six-letter prefix, whose prior is the five-letter prefix, and so on, so that an unseen form of a known stem
-has a score. A linear scan (all maximal segments) finds every passage whose summed log-odds stand
+has a score. The odds count texts, not uses, so one text that repeats a word teaches no more than any other.
+A linear scan (all maximal segments) over every use of every word finds every passage whose summed log-odds stand
 out. Extreme-value theory calibrates them: lambda and K are fitted on clean texts, segment scores become
 normalised for the text's length, and the sum statistic of the best r segments is the text's evidence. A logistic
 curve fitted on labelled rows that the word counts did not see makes it a score from 0 to 1.
@@ -88,20 +89,16 @@ class Model:
         return score
 
     def passages(self, words: list[str], cache: dict[str, float]) -> list[tuple[float, int, int]]:
-        """Maximal segments of the words, best first. Runs of other words count as one step.
-
-        Like the counts, a text has each word once: repeats score as other words do.
-        """
+        """Maximal segments of the words, best first. Every use of a word scores; runs of other words count as one step."""
         scores, places = [], []
-        last, met = -1, set()
+        last = -1
         for i, w in enumerate(words):
             s = cache.get(w)
             if s is None:
                 s = self.word(w)
                 if len(cache) < CACHE:
                     cache[w] = s
-            if s > 0 and w not in met:
-                met.add(w)
+            if s > 0:
                 if i - last > 1:
                     scores.append(self.other * (i - last - 1))
                     places.append(last + 1)
@@ -256,7 +253,10 @@ def _calibrated(words: Model, rows: DataFrame) -> Model:
             out = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 own = tokens(text)
-                uses = Counter(s for w in set(own) if (s := words.word(w)) > 0)
+                uses: Counter = Counter()
+                for w, n in Counter(own).items():
+                    if (s := words.word(w)) > 0:
+                        uses[s] += n
                 best = [s for s, _, _ in words.passages(own, cache)[:SEGMENTS]]
                 out.append((toxic, len(own), best, list(uses.keys()), list(uses.values())))
             kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())]

@@ -72,3 +72,18 @@ def test_odd_rows(spark, odd):
         model = toxicity.train(odd, labels)
         assert toxicity.drop_toxic(odd, model).count() == odd.count()
     assert toxicity.drop_toxic(odd.limit(0), toxicity.train(odd.limit(0), none)).collect() == []
+
+
+def test_every_use_of_a_word_scores(spark):
+    rows = corpus(random.Random(1), 800)
+    docs = documents(spark, [(d, t) for d, t, _ in rows])
+    labels = spark.createDataFrame([(d, 1, x) for d, _, x in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    bad, gap = "idiot scumbag moronic vileness ", "bcdef " * 2500  # so long that no segment crosses it
+    singly = gap.join(f"{w} " for w in bad.split()) + gap
+    test = documents(spark, [(1, gap + bad + gap + bad + gap), (2, singly + bad + gap), (3, singly)])
+    got = {r["doc_id"]: r["t"] for r in test.select("doc_id", toxicity.toxicity(model)(test["text"]).alias("t")).collect()}
+    found = {d: {(p["start"], p["end"]) for p in t["passages"]} for d, t in got.items()}
+    assert {(2500, 2504), (5004, 5008)} == found[1]
+    assert (10004, 10008) in found[2]
+    assert max(p["score"] for p in got[2]["passages"]) > max((p["score"] for p in got[3]["passages"]), default=0)
