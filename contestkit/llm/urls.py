@@ -86,7 +86,7 @@ def lexical(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Fitted trees, the suffix statistics (a table of at most FIT_ROWS rows), or a constant verdict."""
+    """Fitted trees, the suffix statistics of all labelled URLs (a table), or a constant verdict."""
 
     trees: PipelineModel | None
     suffixes: DataFrame | None
@@ -100,26 +100,28 @@ class Model:
 
 
 def _with_suffixes(featured: DataFrame, suffixes: DataFrame) -> DataFrame:
-    joined = featured.join(F.broadcast(suffixes.withColumnRenamed("suffix", "of")), F.col("suffix") == F.col("of"), "left").drop("of")
+    joined = featured.join(suffixes.withColumnRenamed("suffix", "of"), F.col("suffix") == F.col("of"), "left").drop("of")
     return joined.fillna({"suffix_share": 0.5, "suffix_weight": 0.0})
 
 
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on ``labelled`` (url, allow boolean), at most about ``fit_rows`` rows; repeated URLs count once.
+    """Fits on ``labelled`` (url, allow boolean): suffix statistics on all rows, trees on at most about ``fit_rows``; repeated URLs count once.
 
     Rows with a null url or label are left out; with one class only, or none, the verdict is that class, else allow.
     """
     rows = pick(labelled, "url", "allow").dropna().groupBy("url").agg(F.min("allow").alias("allow"))
     rows = stash(rows, "labelled-urls")
     share = min(1.0, fit_rows / max(1, rows.count()))
-    rows = stash(lexical(rows.filter(F.pmod(F.xxhash64("url", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)))).coalesce(4), "url-features")
-    classes = [r["allow"] for r in rows.select("allow").distinct().collect()]
+    sample = stash(lexical(rows.filter(F.pmod(F.xxhash64("url", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)))).coalesce(4), "url-features")
+    classes = [r["allow"] for r in sample.select("allow").distinct().collect()]
     if len(classes) < 2:
         return Model(None, None, classes[0] if classes else True)
     allowed = F.sum(F.col("allow").cast("int"))
-    suffixes = rows.groupBy("suffix").agg(((allowed + 1) / (F.count("*") + 2)).alias("suffix_share"), F.log1p(F.count("*").cast("double")).alias("suffix_weight"))
-    suffixes = stash(suffixes, "url-suffixes")  # no more rows than the sample
-    table = _with_suffixes(rows, suffixes).withColumn("label", F.col("allow").cast("double"))
+    suffixes = rows.select(F.substring_index(host_of(F.col("url")), ".", -1).alias("suffix"), "allow").groupBy("suffix").agg(((allowed + 1) / (F.count("*") + 2)).alias("suffix_share"), F.log1p(F.count("*").cast("double")).alias("suffix_weight"))
+    suffixes = stash(suffixes, "url-suffixes")
+    if suffixes.count() <= FIT_ROWS:
+        suffixes = F.broadcast(suffixes)  # a checked count
+    table = _with_suffixes(sample, suffixes).withColumn("label", F.col("allow").cast("double"))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(assembler.transform(table.coalesce(4)))
     return Model(PipelineModel([assembler, trees]), suffixes)

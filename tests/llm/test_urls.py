@@ -65,3 +65,11 @@ def test_trees_learn(spark):
 def test_main_path_is_native(spark, sf_dir):
     plan = queries.op1_url_filter(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("ArrowEvalPython|BatchEvalPython|MapInArrow|MapInPandas", plan)
+
+
+def test_suffix_statistics_cover_all_labelled_urls(spark):
+    rows = [(f"http://h{k}.{'com' if k % 2 else f's{k}'}/{'good' if k % 3 else 'bad'}", k % 3 > 0) for k in range(600)]
+    model = urls.train(spark.createDataFrame(rows, "url string, allow boolean"), fit_rows=100)
+    got = {r["suffix"]: (r["suffix_share"], round(r["suffix_weight"], 9)) for r in model.suffixes.collect()}
+    want = {f"s{k}": ((1 + (k % 3 > 0)) / 3, round(math.log1p(1), 9)) for k in range(0, 600, 2)}
+    assert got == want | {"com": (201 / 302, round(math.log1p(300), 9))}
