@@ -1,4 +1,4 @@
-"""Workflows over splits, feature sets and settings (EXP-01 to EXP-13) and their decision rules.
+"""Workflows over splits, feature sets and settings (EXP-01 to EXP-13 but for the parts that the README names as missing) and their decision rules.
 
 Loops on the driver are over candidates and folds, never over rows. Independent fits run in a small thread pool, as
 MLlib's own tuning does; folds expand in time, so random cross-validation is not used.

@@ -1,4 +1,4 @@
-"""Bookmaker prices: flattening, bout matching and as-of consensus (ODD-01 to ODD-10, JOIN-14, JOIN-18)."""
+"""Bookmaker prices: flattening, bout matching and as-of consensus (ODD-01 to ODD-10 without ODD-05 and ODD-06, JOIN-14, JOIN-18)."""
 
 from __future__ import annotations
 
