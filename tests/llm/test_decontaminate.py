@@ -24,7 +24,7 @@ def plain(docs, items):
     found = set()
     for d, a in ((d, cut(t)) for d, t in docs):
         for i, b in ((i, cut(t)) for i, t in items):
-            if len(b) < decontaminate.LEAST_WORDS:
+            if not b:
                 continue
             need = min(len(b), decontaminate.OVERLAP)
             for shift in range(-len(b), len(a)):
@@ -38,12 +38,12 @@ def plain(docs, items):
 def test_against_all_alignments(spark, monkeypatch, blocks):
     monkeypatch.setattr(decontaminate, "BLOCK_ROWS", blocks)
     rng = random.Random(2)
-    items = [(k, " ".join(text(rng, rng.choice([5, 6, 8, 9, 10, 11, 12, 15, 40])))) for k in range(20)]
+    items = [(k, " ".join(text(rng, [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 15, 40][k % 13]))) for k in range(26)]
     docs = []
-    for k in range(80):
+    for k in range(104):
         words = text(rng, rng.choice([0, 3, 30, 200]))
         if k % 3 == 0:
-            passage = items[k % 20][1].split()
+            passage = items[k % 26][1].split()
             passage = [w if rng.random() > 0.07 else "other" for w in passage][: rng.choice([12, 99])]
             at = rng.randint(0, len(words))
             words[at:at] = passage
@@ -64,7 +64,7 @@ def test_evenly_substituted_passage(spark):
 def test_odd_rows(spark, odd):
     items = bench(spark, [(1, None), (2, ""), (3, "One two, three FOUR five"), (4, "one two three four"), (5, "alpha beta " * 20), (5, "alpha beta " * 20), (None, "omega " * 30)])
     rows = decontaminate.overlaps(documents(spark, [(1, "one two three four five"), (1, "one two three four five"), (None, "one two three four five six"), (2, None), (3, "")]), items).collect()
-    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in rows) == [(0, 3), (1, 3)]
+    assert sorted((r["doc_id"] or 0, r["item_id"]) for r in rows) == [(0, 3), (0, 4), (1, 3), (1, 4)]
     assert decontaminate.overlaps(odd, items).count() >= 0
     assert decontaminate.overlaps(odd.limit(0), items).collect() == []
     assert decontaminate.overlaps(odd, items.limit(0)).collect() == []
@@ -72,6 +72,15 @@ def test_odd_rows(spark, odd):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = documents(spark, [(None, f"so {item} then"), (None, "clean"), (4, item), (4, "another clean text"), (5, "x only four words here y"), (6, "only four, words"), (7, None)])
+    kept = decontaminate.drop_contaminated(docs, bench(spark, [(1, item), (2, item.upper()), (3, "Only four words here")]))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(None, "clean"), (4, "another clean text"), (6, "only four, words"), (7, None)], key=str)
+    rows = decontaminate.overlaps(docs, bench(spark, [(1, item), (2, item.upper()), (None, item)])).collect()
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in rows) == [(0, 0), (0, 1), (0, 2), (4, 0), (4, 1), (4, 2)]
+
+
 def test_query_against_whole_passages(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     got = {(r["doc_id"], r["item_id"]) for r in queries.op9_benchmark_decontamination(spark, sf).collect()}
@@ -87,11 +96,11 @@ def test_main_path_is_native(spark, sf_dir):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 11, 12, 13, 20])
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 20])
 def test_masks_lose_no_overlap(n):
     from itertools import combinations
 
     masks = decontaminate.masks_for([n] if n < 12 else [])
     window = min(n, decontaminate.OVERLAP)
     for gone in combinations(range(window), window - decontaminate.least_agreeing(n)):
-        assert any(not {o + at for o in m} & set(gone) for m in masks for at in range(window - m[-1]))
+        assert any(not {o + at for o in m.offsets} & set(gone) for m in masks if m.least <= n <= m.most for at in range(window - m.offsets[-1]))
