@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contestkit.llm.common import stash
+from contestkit.llm.common import forget, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: each node's neighbours are linked to the smallest
     neighbour, so a path of n nodes needs about log n rounds. Minima are aggregated before the
-    shuffle. Each round is a written table. Loops and repeated edges are harmless.
+    shuffle. Each round is a written table, deleted after the next. Loops and repeated edges are harmless.
     """
     now = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state = None
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        now = stash(small, "edges")
+        before, now = now, stash(small, "edges")
+        forget(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break

@@ -31,6 +31,9 @@ MAX_BITS = 3
 #: Members of a key's group that are compared directly.
 BLOCK = 256
 
+#: Fingerprints that a task of their own is not left with: those of more than one in so many rows.
+HOT = 10_000
+
 #: One byte's bits, each in a byte of its own.
 _SPREAD = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -97,18 +100,27 @@ def spanning_links(values: np.ndarray) -> list[tuple[int, int]]:
     Compares block by block and stops once all are joined; keeps the members alone.
     """
     n = len(values)
-    root = np.arange(n)
+    above = np.arange(n)
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = int(above[x])
+        return x
+
     links = []
     for at in range(0, n, BLOCK):
         for other in range(at, n, BLOCK):
-            if (root == root[0]).all():
+            if len(links) == n - 1:
                 return links
-            apart = root[at : at + BLOCK, None] != root[None, other : other + BLOCK]
+            while (above[above] != above).any():
+                above[:] = above[above]
+            apart = above[at : at + BLOCK, None] != above[None, other : other + BLOCK]
             i, j = np.nonzero(apart & _pairs_linked(values[at : at + BLOCK], values[other : other + BLOCK]))
             for a, b in zip((i + at).tolist(), (j + other).tolist(), strict=True):
-                x, y = root[a], root[b]
+                x, y = top(a), top(b)
                 if x != y:
-                    root[root == max(x, y)] = min(x, y)
+                    above[max(x, y)] = min(x, y)
                     links.append((int(values[a]), int(values[b])))
     return links
 
@@ -191,15 +203,16 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def with_components(prints: DataFrame) -> DataFrame:
-    """(fp, component_id) of every fingerprint of ``prints`` (doc_id, fp), a written table.
+    """(fp, n, root, component_id) of every fingerprint of ``prints`` (doc_id, fp), a written table; the result is one too.
 
-    component_id: the smallest doc_id of all fingerprints reachable over links; null if none has a doc_id.
+    n: rows with the fingerprint; root: the component's smallest fingerprint; component_id: the smallest doc_id
+    of all fingerprints reachable over links, null if none has a doc_id.
     """
-    distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    distinct = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     linked = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     rooted = distinct.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    return stash(rooted.join(ids, "root").select("fp", "n", "root", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -210,26 +223,40 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     are ignored.
     """
     prints = stash(pick(docs, "doc_id", "text").select("doc_id", fingerprint(width)("text").alias("fp")), "fingerprints")
-    return prints.join(with_components(prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = with_components(prints).select("fp", "n", "component_id")
+    # A fingerprint that a HOT-th of all rows has would fill one task: there are at most about HOT such, so they are broadcast.
+    least = max(1, prints.count() // HOT)
+    hot = F.broadcast(found.filter(F.col("n") >= least).drop("n")) if least > 1 else None
+    rest = found.filter(F.col("n") < least).drop("n") if least > 1 else found.drop("n")
+    joined = prints.join(rest, "fp") if hot is None else prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(rest, "fp"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays.
+    """The rows of ``docs`` without near-duplicates: of each component one row stays, with all columns.
 
-    All columns stay. Of rows that repeat a doc_id one stays. Rows with a null doc_id stay if nothing
-    linked to them has a doc_id.
+    It is the row with the smallest doc_id (null last); ties go by hashes of the whole row, so the choice is
+    repeatable, and of rows that are equal in every column one stays. Each row is judged by its own text: rows that
+    share a doc_id but not a component stay apart. Null, empty and blank texts are one component. An empty table
+    gives no rows.
     """
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     doc_id, text = (f"c{columns.index(n)}" for n in ("doc_id", "text"))
-    prints = stash(plain.select(F.col(doc_id).alias("doc_id"), fingerprint(width)(text).alias("fp")), "fingerprints")
-    own = prints.join(with_components(prints), "fp")
-    drop = own.filter("doc_id is null and component_id is not null or doc_id <> component_id").select("doc_id").distinct()
-    twice = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    kept = plain.join(stash(drop, "dropped"), plain[doc_id].eqNullSafe(F.col("doc_id")), "left_anti")
-    repeated = stash(twice, "repeated")
+    whole = [F.to_json(c.name) if "map<" in c.dataType.simpleString() else F.col(c.name) for c in plain.schema]
+    # nulls are skipped by the hash, so each value's hash enters; with the text's length that tells columns apart
+    marks = [F.xxhash64(F.lit(seed), *[x for i, c in enumerate(whole) for x in (F.lit(i), c)]) for seed in (1, 2)]
+    keyed = plain.select("*", marks[0].alias("m1"), marks[1].alias("m2"))
+    prints = stash(keyed.select(F.col(doc_id).alias("doc_id"), "m1", "m2", fingerprint(width)(text).alias("fp")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "m1", "m2")
+    first = prints.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    chosen = stash(first.join(with_components(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.m1", "first.m2"), "kept")
+    again = prints.groupBy("m1", "m2").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = stash(again.join(chosen, ["m1", "m2"], "left_semi").select("m1", "m2"), "repeated")
+    kept = keyed.join(chosen, ["m1", "m2"], "left_semi")
+    names = plain.columns
     if not repeated.take(1):
-        return kept.toDF(*columns)
-    once = kept.join(repeated, plain[doc_id] == F.col("doc_id"), "left_anti")
-    again = kept.join(repeated, plain[doc_id] == F.col("doc_id"), "left_semi").dropDuplicates([doc_id])
-    return once.union(again).toDF(*columns)
+        return kept.select(*names).toDF(*columns)
+    once = kept.join(repeated, ["m1", "m2"], "left_anti")
+    equal = kept.join(repeated, ["m1", "m2"], "left_semi").dropDuplicates(["m1", "m2"])
+    return once.select(*names).union(equal.select(*names)).toDF(*columns)
