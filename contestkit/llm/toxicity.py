@@ -3,7 +3,7 @@
 Words get log-odds of toxic against clean use. Their priors are Dirichlet priors in a chain: a word's prior
 is its six-letter prefix, whose prior is the five-letter prefix, and so on, so that an unseen form of a known stem
 has a score. The odds count texts, not uses, so one text that repeats a word teaches no more than any other.
-A linear scan (all maximal segments) over every use of every word finds every passage whose summed log-odds stand
+A linear-time scan (all maximal segments) over every use of every word finds every passage whose summed log-odds stand
 out. Extreme-value theory calibrates them: lambda and K are fitted on clean texts, segment scores become
 normalised for the text's length, and the sum statistic of the best r segments is the text's evidence. A logistic
 curve fitted on labelled rows that the word counts did not see makes it a score from 0 to 1.
@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestkit.llm.common import chunks, pick
+from contestkit.llm.common import chunks, pick, stash
 
 #: At most about this many labelled rows fit the model: rows are taken by a hash of doc_id.
 FIT_ROWS = 24_000
@@ -33,8 +33,6 @@ PREFIXES = (3, 4, 5, 6)
 PRIOR = 4.0
 #: Least uses of a word or prefix in the model, and least standard score of toxic ones.
 LEAST_USES, LEAST_Z = 3, 3.0
-#: Segments that enter the sum statistic.
-SEGMENTS = 24
 #: Words whose scores a worker keeps at hand.
 CACHE = 200_000
 
@@ -51,24 +49,27 @@ def features(word: str) -> list[str]:
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, last + 1), in one linear scan with a stack."""
-    stack: list[list[float]] = []  # first, last + 1, total before, total after
+    """All maximal scoring segments (score, first, last + 1), in linear time.
+
+    Every candidate remembers the nearest one before it whose sum begins lower, so that no search passes a candidate twice.
+    """
+    stack: list[list] = []  # first, last + 1, total before, total after, nearest candidate that begins lower
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        new = [i, i + 1, before, total]
+        first, low, k = i, before, len(stack) - 1
         while True:
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= new[3]:
-                stack.append(new)
+            while k >= 0 and stack[k][2] >= low:
+                k = stack[k][4]
+            if k < 0 or stack[k][3] >= total:
+                stack.append([first, i + 1, low, total, k])
                 break
-            new[0], new[2] = stack[k][0], stack[k][2]
+            first, _, low, _, nearest = stack[k]
             del stack[k:]
-    return [(right - left, int(a), int(b)) for a, b, left, right in stack]
+            k = nearest
+    return [(right - left, a, b) for a, b, left, right, _ in stack]
 
 
 @dataclass(frozen=True)
@@ -108,12 +109,17 @@ class Model:
         return sorted(((s, places[a], places[b - 1] + 1) for s, a, b in maximal_segments(scores)), reverse=True)
 
     def evidence(self, scores: list[float], n: int) -> float:
-        """-ln of the chance that a clean text of n words has segments like the best r, for the best r."""
+        """-ln of the chance that a clean text of n words has segments like the best r, for the best r; scores are sorted, best first.
+
+        A segment that a clean text of that length is likely to have, and any after it, adds nothing to the sum.
+        """
         if not scores or not n:
             return 0.0
         best, t = 0.0, 0.0
         base = math.log(self.k * n)
-        for r, s in enumerate(scores[:SEGMENTS], 1):
+        for r, s in enumerate(scores, 1):
+            if self.lam * s <= base:
+                break
             t += self.lam * s - base
             if t > r:
                 best = max(best, t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r))
@@ -227,16 +233,16 @@ def _best_cut(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on ``labelled`` (doc_id, text, toxic 0/1), at most about ``fit_rows`` rows.
+    """Fits on ``labelled`` (doc_id, text, toxic 0/1), at most about ``fit_rows`` rows; reads it more than once: pass a stored table.
 
     A quarter of the rows is kept from the word counts, for the calibration. Rows with a null label or
     text are left out; without any toxic or clean row the model scores every text alike.
     """
     rows = pick(labelled, "doc_id", "text", "toxic").dropna(subset=["text", "toxic"])
     n = rows.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20))
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 20))  # the text too: rows may share a doc_id
     rows = rows.filter(part < int(min(1.0, fit_rows / max(1, n)) * (1 << 20)))
-    held = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(4)) == 0
+    held = F.pmod(F.xxhash64("doc_id", "text", F.lit(6)), F.lit(4)) == 0
     counts = _count(rows.filter(~held).select("text", "toxic"))
     kept = [tuple(r) for r in counts.filter(F.col("toxic") + F.col("clean") >= LEAST_USES).select("feature", "toxic", "clean").toLocalIterator()]  # bounded by fit_rows
     toxic_all, clean_all = (sum(r[k] for r in kept if r[0].endswith("$")) for k in (1, 2))
@@ -245,7 +251,9 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 
 def _calibrated(words: Model, rows: DataFrame) -> Model:
-    kind = "toxic int, n int, scores array<double>, sums array<double>, used array<long>"
+    """Lambda and K from the clean ones of ``rows`` (text, toxic), a stored table's; then the logistic curve from the evidence of all."""
+    first = "toxic int, n int, best double, sums array<double>, used array<long>"
+    second = "toxic int, evidence double"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
@@ -257,12 +265,12 @@ def _calibrated(words: Model, rows: DataFrame) -> Model:
                 for w, n in Counter(own).items():
                     if (s := words.word(w)) > 0:
                         uses[s] += n
-                best = [s for s, _, _ in words.passages(own, cache)[:SEGMENTS]]
-                out.append((toxic, len(own), best, list(uses.keys()), list(uses.values())))
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["toxic", "n", "scores", "sums", "used"])
+                best = words.passages(own, cache)[:1]
+                out.append((toxic, len(own), best[0][0] if best else 0.0, list(uses.keys()), list(uses.values())))
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["toxic", "n", "best", "sums", "used"])
 
-    seen = rows.mapInArrow(scan, kind).collect()  # a quarter of fit_rows rows of a few numbers
+    seen = rows.mapInArrow(scan, first).collect()  # a quarter of fit_rows rows of a few numbers
     clean = [r for r in seen if not r["toxic"] and r["n"]]
     total = sum(r["n"] for r in clean)
     if not clean or len(clean) == len(seen):
@@ -274,10 +282,18 @@ def _calibrated(words: Model, rows: DataFrame) -> Model:
     if uses:
         values, weights = np.array([*uses.keys(), words.other]), np.array([*uses.values(), total - sum(uses.values())])
         lam = _lambda(np.repeat(values, np.ceil(weights / max(1, weights.max() // 100_000)).astype(int)))
-    extreme = sum(r["n"] * math.exp(-lam * (r["scores"][0] if r["scores"] else 0.0)) for r in clean)
+    extreme = sum(r["n"] * math.exp(-lam * r["best"]) for r in clean)
     model = Model(words.known, words.other, lam, len(clean) / max(extreme, 1e-9))
-    x = np.array([model.evidence(r["scores"], r["n"]) for r in seen])
-    y = np.array([float(r["toxic"]) for r in seen])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, float] = {}
+        for batch in chunks(batches, "text"):
+            own = [tokens(text) for text in batch.column("text").to_pylist()]
+            found = [model.evidence([s for s, _, _ in model.passages(w, cache)], len(w)) for w in own]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(found, pa.float64())], names=["toxic", "evidence"])
+
+    weighed = rows.mapInArrow(weigh, second).collect()  # as many rows, of two numbers
+    x, y = (np.array([float(r[k]) for r in weighed]) for k in ("evidence", "toxic"))
     slope, shift = _logistic(x, y)
     # the stated threshold falls on the cut with the best F1
     return Model(model.known, model.other, lam, model.k, slope, math.log(THRESHOLD / (1 - THRESHOLD)) - slope * _best_cut(x, y))
@@ -319,14 +335,21 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_R
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on the labelled rows of ``docs`` for which ``held_out`` (over doc_id) does not hold."""
+    """Fits on the labelled rows of ``docs`` for which ``held_out`` (over doc_id) does not hold; they are stored, so ``docs`` is read once.
+
+    Null texts, labels and doc_ids teach nothing. Empty tables give the model that scores every text alike.
+    """
     if held_out is not None:
         labels = pick(labels, "doc_id", "toxic").filter(~held_out)
-    return fit(labelled_documents(docs, labels, fit_rows), fit_rows)
+    return fit(stash(labelled_documents(docs, labels, fit_rows), "labelled"), fit_rows)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay.
+
+    Each row is judged by its text alone: repeated rows stay or go together, null and empty texts have the score of no
+    evidence and stay. An empty table gives no rows.
+    """
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     score = toxicity(model)(F.col(f"c{columns.index('text')}"))["score"]
