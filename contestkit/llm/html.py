@@ -9,40 +9,55 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 #: Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template".split())
+_RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ENDS_P = _BLOCK - frozenset("td th tr tbody thead tfoot body html head option dd dt li summary figcaption".split())
 #: A start tag ends open elements of these kinds, up to a boundary.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "thead": ("tr", "td", "th"), "tfoot": ("tr", "td", "th", "tbody", "thead")}
 _BOUNDARY = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
 #: Elements that never hold the article.
-_DROPPED = frozenset("script style noscript iframe template textarea title head nav header footer aside form button select input menu dialog svg math object embed audio video canvas noembed noframes xmp label fieldset".split())
+_DROPPED = frozenset("script style noscript iframe template textarea title head nav header footer aside form button select input menu dialog svg object embed audio video canvas noembed noframes xmp label fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form toolbar".split())
-_UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertise\w*|advertising|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|comments?|comment-?list|disqus|respond|reply|replies|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager"
-    r"|\w*(?:comments|sidebar|cookie|menu|banner|newsletter|navbar|advert)\w*|ad(?:box|slot|unit|container|wrapper|space)s?|footer|header|masthead|cookies?|consent|gdpr|notice|notification|popup|modal|overlay|share|sharing|social|related|recommended|subscribe|subscription|newsletter|signup|login|widget|toolbar|skip|hidden)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of a class or id that name a menu, header, footer, sidebar, notice, advert or readers' comments: dropped everywhere.
+_PARTS = frozenset(
+    "ad ads adsense adbox adslot adunit adcontainer adwrapper adspace adboxes adslots adunits banner sidebar comment comments commentlist disqus respond reply replies menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead cookie cookies consent gdpr notice notices notification notifications".split()
 )
+_PART_STARTS, _PART_HOLDS = ("advert", "sponsor", "promo"), ("comments", "sidebar", "cookie", "menu", "banner", "navbar", "advert")
+#: Words that name other boxes: dropped outside the article only.
+_BOXES = frozenset("popup modal overlay share sharing social related recommended subscribe subscription newsletter signup login widget toolbar skip hidden".split())
+#: Elements of running text: no box name drops them.
+_PROSE = frozenset("p li blockquote pre td th dd dt".split())
+_APART = re.compile(r"[\s_-]+")
 _REMARKS = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.IGNORECASE)
 _LIKELY = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _PASSED_ON = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
 
 
+def _named_after(about: str) -> tuple[bool, bool]:
+    """Whether a class and id name a part of the page that is no article, and whether some other box."""
+    names = [w.rstrip("0123456789") for w in _APART.split(about.lower())]
+    part = "side-bar" in about or any(w in _PARTS or w.startswith(_PART_STARTS) or any(x in w for x in _PART_HOLDS) for w in names)
+    return part, any(w in _BOXES or "newsletter" in w for w in names)
+
+
 class Node:
     __slots__ = ("tag", "about", "parent", "children", "out", "points", "chars", "linked", "named")
 
-    def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
+    def __init__(self, tag: str, parent: Node | None, attributes: str = "", within: bool = False) -> None:
+        """``within``: inside an article or main element."""
         self.tag, self.parent, self.children = tag, parent, []
         self.points, self.chars, self.linked = 0.0, 0, 0
         self.about, self.out, self.named = "", tag in _DROPPED, False
@@ -50,54 +65,120 @@ class Node:
             found = {m[1].lower(): references.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
             self.about = f"{found.get('class', '')} {found.get('id', '')}".strip()
             self.out = self.out or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").strip().lower() in _ROLES or bool(_HIDDEN.search(found.get("style", "")))
-            if not self.out and self.about and tag not in ("body", "html", "article", "main"):
-                self.out = self.named = bool(_UNLIKELY.search(self.about))
+            if not self.out and self.about and tag not in ("body", "html", "article", "main") and tag not in _HEADINGS:
+                part, box = _named_after(self.about)
+                self.out = self.named = part or (box and not within and tag not in _PROSE)
+
+
+class _Open:
+    """The open elements, with their places by tag, so that no search walks the stack."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.places, self.blocks = [root], {}, [0]
+
+    def last(self, tag: str) -> int:
+        """The innermost open element of the tag; zero if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, place: int) -> None:
+        """Closes the element at that place and all within it."""
+        for node in reversed(self.stack[place:]):
+            self.places[node.tag].pop()
+            if node.tag in _BLOCK:
+                self.blocks.pop()
+        del self.stack[place:]
+
+    def end(self, tag: str) -> None:
+        place = self.last(tag)
+        if place and (tag in _BLOCK or place > self.blocks[-1]):
+            self.close(place)
+
+    def make_room(self, tag: str) -> None:
+        """Closes what a start tag ends without an end tag."""
+        if tag in _ENDS_P and self.stack[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag not in _ENDS:
+            return
+        stop = max(map(self.last, _BOUNDARY.get(tag, ("table",))))
+        if tag in _BOUNDARY:
+            place = max(map(self.last, _ENDS[tag]))
+        else:  # the outermost of them
+            within = [p[bisect_right(p, stop)] for t in _ENDS[tag] if (p := self.places.get(t)) and p[-1] > stop]
+            place = min(within, default=0)
+        if place > stop:
+            self.close(place)
 
 
 def parse(page: str) -> Node:
     """A tree of elements and strings; forgiving, in one pass over the page."""
     root = Node("html", None)
-    stack = [root]
+    now = _Open(root)
     at = 0
-    raw_until = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < raw_until:
-            continue
-        begin = max(at, raw_until)
-        if m.start() > begin:
-            stack[-1].children.append(references.unescape(page[begin : m.start()]))
+    while m := _TOKEN.search(page, at):
+        if m.start() > at:
+            now.stack[-1].children.append(references.unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(page[m.start() + 9 : m.end()].removesuffix("]]>"))
+                now.stack[-1].children.append(page[m.start() + 9 : at].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in _BLOCK and stack[k].tag in _BLOCK:
-                    break
+            now.end(tag)
             continue
         if not m[0].endswith(">"):
             continue
-        _close_implied(stack, tag)
-        if tag in ("html", "body") and any(n.tag == tag for n in stack[1:]):
+        now.make_room(tag)
+        if tag in ("html", "body") and now.last(tag):
             continue
-        node = Node(tag, stack[-1], m[3])
-        stack[-1].children.append(node)
+        node = Node(tag, now.stack[-1], m[3], bool(now.last("article") or now.last("main")))
+        now.stack[-1].children.append(node)
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            raw_until = at = close.end() if close else len(page)
+            at = close.end() if close else len(page)
         elif tag not in _VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+            now.push(node)
     if at < len(page):
-        stack[-1].children.append(references.unescape(page[max(at, raw_until) :]))
+        now.stack[-1].children.append(references.unescape(page[at:]))
+    _keep_headings(root)
     _forgive(root)
     return root
 
 
+def _keep_headings(root: Node) -> None:
+    """Of a header within an article the headings stay, and nothing else."""
+    stack: list[tuple[Node, bool]] = [(root, False)]
+    while stack:
+        node, within = stack.pop()
+        if node.out and not node.named and not (node.tag == "header" and within):
+            continue
+        if node.tag == "header" and within:
+            node.children, node.out = _headings(node), False
+            continue
+        within = within or node.tag in ("article", "main")
+        stack += [(c, within) for c in node.children if isinstance(c, Node)]
+
+
+def _headings(header: Node) -> list[Node | str]:
+    found, stack = [], header.children[::-1]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str) or node.out:
+            continue
+        if node.tag in _HEADINGS or node.tag == "hgroup":
+            found.append(node)
+        else:
+            stack += node.children[::-1]
+    return found
+
+
 def _forgive(root: Node) -> None:
     """Wrappers named after a part, such as "with-sidebar", stay if they hold the article or the heading and most text."""
     order, stack = [], [root]
@@ -117,28 +198,6 @@ def _forgive(root: Node) -> None:
             n.out = False
 
 
-def _close_implied(stack: list[Node], tag: str) -> None:
-    if tag in _ENDS_P:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag == "p":
-                del stack[k:]
-                break
-            if stack[k].tag in _BLOCK:
-                break
-    if tag in _ENDS:
-        stop = _BOUNDARY.get(tag, ("table",))
-        cut = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in stop:
-                break
-            if stack[k].tag in _ENDS[tag]:
-                cut = k
-                if tag in ("li", "dt", "dd", "option"):
-                    break
-        if cut:
-            del stack[cut:]
-
-
 def blocks(node: Node) -> Iterator[tuple[Node, str]]:
     """(block, its own text) in page order, without what is out; white space runs are one space, blanks left out."""
     stack: list = [(node, None)]
@@ -213,7 +272,7 @@ def _standing(node: Node) -> float:
 
 
 def _drop_link_lists(node: Node) -> None:
-    """Marks lists, tables and boxes that are mostly links, below ``node``."""
+    """Marks lists, tables and boxes that are mostly links, below ``node``: the menus of a page whose text has no container of its own."""
     stack = [node]
     while stack:
         for child in stack.pop().children:
@@ -225,7 +284,11 @@ def _drop_link_lists(node: Node) -> None:
 
 
 def extract(page: str | None) -> str:
-    """The main text of a page; empty for null, blank or text-free pages."""
+    """The main text of a page; empty for null, blank or text-free pages.
+
+    In an article or main element only the parts named in ``_PARTS``, forms, scripts, styles and the like are left out, and of its
+    headers all but the headings; lists of links stay. Time and memory are linear in the page, however it is nested.
+    """
     if not page:
         return ""
     root = parse(page)
@@ -250,13 +313,16 @@ def extract(page: str | None) -> str:
                 long_paragraph = child.tag == "p" and child.chars > 80 and _density(child) < 0.25
                 if _standing(child) + bonus >= least or (long_paragraph and best.tag not in ("article", "main")):
                     kept.append(child)
-    for node in kept:
-        _drop_link_lists(node)
+    if best.tag in ("body", "html"):
+        _drop_link_lists(best)
     return " ".join(text for node in kept for _, text in blocks(node))
 
 
 def main_text() -> Callable[[Column], Column]:
-    """Column function: html to main text, never null."""
+    """Column function: html to main text, never null.
+
+    Each row is extracted by itself: repeated rows repeat, an empty table gives no rows, other columns are not looked at.
+    """
 
     def of(pages: pa.Array) -> pa.Array:
         return pa.array([extract(x.as_py()) for x in pages], type=pa.string())

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -20,9 +21,14 @@ def page(body):
         (f"<div><p>{ARTICLE}</p><div class='ad'>Buy</div><form><p>Mail</p></form><script>if (a<b) '</p>'</script><p>a<b>b</b>c &amp;amp; &copy &am</p></div>", f"{ARTICLE} abc &amp; © &am"),
         (f"<main><h1>Title</h1><section><p>{ARTICLE}</p></section><section><p>{ARTICLE}</p></section></main><aside>x</aside>", f"Title {ARTICLE} {ARTICLE}"),
         (f"<div class=cookie-notice>We use cookies, really, many, many cookies, so many.</div><div><p>{ARTICLE}</p><!-- a <p>no</p> --></div>", ARTICLE),
-        (f"<article><p>{ARTICLE}</p><ul class=x><li><a href=1>one link</a></li><li><a href=2>two link</a></li></ul><ul><li>kept item</li></ul></article>", f"{ARTICLE} kept item"),
+        (f"<article><p>{ARTICLE}</p><ul class=x><li><a href=1>one link</a></li><li><a href=2>two link</a></li></ul><ul><li>kept item</li></ul></article>", f"{ARTICLE} one link two link kept item"),
         (f"<div class='has-sidebar wrap'><article><p>{ARTICLE}</p></article><div class='topmenu'>x</div></div><div id=usercomments><p>{ARTICLE}</p></div><div class=cookiebar>We use them</div>", ARTICLE),
         (f"<div class='page with-banner'><h1>Title</h1><p>{ARTICLE}</p><p>{ARTICLE}</p><div class=adbox>Buy</div></div>", f"Title {ARTICLE} {ARTICLE}"),
+        (f"<script>if(i<n){{ // don't\n}}</script><p>It's fine, {ARTICLE}</p><p>\"Quoted\"</p>", f"It's fine, {ARTICLE} \"Quoted\""),
+        (f"<article><header><p>By x</p><h1>The title</h1></header><p>{ARTICLE}</p><p class='share'>kept</p><div class=related><p>kept too</p></div><h2 class='section-header'>Kept</h2><div class=comments><p>no</p></div><footer>no</footer><p class=ad>no</p></article>", f"The title {ARTICLE} kept kept too Kept"),
+        (f"<header><h1>Site</h1></header><div class=post><h1>Title</h1><p class=x\">{ARTICLE}</p><ol><li><a href=1>Reference one</a></li></ol></div>", f"Title {ARTICLE} Reference one"),
+        (f"<ul><li><a href=1>Home</a></li></ul><p>{ARTICLE}</p><p>{ARTICLE}</p>", f"{ARTICLE} {ARTICLE}"),
+        (f"<article><table><tr><td>a<td>b<tr><td>c</table><p>{ARTICLE}</p><template><template></template>x</template></ article></article>", f"a b c {ARTICLE}"),
         ("plain text only", "plain text only"),
         ("", ""),
         ("<script>x</script>", ""),
@@ -40,6 +46,17 @@ def test_broken_pages():
     assert len(html.extract(page("<article>" + f"<p>{ARTICLE}</p>" * 5000 + "</article>"))) == 5000 * (len(ARTICLE) + 1) - 1
 
 
+@pytest.mark.parametrize(
+    "piece",
+    ["<b>|<div>x</div>", "<b><div><i>|</b>", "<div class='a_a_", "<p>", "<li>x|</ul>", "<a href=\"", "<a b='\">", "<script>|<p", "<!--|--", "<td>|<tr>", "&lt;", "</div", "<h1 a= "],
+)
+def test_hostile_pages_take_linear_time(piece):
+    page = "".join(p * (1_000_000 // 2 // len(p)) for p in (*piece.split("|"), piece.split("|")[-1])[:2])
+    began = time.process_time()
+    html.extract(page)
+    assert time.process_time() - began < 15  # a quadratic step would take minutes
+
+
 def test_query_against_the_article_element(spark, sf_dir):
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     rows = queries.op4_html_extraction(spark, sf_dir).collect()
@@ -55,3 +72,12 @@ def test_query_against_the_article_element(spark, sf_dir):
 def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, None), (1, None), (None, "<p>x</p>")], "page_id long, html string")
     assert sorted(r["t"] for r in rows.select(html.main_text()("html").alias("t")).collect()) == ["", "", "x"]
+    assert rows.limit(0).select(html.main_text()("html").alias("t")).collect() == []
+
+
+def test_query_with_clashing_columns_and_repeated_rows(spark, tmp_path):
+    body = page(f"<article><p>{ARTICLE}</p></article>")
+    rows = [(1, "u", body, "t", 5), (1, "u", body, "t", 5), (None, None, None, None, None), (2, "v", "", "x", 1)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in queries.op4_html_extraction(spark, str(tmp_path)).fillna(0, ["page_id"]).fillna("").collect())
+    assert got == [(0, "", "", 0), (1, "u", ARTICLE, len(ARTICLE)), (1, "u", ARTICLE, len(ARTICLE)), (2, "v", "", 0)]
