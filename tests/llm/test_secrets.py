@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 from dataclasses import replace
 
 from contestkit.llm import queries, secrets
@@ -65,3 +67,23 @@ def test_odd_rows(spark, odd):
     rows = secrets.scan_documents(odd).collect()
     assert len(rows) == odd.count() and [r["doc_id"] for r in rows if r["spans"]] == [9]
     assert secrets.scan_documents(odd.limit(0)).collect() == [] and secrets.redact(odd).count() == odd.count()
+
+
+def test_tokens_with_dots():
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+    rng = random.Random(3)
+    pieces = ["eyJ", "abcdefgh", "eyJabcdefgh", "x", ".", ".", " ", "-_0"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 40)))
+        assert secrets.find_jwt(text) == [m.span() for m in plain.finditer(text)]
+
+
+def test_hostile_texts_take_linear_time():
+    began = time.process_time()
+    for piece in ("eyJ", "eyJabcdefgh.", "token ", "token = ", "-----BEGIN PRIVATE KEY-----", "AKIA", "abcdef0123", "PRIVATE KEY "):
+        for rule in secrets.RULES:
+            rule.find(piece * (1_000_000 // len(piece)))
+    text = "token=abcdef " * 80_000
+    spans = secrets.find_assign(text)
+    assert secrets._covered(text, [a for a, _ in spans], [b for _, b in spans], ["assign"] * len(spans)) == "[assign] " * 80_000
+    assert time.process_time() - began < 20
