@@ -1,17 +1,21 @@
 """Approximate nearest neighbours: a forest of random-projection trees.
 
 The trees are fitted on a bounded sample: each node splits its points at the median of their projections on a random
-direction. Every row is routed to one leaf of each tree. A query searches all trees through one priority queue, ordered by
-the largest distance to a hyperplane that a branch lies beyond, until the leaves taken hold enough points; how
-many is enough is measured on the sample. Queries and rows that meet in a leaf are compared exactly.
-
-Equal vectors are one entry of the index with its smallest ids, as many as any query can need. Leaves that
-hold many rows are dealt out in parts.
+direction, down to leaves of a fixed number of rows, so that leaves grow in number with the data until the sample is too
+thin. Every row is routed to one leaf of each tree. A query searches all trees through one priority queue, ordered by
+the largest distance to a hyperplane that a branch lies beyond, until the leaves taken hold enough points. How many are
+enough, and how many trees serve with the least comparisons, is measured on the sample. Queries and rows that meet in a
+leaf are compared exactly.
+
+Neighbouring leaves lie in one bundle of a bounded number of rows, which one task holds while the queries stream by,
+so neither many rows nor many queries fill a task. Equal vectors are one entry of the index with its
+smallest ids, as many as any query can need.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,15 +27,17 @@ from pyspark.sql import functions as F
 
 from contestkit.llm.common import pick, stash
 
-TREES, LEAF = 8, 64
-#: At most about so many leaves a tree: a query then has a bounded number of places to look at, and leaves grow with the sample.
-LEAVES = 64
+#: Numbers of trees to choose from.
+TREES = (2, 4, 8)
+#: Rows in a leaf, about, and the least points of the sample in one.
+LEAF_ROWS, LEAF = 128, 8
 #: The sample: at most about so many rows and so many numbers.
 SAMPLE_ROWS, SAMPLE_NUMBERS = 60_000, 4_000_000
 #: Recall to reach on the sample, and queries of the sample that measure it.
 TARGET_RECALL, TRIALS = 0.97, 150
-COVERAGES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
-#: Rows of a leaf that one part holds, about.
+#: Points that a query is compared with, as shares of all, that are tried.
+SHARES = (0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.2, 1.4, 1.6, 1.8, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0)
+#: Rows of a bundle that a task holds, about.
 PART_ROWS = 20_000
 SEED = 17
 #: Rows and queries compared at once.
@@ -49,7 +55,7 @@ class Tree:
     root: int
 
     @classmethod
-    def fit(cls, points: np.ndarray, rng: np.random.Generator, leaf: int = LEAF) -> Tree:
+    def fit(cls, points: np.ndarray, rng: np.random.Generator, leaf: int) -> Tree:
         directions, cuts, children, sizes = [], [], [], []
         todo = [(np.arange(len(points)), -1, 0)]
         root = 0
@@ -93,28 +99,48 @@ class Forest:
     enough: float
 
     @classmethod
-    def fit(cls, points: np.ndarray, k: int, trees: int = TREES) -> Forest:
+    def fit(cls, points: np.ndarray, k: int, share: float = 1.0) -> Forest:
+        """Fits on ``points``, a ``share`` of all rows, for queries for ``k`` neighbours."""
         rng = np.random.default_rng(SEED)
-        leaf = max(LEAF, -(-len(points) // LEAVES))
-        forest = cls([Tree.fit(points, rng, leaf) for _ in range(trees)], 0.0)
-        if len(points) <= 4 * LEAF:
-            return cls(forest.trees, float("inf"))
-        tried = rng.permutation(len(points))[:TRIALS]
-        leaves = [t.leaf_of(points) for t in forest.trees]
-        reached = np.zeros(len(COVERAGES))
+        leaf = max(LEAF, math.ceil(LEAF_ROWS * share))
+        all_trees = [Tree.fit(points, rng, leaf) for _ in range(max(TREES))]
+        n = len(points)
+        if n <= 4 * leaf:
+            return cls(all_trees[: min(TREES)], float("inf"))
+        tried = rng.permutation(n)[:TRIALS]
+        leaves = [t.leaf_of(points) for t in all_trees]
+        true = []
         for q in tried:
             far = ((points - points[q]) ** 2).sum(axis=1)
             far[q] = np.inf
-            true = np.argpartition(far, k)[:k]
-            order = [(tree, leaf) for tree, leaf, _ in forest.search(points[q], float("inf"))]
-            sizes = np.array([forest.trees[t].sizes[x] for t, x in order])
-            before = dict(zip(order, (np.cumsum(sizes) - sizes).tolist(), strict=True))
-            held = np.array([min(before[t, int(leaves[t][p])] for t in range(trees)) for p in true])
-            for j, c in enumerate(COVERAGES):
-                reached[j] += np.mean(held < c * trees * len(points))
-        good = np.flatnonzero(reached / len(tried) >= TARGET_RECALL)
-        enough = COVERAGES[good[0]] * trees * len(points) if len(good) else float("inf")
-        return cls(forest.trees, max(enough, 4.0 * LEAF * trees))
+            true.append(np.argpartition(far, k)[:k])
+        best: tuple[float, int] | None = None
+        for count in TREES:
+            forest = cls(all_trees[:count], float("inf"))
+            needed = np.array([forest._needed(points[q], near, leaves) for q, near in zip(tried, true, strict=True)])
+            good = [s for s in SHARES if s <= count and np.mean(needed < s * n) >= TARGET_RECALL]
+            if good and (best is None or good[0] < best[0]):
+                best = good[0], count
+        if best is None:
+            return cls(all_trees[: min(TREES)], float("inf"))
+        return cls(all_trees[: best[1]], max(best[0] * n, float(leaf)))
+
+    def _needed(self, point: np.ndarray, near: np.ndarray, leaves: list[np.ndarray]) -> list[float]:
+        """For each of the points ``near``, how many points lie in the leaves that are searched before it is met."""
+        wanted: dict[tuple[int, int], list[int]] = {}
+        for i, p in enumerate(near.tolist()):
+            for t in range(len(self.trees)):
+                wanted.setdefault((t, int(leaves[t][p])), []).append(i)
+        out, taken, left = [float("inf")] * len(near), 0, len(near)
+        for t, leaf, _ in self.search(point, float("inf")):
+            for i in wanted.get((t, leaf), ()):
+                if out[i] == float("inf"):
+                    out[i] = taken
+                    left -= 1
+            if not left:
+                break
+            taken += int(self.trees[t].sizes[leaf])
+        return out
 
     def search(self, point: np.ndarray, enough: float | None = None) -> Iterator[tuple[int, int, float]]:
         """(tree, leaf, distance beyond hyperplanes), nearest first, until the leaves hold enough sample points."""
@@ -134,7 +160,24 @@ class Forest:
             yield k, -1 - at, beyond
 
 
-ROW = "tree int, leaf int, part int, kind int, key long, ids array<long>, vector array<double>"
+ROW = "tree int, bundle int, part int, kind int, leaves array<int>, key long, ids array<long>, vector array<double>"
+#: Kinds of ROW, in the order in which a task meets them.
+HELD, ASKING = 0, 1
+
+
+@dataclass(frozen=True)
+class Bundles:
+    """For one tree, the bundle of each leaf, and into how many parts each bundle is dealt."""
+
+    of: np.ndarray
+    parts: np.ndarray
+
+    @classmethod
+    def plan(cls, tree: Tree, share: float) -> Bundles:
+        rows = tree.sizes / max(share, 1e-12)
+        of = ((np.cumsum(rows) - rows / 2) // PART_ROWS).astype(int)
+        of = np.unique(of, return_inverse=True)[1]
+        return cls(of, np.maximum(1, np.ceil(np.bincount(of, rows) / (1.5 * PART_ROWS))).astype(int))
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -142,11 +185,45 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _rows(names: tuple[np.ndarray, ...], keys: list[int], ids: list[list[int]], vectors: list[np.ndarray]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32())
-    columns = [pa.array(np.asarray(x), type=k) for x, k in zip(names, kinds, strict=True)]
-    columns += [pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(vectors, pa.list_(pa.float64()))]
-    return pa.RecordBatch.from_arrays(columns, names=["tree", "leaf", "part", "kind", "key", "ids", "vector"])
+def _rows(places: list[np.ndarray], kind: int, leaves: list, keys: list[int], ids: list[list[int]], vectors: list[np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(x), type=pa.int32()) for x in (*places, np.full(len(keys), kind))]
+    columns += [pa.array(leaves, pa.list_(pa.int32())), pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(vectors, pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["tree", "bundle", "part", "kind", "leaves", "key", "ids", "vector"])
+
+
+@dataclass
+class Held:
+    """The rows of one part of a bundle, by leaf."""
+
+    leaves: np.ndarray
+    ids: list[list[int]]
+    vectors: np.ndarray
+
+    @classmethod
+    def of(cls, batches: list[pa.RecordBatch]) -> Held:
+        leaves = np.concatenate([b.column("leaves").flatten().to_numpy() for b in batches])
+        order = np.argsort(leaves, kind="stable")
+        ids = [x for b in batches for x in b.column("ids").to_pylist()]
+        return cls(leaves[order], [ids[i] for i in order.tolist()], np.concatenate([_vectors(b.column("vector")) for b in batches])[order])
+
+    def nearest(self, asking: pa.RecordBatch, keep: int) -> list[list[tuple[float, int]]]:
+        """For each query its ``keep`` best among the rows in the leaves that it looks at."""
+        vectors, best = _vectors(asking.column("vector")), [[] for _ in range(asking.num_rows)]
+        column = asking.column("leaves")
+        who = np.repeat(np.arange(asking.num_rows), pa.compute.list_value_length(column).to_numpy())
+        where = column.flatten().to_numpy()
+        order = np.argsort(where, kind="stable")
+        where, who = where[order], who[order]
+        for leaf in np.intersect1d(where, self.leaves).tolist():
+            own = who[np.searchsorted(where, leaf) : np.searchsorted(where, leaf, "right")]
+            first, last = np.searchsorted(self.leaves, leaf), np.searchsorted(self.leaves, leaf, "right")
+            found = [best[i] for i in own.tolist()]
+            for at in range(first, last, BLOCK):
+                end = min(last, at + BLOCK)
+                closest(vectors[own], self.vectors[at:end], self.ids[at:end], found, keep)
+            for i, x in zip(own.tolist(), found, strict=True):
+                best[i] = x
+        return best
 
 
 def closest(vectors: np.ndarray, block: np.ndarray, ids: list[list[int]], best: list[list[tuple[float, int]]], keep: int) -> None:
@@ -185,7 +262,8 @@ def nearest(table: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     Result: query_id, rank (from 1), vec_id, score, the Euclidean distance in double precision; nearest first, ties
     by vec_id; fewer rows if there are fewer candidates. A row's own vec_id is no candidate. Vectors that are
     null, zero or hold null or non-finite numbers take no part, nor do those of another length than most, nor rows with a
-    null vec_id. Repeated rows count once. An empty table gives no rows. Extra columns are ignored.
+    null vec_id. Repeated rows count once; a vec_id with several vectors is a query with each of them, and each gives ranks
+    of its own under the one query_id. An empty table gives no rows. Extra columns are ignored.
     """
     spark = table.sparkSession
     rows = pick(table, "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).filter(F.col("vec_id").isNotNull() & usable(F.col("vector")))
@@ -205,57 +283,53 @@ def nearest(table: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     sample = distinct.filter(F.pmod("check", F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").limit(2 * size).toArrow()
     points = _vectors(sample.column("vector").combine_chunks()) if sample.num_rows else np.zeros((0, width))
     points = points[np.lexsort(points.T)]
-    forest = Forest.fit(points, min(k, max(1, len(points) - 1)))
-    parts = [np.maximum(1, np.ceil(t.sizes / max(share, 1e-12) / PART_ROWS)).astype(int) for t in forest.trees]
+    forest = Forest.fit(points, min(k, max(1, len(points) - 1)), share)
+    bundles = [Bundles.plan(t, share) for t in forest.trees]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             own, keys, ids = _vectors(batch.column("vector")), batch.column("key").to_pylist(), batch.column("ids").to_pylist()
             for t, tree in enumerate(forest.trees):
                 leaf = tree.leaf_of(own)
-                part = np.array(keys) % parts[t][leaf]
-                m = len(own)
-                yield _rows((np.full(m, t), leaf, part, np.ones(m)), keys, ids, list(own))
+                bundle = bundles[t].of[leaf]
+                part = np.array(keys) % bundles[t].parts[bundle]
+                yield _rows([np.full(len(own), t), bundle, part], HELD, leaf[:, None].tolist(), keys, ids, list(own))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, check, own in zip(batch.column("key").to_pylist(), batch.column("check").to_pylist(), _vectors(batch.column("vector")) if batch.num_rows else [], strict=True):
-                places = [(t, leaf, p) for t, leaf, _ in forest.search(own) for p in range(parts[t][leaf])]
-                m = len(places)
-                yield _rows((*np.array(places).T, np.zeros(m)), [key] * m, [[check]] * m, [own] * m)
+                looks: dict[tuple[int, int], list[int]] = {}
+                for t, leaf, _ in forest.search(own):
+                    looks.setdefault((t, int(bundles[t].of[leaf])), []).append(leaf)
+                at = [(t, b, p, leaves) for (t, b), leaves in looks.items() for p in range(bundles[t].parts[b])]
+                m = len(at)
+                yield _rows(list(np.array([x[:3] for x in at]).T), ASKING, [x[3] for x in at], [key] * m, [[check]] * m, [own] * m)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, seekers, vectors, best = None, [], np.zeros((0, width)), []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            out = [(*who, i, d) for who, found in zip(seekers, best, strict=True) for d, i in found]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], names=["key", "check", "vec_id", "score"])
-
+        place, waiting, held = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            where = np.stack([batch.column(c).to_numpy() for c in ("tree", "leaf", "part", "kind")], axis=1)
+            where = np.stack([batch.column(c).to_numpy() for c in ("tree", "bundle", "part", "kind")], axis=1)
             begin = np.flatnonzero(np.append(True, (where[1:] != where[:-1]).any(axis=1)))
             for a, b in zip(begin, np.append(begin[1:], len(where)), strict=True):
                 if tuple(where[a, :3]) != place:
-                    yield from done()
-                    place, seekers, vectors, best = tuple(where[a, :3]), [], np.zeros((0, width)), []
-                if where[a, 3] == 1 and not seekers:
+                    place, waiting, held = tuple(where[a, :3]), [], None
+                run = batch.slice(a, b - a)
+                if where[a, 3] == HELD:
+                    waiting.append(run)
                     continue
-                part = batch.slice(a, b - a)
-                own, ids = _vectors(part.column("vector")), part.column("ids").to_pylist()
-                if where[a, 3] == 0:
-                    seekers += [(key, check[0]) for key, check in zip(part.column("key").to_pylist(), ids, strict=True)]
-                    vectors = np.concatenate([vectors, own])
-                    best += [[] for _ in ids]
+                if waiting:
+                    held, waiting = Held.of(waiting), []
+                if held is None:
                     continue
-                for at in range(0, len(own), BLOCK):
-                    closest(vectors, own[at : at + BLOCK], ids[at : at + BLOCK], best, k + 1)
-        yield from done()
+                keys, checks = run.column("key").to_pylist(), run.column("ids").to_pylist()
+                out = [(key, check[0], i, d) for key, check, found in zip(keys, checks, held.nearest(run, k + 1), strict=True) for d, i in found]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*out, strict=True)], names=["key", "check", "vec_id", "score"])
 
     met = distinct.select("key", "ids", "vector").mapInArrow(index, ROW).union(sought.mapInArrow(probe, ROW))
-    met = met.repartition("tree", "leaf", "part").sortWithinPartitions("tree", "leaf", "part", "kind")
+    met = met.repartition("tree", "bundle", "part").sortWithinPartitions("tree", "bundle", "part", "kind")
     pairs = met.mapInArrow(compare, "key long, check long, vec_id long, score double").distinct()
     by_score = F.row_number().over(Window.partitionBy("key", "check").orderBy("score", "vec_id"))
     found = stash(pairs.withColumn("nth", by_score).filter(F.col("nth") <= k + 1).groupBy("key", "check").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found")), "found")

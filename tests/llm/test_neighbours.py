@@ -45,3 +45,18 @@ def test_copies_ties_and_odd_rows(spark):
     assert [(r["rank"], r["vec_id"], r["score"]) for r in few] == [(1, 3, 1.0)]
     assert neighbours.nearest(table(spark, bad), F.lit(True)).collect() == []
     assert neighbours.nearest(table(spark, []), F.lit(True)).collect() == []
+
+
+def test_clustered_vectors_need_few_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 900)
+    rng = np.random.default_rng(4)
+    centres = 3 * rng.standard_normal((60, 16))
+    points = (centres[rng.integers(60, size=6000)] + 0.4 * rng.standard_normal((6000, 16))).astype(np.float32)
+    forest = neighbours.Forest.fit(points.astype(float), 10)
+    assert forest.enough <= 0.3 * len(points)
+    vectors = {i: p.astype(float) for i, p in enumerate(points)}
+    want = plain(vectors, range(0, 6000, 100), 10)
+    got = {}
+    for r in neighbours.nearest(table(spark, [(i, [float(x) for x in p]) for i, p in vectors.items()]), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in want]) >= 0.95
