@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestkit.functions.parse import any_date, height_cm, reach_cm, weight_lbs
+from contestkit.functions.parse import any_date, height_cm, reach_cm, signed_age, weight_lbs
 from contestkit.functions.text import display_name, division_limit, name_key, resolve_alias, url_slug, without_suffix
 from contestkit.operators.history import keep_first
 
@@ -52,43 +53,57 @@ def assign(bouts: DataFrame, identities: DataFrame) -> DataFrame:
 
     Names with one identity are joined. For the few names that several share, evidence is taken in turn: a unique division
     weight; career continuity within 540 days of an assigned bout, until nothing changes; a unique plausible
-    age. Otherwise nothing is guessed.
+    age. Otherwise nothing is guessed. Weight and age are joins that count the candidates left; only the
+    continuity of one shared name, in the order of refs, is followed row by row.
     """
     twins = identities.groupBy("name_key").agg(F.count("*").alias("n"), F.min("slug").alias("only"))
     marked = bouts.join(twins, "name_key", "left")
     single = marked.filter("n is null or n = 1").select("ref", F.col("only").alias("slug"), F.when(F.col("n") == 1, "unique_name").otherwise("unknown_name").alias("rule"))
     many = marked.filter("n > 1").select("ref", "name_key", "date", division_limit(F.col("weight_class")).alias("lbs"))
     candidates = identities.join(twins.filter("n > 1").select("name_key"), "name_key").select("name_key", "slug", "weight_lbs", "dob")
+    fitting = many.join(candidates, "name_key").select(
+        "ref", "slug", (F.col("lbs") == F.col("weight_lbs")).alias("by_weight"), signed_age(F.col("dob"), F.col("date")).between(*PLAUSIBLE_AGE).alias("by_age")
+    )
+    sole = lambda c: F.when(F.count_if(c) == 1, F.min(F.when(F.col(c), F.col("slug")))).alias(c)
+    judged = many.join(fitting.groupBy("ref").agg(sole("by_weight"), sole("by_age")), "ref")
+    chained = judged.groupBy("name_key").applyInPandas(_by_continuity, "ref long, by_chain string")
+    first = F.coalesce("by_weight", "by_chain", "by_age")
+    rule = F.when(F.col("by_weight").isNotNull(), "division_weight").when(F.col("by_chain").isNotNull(), "continuity").when(F.col("by_age").isNotNull(), "age").otherwise("unresolved")
+    return single.unionByName(judged.join(chained, "ref").select("ref", first.alias("slug"), rule.alias("rule")))
+
 
-    def settle(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        days: dict[str, list] = {s: [] for s in right["slug"]}
-        found: dict = {}
-        rows = list(left.sort_values("ref")[["ref", "date", "lbs"]].itertuples(index=False))
-        for r in rows:
-            hits = right.loc[right["weight_lbs"] == r.lbs, "slug"] if pd.notna(r.lbs) else []
-            if len(hits) == 1:
-                found[r.ref] = (hits.iloc[0], "division_weight")
-                if pd.notna(r.date):
-                    days[hits.iloc[0]].append(r.date)
-        again = True
-        while again:
-            again = False
-            for r in rows:
-                if r.ref in found or pd.isna(r.date):
-                    continue
-                near = [s for s, seen in days.items() if any(abs(r.date - d) <= timedelta(days=CONTINUITY_DAYS) for d in seen)]
-                if len(near) == 1:
-                    found[r.ref], again = (near[0], "continuity"), True
-                    days[near[0]].append(r.date)
-        for r in rows:
-            if r.ref not in found and pd.notna(r.date):
-                fit = [c.slug for c in right.itertuples() if pd.notna(c.dob) and PLAUSIBLE_AGE[0] <= (r.date - c.dob).days / 365.25 <= PLAUSIBLE_AGE[1]]
-                if len(fit) == 1:
-                    found[r.ref] = (fit[0], "age")
-        return pd.DataFrame([(r.ref, *found.get(r.ref, (None, "unresolved"))) for r in rows], columns=["ref", "slug", "rule"])
-
-    settled = many.groupBy("name_key").cogroup(candidates.groupBy("name_key")).applyInPandas(settle, "ref long, slug string, rule string")
-    return single.unionByName(settled)
+def _by_continuity(name: pd.DataFrame) -> pd.DataFrame:
+    """(ref, by_chain) of one shared name's bouts (ref, date, by_weight): the only identity with a bout near enough.
+
+    Bouts lie sorted by day, so an assigned bout reaches a slice of them. A bout's set of identities in reach is a bit mask that only
+    grows; refs whose mask gets its first bit wait in a queue, those already passed wait for the next round.
+    """
+    name = name.sort_values("ref", ignore_index=True)
+    by_day = name["date"].dropna().sort_values(kind="stable")
+    days, refs = by_day.to_numpy().astype("datetime64[D]"), by_day.index.to_numpy()
+    slugs = sorted(name["by_weight"].dropna().unique())
+    reach, chosen = [0] * len(name), [None] * len(name)
+    open_ = name["by_weight"].isna().to_numpy()
+    now: list[int] = []
+    later: list[int] = []
+
+    def spread(day: np.datetime64, bit: int, passed: int) -> None:
+        for k in refs[np.searchsorted(days, day - CONTINUITY_DAYS) : np.searchsorted(days, day + CONTINUITY_DAYS, "right")].tolist():
+            if open_[k] and not reach[k]:
+                heapq.heappush(now if k > passed else later, k)
+            reach[k] |= bit
+
+    for day, slug in name.loc[~open_, ["date", "by_weight"]].dropna().itertuples(index=False):
+        spread(np.datetime64(day, "D"), 1 << slugs.index(slug), -1)
+    while now or later:
+        if not now:
+            now, later = later, now
+        k = heapq.heappop(now)
+        if reach[k].bit_count() == 1:
+            open_[k], slug = False, reach[k].bit_length() - 1
+            chosen[k] = slugs[slug]
+            spread(np.datetime64(name["date"][k], "D"), 1 << slug, k)
+    return pd.DataFrame({"ref": name["ref"], "by_chain": chosen})
 
 
 def numbered(sides: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-from datetime import date
+import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,34 @@ def test_identity(spark):
     assert {r["name"]: (r["rule"], r["entity"]) for r in identity.provider_match(names, ents, reviewed).collect()} == {"bobby green": ("exact", 1), "john doe": ("suffixless", 2), "odd": ("reviewed", 3), "none": ("unmatched", None)}
 
 
+def plain_chain(bouts, slugs):
+    """Weight, then passes over the bouts until nothing changes: {ref: slug} of one shared name. bouts: (ref, day number, weight slug)."""
+    got = {r: s for r, _, s in bouts if s}
+    while True:
+        before = dict(got)
+        for r, day, _ in bouts:
+            near = {got[o] for o, other, _ in bouts if o in got and abs(other - day) <= 540}
+            if r not in got and len(near) == 1:
+                got[r] = near.pop()
+        if got == before:
+            return got
+
+
+def test_continuity_against_passes(spark):
+    rng = random.Random(5)
+    ids = [(f"s{n}{k}", f"n{n}", w, None) for n in range(12) for k, w in enumerate((125.0, 155.0, 205.0))]
+    bouts, want = [], {}
+    for n in range(12):
+        own = []
+        for k in range(25):
+            kind = rng.choice(["Flyweight", "Lightweight", "Light Heavyweight"] + [None] * 12)
+            own.append((100 * n + k, rng.randint(0, 9000), {"Flyweight": f"s{n}0", "Lightweight": f"s{n}1", "Light Heavyweight": f"s{n}2"}.get(kind)))
+            bouts.append((own[-1][0], f"n{n}", date(1995, 1, 1) + timedelta(days=own[-1][1]), kind))
+        want |= plain_chain(own, [i for i, key, *_ in ids if key == f"n{n}"])
+    got = identity.assign(spark.createDataFrame(bouts, "ref long, name_key string, date date, weight_class string"), spark.createDataFrame(ids, "slug string, name_key string, weight_lbs double, dob date"))
+    assert {r["ref"]: r["slug"] for r in got.collect() if r["slug"]} == want and len(want) > 60
+
+
 def test_metrics_and_splits(spark):
     rows = spark.createDataFrame([(0.3 if k % 2 else 0.7, int(k % 3 == 0)) for k in range(30)], "p double, y int")
     pairs = [(r["p"], r["y"]) for r in rows.collect()]

@@ -5,7 +5,7 @@ import urllib.request
 
 import pytest
 
-from contestkit.serve import serve
+from contestkit.serve import answer, serve
 from contestkit.sources import remote
 
 
@@ -38,10 +38,19 @@ def test_serve(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{server.server_port}"
     try:
-        assert json.loads(urllib.request.urlopen(f"{base}/api/predictions/upcoming").read()) == [{"event": "e", "bouts": 1}]
+        reply = urllib.request.urlopen(f"{base}/api/predictions/upcoming?x=1")
+        assert json.loads(reply.read()) == {"event": "e", "bouts": 1} and reply.headers["X-Content-Type-Options"] == "nosniff" and "default-src" in reply.headers["Content-Security-Policy"]
+        assert urllib.request.urlopen(urllib.request.Request(f"{base}/api/predictions/upcoming", method="HEAD")).read() == b""
         for request, status in ((urllib.request.Request(f"{base}/x"), 404), (urllib.request.Request(f"{base}/api/predictions/upcoming", data=b"x"), 405)):
             with pytest.raises(urllib.error.HTTPError) as e:
                 urllib.request.urlopen(request)
             assert e.value.code == status
     finally:
         server.shutdown()
+
+    def broken(error):
+        raise error
+
+    views = {"/none": lambda: broken(FileNotFoundError("p")), "/table": lambda: spark.read.parquet("/nowhere"), "/bad": lambda: broken(ValueError("secret"))}
+    assert [answer(views, "GET", p)[0].value for p in ("/none", "/table", "/bad", "/other")] == [503, 503, 500, 404]
+    assert b"secret" not in answer(views, "GET", "/bad")[1] and answer(views, "DELETE", "/none")[0].value == 405
