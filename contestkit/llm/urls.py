@@ -86,7 +86,7 @@ def lexical(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Fitted trees, the suffix statistics of all labelled URLs (a table), or a constant verdict."""
+    """Fitted trees, the suffix statistics of all labelled rows (a table), or a constant verdict."""
 
     trees: PipelineModel | None
     suffixes: DataFrame | None
@@ -105,14 +105,15 @@ def _with_suffixes(featured: DataFrame, suffixes: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on ``labelled`` (url, allow boolean): suffix statistics on all rows, trees on at most about ``fit_rows``; repeated URLs count once.
+    """Fits on ``labelled`` (url, allow boolean): suffix statistics on all rows, trees on at most about ``fit_rows`` distinct URLs.
 
-    Rows with a null url or label are left out; with one class only, or none, the verdict is that class, else allow.
+    Rows with a null url or label are left out; of a URL with both labels the block counts for the trees. With one class only,
+    or none, the verdict is that class, else allow.
     """
-    rows = pick(labelled, "url", "allow").dropna().groupBy("url").agg(F.min("allow").alias("allow"))
-    rows = stash(rows, "labelled-urls")
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    sample = stash(lexical(rows.filter(F.pmod(F.xxhash64("url", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)))).coalesce(4), "url-features")
+    rows = pick(labelled, "url", "allow").dropna()
+    share = min(1.0, fit_rows / max(1, rows.agg(F.approx_count_distinct("url")).first()[0]))
+    part = rows.filter(F.pmod(F.xxhash64("url", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)))  # sampled before anything is shuffled
+    sample = stash(lexical(part.groupBy("url").agg(F.min("allow").alias("allow"))), "url-features")
     classes = [r["allow"] for r in sample.select("allow").distinct().collect()]
     if len(classes) < 2:
         return Model(None, None, classes[0] if classes else True)
