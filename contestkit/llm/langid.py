@@ -77,10 +77,15 @@ def _expectation_maximisation(p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray,
 
 
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from ``labelled`` (doc_id, text, lang); rows with a null text or lang are left out."""
-    rows = pick(labelled, "doc_id", "text", "lang").dropna(subset=["text", "lang"])
-    n = rows.count()
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, fit_rows / max(1, n)) * (1 << 20)))
+    """Learns from ``labelled`` (doc_id, text, lang); rows with a null text or lang are left out, repeated rows count as often as they occur.
+
+    The texts are read once, for at most about ``fit_rows`` of them. The driver gets the model's own size: at most ``BINS`` counts a
+    language. An empty table gives a model without languages.
+    """
+    rows = pick(labelled, "doc_id", "text", "lang").filter("lang is not null")
+    n = rows.count()  # reads no text
+    part = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 20))  # the text too: rows may share a doc_id
+    rows = rows.filter("text is not null").filter(part < int(min(1.0, fit_rows / max(1, n)) * (1 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
