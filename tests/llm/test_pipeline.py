@@ -37,3 +37,24 @@ def test_stages_against_brute_force(spark, sf_dir):
     least = -(-sum(r["length"] for r in rows) // 2048)
     assert least <= n <= least * 1.01 + 1
     assert np.all(np.array([r["length"] for r in rows]) > 0)
+
+
+def test_null_and_repeated_ids_of_differing_texts(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    plain = read("documents").limit(60)
+    item = read("benchmark").first()["text"]
+    copies = plain.withColumn("doc_id", F.lit(None).cast("long")).unionByName(plain.withColumn("doc_id", F.lit(1).cast("long")))
+    marked = plain.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(f"so then {item} it goes"))
+    now = plain.unionByName(copies).unionByName(marked).unionByName(plain.limit(0))
+    stages = dict(pipeline.STAGES)
+    texts = lambda df: sorted(r["text"] or "" for r in df.collect())
+    once = stages["near_dedup"](spark, now, sf_dir)
+    alone = stages["near_dedup"](spark, plain.unionByName(marked), sf_dir)
+    assert texts(once) == texts(alone)
+    clean = stages["decontamination"](spark, once, sf_dir)
+    assert all(item not in t for t in texts(clean)) and clean.count() < once.count()
+    assert texts(stages["secrets"](spark, clean, sf_dir)) and stages["secrets"](spark, clean, sf_dir).count() == clean.count()
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, now.limit(0), sf_dir).collect() == [], name

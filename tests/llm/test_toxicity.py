@@ -87,3 +87,23 @@ def test_every_use_of_a_word_scores(spark):
     assert {(2500, 2504), (5004, 5008)} == found[1]
     assert (10004, 10008) in found[2]
     assert max(p["score"] for p in got[2]["passages"]) > max((p["score"] for p in got[3]["passages"]), default=0)
+
+
+def test_query_with_odd_rows(spark, odd, tmp_path):
+    odd.withColumn("score", odd["TEXT_"]).write.parquet(f"{tmp_path}/one/documents.parquet")
+    labels = spark.createDataFrame([(1, 1, 1), (5, 1, 1), (5, 0, 0), (8, 1, 0), (None, 1, 1), (9, 1, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/one/labels.parquet")
+    rows = queries.op2_toxic_segments(spark, f"{tmp_path}/one").collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in rows)
+    odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert queries.op2_toxic_segments(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_segments_take_linear_time():
+    import time
+
+    began = time.process_time()
+    for scores in ([1, -2] * 500_000, [1, -2] * 250_000 + [3, -0.5] * 250_000, [2, -1] * 500_000):
+        toxicity.maximal_segments(scores)
+    assert time.process_time() - began < 20
