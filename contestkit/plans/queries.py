@@ -32,15 +32,10 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def sides(columns: tuple[str, ...], digits: int | None = 6) -> str:
+def sides(columns: tuple[str, ...]) -> str:
     """SQL for the wide form of long columns: _a, _b and their difference."""
-    show = lambda e, n: f"round({e}, {digits}) as {n}" if digits else f"{e} as {n}"
     part = lambda c, s: f"max(case when side = '{s}' then {c} end)"
-    return ", ".join(f"{show(part(c, 'a'), c + '_a')}, {show(part(c, 'b'), c + '_b')}, {show(part(c, 'a') + ' - ' + part(c, 'b'), c + '_diff')}" for c in columns)
+    return ", ".join(f"{part(c, 'a')} as {c}_a, {part(c, 'b')} as {c}_b, {part(c, 'a')} - {part(c, 'b')} as {c}_diff" for c in columns)
 
 
 WIDE_KEYS = "fight_id, date, max(case when side = 'a' then entity end) as a_id, max(case when side = 'a' then opponent end) as b_id, max(case when side = 'a' then won end) as a_won"
@@ -57,7 +52,7 @@ rec2 as (select *, prior_fights - prior_wins as prior_losses, case when prior_fi
 def history_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-03, WIN-04, WIN-12, PRJ-01: what both sides had done before each bout."""
     long = B.appearances(spark, sf_dir).select("fight_id", "date", "side", "entity", "opponent", "won")
-    return rounded(history.to_bouts(history.form(history.record(long)), (*history.RECORD, *history.FORM)))
+    return history.to_bouts(history.form(history.record(long)), (*history.RECORD, *history.FORM))
 
 
 LAYOFF_LONG = f"""lay as (select *, date - lag(date) over ({W_ENTITY}) as days_since_last_fight,
@@ -69,26 +64,27 @@ lay2 as (select *, cast(layoff_days is null as int) as layoff_missing, ln(1 + la
 def history_layoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-05 to WIN-07: days since the last bout and since the last earlier day, and functions of them."""
     long = B.appearances(spark, sf_dir).select("fight_id", "date", "side", "entity", "opponent", "won")
-    return rounded(history.to_bouts(history.layoff(history.activity(long)), ("days_since_last_fight", *history.LAYOFF)))
+    return history.to_bouts(history.layoff(history.activity(long)), ("days_since_last_fight", *history.LAYOFF))
 
 
 _M = "coalesce(nullif(minutes, 0), opp_minutes, 0.0)"
 _SUM = lambda c: f"coalesce(sum(case when use then {_M if c == 'minutes' else f'coalesce({c}, 0.0)'} end) over {BEFORE}, 0.0) as t_{c}"
 _PER = lambda c, m: f"case when t_minutes > 0 then t_{c} / t_minutes * {m} end"
+_CONTROL = lambda c: f"case when t_minutes > 0 then t_{c} / 60 / t_minutes * 15 end"
 _SHARE = lambda a, b: f"case when t_minutes > 0 and t_{b} > 0 then t_{a} / t_{b} end"
 RATES_LONG = f"""use1 as (select *, has_stats and opp_has_stats and {_M} > 0 as use from apps),
 sums as (select *, {", ".join(_SUM(c) for c in history.SUMMED)}, count(case when use then 1 end) over {BEFORE} as t_n from use1),
 rates as (select fight_id, date, side, entity, opponent, won, {_PER('sl', 1)} as sig_strikes_landed_per_min, {_PER('opp_sl', 1)} as sig_strikes_absorbed_per_min, {_PER('sl', 1)} - {_PER('opp_sl', 1)} as sig_strike_differential,
  {_SHARE('sl', 'sa')} as striking_accuracy, 1 - {_SHARE('opp_sl', 'opp_sa')} as striking_defense, {_PER('kd', 15)} as knockdown_rate, {_PER('tdl', 15)} as takedowns_per_15, {_SHARE('tdl', 'tda')} as takedown_accuracy,
- 1 - {_SHARE('opp_tdl', 'opp_tda')} as takedown_defense, {_PER('ctrl', 15)} / 60 as control_time_per_15, {_PER('sub', 15)} as submission_attempts_per_15,
- {_PER('opp_tdl', 15)} as takedowns_allowed_per_15, {_PER('opp_tda', 15)} as opp_takedown_attempts_per_15, {_PER('opp_sa', 1)} as opp_sig_str_attempted_per_min, {_PER('opp_ctrl', 15)} / 60 as control_time_absorbed_per_15,
+ 1 - {_SHARE('opp_tdl', 'opp_tda')} as takedown_defense, {_CONTROL('ctrl')} as control_time_per_15, {_PER('sub', 15)} as submission_attempts_per_15,
+ {_PER('opp_tdl', 15)} as takedowns_allowed_per_15, {_PER('opp_tda', 15)} as opp_takedown_attempts_per_15, {_PER('opp_sa', 1)} as opp_sig_str_attempted_per_min, {_CONTROL('opp_ctrl')} as control_time_absorbed_per_15,
  {_PER('opp_kd', 15)} as knockdowns_absorbed_per_15, {_PER('opp_sub', 15)} as submission_attempts_absorbed_per_15, cast(t_n = 0 or t_minutes <= 0 as int) as no_prior_stats from sums)"""
 
 
 @query(f"with {APPS}, {RATES_LONG} select {WIDE_KEYS}, {sides((*history.ROLLING, *history.AGAINST, 'no_prior_stats'))} from rates group by fight_id, date")
 def rolling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-08 to WIN-10, JOIN-06: rates over all earlier bouts, for and against."""
-    return rounded(history.to_bouts(history.rates(B.appearances(spark, sf_dir)), (*history.ROLLING, *history.AGAINST, "no_prior_stats")))
+    return history.to_bouts(history.rates(B.appearances(spark, sf_dir)), (*history.ROLLING, *history.AGAINST, "no_prior_stats"))
 
 
 def _net(x: str, y: str) -> str:
@@ -102,14 +98,14 @@ _L, _D, _A, _AL = "sig_strikes_landed_per_min", "takedowns_per_15", "sig_strikes
 
 @query(
     f"with {APPS}, {RATES_LONG} select fight_id, "
-    + ", ".join(f"round({_net(x, y)}, 6) as {n}" for n, (x, y) in matchup.NETS.items())
-    + f", round(({_S(_L, 'a')} + {_S(_D, 'a')}) - ({_S(_L, 'b')} + {_S(_D, 'b')}), 6) as pace_pressure_advantage, round(({_S(_A, 'b')} + {_S(_AL, 'b')}) - ({_S(_A, 'a')} + {_S(_AL, 'a')}), 6) as opponent_pressure_absorption_advantage, max(no_prior_stats) as matchup_history_missing from rates group by fight_id"
+    + ", ".join(f"{_net(x, y)} as {n}" for n, (x, y) in matchup.NETS.items())
+    + f", (({_S(_L, 'a')} + {_S(_D, 'a')}) - ({_S(_L, 'b')} + {_S(_D, 'b')})) as pace_pressure_advantage, (({_S(_A, 'b')} + {_S(_AL, 'b')}) - ({_S(_A, 'a')} + {_S(_AL, 'a')})) as opponent_pressure_absorption_advantage, max(no_prior_stats) as matchup_history_missing from rates group by fight_id"
 )
 def matchup_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-02: net advantages of one side's rates over the other's."""
     wide = history.to_bouts(history.rates(B.appearances(spark, sf_dir)), (*history.ROLLING, *history.AGAINST, "no_prior_stats"), diffs=False)
     out = matchup.matchup(wide)
-    return rounded(out.select("fight_id", *matchup.NETS, "pace_pressure_advantage", "opponent_pressure_absorption_advantage", "matchup_history_missing"))
+    return out.select("fight_id", *matchup.NETS, "pace_pressure_advantage", "opponent_pressure_absorption_advantage", "matchup_history_missing")
 
 
 ELO_SQL = f"""with recursive {B.BOUTS_SQL}, o as (select *, row_number() over (order by date, fight_id) as n from bouts),
@@ -121,26 +117,26 @@ step as (select 0::bigint as n, null::bigint as fight_id, null::bigint as a_id,
 snap as (select fight_id, date, a_id, b_id, a_won, a_pre, b_pre, 1 / (1 + power(10.0::double, (b_pre - a_pre) / 400)) as e from step where n > 0)"""
 
 
-@query(ELO_SQL + " select fight_id, a_id, b_id, round(a_pre, 6) as a_pre, round(b_pre, 6) as b_pre, round(e, 6) as a_expected, round(a_pre + 32 * (a_won - e), 6) as a_post, round(b_pre + 32 * ((1 - a_won) - (1 - e)), 6) as b_post from snap")
+@query(ELO_SQL + " select fight_id, a_id, b_id, a_pre as a_pre, b_pre as b_pre, e as a_expected, (a_pre + 32 * (a_won - e)) as a_post, (b_pre + 32 * ((1 - a_won) - (1 - e))) as b_post from snap")
 def elo_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-02: ratings before and after each bout."""
-    return rounded(rating.elo(B.bouts(spark, sf_dir)).select("fight_id", "a_id", "b_id", "a_pre", "b_pre", "a_expected", "a_post", "b_post"))
+    return rating.elo(B.bouts(spark, sf_dir)).select("fight_id", "a_id", "b_id", "a_pre", "b_pre", "a_expected", "a_post", "b_post")
 
 
 @query(
     ELO_SQL
     + """, long as (select date, fight_id, a_id as entity, a_won as won, a_pre + 32 * (a_won - e) as rating from snap union all select date, fight_id, b_id, 1 - a_won, b_pre + 32 * ((1 - a_won) - (1 - e)) from snap),
 last as (select *, row_number() over (partition by entity order by date desc, fight_id desc) as n from long)
-select entity, count(*) as fights, cast(sum(won) as bigint) as wins, cast(count(*) - sum(won) as bigint) as losses, max(date) as last_date, round(max(case when n = 1 then rating end), 6) as rating from last group by entity"""
+select entity, count(*) as fights, cast(sum(won) as bigint) as wins, cast(count(*) - sum(won) as bigint) as losses, max(date) as last_date, max(case when n = 1 then rating end) as rating from last group by entity"""
 )
 def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-01, WIN-01, SET-01: record and latest rating of every entity."""
-    return rounded(rating.standings(rating.elo(B.bouts(spark, sf_dir))))
+    return rating.standings(rating.elo(B.bouts(spark, sf_dir)))
 
 
 @query(
     ELO_SQL
-    + """ select s.fight_id, ca.c_name as a_name, cb.c_name as b_name, w.c_name as winner_name, round(s.e, 6) as a_expected from snap s join customer ca on ca.c_custkey = s.a_id join customer cb on cb.c_custkey = s.b_id
+    + """ select s.fight_id, ca.c_name as a_name, cb.c_name as b_name, w.c_name as winner_name, s.e as a_expected from snap s join customer ca on ca.c_custkey = s.a_id join customer cb on cb.c_custkey = s.b_id
 left join customer w on w.c_custkey = case when s.a_won = 1 then s.a_id else s.b_id end"""
 )
 def elo_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,13 +144,13 @@ def elo_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     bouts = B.bouts(spark, sf_dir)
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_name").alias("name"))
     out = rating.baseline(rating.elo(bouts), bouts, names)
-    return rounded(out.select("fight_id", "a_name", "b_name", "winner_name", "a_expected"))
+    return out.select("fight_id", "a_name", "b_name", "winner_name", "a_expected")
 
 
-@query("select user_id, event_id, event_type, round(value, 6) as value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+@query("select user_id, event_id, event_type, value as value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-01, WIN-13: newest row per key as a partial maximum."""
-    return rounded(history.latest(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), ("event_id", "event_type", "value")))
+    return history.latest(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), ("event_id", "event_type", "value"))
 
 
 @query("select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by event_id) as n from events) where n = 1")
@@ -177,13 +173,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"with {APPS}, {PRED} select fight_id, case when count(*) over w >= 50 then round(avg(row_ll) over w, 6) end as log_loss_50, case when count(*) over w >= 50 then round(avg(hit) over w, 6) end as accuracy_50, case when count(*) over w >= 50 then 'ok' else 'insufficient_sample' end as status_50 from ll window w as (order by date, fight_id rows between 49 preceding and current row)"
+    f"with {APPS}, {PRED} select fight_id, case when count(*) over w >= 50 then avg(row_ll) over w end as log_loss_50, case when count(*) over w >= 50 then avg(hit) over w end as accuracy_50, case when count(*) over w >= 50 then 'ok' else 'insufficient_sample' end as status_50 from ll window w as (order by date, fight_id rows between 49 preceding and current row)"
 )
 def trailing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN-11, NUM-05: means over the last 50 predictions of a model."""
     hit = ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")
     out = history.trailing(predictions(spark, sf_dir), {"log_loss": N.log_loss(F.col("p"), F.col("y")), "accuracy": hit}, 50)
-    return rounded(out.select("fight_id", "log_loss_50", "accuracy_50", "status_50"))
+    return out.select("fight_id", "log_loss_50", "accuracy_50", "status_50")
 
 
 def _spine(edges: tuple[float, ...], name: str) -> str:
@@ -191,20 +187,20 @@ def _spine(edges: tuple[float, ...], name: str) -> str:
 
 
 def _buckets(edges: tuple[float, ...], source: str = "ll") -> str:
-    return f"""select e.bucket_no, count(p) as n, round(avg(p), 6) as mean_p, round(avg(y), 6) as mean_y, round(avg(p) - avg(y), 6) as gap, round(avg(row_ll), 6) as log_loss, round(avg(row_br), 6) as brier
+    return f"""select e.bucket_no, count(p) as n, avg(p) as mean_p, avg(y) as mean_y, avg(p) - avg(y) as gap, avg(row_ll) as log_loss, avg(row_br) as brier
  from edges e left join {source} on p >= lo and (p < hi or (e.bucket_no = {len(edges) - 2} and p <= hi)) group by e.bucket_no"""
 
 
 @query(f"with {APPS}, {PRED}, {_spine(metrics.TENTHS, 'x')} {_buckets(metrics.TENTHS)}")
 def calibration_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-05: ten buckets with gaps, empty ones too."""
-    return rounded(metrics.calibration_table(predictions(spark, sf_dir)).drop("bucket"))
+    return metrics.calibration_table(predictions(spark, sf_dir)).drop("bucket")
 
 
 @query(f"with {APPS}, {PRED}, {_spine(metrics.EIGHTHS, 'x')} {_buckets(metrics.EIGHTHS)}")
 def replay_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-06: the replay's eight buckets."""
-    return rounded(metrics.calibration_table(predictions(spark, sf_dir), metrics.EIGHTHS).drop("bucket"))
+    return metrics.calibration_table(predictions(spark, sf_dir), metrics.EIGHTHS).drop("bucket")
 
 
 FAVOUR = "fav as (select greatest(p, 1 - p) as p, case when p >= 0.5 then y else 1 - y end as y, row_ll, row_br from ll)"
@@ -213,50 +209,50 @@ FAVOUR = "fav as (select greatest(p, 1 - p) as p, case when p >= 0.5 then y else
 @query(f"with {APPS}, {PRED}, {FAVOUR}, {_spine(metrics.CONFIDENCE, 'x')} {_buckets(metrics.CONFIDENCE, 'fav')}")
 def confidence_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-07: buckets of the favoured side's probability."""
-    return rounded(metrics.calibration_table(predictions(spark, sf_dir), metrics.CONFIDENCE, confidence=True).drop("bucket"))
+    return metrics.calibration_table(predictions(spark, sf_dir), metrics.CONFIDENCE, confidence=True).drop("bucket")
 
 
 @query(
     f"with {APPS}, {PRED}, {FAVOUR} "
-    + " union all ".join(f"select {t}::double as threshold, '{s}' as side, count(case when p > {t} then 1 end) as n, round(avg(case when p > {t} then p end), 6) as mean_p, round(avg(case when p > {t} then y end), 6) as mean_y from {src}" for s, src in (("one", "ll"), ("two", "fav")) for t in (0.55, 0.6, 0.7))
+    + " union all ".join(f"select {t}::double as threshold, '{s}' as side, count(case when p > {t} then 1 end) as n, avg(case when p > {t} then p end) as mean_p, avg(case when p > {t} then y end) as mean_y from {src}" for s, src in (("one", "ll"), ("two", "fav")) for t in (0.55, 0.6, 0.7))
 )
 def high_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-08, AGG-09: above thresholds, one-sided and two-sided."""
     rows = predictions(spark, sf_dir)
     one, two = (metrics.high_confidence(rows, (0.55, 0.6, 0.7), two_sided=t).withColumn("side", F.lit(n)) for t, n in ((False, "one"), (True, "two")))
-    return rounded(one.unionByName(two).select("threshold", "side", "n", "mean_p", "mean_y"))
+    return one.unionByName(two).select("threshold", "side", "n", "mean_p", "mean_y")
 
 
 @query(
     f"""with {APPS}, {PRED}, r as (select *, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2.0 as rk from ll)
-select count(*) as n, round(avg(hit), 6) as accuracy, round(avg(row_ll), 6) as log_loss, round(avg(row_br), 6) as brier, round(avg(p), 6) as mean_p, round(avg(y), 6) as mean_y,
- round((sum(case when y = 1 then rk end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) as auc from r"""
+select count(*) as n, avg(hit) as accuracy, avg(row_ll) as log_loss, avg(row_br) as brier, avg(p) as mean_p, avg(y) as mean_y,
+ ((sum(case when y = 1 then rk end) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y)))) as auc from r"""
 )
 def metrics_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-10, MET-01, MET-04: accuracy, log loss, Brier score, means and the area under the curve."""
     rows = predictions(spark, sf_dir)
-    return rounded(metrics.evaluate(rows).crossJoin(F.broadcast(metrics.auc(rows))))  # one row each
+    return metrics.evaluate(rows).crossJoin(F.broadcast(metrics.auc(rows)))  # one row each
 
 
-@query(f"with {APPS}, {PRED}, {_spine(metrics.TENTHS, 'x')}, t as ({_buckets(metrics.TENTHS).replace('round(', '(').replace(', 6)', ')')}) select round(sum(n * abs(gap)) / sum(n), 6) as ece from t")
+@query(f"with {APPS}, {PRED}, {_spine(metrics.TENTHS, 'x')}, t as ({_buckets(metrics.TENTHS)}) select sum(n * abs(gap)) / sum(n) as ece from t")
 def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-11: expected calibration error."""
-    return rounded(metrics.calibration_error(predictions(spark, sf_dir)))
+    return metrics.calibration_error(predictions(spark, sf_dir))
 
 
-@query(f"with {APPS}, {PRED} select date, count(*) as n, round(avg(hit), 6) as accuracy, round(avg(row_ll), 6) as log_loss, round(avg(row_br), 6) as brier, round(avg(p), 6) as mean_p, round(avg(y), 6) as mean_y from ll group by date")
+@query(f"with {APPS}, {PRED} select date, count(*) as n, avg(hit) as accuracy, avg(row_ll) as log_loss, avg(row_br) as brier, avg(p) as mean_p, avg(y) as mean_y from ll group by date")
 def metrics_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-12: the bundle per day; months and years are other keys."""
-    return rounded(metrics.evaluate(predictions(spark, sf_dir), ("date",)))
+    return metrics.evaluate(predictions(spark, sf_dir), ("date",))
 
 
 COVERED = ("striking_accuracy", "takedown_defense", "knockdown_rate")
 
 
-@query(f"with {APPS}, {RATES_LONG} " + " union all ".join(f"select '{c}' as feature, count({c}) as present, round(count({c})::double / count(*), 6) as coverage from rates" for c in COVERED))
+@query(f"with {APPS}, {RATES_LONG} " + " union all ".join(f"select '{c}' as feature, count({c}) as present, (count({c})::double / count(*)) as coverage from rates" for c in COVERED))
 def feature_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-13: share of rows with a value."""
-    return rounded(metrics.coverage(history.rates(B.appearances(spark, sf_dir)), COVERED))
+    return metrics.coverage(history.rates(B.appearances(spark, sf_dir)), COVERED)
 
 
 DRIFTED = ("prior_fights", "prior_win_pct", "win_pct_last_3")
@@ -265,8 +261,8 @@ DRIFTED = ("prior_fights", "prior_win_pct", "win_pct_last_3")
 @query(
     f"with {APPS}, {RECORD_LONG}, tr as (select * from rec2 where date < date '2024-01-20'), ev as (select * from rec2 where date >= date '2024-01-20') "
     + " union all ".join(
-        f"""select '{c}' as feature, round(avg(({c} is null)::int), 6) as missing_event, round(max((select avg(({c} is null)::int) from tr)), 6) as missing_train, round(avg({c}) - max((select avg({c}) from tr)), 6) as mean_shift,
- round((avg({c}) - max((select avg({c}) from tr))) / nullif(max((select stddev_pop({c}) from tr)), 0), 6) as z_shift, count(case when {c} < (select min({c}) from tr) or {c} > (select max({c}) from tr) then 1 end) as out_of_range from ev"""
+        f"""select '{c}' as feature, avg(({c} is null)::int) as missing_event, max((select avg(({c} is null)::int) from tr)) as missing_train, avg({c}) - max((select avg({c}) from tr)) as mean_shift,
+ ((avg({c}) - max((select avg({c}) from tr))) / nullif(max((select stddev_pop({c}) from tr)), 0)) as z_shift, count(case when {c} < (select min({c}) from tr) or {c} > (select max({c}) from tr) then 1 end) as out_of_range from ev"""
         for c in DRIFTED
     )
 )
@@ -275,7 +271,7 @@ def feature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = history.form(history.record(B.appearances(spark, sf_dir).select("fight_id", "date", "side", "entity", "opponent", "won")))
     late = F.col("date") >= date(2024, 1, 20)
     out = metrics.drift(long.filter(~late), long.filter(late), DRIFTED)
-    return rounded(out.select("feature", "missing_event", "missing_train", "mean_shift", "z_shift", "out_of_range"))
+    return out.select("feature", "missing_event", "missing_train", "mean_shift", "z_shift", "out_of_range")
 
 
 NTH = "o as (select *, row_number() over (order by date, fight_id) - 1 as i, count(*) over () as n from bouts)"
@@ -373,7 +369,7 @@ def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select l_orderkey, l_linenumber, cast(l_linenumber as int) as landed, cast(l_quantity as int) as attempted, l_linenumber * 60 + 5 as seconds, round((l_linenumber - 1) * 5 + 1.5, 6) as minutes, round((5 * 12 + l_linenumber) * 2.54, 1) as height, round(cast(l_quantity as int) * 2.54, 1) as reach, cast(l_quantity as int)::double as weight,
+    """select l_orderkey, l_linenumber, cast(l_linenumber as int) as landed, cast(l_quantity as int) as attempted, l_linenumber * 60 + 5 as seconds, ((l_linenumber - 1) * 5 + 1.5) as minutes, round((5 * 12 + l_linenumber) * 2.54, 1) as height, round(cast(l_quantity as int) * 2.54, 1) as reach, cast(l_quantity as int)::double as weight,
  cast(l_shipdate as date) as day, round(date_diff('day', date '1970-06-01', cast(l_shipdate as date)) / 365.25, 2) as age from lineitem"""
 )
 def parsed_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,15 +384,15 @@ def parsed_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {B.QUOTES_SQL} select event_id, book, snapshot_id, round(1 / price_a, 6) as implied_a, round((1 / price_a) / (1 / price_a + 1 / price_b), 6) as fair_a, round(1 / price_a + 1 / price_b, 6) as overround, round(ln(greatest(1e-6, least(1 - 1e-6, 1 / price_a)) / (1 - greatest(1e-6, least(1 - 1e-6, 1 / price_a)))), 6) as logit_a,
- round(case when snapshot_id % 2 = 0 then 1 + snapshot_id * 50 / 100.0 else 1 + 100.0 / (snapshot_id * 50) end, 6) as american from quotes"""
+    f"""with {B.QUOTES_SQL} select event_id, book, snapshot_id, (1 / price_a) as implied_a, ((1 / price_a) / (1 / price_a + 1 / price_b)) as fair_a, (1 / price_a + 1 / price_b) as overround, (ln(greatest(1e-6, least(1 - 1e-6, 1 / price_a)) / (1 - greatest(1e-6, least(1 - 1e-6, 1 / price_a))))) as logit_a,
+ case when snapshot_id % 2 = 0 then 1 + snapshot_id * 50 / 100.0 else 1 + 100.0 / (snapshot_id * 50) end as american from quotes"""
 )
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NUM-03, NUM-04, NUM-07 to NUM-10."""
     q = B.quotes(spark, sf_dir)
     a, b = N.implied(F.col("price_a")), N.implied(F.col("price_b"))
     odds = F.when(F.col("snapshot_id") % 2 == 0, F.col("snapshot_id") * 50).otherwise(-F.col("snapshot_id") * 50)
-    return rounded(q.select("event_id", "book", "snapshot_id", a.alias("implied_a"), N.fair_share(a, b).alias("fair_a"), N.overround(a, b).alias("overround"), N.logit(a).alias("logit_a"), N.american_to_decimal(odds).alias("american")))
+    return q.select("event_id", "book", "snapshot_id", a.alias("implied_a"), N.fair_share(a, b).alias("fair_a"), N.overround(a, b).alias("overround"), N.logit(a).alias("logit_a"), N.american_to_decimal(odds).alias("american"))
 
 
 @query(
@@ -405,13 +401,13 @@ r as (select *, row_number() over (partition by event_id, book order by observed
 s as (select event_id, book, fair, observed from r where n = 1), bk as (select event_id, book, string_agg(distinct reason, '+' order by reason) as reasons from j where reason is not null group by event_id, book),
 ex as (select event_id, string_agg(book || ':' || reasons, ';' order by book || ':' || reasons) as excluded from bk group by event_id),
 c as (select event_id, median(case when book <> 'book3' then fair end) as m, avg(case when book <> 'book3' then fair end) as a, min(case when book <> 'book3' then fair end) as lo, max(case when book <> 'book3' then fair end) as hi, stddev_pop(case when book <> 'book3' then fair end) as sd, count(case when book <> 'book3' then fair end) as books, max(case when book = 'book3' then fair end) as sharp, max(case when book <> 'book3' then observed end) as newest from s group by event_id)
-select e.event_id, round(m, 6) as median_fair, round(a, 6) as mean_fair, round(lo, 6) as min_fair, round(hi, 6) as max_fair, round(hi - lo, 6) as range_fair, round(sd, 6) as sd_fair, coalesce(books, 0) as books, coalesce(books, 0) < 3 as coverage_low, round(sharp - m, 6) as sharp_minus_broad, newest, coalesce(excluded, '') as excluded
+select e.event_id, m as median_fair, a as mean_fair, lo as min_fair, hi as max_fair, (hi - lo) as range_fair, sd as sd_fair, coalesce(books, 0) as books, coalesce(books, 0) < 3 as coverage_low, (sharp - m) as sharp_minus_broad, newest, coalesce(excluded, '') as excluded
  from (select distinct event_id from quotes) e left join c using (event_id) left join ex using (event_id)"""
 )
 def asof_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ODD-07, JOIN-15, JOIN-18, AGG-16, AGG-17, FLT-19: consensus of the newest usable quotes."""
     out = quotes.consensus(B.quotes(spark, sf_dir), sharp=("book3",))
-    return rounded(out.select("event_id", "median_fair", "mean_fair", "min_fair", "max_fair", "range_fair", "sd_fair", "books", "coverage_low", "sharp_minus_broad", "newest", F.array_join("excluded", ";").alias("excluded")))
+    return out.select("event_id", "median_fair", "mean_fair", "min_fair", "max_fair", "range_fair", "sd_fair", "books", "coverage_low", "sharp_minus_broad", "newest", F.array_join("excluded", ";").alias("excluded"))
 
 
 def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -589,14 +585,14 @@ def update_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {APPS}, {PRED}, lab as (select fight_id, p, greatest(p, 1 - p) as t from ll) select fight_id, case when t >= 0.8 then 'Very high confidence' when t >= 0.7 then 'High confidence' when t >= 0.62 then 'Moderate confidence' when t >= 0.55 then 'Slight lean' else 'Toss-up' end as dashboard,
- case when t >= 0.8 then 'strong' when t >= 0.7 then 'confident' when t >= 0.6 then 'lean' else 'toss-up' end as ledger, case when p > 0.5 then round(p * 2, 6) else 0.0 end as p_x_favoured from lab"""
+ case when t >= 0.8 then 'strong' when t >= 0.7 then 'confident' when t >= 0.6 then 'lean' else 'toss-up' end as ledger, case when p > 0.5 then (p * 2) else 0.0 end as p_x_favoured from lab"""
 )
 def confidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-05, PRJ-07: both ladders, and an interaction that is zero outside its class."""
     rows = predictions(spark, sf_dir).withColumn("weight_class", F.when(F.col("p") > 0.5, "favoured").otherwise("other")).withColumn("p2", F.col("p") * 2)
     out = matchup.division_interactions(rows.withColumnRenamed("p2", "twice"), ("twice",), ["favoured"])
     top = F.greatest("p", 1 - F.col("p"))
-    return rounded(out.select("fight_id", matchup.dashboard_confidence(top).alias("dashboard"), matchup.ledger_confidence(F.col("p")).alias("ledger"), F.col("twice_x_favoured").alias("p_x_favoured")))
+    return out.select("fight_id", matchup.dashboard_confidence(top).alias("dashboard"), matchup.ledger_confidence(F.col("p")).alias("ledger"), F.col("twice_x_favoured").alias("p_x_favoured"))
 
 
 @query(

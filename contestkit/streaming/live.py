@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,25 +49,38 @@ def sessions(events: DataFrame, time: str, gap: str, late: str = "10 minutes") -
 def gate_late(history_path: str, accepted_path: str, late_path: str, schema: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: rows before the last stored day are set aside, not dropped; others are appended once.
 
-    A batch's rows carry its number, and a batch that is written again after a failure is left out.
+    Each batch owns one folder ``batch=N`` of each table, which a retry overwrites, so no failure between the writes loses or doubles
+    a row. The last stored day comes from earlier batches only: from the history, read once, and a table of one row a
+    batch. A bout that is stored already lies on or after that day, so older files of the accepted table are not read.
     """
+    days_path = f"{accepted_path}_days"
+    first: list = []
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        read = lambda p: spark.read.schema(f"{schema}, batch long").option("mergeSchema", False).parquet(p) if _exists(spark, p) else spark.createDataFrame([], f"{schema}, batch long")
-        stored = read(accepted_path)
-        if stored.filter(F.col("batch") == number).take(1) or read(late_path).filter(F.col("batch") == number).take(1):
-            return
-        old = spark.read.parquet(history_path).agg(F.max("date").alias("d")).unionByName(stored.agg(F.max("date").alias("d"))).agg(F.max("d")).first()[0]
+        if not first:
+            first.append(spark.read.parquet(history_path).agg(F.max("date")).first()[0])
+        earlier = lambda path, columns: _read(spark, path, columns).filter(F.col("batch") < number)
+        newest = earlier(days_path, "date date").agg(F.max("date")).first()[0]
+        old = max((d for d in (*first, newest) if d is not None), default=None)
         late = F.lit(False) if old is None else F.col("date") < F.lit(old)
-        marked = batch.withColumn("batch", F.lit(number).cast("long"))
-        marked.filter(late).write.mode("append").parquet(late_path)
-        marked.filter(~late).join(stored.select("fight_id"), "fight_id", "left_anti").write.mode("append").parquet(accepted_path)
+        put = lambda rows, path: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        put(batch.filter(late), late_path)
+        stored = earlier(accepted_path, schema)
+        stored = (stored if old is None else stored.filter(F.col("date") >= F.lit(old))).select("fight_id")
+        put(batch.filter(~late).join(stored, "fight_id", "left_anti"), accepted_path)
+        put(batch.filter(~late).agg(F.max("date").alias("date")), days_path)
 
     return write
 
 
-def _exists(spark, path: str) -> bool:  # noqa: ANN001
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table there, with its batch numbers; no rows if there is none yet."""
+    empty = spark.createDataFrame([], f"{schema}, batch int")
+    return spark.read.schema(empty.schema).parquet(path) if _exists(spark, path) else empty
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
     try:
