@@ -73,6 +73,11 @@ def signed_age(born: Column, day: Column) -> Column:
     return F.datediff(day, born) / 365.25
 
 
+def days_since(day: Column, earlier: Column) -> Column:
+    """Days from an earlier day; null if there is none."""
+    return F.datediff(day, earlier)
+
+
 def utc_timestamp(c: Column) -> Column:
     """Only texts with an offset or Z are timestamps."""
     return F.when(c.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(c))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestkit.functions.parse import any_date
@@ -12,7 +14,10 @@ from contestkit.functions.text import display_name, name_key
 EXPORT_PATTERNS = ("odds", "ranking", "rank", "winner_", "loser_", "sig_str", "takedown", "control", "avg")
 EXPORT_ALLOWED = frozenset({"winner", "fighter_a_won", "method", "round"})
 MODEL_PATTERNS = ("winner", "loser", "post", "method", "round", "odds", "rank", "sig_str", "takedown", "control", "result", "outcome", "td_", "ctrl", "knockdown", "sub_att")
-MARKET_TOKENS = ("odds", "market", "book", "moneyline", "vig", "consensus")
+MARKET_TOKENS = ("odds", "moneyline", "money_line", "vig", "juice", "implied_prob", "kalshi", "polymarket", "betfair", "sportsbook", "decimal_odds", "american_odds", "book", "market_prob")
+#: What names a bout to come, and columns that would tell how it ended.
+ID_COLUMNS = ("event_date", "event_name", "fighter_a", "fighter_b")
+RESULT_COLUMNS = frozenset({"fighter_a_won", "fighter_b_won", "winner", "loser", "result", "outcome", "method", "round", "target", "target_a_win", "finish", "decision"})
 
 
 def clean_bouts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -25,8 +30,9 @@ def clean_bouts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.when((a == "") | (b == "") | (a == b), "bad_name").when(F.col("day").isNull(), "bad_date").when(F.col("a_won").isNull(), "undecided")
     winner = name_key(F.col("winner"))
     staged = raw.withColumn("day", any_date(F.col("date"))).withColumn("a_won", F.when(winner == a, 1).when(winner == b, 0)).withColumn("key_a", a).withColumn("key_b", b).withColumn("reason", reason)
-    firsts = staged.filter("reason is null").groupBy("day", "key_a", "key_b").agg(F.min("source_row_id").alias("first_id"))
-    marked = staged.join(firsts, ["day", "key_a", "key_b"], "left")
+    # rows with a reason stand alone, so that blank names fill no partition
+    alike = Window.partitionBy("day", "key_a", "key_b", F.when(F.col("reason").isNotNull(), F.col("source_row_id")))
+    marked = staged.withColumn("first_id", F.min("source_row_id").over(alike))
     marked = marked.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("first_id") != F.col("source_row_id"), "duplicate"))
     counted = marked.agg(F.count("*").alias("rows"), *[F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in ("bad_name", "bad_date", "undecided", "duplicate")], F.count(F.when(F.col("reason").isNull(), 1)).alias("kept"))
     kept = marked.filter("reason is null").select("source_row_id", F.col("day").alias("date"), display_name(F.col("fighter_a")).alias("fighter_a"), display_name(F.col("fighter_b")).alias("fighter_b"), "a_won")
@@ -71,15 +77,44 @@ def numeric_or_fail(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns(cast)
 
 
+def market_names(names: list[str]) -> list[str]:
+    """Names of columns or parameters that hold a market's token (FLT-18)."""
+    return [n for n in names if any(t in n.lower() for t in MARKET_TOKENS)]
+
+
+def structure(columns: list[str], features: tuple[str, ...] = (), ids: tuple[str, ...] = ID_COLUMNS, markets: bool = True) -> dict[str, list[str]]:
+    """What is wrong with the columns of bouts to come, by kind; all empty if nothing is (FLT-10, FLT-11)."""
+    return {
+        "missing_ids": [c for c in ids if c not in columns], "missing_features": [c for c in features if c not in columns],
+        "results": sorted(RESULT_COLUMNS.intersection(columns)), "markets": market_names(columns) if markets else [],
+    }
+
+
 def row_reasons(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
-    """Adds reasons, the names of all checks that hold (FLT-10, FLT-11)."""
+    """Adds reasons, the names of all checks that hold."""
     return rows.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()])))
 
 
-def matchup_checks(today: Column | None = None) -> dict[str, Column]:
-    a, b = name_key(F.col("fighter_a")), name_key(F.col("fighter_b"))
-    checks = {"bad_date": any_date(F.col("event_date")).isNull(), "empty_name": (a == "") | (b == ""), "same_name": (a == b) & (a != "")}
-    return checks | ({"past_event": any_date(F.col("event_date")) < today} if today is not None else {})
+def bout_checks(key: Callable[[Column], Column] = name_key) -> dict[str, Column]:
+    a, b = key(F.col("fighter_a")), key(F.col("fighter_b"))
+    return {"bad_date": any_date(F.col("event_date")).isNull(), "empty_a": a == "", "empty_b": b == "", "same_name": (a == b) & (a != "")}
+
+
+def judge_input(rows: DataFrame, key: Callable[[Column], Column] = name_key, strict: bool = True) -> DataFrame:
+    """Adds reasons and first_row to bouts to come (row_index, event_date, fighter_a, fighter_b): also whether an earlier row has the same bout.
+
+    ``strict`` (FLT-11): only rows that are in order themselves make a later one a duplicate, and only by real days;
+    else (FLT-10) any row with two names does. Both sides' order does not matter.
+    """
+    judged = row_reasons(rows, bout_checks(key))
+    sides = F.array_sort(F.array(key(F.col("fighter_a")), key(F.col("fighter_b"))))
+    day = any_date(F.col("event_date")).cast("string")
+    named = ~F.array_contains(sides, "")
+    counts = F.size("reasons") == 0 if strict else named
+    same = judged.withColumns({"bout": F.when(counts, F.concat_ws("|", day if strict else F.col("event_date").cast("string"), F.array_join(sides, "|")))})
+    first = F.when(F.col("bout").isNotNull(), F.min("row_index").over(Window.partitionBy("bout", F.when(F.col("bout").isNull(), F.col("row_index")))))
+    marked = same.withColumn("first_row", first).withColumn("duplicate", F.coalesce(F.col("first_row") < F.col("row_index"), F.lit(False)))
+    return marked.withColumn("reasons", F.when(F.col("duplicate"), F.array_append("reasons", F.lit("duplicate"))).otherwise(F.col("reasons"))).drop("bout", "duplicate")
 
 
 def first_reason(cascade: dict[str, Column]) -> Column:
@@ -104,10 +139,14 @@ def pending(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("status") == "pending") & unresolved & live & ~blank("model_version") & ~blank("feature_schema_version"))
 
 
-def valid_probabilities(p: Column, q: Column) -> Column:
-    """Null if both are finite, within [0, 1] and sum to 1 within 1e-6; else the reason (FLT-14)."""
+def valid_probabilities(p: Column, q: Column, winner_is_a: Column | None = None) -> Column:
+    """Null if both are finite, within [0, 1] and sum to 1 within 1e-6, and the stored winner is the likelier side; else the reason (FLT-14).
+
+    ``winner_is_a``: whether the stored winner is side A; null if none is stored. At exactly one half A is the winner.
+    """
     bad = lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x > 1)
-    return F.when(bad(p) | bad(q), "not_a_probability").when(F.abs(p + q - 1) > 1e-6, "not_complementary")
+    out = F.when(bad(p) | bad(q), "not_a_probability").when(F.abs(p + q - 1) > 1e-6, "not_complementary")
+    return out if winner_is_a is None else out.when(winner_is_a != (p >= q), "winner_differs")
 
 
 def schema_parity(new: DataFrame, old: DataFrame, key: str) -> dict:

@@ -106,11 +106,42 @@ def features(long: DataFrame) -> DataFrame:
     return to_bouts(known, (*RECORD, *FORM, "days_since_last_fight", *LAYOFF, *ROLLING, *AGAINST, "no_prior_stats"))
 
 
-def trailing(predictions: DataFrame, measures: dict[str, Column], size: int, order: tuple[str, ...] = ("date", "fight_id"), within: str = "model") -> DataFrame:
-    """Means of the last ``size`` predictions within a group; null until there are so many (WIN-11)."""
-    frame = Window.partitionBy(within).orderBy(*order).rowsBetween(1 - size, 0)
-    full = F.count("*").over(frame) >= size
-    return predictions.withColumns({f"{name}_{size}": F.when(full, F.avg(c).over(frame)) for name, c in measures.items()} | {f"status_{size}": F.when(full, "ok").otherwise("insufficient_sample")})
+#: Predictions that a task holds when it takes trailing means, about.
+RANGE = 50_000
+
+
+def trailing(predictions: DataFrame, measures: dict[str, Column], size: int, order: tuple[str, str] = ("date", "fight_id"), within: str = "model") -> DataFrame:
+    """Means of the last ``size`` predictions within a group; null until there are so many (WIN-11).
+
+    Counts per day give every prediction its position in its group; ranges of positions are windowed apart, each with
+    the ``size`` - 1 predictions before it, so a group of any size is spread over tasks.
+    """
+    day, key = order
+    per_day = predictions.groupBy(within, day).agg(F.count("*").alias("_n"))
+    before = per_day.withColumn("_before", F.sum("_n").over(Window.partitionBy(within).orderBy(day)) - F.col("_n")).drop("_n")  # one row a day
+    nth = F.row_number().over(Window.partitionBy(within, day).orderBy(key)) - 1
+    width = max(RANGE, 2 * size)
+    placed = predictions.join(before, [within, day]).withColumn("_at", F.col("_before") + nth).withColumn("_own", F.expr(f"_at div {width}"))
+    shown = F.when(F.col("_at") % width > width - size, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
+    frame = Window.partitionBy(within, "_part").orderBy("_at").rowsBetween(1 - size, 0)
+    full = F.col("_at") >= size - 1
+    out = placed.withColumn("_part", F.explode(shown)).withColumns({f"{name}_{size}": F.when(full, F.avg(c).over(frame)) for name, c in measures.items()} | {f"status_{size}": F.when(full, "ok").otherwise("insufficient_sample")})
+    return out.filter("_part = _own").drop("_before", "_at", "_own", "_part")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, key: str = "fight_id") -> DataFrame:
+    """Left join of two tables of one row a key; a repeated key on either side, or a lost row, is an error (JOIN-05)."""
+    for name, rows in (("left", left), ("right", right)):
+        if rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").take(1):
+            raise ValueError(f"{key} repeats on the {name} side")
+    return left.join(right, key, "left")
+
+
+def seen(sides: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(slug, first_seen, last_seen) of the days on which slugs appear, widened by what is stored already (WIN-16)."""
+    now = sides.filter("slug is not null").groupBy("slug").agg(F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
+    both = now if stored is None else now.unionByName(stored.select("slug", "first_seen", "last_seen"))
+    return both.groupBy("slug").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def latest(rows: DataFrame, key: str, order: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:

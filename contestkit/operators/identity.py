@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contestkit.functions.parse import any_date, height_cm, reach_cm, signed_age, weight_lbs
-from contestkit.functions.text import display_name, division_limit, name_key, resolve_alias, url_slug, without_suffix
+from contestkit.functions.text import display_name, division_limit, folded_name, name_key, resolve_alias, url_slug, without_suffix
 from contestkit.operators.history import keep_first
+from contestkit.sources.tables import append_new
 
 CONTINUITY_DAYS = 540
 #: New keys that a task ranks, about.
@@ -169,4 +170,31 @@ def fill_details(entities: DataFrame, details: DataFrame, columns: tuple[str, ..
 
 
 def report(assigned: DataFrame) -> DataFrame:
+    """Sides and identities by rule (IDN-06)."""
     return assigned.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("slug").alias("slugs"))
+
+
+def split_report(bouts: DataFrame, assigned: DataFrame, identities: DataFrame) -> DataFrame:
+    """Each shared name: its identities, bouts of each, and those that nothing settles (IDN-06). bouts: ref, name_key; assigned: ``assign``'s."""
+    shared = identities.groupBy("name_key").agg(F.countDistinct("slug").alias("identities")).filter("identities > 1")
+    named = bouts.select("ref", "name_key").join(assigned, "ref").join(shared, "name_key")
+    per = named.groupBy("name_key", "identities", "slug").agg(F.count("*").alias("bouts"))
+    each = F.array_sort(F.collect_list(F.when(F.col("slug").isNotNull(), F.struct("slug", "bouts"))))  # the namesakes of one name
+    return per.groupBy("name_key", "identities").agg(F.sum("bouts").alias("bouts"), F.coalesce(F.sum(F.when(F.col("slug").isNull(), F.col("bouts"))), F.lit(0)).alias("unresolved"), each.alias("by_slug"))
+
+
+#: What a reviewed mapping may be about. Fixed values.
+MAPPED = ("fighter", "bout")
+
+
+def import_mappings(new: DataFrame, known: DataFrame, path: str) -> int:
+    """Appends reviewed mappings (provider, entity_type, raw, entity, created_by) to the table there (IDN-08); a pair that is mapped stays as it is.
+
+    known: (entity_type, entity) of what exists. A mapping to anything else, or of another type, is an error and nothing is written.
+    """
+    keyed = new.withColumn("raw", folded_name(F.col("raw"))).withColumn("method", F.lit("reviewed"))
+    if kinds := [r[0] for r in keyed.filter(~F.col("entity_type").isin(*MAPPED)).select("entity_type").distinct().take(3)]:
+        raise ValueError(f"unknown entity types {kinds}")
+    if missing := [tuple(r) for r in keyed.join(known, ["entity_type", "entity"], "left_anti").select("entity_type", "entity").take(3)]:
+        raise ValueError(f"unknown entities {missing}")
+    return append_new(keyed, path, ("provider", "entity_type", "raw"))

@@ -1,4 +1,4 @@
-"""Prediction ledger: append with a duplicate policy, resolution, monitoring, card view (INC-02 to INC-10, JOIN-11, JOIN-12, SRV-01)."""
+"""Prediction ledger: append with a duplicate policy, resolution, monitoring, card view (INC-02 to INC-07, INC-10, JOIN-11 to JOIN-13, JOIN-17, SRT-09, SRV-01, SRV-04)."""
 
 from __future__ import annotations
 
@@ -6,8 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestkit.functions.numeric import brier, log_loss
-from contestkit.functions.text import name_key, pair_key
+from contestkit.functions.parse import any_date
+from contestkit.functions.text import folded_name, name_key, pair_key
+from contestkit.operators.filters import judge_input
+from contestkit.operators.history import AGAINST, FORM, LAYOFF, RECORD, ROLLING, activity, form, layoff, rates, record, to_bouts
+from contestkit.operators.identity import lookup
+from contestkit.operators.matchup import matchup
 from contestkit.operators.rating import elo
+from contestkit.sources.tables import promote
 
 #: First number of made-up bouts for cards to come; they count down.
 SYNTHETIC_ID = -1_000_001
@@ -72,38 +78,105 @@ def monitor(resolved: DataFrame, by: str) -> DataFrame:
     return resolved.groupBy(by).agg(n.alias("n"), F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier"), F.avg("correct_prediction").alias("accuracy"), F.when(n < 50, "insufficient_sample").when(n < 100, "small_sample").otherwise("ok").alias("status"))
 
 
+def judge_card(card: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds each side's entity and all reasons why a bout of a card cannot be built (FLT-11, JOIN-10, INC-02).
+
+    card: row_index, event_date, fighter_a, fighter_b. entities: entity, name_key (folded). To the reasons of ``judge_input`` come a side that no or
+    several entities match, and one that an earlier bout of the day, itself in order, has already.
+    """
+    judged = judge_input(card, folded_name)
+    for s in "ab":
+        found = lookup(judged.withColumn("key", folded_name(F.col(f"fighter_{s}"))), entities.select("entity", F.col("name_key").alias("key")), "key")
+        judged = found.withColumnsRenamed({"entity": f"{s}_id", "match_status": f"{s}_status"}).drop("key")
+    told = [F.when(F.col(f"{s}_status") != "matched", F.concat(F.lit(f"{s}_"), F.col(f"{s}_status"))) for s in "ab"]
+    judged = judged.withColumn("reasons", F.concat("reasons", F.array_compact(F.array(*told)))).withColumn("date", any_date(F.col("event_date")))
+    # bouts of one day's card are judged in order: a bout that fails leaves its competitors free. A card has a few dozen bouts.
+    order = F.array_sort(F.collect_list(F.struct("row_index", "a_id", "b_id", (F.size("reasons") == 0).alias("fit"))))
+    start = F.struct(F.array().cast("array<bigint>").alias("taken"), F.array().cast("array<bigint>").alias("twice"))
+
+    def step(done: Column, x: Column) -> Column:
+        clash = F.array_contains(done["taken"], x["a_id"]) | F.array_contains(done["taken"], x["b_id"])
+        taken = F.when(x["fit"] & ~clash, F.concat(done["taken"], F.array(x["a_id"], x["b_id"]))).otherwise(done["taken"])
+        twice = F.when(x["fit"] & clash, F.concat(done["twice"], F.array(x["row_index"]))).otherwise(done["twice"])
+        return F.struct(taken.alias("taken"), twice.alias("twice"))
+
+    twice = judged.groupBy("date").agg(F.aggregate(order, start, step)["twice"].alias("rows")).select(F.explode("rows").alias("row_index")).withColumn("twice", F.lit(True))
+    marked = judged.join(twice, "row_index", "left")
+    return marked.withColumn("reasons", F.when(F.col("twice"), F.array_append("reasons", F.lit("competitor_twice_that_day"))).otherwise(F.col("reasons"))).drop("twice")
+
+
 def upcoming(history: DataFrame, card: DataFrame, k: float = 32.0, start: float = 1500.0) -> DataFrame:
     """Ratings before a card: history strictly before each card's day, and made-up bouts with numbers from -1,000,001 down (INC-02).
 
-    history: fight_id, date, a_id, b_id, a_won. card: date, a_id, b_id, row_no (from 0). Neither side of a made-up bout
-    wins, so it moves no rating that another card row could see: each card day is replayed on its own.
+    history: fight_id, date, a_id, b_id, a_won. card: date, a_id, b_id, row_no (from 0). The ratings of all history come once; a side's is the one after its
+    last bout before the card's day.
     """
-    days = [r["date"] for r in card.select("date").distinct().collect()]  # the days of one card
-    out = None
-    for day in days:
-        rows = card.filter(F.col("date") == day).select((F.lit(SYNTHETIC_ID) - F.col("row_no")).alias("fight_id"), "a_id", "b_id")
-        latest = elo(history.filter(F.col("date") < day), k, start)
-        long = latest.select(F.explode(F.array(*[F.struct(F.col(f"{s}_id").alias("entity"), F.struct("date", "fight_id").alias("at"), F.col(f"{s}_post").alias("rating")) for s in "ab"])).alias("r")).select("r.*")
-        now = long.groupBy("entity").agg(F.max_by("rating", "at").alias("rating"))
-        side = lambda s: now.select(F.col("entity").alias(f"{s}_id"), F.col("rating").alias(f"{s}_rating"))  # noqa: E731, B023
-        one = rows.join(side("a"), "a_id", "left").join(side("b"), "b_id", "left").fillna(start, ["a_rating", "b_rating"]).withColumn("date", F.lit(day))  # noqa: B023
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return card.select(F.lit(0).cast("long").alias("fight_id"), "a_id", "b_id", F.lit(start).alias("a_rating"), F.lit(start).alias("b_rating"), "date").limit(0)
+    rated = elo(history, k, start)
+    long = rated.select(F.explode(F.array(*[F.struct(F.col(f"{s}_id").alias("entity"), F.col("date").alias("of"), F.struct("date", "fight_id").alias("at"), F.col(f"{s}_post").alias("rating")) for s in "ab"])).alias("r")).select("r.*")
+    out = card.select((F.lit(SYNTHETIC_ID) - F.col("row_no")).alias("fight_id"), "date", "a_id", "b_id")
+    wanted = out.select(F.explode(F.array("a_id", "b_id")).alias("entity"), "date").distinct()
+    last = wanted.join(long, "entity").filter(F.col("of") < F.col("date")).groupBy("entity", "date").agg(F.max_by("rating", "at").alias("rating"))
+    for s in "ab":
+        out = out.join(last.select(F.col("entity").alias(f"{s}_id"), "date", F.col("rating").alias(f"{s}_rating")), [f"{s}_id", "date"], "left")
+    out = out.fillna(start, ["a_rating", "b_rating"])
     return out.select("fight_id", "date", "a_id", "b_id", "a_rating", "b_rating", (1 / (1 + F.pow(F.lit(10.0), (F.col("b_rating") - F.col("a_rating")) / 400.0))).alias("a_expected"))
 
 
+def upcoming_features(appearances: DataFrame, history: DataFrame, card: DataFrame, k: float = 32.0, start: float = 1500.0) -> DataFrame:
+    """All features of a card's bouts (INC-02, SET-04): record, form, layoff, rates, matchup projections and ratings, and the last day used.
+
+    appearances: two rows a bout, as ``history.features`` takes them; history and card as ``upcoming`` does. The card's bouts are appended as rows without result
+    or statistics and the same windows run over both. They are the last of their day and each day's card sees history
+    before it only, so cards of several days are windowed apart.
+    """
+    days = card.select("date").distinct().withColumnRenamed("date", "card_day")
+    rows = card.select((F.lit(SYNTHETIC_ID) - F.col("row_no")).alias("fight_id"), "date", "a_id", "b_id")
+    side = lambda s, o: F.struct(F.lit(s).alias("side"), F.col(f"{s}_id").alias("entity"), F.col(f"{o}_id").alias("opponent"))
+    made = rows.select("fight_id", "date", F.explode(F.array(side("a", "b"), side("b", "a"))).alias("r")).select("fight_id", "date", "r.*").withColumns({"won": F.lit(0), "has_stats": F.lit(False), "opp_has_stats": F.lit(False)})
+    # only bouts of the card's competitors matter, once for each later card day
+    named = made.select("entity", F.col("date").alias("card_day")).distinct()
+    earlier = appearances.join(named, "entity").filter(F.col("date") < F.col("card_day"))
+    both = earlier.unionByName(made.withColumn("card_day", F.col("date")), allowMissingColumns=True)
+    both = both.withColumn("own", F.col("entity")).withColumn("entity", F.struct("own", "card_day"))  # a window a competitor and card day
+    known = rates(layoff(activity(form(record(both))))).withColumn("entity", F.col("own")).filter(F.col("fight_id") <= SYNTHETIC_ID)
+    wide = matchup(to_bouts(known, (*RECORD, *FORM, "days_since_last_fight", *LAYOFF, *ROLLING, *AGAINST, "no_prior_stats"))).drop("a_won", "a_id", "b_id", "date")
+    used = history.join(F.broadcast(days), F.col("date") < F.col("card_day")).groupBy("card_day").agg(F.max("date").alias("last_day_used"))  # the days of a card
+    return upcoming(history, card, k, start).join(wide, "fight_id").join(used.withColumnRenamed("card_day", "date"), "date", "left")
+
+
+#: Sections of a card, the first shown first. Fixed values.
+SECTIONS = ("main_event", "main_card", "prelims", "early_prelims")
+
+
+def section_rank(section: Column) -> Column:
+    """Position of a card's section; unknown ones come last (SRT-09)."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SECTIONS)), F.lower(F.trim(section))), F.lit(0)), F.lit(len(SECTIONS) + 1)).cast("int")
+
+
+def with_weight_class(ledger: DataFrame, features: DataFrame) -> DataFrame:
+    """Adds the weight class of the first feature row (row_index) of a bout's key (JOIN-13)."""
+    first = features.withColumn("k", fight_key()).groupBy("k").agg(F.min_by("weight_class", "row_index").alias("weight_class"))
+    return ledger.drop("weight_class").withColumn("k", fight_key()).join(first, "k", "left").drop("k")
+
+
+def timeline(bouts: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:
+    """One competitor's bouts in order, with the side it was on (SRV-04). bouts: date, fight_id, fighter_a, fighter_b and the columns."""
+    a, b = name_key(F.col("fighter_a")) == name_key(F.lit(name)), name_key(F.col("fighter_b")) == name_key(F.lit(name))
+    return bouts.filter(a | b).select("date", "fight_id", F.when(a, "a").otherwise("b").alias("side"), *columns).orderBy("date", "fight_id")
+
+
 def card_view(manifest: DataFrame, ledger: DataFrame) -> DataFrame:
     """Per event: bouts with or without a frozen prediction, nested and in order; status frozen, partial or unavailable.
 
-    A full outer join on the bout's key: the manifest is the inventory, predictions without an entry are kept.
+    Bouts go by section, if the manifest tells it, then order, then names (SRT-09). A full outer join on the bout's key: the manifest is the inventory, predictions without an entry are kept.
     """
     m, p = manifest.withColumn("k", fight_key()), ledger.withColumn("k", fight_key())
-    a = m.select("k", F.col("event_date").alias("m_date"), F.col("event_name").alias("m_event"), "bout_order", F.col("fighter_a").alias("m_a"), F.col("fighter_b").alias("m_b"))
+    ranked = "card_section" in manifest.columns
+    a = m.select("k", *([section_rank(F.col("card_section")).alias("rank")] if ranked else []), F.col("event_date").alias("m_date"), F.col("event_name").alias("m_event"), "bout_order", F.col("fighter_a").alias("m_a"), F.col("fighter_b").alias("m_b"))
     b = p.select("k", F.col("event_date").alias("p_date"), F.col("event_name").alias("p_event"), F.col("fighter_a").alias("p_a"), F.col("fighter_b").alias("p_b"), "predicted_probability_a", "prediction_batch_id", "prediction_timestamp_utc")
     row = a.join(b, "k", "full_outer").select(
         F.coalesce("m_date", "p_date").alias("event_date"), F.coalesce("m_event", "p_event").alias("event_name"),
-        F.struct(F.coalesce("bout_order", F.lit(1_000_000)).alias("bout_order"), F.coalesce("m_a", "p_a").alias("fighter_a"), F.coalesce("m_b", "p_b").alias("fighter_b"), F.when(name_key(F.coalesce("m_a", "p_a")) == name_key(F.coalesce("p_a", "m_a")), F.col("predicted_probability_a")).otherwise(1 - F.col("predicted_probability_a")).alias("probability_a")).alias("bout"),
+        F.struct(*([F.coalesce("rank", F.lit(len(SECTIONS) + 1)).alias("section_rank")] if ranked else []), F.coalesce("bout_order", F.lit(1_000_000)).alias("bout_order"), F.coalesce("m_a", "p_a").alias("fighter_a"), F.coalesce("m_b", "p_b").alias("fighter_b"), F.when(name_key(F.coalesce("m_a", "p_a")) == name_key(F.coalesce("p_a", "m_a")), F.col("predicted_probability_a")).otherwise(1 - F.col("predicted_probability_a")).alias("probability_a")).alias("bout"),
         "prediction_batch_id", "prediction_timestamp_utc",
     )
     there = F.count("bout.probability_a")
@@ -119,6 +192,44 @@ def apply_plan(history: DataFrame, event: DataFrame) -> DataFrame:
     return joined.select(*event.columns, decision.alias("decision"))
 
 
+def guarded_apply(history: DataFrame, event: DataFrame, target: str, excluded: tuple[str, ...] = (), dry_run: bool = True, k: float = 32.0, start: float = 1500.0) -> dict:
+    """Adds an event's bouts to the stored history, as a new version, with ratings for the new bouts only (INC-05).
+
+    history, event: fight_id, date, a_id, b_id, a_won; event also fight_key. The plan names what is blocked: bouts before the last stored
+    day, sides that are the same, undecided or excluded keys, numbers that are stored. A dry run returns the plan. Else every bout must be free to go; the version
+    before stays, and is what readers see again if the checks after the write fail: no old row changed, the new ones are there once, their ratings come from
+    the ones stored before.
+    """
+    plan = apply_plan(history, event)
+    stored = history.select("fight_id", F.lit(True).alias("taken"))
+    own = F.when(F.col("a_id") == F.col("b_id"), "same_sides").when(F.col("a_won").isNull(), "undecided").when(F.col("fight_key").isin(*excluded) if excluded else F.lit(False), "excluded").when(F.col("taken"), "number_is_stored")
+    plan = plan.join(stored, "fight_id", "left").withColumn("decision", F.when(F.col("decision").startswith("append"), F.coalesce(own, F.col("decision"))).otherwise(F.col("decision"))).drop("taken")
+    counts = {r["decision"]: r["count"] for r in plan.groupBy("decision").count().collect()}
+    report = {"decisions": counts, "applied": 0, "dry_run": dry_run}
+    free = plan.filter(F.col("decision").startswith("append"))
+    new = free.select(*history.columns)
+    if dry_run or not counts:
+        return report
+    if blocked := {d: n for d, n in counts.items() if not d.startswith("append") and d != "already_stored"}:
+        raise ValueError(f"nothing applied: {blocked}")
+    n = sum(v for d, v in counts.items() if d.startswith("append"))
+    if not n:
+        return report
+    before = history.count()
+
+    def holds(rows: DataFrame) -> bool:
+        return rows.count() == before + n and rows.select("fight_id").distinct().count() == before + n and not history.exceptAll(rows.select(*history.columns)).take(1)
+
+    path = promote(history.unionByName(new), target, {"two_sides": F.col("a_id") != F.col("b_id"), "decided": F.col("a_won").isin(0, 1)}, holds)
+    ratings = elo(history.unionByName(new), k, start).join(new.select("fight_id"), "fight_id", "left_semi")
+    return report | {"applied": n, "path": path, "ratings": ratings}
+
+
+def next_action(pages: int, missing: int, stale: int) -> str:
+    """What an audit of fetched pages asks for: pages, nothing, or a guarded apply."""
+    return "save_pages" if not pages else "current" if not missing and not stale else "propose_guarded_apply"
+
+
 def compare(fetched: DataFrame, stored: DataFrame) -> DataFrame:
     """Fetched events (url, name_key, bouts) against stored ones: by URL, else by name; missing, stale, ambiguous or current (JOIN-17, INC-07)."""
     by_url = stored.filter("url is not null").groupBy("url").agg(F.max("bouts").alias("url_bouts"))

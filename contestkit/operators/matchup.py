@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contestkit.functions.parse import age_at
 from contestkit.functions.text import division_column
 
 #: name -> (own rate X, opposing rate Y): (aX - bY) - (bX - aY)
@@ -71,3 +72,14 @@ def ledger_confidence(p: Column) -> Column:
 def coalesce_physical(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The bout's own value, else the entity's static one, which is text (PRJ-03)."""
     return rows.withColumns({c: F.coalesce(F.col(c), F.col(f"static_{c}").try_cast("double")) for c in columns})
+
+
+def age_or_born(age: Column, born: Column, day: Column) -> Column:
+    """The bout's own age, else the one by date of birth (PRJ-04)."""
+    return F.coalesce(age, age_at(born, day))
+
+
+def prediction_input(rows: DataFrame, features: list[str]) -> DataFrame:
+    """What a model sees of bouts to come: ids, weight class and features, under the names of predictions; results are left behind (PRJ-08)."""
+    named = {"event_date": "date", "event_name": "event", "fighter_a": "fighter_a", "fighter_b": "fighter_b"}
+    return rows.select(*[F.col(c).alias(n) for n, c in named.items()], *[c for c in ("weight_class",) if c in rows.columns], *features)

@@ -107,3 +107,16 @@ def best_method(platt: dict, isotonic: dict, n_calibration: int, margin: float =
     edge, brier_edge = platt["log_loss"] - isotonic["log_loss"], platt["brier"] - isotonic["brier"]
     better = edge >= margin or (abs(edge) < margin and brier_edge >= margin)
     return "isotonic" if n_calibration >= least and better else "platt"
+
+
+def fold_summary(rows: DataFrame, anchor: str) -> DataFrame:
+    """Candidates (name, fold, log_loss) over folds: mean, population deviation, gain against the anchor fold by fold, and folds won (AGG-15, JOIN-19)."""
+    base = rows.filter(F.col("name") == anchor).select("fold", F.col("log_loss").alias("base"))
+    both = rows.join(base, "fold", "left")
+    return both.groupBy("name").agg(F.count("*").alias("n_folds"), F.avg("log_loss").alias("log_loss"), F.stddev_pop("log_loss").alias("log_loss_sd"), F.avg(F.col("base") - F.col("log_loss")).alias("gain"), F.count_if(F.col("log_loss") < F.col("base")).alias("folds_won"))
+
+
+def stability(rows: DataFrame) -> DataFrame:
+    """Coefficients (feature, fold, coefficient) over folds: mean, population deviation, folds with a nonzero one, and whether signs differ (AGG-21)."""
+    c = F.col("coefficient")
+    return rows.groupBy("feature").agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.count_if(c != 0).alias("nonzero"), ((F.min(c) < 0) & (F.max(c) > 0)).alias("sign_flip"))

@@ -6,21 +6,63 @@ differ in both. A penalty strength C on a sum of losses is ``regParam = 1 / (C n
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
+import importlib
+import importlib.util
+import json
+from collections import Counter
+from dataclasses import asdict, dataclass, field
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contestkit.functions.numeric import clip, logit
+from contestkit.functions.text import canonical_json, schema_version
 
 #: The reference model's settings. Fixed values.
 OFFICIAL = {"c": 0.003, "l1_ratio": 0.1}
 
 
+#: Groups of the model's features; each feature is in one. Fixed values.
+FEATURE_GROUPS = {
+    "elo": ("elo_diff",),
+    "physical": ("height_diff", "reach_diff"),
+    "age": ("age_diff",),
+    "experience": ("prior_fights_diff", "prior_wins_diff", "prior_losses_diff", "prior_win_pct_diff"),
+    "recent_form": ("wins_last_3_diff", "win_pct_last_3_diff", "wins_last_5_diff", "win_pct_last_5_diff"),
+    "activity": ("days_since_last_fight_diff",),
+    "striking_rolling": ("sig_strikes_landed_per_min_diff", "sig_strikes_absorbed_per_min_diff", "sig_strike_differential_diff", "striking_accuracy_diff", "striking_defense_diff", "knockdown_rate_diff"),
+    "grappling_rolling": ("takedowns_per_15_diff", "takedown_accuracy_diff", "takedown_defense_diff", "control_time_per_15_diff", "submission_attempts_per_15_diff"),
+    "missing_flags": ("fighter_a_no_prior_stats", "fighter_b_no_prior_stats", "matchup_history_missing"),
+    "opponent_adjusted": ("takedowns_allowed_per_15_diff", "opp_takedown_attempts_per_15_diff", "opp_sig_str_attempted_per_min_diff", "control_time_absorbed_per_15_diff", "knockdowns_absorbed_per_15_diff", "submission_attempts_absorbed_per_15_diff"),
+    "matchup_style": (
+        "striking_matchup_net_advantage", "striking_accuracy_matchup_net_advantage", "takedown_matchup_net_advantage", "takedown_accuracy_matchup_net_advantage", "control_matchup_net_advantage",
+        "knockdown_matchup_net_advantage", "submission_matchup_net_advantage", "reach_volume_interaction", "pace_pressure_advantage", "opponent_pressure_absorption_advantage",
+    ),
+}
+
+
+def check_groups(features: list[str], groups: dict[str, tuple[str, ...]] = FEATURE_GROUPS) -> None:
+    """Raises unless the groups are a partition of the features (ML-16)."""
+    counts = Counter(c for own in groups.values() for c in own)
+    wrong = {"unknown": sorted(counts.keys() - set(features)), "in several groups": sorted(c for c, n in counts.items() if n > 1), "in none": sorted(set(features) - counts.keys())}
+    if wrong := {k: v for k, v in wrong.items() if v}:
+        raise ValueError(f"feature groups are no partition: {wrong}")
+
+
+def columns_of(wanted: list[str], features: list[str], groups: dict[str, tuple[str, ...]] = FEATURE_GROUPS) -> list[str]:
+    """The wanted groups' features, in the order of ``features``, on which an exact fit depends (ML-16)."""
+    if unknown := [g for g in wanted if g not in groups]:
+        raise ValueError(f"unknown groups {unknown}; known: {sorted(groups)}")
+    chosen = {c for g in wanted for c in groups[g]}
+    return [c for c in features if c in chosen]
+
+
 @dataclass
 class Preprocessor:
     """Median, mean and population deviation per feature, and known categories; fitted on the training rows in one aggregation."""
@@ -87,6 +129,40 @@ class Fitted:
         return [{"feature": n, "coefficient": v, "sign": (v > 0) - (v < 0), "rank": rank[k], "median": self.prep.medians.get(n), "mean": self.prep.means.get(n), "deviation": self.prep.deviations.get(n)} for k, (n, v) in enumerate(zip(self.prep.names, values, strict=True))]
 
 
+#: What an artifact's manifest must hold. Fixed values.
+MANIFEST = ("prep", "calibrator", "model", "model_version", "calibration_version", "feature_schema_version", "scale", "training")
+FAMILY = "features"
+
+
+def save(fitted: Fitted, path: str, model_version: str, training: dict | None = None) -> str:
+    """Writes a fitted model and its manifest to a new folder (ML-17); returns the feature schema's version."""
+    spark = SparkSession.active()
+    own = fitted.calibrator
+    version = schema_version(fitted.prep.names, FAMILY)
+    manifest = {
+        "prep": asdict(fitted.prep), "scale": fitted.scale, "model": f"{type(fitted.model).__module__}.{type(fitted.model).__name__}", "model_version": model_version, "training": training or {},
+        "calibrator": None if own is None else {"kind": type(own).__name__, **asdict(own)}, "calibration_version": "none" if own is None else type(own).__name__.lower(), "feature_schema_version": version,
+    }
+    spark.createDataFrame([(canonical_json(manifest),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
+    fitted.model.save(f"{path}/model")
+    return version
+
+
+def load(path: str, expected: list[str] | None = None) -> tuple[Fitted, dict]:
+    """(model, manifest) as saved (ML-17). A manifest that lacks a field, or whose schema is not that of its own features or of ``expected``, is an error."""
+    manifest = json.loads(SparkSession.active().read.text(f"{path}/manifest").first()["value"])
+    if missing := [f for f in MANIFEST if f not in manifest]:
+        raise ValueError(f"the artifact's manifest lacks {missing}")
+    prep = Preprocessor(**manifest["prep"])
+    for names in (prep.names, expected):
+        if names is not None and schema_version(names, FAMILY) != manifest["feature_schema_version"]:
+            raise ValueError(f"the artifact's features are {manifest['feature_schema_version']}, not {schema_version(names, FAMILY)}")
+    own = manifest["calibrator"]
+    calibrator = own and {"Platt": Platt, "Isotonic": Isotonic}[own["kind"]](**{k: v for k, v in own.items() if k != "kind"})
+    module, _, name = manifest["model"].rpartition(".")
+    return Fitted(prep, getattr(importlib.import_module(module), name).load(f"{path}/model"), manifest["scale"], calibrator), manifest
+
+
 def logistic(rows: DataFrame, numeric: list[str], label: str, c: float = 1.0, l1_ratio: float = 0.0, categorical: str | None = None, balanced: bool = False, mode: str = "all", max_iter: int = 200, tol: float = 1e-8) -> Fitted:
     """L2 (l1_ratio 0), L1 (1) or elastic-net logistic regression (ML-04, ML-05, ML-12)."""
     prep = Preprocessor(numeric, categorical).fit(rows, mode)
@@ -107,11 +183,34 @@ def forest(rows: DataFrame, numeric: list[str], label: str, trees: int = 300, le
     return Fitted(prep, fit.fit(prep.transform(rows, False).withColumn("_y", F.col(label).cast("double"))), scale=False)
 
 
-def boosted(rows: DataFrame, numeric: list[str], label: str, rounds: int = 100, depth: int = 4, rate: float = 0.05, least_leaf: int = 20, seed: int = 42) -> Fitted:
-    """Gradient boosting by depth on imputed rows; it stands for histogram boosting by leaves, whose results differ (ML-07)."""
+def boosted(rows: DataFrame, numeric: list[str], label: str, rounds: int = 100, depth: int = 4, rate: float = 0.05, least_leaf: int = 20, seed: int = 42, held: float = 0.0) -> Fitted:
+    """Gradient boosting by depth on imputed rows; it stands for histogram boosting by leaves, whose results differ (ML-07).
+
+    With ``held``, that share of the rows, by a hash of fight_id, stops the rounds once it gains nothing.
+    """
     prep = Preprocessor(numeric).fit(rows)
     fit = GBTClassifier(labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=least_leaf, seed=seed)
-    return Fitted(prep, fit.fit(prep.transform(rows, False).withColumn("_y", F.col(label).cast("double"))), scale=False)
+    ready = prep.transform(rows, False).withColumn("_y", F.col(label).cast("double"))
+    if held:
+        ready = ready.withColumn("_held", F.pmod(F.xxhash64("fight_id", F.lit(seed)), F.lit(1000)) < int(1000 * held))
+        fit = fit.setValidationIndicatorCol("_held")
+    return Fitted(prep, fit.fit(ready), scale=False)
+
+
+def boosters() -> list[str]:
+    """The optional boosting libraries that can be imported here (ML-08)."""
+    return [n for n in ("xgboost", "lightgbm") if importlib.util.find_spec(n)]
+
+
+def external_boosted(rows: DataFrame, numeric: list[str], label: str, rounds: int = 100, depth: int = 4, rate: float = 0.05, seed: int = 42) -> Fitted:
+    """Distributed boosting by an optional library, where it is installed (ML-08); else an error that names it."""
+    if "xgboost" not in boosters():
+        raise ModuleNotFoundError("xgboost is not installed; use boosted()")
+    from xgboost.spark import SparkXGBClassifier
+
+    prep = Preprocessor(numeric).fit(rows)
+    fit = SparkXGBClassifier(features_col="features", label_col="_y", n_estimators=rounds, max_depth=depth, learning_rate=rate, random_state=seed)
+    return Fitted(prep, fit.fit(prep.transform(rows, False).withColumn("_y", F.col(label).cast("int"))), scale=False)
 
 
 @dataclass
@@ -133,7 +232,7 @@ class Platt:
 
 @dataclass
 class Isotonic:
-    """Isotonic regression, clipped to its range and to [0, 1] (ML-10); applied as one expression over its steps."""
+    """Isotonic regression, clipped to its range and to [0, 1] (ML-10); applied by a search in its sorted steps, however many there are."""
 
     bounds: list[float] = field(default_factory=list)
     values: list[float] = field(default_factory=list)
@@ -144,11 +243,12 @@ class Isotonic:
         return self
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        p, out = F.col("p"), F.lit(self.values[-1])
-        for (x0, v0), (x1, v1) in reversed(list(zip(zip(self.bounds, self.values, strict=True), zip(self.bounds[1:], self.values[1:], strict=True), strict=False))):
-            inside = F.lit(v1) if x1 <= x0 else v0 + (v1 - v0) * (p - x0) / (x1 - x0)
-            out = F.when(p < x1, inside).otherwise(out)
-        return rows.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(p <= self.bounds[0], self.values[0]).otherwise(out))))
+        bounds, values = self.bounds, self.values
+
+        def lookup(p: pd.Series) -> pd.Series:
+            return pd.Series(np.clip(np.interp(p.to_numpy(float), bounds, values), 0.0, 1.0), index=p.index).where(p.notna())
+
+        return rows.withColumn("p", F.pandas_udf(lookup, "double")("p"))
 
 
 def permutation_importance(fitted: Fitted, rows: DataFrame, label: str, features: list[str], seed: int = 42) -> list[dict]:
@@ -158,10 +258,11 @@ def permutation_importance(fitted: Fitted, rows: DataFrame, label: str, features
     scored = lambda df: evaluate(fitted.predict(df).withColumn("y", F.col(label))).first()["log_loss"]
     base = scored(rows)
     out = []
+    parts = max(64, rows.count() // 10_000)
     from pyspark.sql import Window
 
     for k, c in enumerate(features):
-        deal = lambda df, s: df.withColumn("_part", F.floor(F.rand(s) * 64)).withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(F.rand(s + 1))))
+        deal = lambda df, s: df.withColumn("_part", F.floor(F.rand(s) * parts)).withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(F.rand(s + 1))))
         other = deal(rows.select(F.col(c).alias("_other")), seed + 2 * k)
         mixed = deal(rows, seed + 100 + 2 * k).join(other, ["_part", "_nth"], "left").withColumn(c, F.coalesce("_other", c)).drop("_other", "_part", "_nth")
         out.append({"feature": c, "importance": scored(mixed) - base})

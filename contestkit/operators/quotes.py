@@ -1,7 +1,11 @@
-"""Bookmaker prices: flattening, bout matching and as-of consensus (ODD-01 to ODD-10 without ODD-05 and ODD-06, JOIN-14, JOIN-18)."""
+"""Bookmaker prices: ingest, flattening, bout matching and as-of consensus (ODD, FLT-19, FLT-20, IDN-10, IDN-11, JOIN-14, JOIN-18)."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from contestkit.functions.numeric import fair_share, implied, price_error
 from contestkit.functions.parse import days_around, utc_timestamp
 from contestkit.functions.text import pair_key, prefixed_id
 from contestkit.operators.filters import first_reason
+from contestkit.sources.tables import append_new, there
 
 OUTCOME = "array<struct<name:string,price:double>>"
 MARKET = f"array<struct<key:string,last_update:string,id:string,outcomes:{OUTCOME}>>"
@@ -85,17 +90,87 @@ def match_bouts(snapshots: DataFrame, bouts: DataFrame) -> DataFrame:
     return joined.select("snapshot_id", status.alias("match_status"), F.when(n == 1, best["fight_id"]).alias("fight_id"), F.when(n == 1, best["same"]).alias("same_side"))
 
 
+#: Fields that each event of a payload must have. Fixed values.
+EVENT_FIELDS = ("id", "sport_key", "commence_time", "home_team", "away_team", "bookmakers")
+
+
+def payload_errors(payloads: DataFrame, historical: bool = True) -> DataFrame:
+    """Adds errors to JSON texts (column ``payload``): a wrong shape, or required fields that an event lacks (ODD-02).
+
+    A field that is there and null is no error. A text that is no JSON is ``invalid_json``.
+    """
+    events = F.get_json_object("payload", "$.data") if historical else F.col("payload")
+    each = F.from_json(events, "array<string>")
+
+    def lacking(event: Column, at: Column) -> Column:
+        place = F.concat(F.lit("event["), at.cast("string"), F.lit("]"))
+        keys = F.json_object_keys(event)
+        return F.when(keys.isNull(), F.array(F.concat(place, F.lit(" is no object")))).otherwise(F.array_compact(F.array(*[F.when(~F.array_contains(keys, f), F.concat(place, F.lit(f" lacks {f}"))) for f in EVENT_FIELDS])))
+
+    listed = F.json_array_length(events).isNotNull()
+    shape = F.when(F.try_parse_json("payload").isNull(), "invalid_json").when(~listed, "events are no list")
+    head = [F.when(~F.array_contains(F.json_object_keys("payload"), "timestamp"), "no timestamp")] if historical else []
+    found = F.when(listed, F.flatten(F.transform(each, lacking)))
+    return payloads.withColumn("errors", F.concat(F.array_compact(F.array(shape, *head)), F.coalesce(found, F.array().cast("array<string>"))))
+
+
 def exclusions(max_age_hours: float | None = None) -> dict[str, Column]:
-    """Why a quote (approved, observed, cutoff, starts, price_a, price_b) cannot be used, in order (FLT-19)."""
+    """Why a quote (approved, observed, cutoff, starts, price_a, price_b) cannot be used, in order: the part of FLT-19 about times and prices."""
+    checks = {"unapproved_sportsbook": ~F.col("approved")} | _times(max_age_hours)
+    return checks | {"invalid_odds": price_error(F.col("price_a")).isNotNull() | price_error(F.col("price_b")).isNotNull()}
+
+
+def _times(max_age_hours: float | None) -> dict[str, Column]:
     checks = {
-        "unapproved_sportsbook": ~F.col("approved"),
         "observation_after_prediction_cutoff": F.col("observed") > F.col("cutoff"),
         "observation_at_or_after_scheduled_start": F.col("observed") >= F.col("starts"),
     }
     if max_age_hours is not None:
         age = (F.unix_seconds(F.col("cutoff").cast("timestamp")) - F.unix_seconds(F.col("observed").cast("timestamp"))) / 3600.0
         checks["snapshot_stale"] = age > max_age_hours
-    return checks | {"invalid_odds": price_error(F.col("price_a")).isNotNull() | price_error(F.col("price_b")).isNotNull()}
+    return checks
+
+
+def source_reason(eligible: tuple[str, ...] | None = None, overrides: tuple[str, ...] = (), max_age_hours: float | None = None) -> Column:
+    """The first of the fifteen reasons why a stored snapshot cannot serve a bout's side, else null (FLT-19).
+
+    Columns: venue_type, book (null if unknown), approved, status, match_status, market_type, pre_fight, observed, cutoff, starts, entity and
+    opponent (whose probability is sought), and outcomes, an array of (entity, opponent, valid, oriented, price).
+    """
+    own = lambda e, o: F.filter("outcomes", lambda x: (x["entity"] == F.col(e)) & (x["opponent"] == F.col(o)))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    checks = {
+        "venue_type": no(F.col("venue_type") == "sportsbook"),
+        "unapproved_or_unknown_sportsbook": F.col("book").isNull(),
+        "unapproved_sportsbook": no(F.col("approved")) & ~(F.col("book").isin(*overrides) if overrides else F.lit(False)),
+        "not_in_requested_eligible_set": ~F.col("book").isin(*eligible) if eligible is not None else F.lit(False),
+        "status": no(F.col("status") == "normalized"),
+        "match_status": no(F.col("match_status") == "matched"),
+        "unsupported_market": no(F.col("market_type") == "h2h"),
+        "live_or_post_start": no(F.col("pre_fight")),
+        **_times(max_age_hours),
+        "incomplete_or_multiway_market": no(F.size("outcomes") == 2),
+        "fighter_orientation_mismatch": (F.size(own("entity", "opponent")) != 1) | (F.size(own("opponent", "entity")) != 1),
+        "invalid_outcome": F.exists("outcomes", lambda x: no(x["valid"]) | no(x["oriented"])),
+        "invalid_odds": F.exists("outcomes", lambda x: x["price"].isNull()),
+    }
+    told = {"venue_type": F.concat(F.lit("venue_type_"), F.coalesce("venue_type", F.lit("None")), F.lit("_prohibited")), "status": F.coalesce("status", F.lit("None")), "match_status": F.concat(F.lit("match_status_"), F.coalesce("match_status", F.lit("None")))}
+    reason = first_reason(checks)
+    out = F.when(reason.isNull(), F.lit(None).cast("string"))
+    for name, text in told.items():
+        out = out.when(reason == name, text)
+    return out.otherwise(reason)
+
+
+def side_consensus(snapshots: DataFrame, eligible: tuple[str, ...] | None = None, overrides: tuple[str, ...] = (), max_age_hours: float | None = None, sharp: tuple[str, ...] = (), include_sharp: bool = False, least_books: int = 3) -> DataFrame:
+    """Consensus for each (fight_id, entity, cutoff) over stored snapshots (columns of ``source_reason``, fight_id, snapshot_id).
+
+    The side's price and its opponent's come from the outcomes; what cannot be used is told by book, unknown books by ``provider_key``.
+    """
+    price = lambda e: F.get(F.filter("outcomes", lambda x: x["entity"] == F.col(e)), 0)["price"]
+    named = snapshots.withColumn("told", source_reason(eligible, overrides, max_age_hours)).withColumns({"price_a": price("entity"), "price_b": price("opponent"), "book": F.coalesce("book", "provider_key", F.lit("unknown")), "event_id": F.struct("fight_id", "entity", "cutoff")})
+    out = _consensus(named.withColumnRenamed("told", "reason"), sharp, include_sharp, least_books)
+    return out.select("event_id.*", *[c for c in out.columns if c != "event_id"])
 
 
 def consensus(quotes: DataFrame, sharp: tuple[str, ...] = (), include_sharp: bool = False, max_age_hours: float | None = None, least_books: int = 3) -> DataFrame:
@@ -105,7 +180,10 @@ def consensus(quotes: DataFrame, sharp: tuple[str, ...] = (), include_sharp: boo
     nested keys: newest quote per (event, book) as a partial maximum, then statistics of the fair probabilities. Reasons
     gather over all quotes of a book, also if another of its quotes is used.
     """
-    judged = quotes.withColumn("reason", first_reason(exclusions(max_age_hours)))
+    return _consensus(quotes.withColumn("reason", first_reason(exclusions(max_age_hours))), sharp, include_sharp, least_books)
+
+
+def _consensus(judged: DataFrame, sharp: tuple[str, ...], include_sharp: bool, least_books: int) -> DataFrame:
     fair = fair_share(implied(F.col("price_a")), implied(F.col("price_b")))
     usable = F.when(F.col("reason").isNull(), F.struct("observed", "snapshot_id", fair.alias("fair"), (implied(F.col("price_a")) + implied(F.col("price_b"))).alias("overround")))
     newest = judged.groupBy("event_id", "book").agg(F.max(usable).alias("q"), F.array_sort(F.collect_set("reason")).alias("reasons"))
@@ -133,10 +211,98 @@ def mark_duplicates(snapshots: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return snapshots.withColumn("status", F.when(nth > 1, "rejected_duplicate").otherwise(F.col("status")))
 
 
-def sample_checks(markets: DataFrame) -> DataFrame:
-    """Booleans about a provider sample, one row (ODD-09)."""
+def orient(snapshots: DataFrame, matched: DataFrame) -> DataFrame:
+    """Puts what ``match_bouts`` found on the snapshots: match_status, fight_id and whether A is the bout's A (IDN-10, ODD-06)."""
+    return snapshots.drop("match_status", "fight_id", "same_side").join(matched, "snapshot_id", "left").fillna("unmatched", ["match_status"])
+
+
+def rematch(stored: DataFrame, bouts: DataFrame, batch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(all snapshots with renewed matches, counts by status) for the stored ones, or those of one batch (ODD-06).
+
+    stored: snapshot_id, a_id, b_id, day, status, batch_id. Rejected snapshots keep their status and match nothing. The result is a new
+    version of the table; nothing is changed in place.
+    """
+    mine = F.lit(True) if batch is None else F.coalesce(F.col("batch_id") == batch, F.lit(False))
+    chosen = stored.filter(mine)
+    usable = chosen.filter("status = 'normalized'")
+    renewed = orient(usable, match_bouts(usable, bouts)).unionByName(chosen.filter("status <> 'normalized' or status is null").drop("match_status", "fight_id", "same_side").withColumns({"match_status": F.col("status"), "fight_id": F.lit(None).cast("long"), "same_side": F.lit(None).cast("boolean")}))
+    kept = stored.filter(~mine)
+    counts = renewed.agg(F.count("*").alias("examined"), *[F.count_if(F.col("match_status") == s).alias(s) for s in ("matched", "unmatched", "ambiguous")], F.count_if(F.col("match_status").startswith("rejected_")).alias("rejected"))
+    return (kept.unionByName(renewed, allowMissingColumns=True) if batch else renewed), counts
+
+
+def ingest(payload: str, provider: str, spark: SparkSession, root: str, normalize: Callable[[DataFrame], DataFrame], historical: bool = True, dry_run: bool = False) -> dict:
+    """Archives a payload by its content, normalizes it and appends its snapshots under a batch number (ODD-05).
+
+    Tables below ``root``: payloads, snapshots and batches, all append-only. A payload that breaks the structure, or on which ``normalize``
+    (payload rows to snapshots with snapshot_id and status) fails, leaves a batch marked failed with the message, and the error is
+    raised; the archive keeps it. Running a payload again adds no snapshot twice. A dry run writes nothing.
+    """
+    rows = spark.createDataFrame([(payload,)], "payload string")
+    key = rows.select(F.sha2("payload", 256)).first()[0]
+    batch = f"batch_{hashlib.sha256(f'{provider}|{key}'.encode()).hexdigest()[:24]}"
+    note = lambda status, error, n: spark.createDataFrame([(batch, provider, key, status, error, n)], "batch_id string, provider string, payload_hash string, response_status string, error_message string, snapshots long")
+    if not dry_run:
+        append_new(rows.withColumn("payload_hash", F.lit(key)), f"{root}/payloads", ("payload_hash",))
+    try:
+        if wrong := payload_errors(rows, historical).first()["errors"]:
+            raise ValueError("; ".join(wrong))
+        snapshots = normalize(rows).withColumn("batch_id", F.lit(batch))
+        seen = {r["status"]: r["count"] for r in snapshots.groupBy("status").count().collect()}
+    except Exception as e:
+        if not dry_run:
+            note("failed", str(e), 0).write.mode("append").parquet(f"{root}/batches")
+        raise
+    total = sum(seen.values())
+    inserted = 0
+    if not dry_run:
+        table = f"{root}/snapshots"
+        before = spark.read.parquet(table).count() if there(spark, table) else 0
+        inserted = append_new(snapshots, table, ("snapshot_id",)) - before
+        note("ok", None, total).write.mode("append").parquet(f"{root}/batches")
+    return {"batch_id": None if dry_run else batch, "payload_hash": key, "snapshots_seen": total, "snapshots_inserted": inserted, "by_status": seen, "dry_run": dry_run}
+
+
+#: The checks of a provider's sample that it must pass. Fixed values.
+REQUIRED_CHECKS = (
+    "valid_json_structure", "observation_timestamps_present", "scheduled_timestamps_present", "historical_query_timestamp_present", "complete_two_sided_moneyline_present",
+    "canonical_identity_sufficient", "classification_supported", "raw_retention_permitted_confirmed", "historical_24h_cutoff_reconstructable",
+)
+
+
+def sample_checks(markets: DataFrame, sport: str, structure_ok: bool = True, query_time: bool = True, retention: bool = False) -> DataFrame:
+    """Twelve booleans about a provider's sample and whether it is accepted, one row (ODD-09).
+
+    markets: the columns of ``normalized`` with match_status, sport_key and card_section. A day before the start can be rebuilt if some usable market was
+    observed by then.
+    """
     good = F.col("status") == "normalized"
-    return markets.agg(
-        (F.count("*") > 0).alias("has_markets"), F.bool_or(good).alias("has_normalized"), F.bool_and(F.col("observed").isNotNull()).alias("all_observed"), F.bool_and(F.col("starts").isNotNull()).alias("all_scheduled"),
-        F.bool_and(F.coalesce(~good | F.col("pre_fight"), F.lit(False))).alias("normalized_pre_fight"), F.bool_and(~good | (F.size("outcomes") == 2)).alias("normalized_two_way"), F.countDistinct("book").alias("books"), F.countDistinct("event_id").alias("events"),
-    )
+    matched = good & (F.col("match_status") == "matched")
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    every = lambda c: F.coalesce(F.bool_and(c), F.lit(False))
+    two_way = (F.col("market_type") == "h2h") & (F.size("outcomes") == 2) & ~F.exists("outcomes", lambda o: price_error(o["price"]).isNotNull())
+    checks = {
+        "valid_json_structure": F.lit(structure_ok),
+        "observation_timestamps_present": every(F.col("observed").isNotNull()),
+        "scheduled_timestamps_present": every(F.col("starts").isNotNull()),
+        "historical_query_timestamp_present": F.lit(query_time),
+        "complete_two_sided_moneyline_present": some(two_way),
+        "canonical_identity_sufficient": some(matched) & ~some(good & (F.col("match_status") == "ambiguous")),
+        "classification_supported": some(matched) & every(~matched | (F.col("sport_key") == sport)),
+        "target_sportsbook_keys_identifiable": some(good & F.col("book").isNotNull()),
+        "preliminary_bouts_demonstrated": some(F.lower("card_section").isin("prelims", "preliminary", "early_prelims", "early prelims")),
+        "replacement_or_cancellation_behavior_demonstrated": some(F.col("event_status").isin("cancelled", "canceled", "postponed")),
+        "raw_retention_permitted_confirmed": F.lit(retention),
+        "historical_24h_cutoff_reconstructable": some(good & (F.col("observed") <= F.col("starts") - F.expr("interval 24 hours"))),
+    }
+    row = markets.agg(*[c.alias(n) for n, c in checks.items()])
+    return row.withColumn("accepted", reduce(lambda a, b: a & b, [F.col(n) for n in REQUIRED_CHECKS]))
+
+
+#: Tables of the store and their keys (ODD-10). Fixed values.
+STORE = {"books": ("provider_key",), "payloads": ("payload_hash",), "batches": ("batch_id",), "snapshots": ("snapshot_id",), "mappings": ("provider", "entity_type", "raw")}
+
+
+def seed(spark: SparkSession, root: str) -> int:
+    """Begins a store below ``root``: the registry's rows that it lacks (ODD-10); may be run again. The number of rows there."""
+    return append_new(registry(spark), f"{root}/books", STORE["books"])

@@ -2,7 +2,7 @@
 
 A rating couples two entities, so bouts of one connected component are replayed in order. Rows stream through the
 replay sorted by (component, date, fight_id); the state is one number an entity, never the bouts. Independent components
-(leagues, tours, weight classes that never meet) run in parallel.
+(leagues, tours, weight classes that never meet; ``with_leagues`` finds them) run in parallel.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contestkit.session import cut
+
 K, START = 32.0, 1500.0
 SNAPSHOT = "fight_id long, date date, a_id long, b_id long, a_won int, a_pre double, b_pre double, a_expected double, b_expected double, a_post double, b_post double, elo_diff double"
 
@@ -45,6 +47,25 @@ def elo(bouts: DataFrame, k: float = K, start: float = START, component: str | N
     return rows.repartition("component").sortWithinPartitions("component", "date", "fight_id").mapInArrow(replay, SNAPSHOT)
 
 
+def with_leagues(bouts: DataFrame) -> DataFrame:
+    """Adds league, the smallest entity that a chain of bouts links to: ratings of different leagues never meet, so each is a replay of its own.
+
+    Every round gives each entity the smallest label among its opponents and then that label's own label, so that labels travel twice as far
+    with each round; the pairs are distinct, and labels are stored between rounds.
+    """
+    pairs = bouts.select("a_id", "b_id").filter("a_id <> b_id").distinct()
+    edges = cut(pairs.union(pairs.select("b_id", "a_id")).toDF("u", "v").distinct())
+    labels = cut(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
+    while True:
+        near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("least"))
+        met = labels.join(near, "u").select("u", F.least("label", "least").alias("label"))
+        after = cut(met.join(met.select(F.col("u").alias("label"), F.col("label").alias("further")), "label", "left").select("u", F.coalesce("further", "label").alias("label")))
+        if not after.join(labels.withColumnRenamed("label", "before"), "u").filter("label <> before").take(1):
+            break
+        labels = after
+    return bouts.join(labels.select(F.col("u").alias("a_id"), F.col("label").alias("league")), "a_id", "left").withColumn("league", F.coalesce("league", "a_id"))
+
+
 def baseline(snapshots: DataFrame, bouts: DataFrame, names: DataFrame) -> DataFrame:
     """Snapshots with names (JOIN-01): inner joins for the sides, a left one for the winner; names is (entity, name)."""
     side = lambda p: names.select(F.col("entity").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"))

@@ -490,17 +490,17 @@ def unclaimed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {B.BOUTS_SQL}, s as (select fight_id as ref, 0 as side, a_id as key from bouts union all select fight_id, 1, b_id from bouts), f as (select key, min(ref * 2 + side) as first from s group by key),
-k as (select distinct c_custkey as key, c_custkey * 10 as entity from customer where c_custkey % 9 = 0) select f.key, coalesce(k.entity, (select max(entity) from k) + cast(row_number() over (partition by k.entity is null order by first) as bigint)) as entity from f left join k on k.key = f.key"""
+k as (select case when c_custkey % 9 = 0 then c_custkey else -1 - c_custkey end as key, c_custkey * 10 as entity from customer) select f.key, coalesce(k.entity, (select max(entity) from k) + cast(row_number() over (partition by k.entity is null order by first) as bigint)) as entity from f left join k on k.key = f.key"""
 )
 def numbered_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IDN-05, SRT-10, WIN-16: numbers by first appearance, side a before b."""
+    """IDN-05, SRT-10: numbers by first appearance, side a before b."""
     b = B.bouts(spark, sf_dir)
     long = b.select(F.explode(F.array(*[F.struct(F.col("fight_id").alias("ref"), F.lit(k).alias("side"), F.col(c).alias("key")) for k, c in enumerate(("a_id", "b_id"))])).alias("r")).select("r.*")
-    known = table(spark, sf_dir, "customer").filter("c_custkey % 9 = 0").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") * 10).alias("entity"))
+    known = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 9 == 0, F.col("c_custkey")).otherwise(-1 - F.col("c_custkey")).alias("key"), (F.col("c_custkey") * 10).alias("entity"))
     return identity.numbered(long, known)
 
 
-LEDGER_SQL = """led as (select 'p' || fight_id as prediction_id, date as event_date, 'u' || a_id as fighter_a, 'u' || b_id as fighter_b, 'm' || (fight_id % 2) as model_version, case when fight_id % 7 = 0 then 'error' when fight_id % 3 = 0 then 'resolved' else 'pending' end as status from bouts where fight_id % 4 <> 0),
+LEDGER_SQL = """led as (select 'p' || fight_id as prediction_id, date as event_date, 'u' || a_id as fighter_a, case when fight_id % 4 = 0 then 'x' else 'u' end || b_id as fighter_b, 'm' || (fight_id % 2) as model_version, case when fight_id % 7 = 0 then 'error' when fight_id % 3 = 0 then 'resolved' else 'pending' end as status from bouts),
 new as (select 'n' || fight_id as prediction_id, date as event_date, 'U' || b_id as fighter_a, 'u' || a_id as fighter_b, 'm' || (fight_id % 2) as model_version, case when fight_id % 11 = 0 then 'error' else 'pending' end as status from bouts)"""
 KEY_SQL = "event_date || '|' || least(lower(fighter_a), lower(fighter_b)) || '|' || greatest(lower(fighter_a), lower(fighter_b))"
 
@@ -510,7 +510,7 @@ def _ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     f = F.col("fight_id")
     row = lambda p, a, c, s: b.select(F.concat(F.lit(p), f).alias("prediction_id"), F.col("date").alias("event_date"), a.alias("fighter_a"), c.alias("fighter_b"), F.concat(F.lit("m"), f % 2).alias("model_version"), s.alias("status"), "fight_id")
     u = lambda c, p="u": F.concat(F.lit(p), c)
-    led = row("p", u("a_id"), u("b_id"), F.when(f % 7 == 0, "error").when(f % 3 == 0, "resolved").otherwise("pending")).filter("fight_id % 4 <> 0").drop("fight_id")
+    led = row("p", u("a_id"), F.concat(F.when(f % 4 == 0, "x").otherwise("u"), "b_id"), F.when(f % 7 == 0, "error").when(f % 3 == 0, "resolved").otherwise("pending")).drop("fight_id")  # some sides are spelt otherwise
     new = row("n", u("b_id", "U"), u("a_id"), F.when(f % 11 == 0, "error").otherwise("pending")).drop("fight_id")
     return led, new
 
@@ -526,7 +526,7 @@ def ledger_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {B.BOUTS_SQL}, {LEDGER_SQL}, res as (select date as event_date, 'u' || b_id as fighter_a, 'u' || a_id as fighter_b, case when fight_id % 5 = 0 then 'nobody' when a_won = 1 then 'U' || a_id else 'u' || b_id end as winner, fight_id from bouts where fight_id % 6 <> 0),
+    f"""with {B.BOUTS_SQL}, {LEDGER_SQL}, res as (select date as event_date, case when fight_id % 6 = 0 then 'y' else 'u' end || b_id as fighter_a, 'u' || a_id as fighter_b, case when fight_id % 5 = 0 then 'nobody' when a_won = 1 then 'U' || a_id else 'u' || b_id end as winner, fight_id from bouts),
 g as (select {KEY_SQL} as k, count(*) as n, min(lower(winner)) as w from res group by 1),
 j as (select l.*, g.n, g.w, case when w = lower(fighter_a) then 1 when w = lower(fighter_b) then 0 end as t from led l left join g on g.k = {KEY_SQL})
 select prediction_id, case when status = 'error' then 'error' when status = 'resolved' then 'skipped' when n is null then 'unmatched' when n > 1 then 'ambiguous' when t is null then 'unknown_winner' else 'resolved' end as outcome, case when status = 'pending' and n = 1 then t end as target_a_win from j"""
@@ -537,25 +537,28 @@ def ledger_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.bouts(spark, sf_dir)
     u = lambda c, p="u": F.concat(F.lit(p), c)
     winner = F.when(F.col("fight_id") % 5 == 0, "nobody").when(F.col("a_won") == 1, u("a_id", "U")).otherwise(u("b_id"))
-    results = b.filter("fight_id % 6 <> 0").select(F.col("date").alias("event_date"), u("b_id").alias("fighter_a"), u("a_id").alias("fighter_b"), winner.alias("winner"))
+    results = b.select(F.col("date").alias("event_date"), F.concat(F.when(F.col("fight_id") % 6 == 0, "y").otherwise("u"), "b_id").alias("fighter_a"), u("a_id").alias("fighter_b"), winner.alias("winner"))
     full = led.withColumns({"predicted_probability_a": F.lit(0.6), "target_a_win": F.lit(None).cast("int"), "winner": F.lit(None).cast("string"), "log_loss": F.lit(None).cast("double"), "brier": F.lit(None).cast("double"), "correct_prediction": F.lit(None).cast("int")})
     return ledger.resolve(full, results).select("prediction_id", "outcome", "target_a_win")
 
 
 @query(
-    f"""with {B.BOUTS_SQL}, man as (select date as event_date, 'u' || a_id as fa, 'u' || b_id as fb, least('u' || a_id, 'u' || b_id) || '|' || greatest('u' || a_id, 'u' || b_id) as k, fight_id from bouts where fight_id % 3 <> 0), led as (select date as event_date, least('u' || a_id, 'u' || b_id) || '|' || greatest('u' || a_id, 'u' || b_id) as k, fight_id from bouts where fight_id % 5 <> 0),
-j as (select coalesce(m.event_date, l.event_date) as event_date, l.fight_id as p from man m full outer join led l on l.event_date = m.event_date and l.k = m.k)
-select event_date, count(*) as bouts, count(p) as predicted, case when count(p) = 0 then 'unavailable' when count(p) = count(*) then 'frozen' else 'partial' end as status from j group by event_date"""
+    f"""with {B.BOUTS_SQL}, spelt as (select *, case when fight_id % 3 = 0 then 'x' else 'u' end || b_id as mb, case when fight_id % 5 = 0 then 'y' else 'u' end || b_id as lb from bouts),
+man as (select date as event_date, least('u' || a_id, mb) || '|' || greatest('u' || a_id, mb) as k, case fight_id % 6 when 0 then 1 when 1 then 2 when 2 then 3 when 3 then 4 else 5 end as rank, fight_id from spelt), led as (select date as event_date, least('u' || a_id, lb) || '|' || greatest('u' || a_id, lb) as k, fight_id from spelt),
+j as (select coalesce(m.event_date, l.event_date) as event_date, l.fight_id as p, m.rank from man m full outer join led l on l.event_date = m.event_date and l.k = m.k)
+select event_date, count(*) as bouts, count(p) as predicted, count(case when rank <= 2 then 1 end) as on_main, min(coalesce(rank, 5)) as first_rank, case when count(p) = 0 then 'unavailable' when count(p) = count(*) then 'frozen' else 'partial' end as status from j group by event_date"""
 )
 def card_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRV-01, JOIN-12, SRT-09: manifest and ledger, full outer, nested per event."""
     b = B.bouts(spark, sf_dir)
     u = lambda c: F.concat(F.lit("u"), c)
     base = b.select(F.col("date").alias("event_date"), F.lit("e").alias("event_name"), u("a_id").alias("fighter_a"), u("b_id").alias("fighter_b"), "fight_id")
-    manifest = base.filter("fight_id % 3 <> 0").withColumn("bout_order", F.col("fight_id").cast("int")).drop("fight_id")
-    led = base.filter("fight_id % 5 <> 0").withColumns({"predicted_probability_a": F.lit(0.6), "prediction_batch_id": F.lit("b"), "prediction_timestamp_utc": F.lit("t")}).drop("fight_id")
+    spelt = lambda k, x: F.concat(F.when(F.col("fight_id") % k == 0, x).otherwise("u"), F.substring("fighter_b", 2, 20))
+    section = F.get(F.array(*map(F.lit, (*ledger.SECTIONS, "fight_card", ""))), F.col("fight_id") % 6)
+    manifest = base.withColumns({"bout_order": F.col("fight_id").cast("int"), "fighter_b": spelt(3, "x"), "card_section": section}).drop("fight_id")
+    led = base.withColumn("fighter_b", spelt(5, "y")).withColumns({"predicted_probability_a": F.lit(0.6), "prediction_batch_id": F.lit("b"), "prediction_timestamp_utc": F.lit("t")}).drop("fight_id")
     view = ledger.card_view(manifest, led)
-    return view.select("event_date", F.size("bouts").cast("long").alias("bouts"), F.size(F.filter("bouts", lambda x: x["probability_a"].isNotNull())).cast("long").alias("predicted"), "status")
+    return view.select("event_date", F.size("bouts").cast("long").alias("bouts"), F.size(F.filter("bouts", lambda x: x["probability_a"].isNotNull())).cast("long").alias("predicted"), F.size(F.filter("bouts", lambda x: x["section_rank"] <= 2)).cast("long").alias("on_main"), F.get("bouts", 0)["section_rank"].alias("first_rank"), "status")
 
 
 @query(
@@ -570,7 +573,7 @@ def late_data_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with f as (select 'u' || o_orderkey as url, 'n' || (o_orderkey % 900) as name_key, (o_orderkey % 13) as bouts from orders where o_orderkey % 2 = 0), s as (select case when o_orderkey % 3 = 0 then 'u' || o_orderkey end as url, 'n' || (o_orderkey % 900) as name_key, (o_orderkey % 11) as bouts from orders where o_orderkey % 5 = 0),
+    """with f as (select case when o_orderkey % 2 = 0 then 'u' else 'w' end || o_orderkey as url, 'n' || (o_orderkey % 900) as name_key, (o_orderkey % 13) as bouts from orders), s as (select case o_orderkey % 3 when 0 then 'u' || o_orderkey when 1 then 'v' || o_orderkey end as url, case when o_orderkey % 5 = 0 then 'n' || (o_orderkey % 900) else 'q' || (o_orderkey % 700) end as name_key, (o_orderkey % 11) as bouts from orders),
 u as (select url, max(bouts) as ub from s where url is not null group by url), n as (select name_key, count(*) as c, max(bouts) as nb from s group by name_key), j as (select f.*, ub, c, coalesce(ub, case when c = 1 then nb end) as held from f left join u using (url) left join n using (name_key))
 select url, name_key, bouts, held as stored_bouts, case when ub is null and c > 1 then 'ambiguous' when held is null then 'missing' when held < bouts then 'stale' else 'current' end as status from j"""
 )
@@ -578,8 +581,9 @@ def update_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """INC-07, JOIN-17: fetched against stored, by URL and then by name."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    fetched = o.filter(k % 2 == 0).select(F.concat(F.lit("u"), k).alias("url"), F.concat(F.lit("n"), k % 900).alias("name_key"), (k % 13).alias("bouts"))
-    stored = o.filter(k % 5 == 0).select(F.when(k % 3 == 0, F.concat(F.lit("u"), k)).alias("url"), F.concat(F.lit("n"), k % 900).alias("name_key"), (k % 11).alias("bouts"))
+    name = lambda x, n: F.concat(F.lit(x), k % n)
+    fetched = o.select(F.concat(F.when(k % 2 == 0, "u").otherwise("w"), k).alias("url"), name("n", 900).alias("name_key"), (k % 13).alias("bouts"))
+    stored = o.select(F.when(k % 3 == 0, F.concat(F.lit("u"), k)).when(k % 3 == 1, F.concat(F.lit("v"), k)).alias("url"), F.when(k % 5 == 0, name("n", 900)).otherwise(name("q", 700)).alias("name_key"), (k % 11).alias("bouts"))
     return ledger.compare(fetched, stored)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,3 +19,17 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, na
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` stored in the cluster's shared checkpoint folder, so that its lineage ends at files that survive a lost executor.
+
+    Only a local session without ``spark.checkpoint.dir`` gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="contestkit-cut-"))
+    return df.checkpoint()

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contestkit.functions.text import METHODS
+
 EVENT_ROW = "array<struct<name:string,url:string,date_text:string>>"
 BOUT_ROW = "array<struct<url:string,result:string,fighter_a:string,fighter_b:string,winner:string,kd:string,strikes:string,takedowns:string,subs:string,weight_class:string,method:string,round:string,time:string>>"
 _TAG = re.compile(r"<[^>]+>")
@@ -18,22 +20,36 @@ def _text(part: str) -> str:
     return " ".join(html.unescape(_TAG.sub(" ", part)).split())
 
 
-def classify(page: str | None) -> str:
-    """One of empty, challenge, event_details, events_list, fight_details, fighter_details, unknown; by content."""
-    if not page or not page.strip():
-        return "empty"
-    low = page.lower()
-    if "just a moment" in low or "cf-challenge" in low or "checking your browser" in low:
-        return "challenge"
-    if "data-link=" in low and "b-content__title-highlight" in low:
-        return "event_details"
-    if "event-details/" in low and ("b-statistics__table-events" in low or "b-statistics__date" in low):
-        return "events_list"
-    if "b-fight-details" in low:
-        return "fight_details"
-    if "b-list__info-box" in low or "fighter-details/" in low and "b-content__title-record" in low:
-        return "fighter_details"
-    return "unknown"
+#: What a page holds that stops a browser, tells a listing, or describes a competitor; and how far down the saved address stands.
+CHALLENGES = ("checking your browser", "this site requires javascript", "enable javascript")
+COMPETITOR = ("stance:", "record:", "b-list__info-box", "career statistics", "date of birth")
+SAVED_WITHIN = 1000
+
+
+def classify(page: str | None, file_name: str | None = None) -> str:
+    """One of browser_challenge, completed_events, upcoming_events, event_detail, fighter_detail, events_list, unknown; by content (SRC-16).
+
+    A page of events is a table of events or three links to some; a page saved from the upcoming list's address is one of upcoming events.
+    A page that came from an event's address, or that has a title and bouts, is an event if both can be read off.
+    """
+    low = (page or "").lower()
+    saved = low[:SAVED_WITHIN]
+    if any(c in low for c in CHALLENGES):
+        return "browser_challenge"
+    bout_table = "b-fight-details__table" in low
+    if not bout_table and ("b-statistics__table-events" in low or low.count("event-details/") >= 3):
+        return "upcoming_events" if "statistics/events/upcoming" in saved and "statistics/events/completed" not in saved else "completed_events"
+    titled = "b-content__title-highlight" in low
+    bouts = titled and (bout_table or "fight-details/" in low)
+    named = bool(re.fullmatch(r"event_[a-zA-Z0-9]+\.html", file_name or ""))
+    if (bouts or named or "event-details/" in saved) and event_header(page)["title"] and event_bouts(page):
+        return "event_detail"
+    about = any(c in low for c in COMPETITOR)
+    labels = {
+        "fighter_detail": "fighter-details/" in saved or about and "fighter-details" in low and not titled,
+        "event_detail": bouts, "fighter_detail ": about, "events_list": "event-details/" in low,
+    }
+    return next((label.strip() for label, holds in labels.items() if holds), "unknown")
 
 
 def events_list(page: str | None) -> list[dict]:
@@ -69,6 +85,52 @@ def event_header(page: str | None) -> dict:
     return {"title": _text(title[1]) if title else None, "date_text": item("Date"), "location": item("Location")}
 
 
+DETAIL_SIDE = "struct<name:string,url:string,fighter_id:string,knockdowns:int,sig_str_landed:int,td_landed:int,sub_attempts:int>"
+DETAIL_ROW = (
+    f"array<struct<row_index:int,fight_id:string,url:string,blocked:boolean,result:string,a:{DETAIL_SIDE},b:{DETAIL_SIDE},winner:string,completed:boolean,weight_class:string,method:string,method_detail:string,round:int,time:string,minutes:double>>"
+)
+#: Results of bouts that took place. Fixed values.
+_ENDED = ("win", "draw", "nc", "no contest")
+_BOUT = re.compile(r'<tr[^>]*data-link="([^"]*fight-details/([^"/?]+)[^"]*)"[^>]*>(.*?)(?=<tr[^>]*data-link=|</tbody>|\Z)', re.DOTALL | re.IGNORECASE)
+_SIDE = re.compile(r'<a[^>]*href="([^"]*fighter-details/([^"/?]+)[^"]*)"[^>]*>(.*?)</a>', re.DOTALL | re.IGNORECASE)
+
+
+def _number(text: str | None) -> int | None:
+    return int(m[0]) if (m := re.search(r"\d+", text or "")) else None
+
+
+def event_details(page: str | None) -> list[dict]:
+    """Bouts of an event's page with typed cells (SRC-19): paired counts from the third to the sixth cell, then class, method, round and time.
+
+    A row without two competitors is blocked and holds its address only. Of the two, the first won if the flag says so.
+    """
+    out = []
+    for k, m in enumerate(_BOUT.finditer(page or ""), 1):
+        sides = [(_text(n), u.strip(), i) for u, i, n in _SIDE.findall(m[3]) if _text(n)]
+        row = dict.fromkeys(("result", "a", "b", "winner", "completed", "weight_class", "method", "method_detail", "round", "time", "minutes"))
+        row |= {"row_index": k, "fight_id": m[2], "url": m[1], "blocked": len(sides) < 2}
+        out.append(row)
+        if len(sides) < 2:
+            continue
+        cells = [[t for t in map(_text, re.findall(r"<p[^>]*>(.*?)</p>", c, re.DOTALL | re.IGNORECASE)) if t] or [_text(c)] for c in re.findall(r"<td[^>]*>(.*?)</td>", m[3], re.DOTALL | re.IGNORECASE)]
+        cell = lambda at: cells[at] if at < len(cells) and any(cells[at]) else []  # noqa: E731, B023
+        one = lambda at: " ".join(cell(at)) or None  # noqa: E731, B023
+        flag = re.search(r"b-flag__text[^>]*>([^<]*)", m[3])
+        result = _text(flag[1]).lower() or None if flag else None
+        for side, at in (("a", 0), ("b", 1)):
+            name, url, key = sides[at]
+            counts = [_number(cell(c)[at]) if len(cell(c)) > 1 else None for c in range(2, 6)]
+            row[side] = dict(zip(("name", "url", "fighter_id", "knockdowns", "sig_str_landed", "td_landed", "sub_attempts"), (name, url, key, *counts), strict=True))
+        last, clock = _number(one(8)), re.fullmatch(r"(\d+):(\d\d)", one(9) or "")
+        method = cell(7)
+        row |= {
+            "result": result, "winner": sides[0][0] if result == "win" else None, "completed": result in _ENDED, "weight_class": one(6), "round": last, "time": one(9),
+            "method": METHODS.get(method[0], method[0]) if method else None, "method_detail": " / ".join(method[1:]) or None,
+            "minutes": (last - 1) * 5 + int(clock[1]) + int(clock[2]) / 60 if last and clock else None,
+        }
+    return out
+
+
 def _udf(f, kind: str):  # noqa: ANN001, ANN202
     def of(pages: pd.Series) -> pd.Series:
         return pages.map(f)
@@ -79,6 +141,7 @@ def _udf(f, kind: str):  # noqa: ANN001, ANN202
 page_type = _udf(classify, "string")
 listed_events = _udf(events_list, EVENT_ROW)
 listed_bouts = _udf(event_bouts, BOUT_ROW)
+detailed_bouts = _udf(event_details, DETAIL_ROW)
 
 
 def header(pages: DataFrame) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Sources and sinks of flat data (SRC-01 to SRC-11, SNK-01 to SNK-08)."""
+"""Sources and sinks of flat data (SRC-01 to SRC-09, SRC-11 to SRC-13, SNK-01 to SNK-07, HSH-05)."""
 
 from __future__ import annotations
 
+import json
+import posixpath
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,16 +138,20 @@ def match_stats(wide: DataFrame, fights: DataFrame) -> DataFrame:
     return keep_first(rows.withColumn("back", -F.col("row_id")), ("fight_id", "entity"), ("back",)).drop("back", "row_id")
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet table is stored there."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def append_new(rows: DataFrame, path: str, keys: tuple[str, ...], on_conflict: str = "ignore") -> int:
     """Appends the rows whose keys the Parquet table lacks; files already written never change (SNK-02, SNK-05)."""
-    from pyspark.errors import AnalysisException
-
     spark = rows.sparkSession
     once = rows.dropDuplicates(list(keys))
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException:
-        stored = None
+    stored = spark.read.parquet(path) if there(spark, path) else None
     new = once if stored is None else once.join(stored.select(*keys), list(keys), "left_anti")
     if on_conflict == "error" and stored is not None and once.join(stored.select(*keys), list(keys), "left_semi").take(1):
         raise ValueError("a key is already stored")
@@ -150,17 +159,115 @@ def append_new(rows: DataFrame, path: str, keys: tuple[str, ...], on_conflict: s
     return spark.read.parquet(path).count()
 
 
-def promote(staged: DataFrame, target: str, checks: dict[str, Column]) -> str:
-    """Writes to a version of its own and, if all checks hold for all rows, returns its path; older versions stay (SNK-06, SNK-07)."""
-    path = f"{target.rstrip('/')}/version={uuid.uuid4().hex}"
+def read_only(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table's rows, with no way to write them back (SRC-12): a path that holds nothing is an error, never begun."""
+    if not there(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.parquet(path)
+
+
+def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The parsed documents of JSON files, one row a file (SRC-13); a file that is no JSON is an error that names it."""
+    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    if bad := [r["path"] for r in texts.filter(F.try_parse_json("value").isNull()).select("path").take(3)]:
+        raise ValueError(f"no JSON: {bad}")
+    return texts.select("path", F.from_json("value", schema).alias("document"))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_bytes, md5, sha256) of the files below ``path`` (HSH-05); executors read them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.col("length").alias("n_bytes"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+
+
+def tree_digest(spark: SparkSession, path: str) -> str | None:
+    """One digest of a folder: of its files' digests, in order, names aside; null for none."""
+    each = digests(spark, path).agg(F.array_join(F.array_sort(F.collect_list("sha256")), "|").alias("all"))  # one short text a file
+    return each.select(F.when(F.col("all") != "", F.sha2("all", 256)).alias("d")).first()["d"]
+
+
+def outside(path: str, protected: tuple[str, ...]) -> str:
+    """``path``, if it lies neither in nor above a protected folder (SNK-07)."""
+    norm = lambda p: posixpath.normpath(re.sub(r"^file:/+", "/", p)) + "/"
+    if clash := [p for p in protected if norm(path).startswith(norm(p)) or norm(p).startswith(norm(path))]:
+        raise ValueError(f"{path} would touch protected {clash}")
+    return path
+
+
+def rebuild(rows: DataFrame, path: str, protected: tuple[str, ...]) -> DataFrame:
+    """Writes a rebuilt table beside the official ones: never into a protected folder, never over anything (SNK-07). The rows as stored."""
+    rows.write.mode("errorifexists").parquet(outside(path, protected))
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def current(spark: SparkSession, target: str) -> str | None:
+    """The version that readers of ``target`` see: the newest entry of its log."""
+    if not there(spark, f"{target}/log"):
+        return None
+    return spark.read.parquet(f"{target}/log").agg(F.max_by("path", "number")).first()[0]
+
+
+def promote(staged: DataFrame, target: str, checks: dict[str, Column], after: Callable[[DataFrame], bool] | None = None) -> str:
+    """Makes ``staged`` the current version of ``target`` (SNK-06); returns its path.
+
+    The rows go to a version of their own; all checks must hold for all rows, and what is stored must hold as many rows with the
+    same digest as ``staged``. Only then does a log entry point readers to it. The version before is never touched and so is the
+    backup: if ``after``, which sees the rows as readers do, is not true, an entry for that version is added and the error raised.
+    """
+    spark, target = staged.sparkSession, target.rstrip("/")
+    before = current(spark, target)
+    path = f"{target}/version={uuid.uuid4().hex}"
     staged.write.mode("errorifexists").parquet(path)
-    written = staged.sparkSession.read.schema(staged.schema).parquet(path)
+    written = spark.read.schema(staged.schema).parquet(path)
     failed = written.agg(*[F.count(F.when(~F.coalesce(c, F.lit(False)), 1)).alias(n) for n, c in checks.items()]).first().asDict() if checks else {}
     if bad := {n: k for n, k in failed.items() if k}:
         raise ValueError(f"not promoted, {path} stays aside: {bad}")
+    whole = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)"))).first()
+    if whole(written) != whole(staged):
+        raise ValueError(f"not promoted, {path} differs from what was to be written")
+    _point(spark, target, path)
+    if after is not None and not after(spark.read.schema(staged.schema).parquet(current(spark, target))):
+        _point(spark, target, before)
+        raise ValueError(f"{path} failed after promotion; {'back to ' + before if before else 'nothing to go back to'}")
     return path
 
 
+def _point(spark: SparkSession, target: str, path: str | None) -> None:
+    number = (spark.read.parquet(f"{target}/log").agg(F.max("number")).first()[0] + 1) if there(spark, f"{target}/log") else 0
+    spark.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("append").parquet(f"{target}/log")
+
+
+def write_report(report: dict, folder: str | Path, name: str) -> tuple[Path, Path]:
+    """A report of collected figures as JSON and as Markdown (SNK-03): scalars as a list, lists of rows as tables, the rest nested."""
+    folder = Path(folder)
+    folder.mkdir(parents=True, exist_ok=True)
+    files = folder / f"{name}.json", folder / f"{name}.md"
+    files[0].write_text(json.dumps(report, indent=2, sort_keys=True, default=str, allow_nan=False), encoding="utf-8")
+    files[1].write_text("\n".join(_markdown(name, report, 1)) + "\n", encoding="utf-8")
+    return files
+
+
+def _markdown(title: str, part: object, level: int) -> Iterator[str]:
+    yield f"{'#' * min(level, 6)} {title}\n"
+    if isinstance(part, dict):
+        flat = {k: v for k, v in part.items() if not isinstance(v, dict | list)}
+        yield from [f"- **{k}**: {v}" for k, v in flat.items()]
+        yield ""
+        for k, v in part.items():
+            if k not in flat:
+                yield from _markdown(k, v, level + 1)
+    elif part and all(isinstance(r, dict) for r in part):
+        columns = list(dict.fromkeys(k for r in part for k in r))
+        cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
+        yield "| " + " | ".join(columns) + " |"
+        yield "|" + "---|" * len(columns)
+        yield from ["| " + " | ".join(cell(r.get(c)) for c in columns) + " |" for r in part]
+        yield ""
+    else:
+        yield from [f"- {v}" for v in part]
+        yield ""
+
+
 def archive_key(payload: Column) -> Column:
     """Content address of a canonical JSON text (SNK-04)."""
     return F.sha2(payload, 256)

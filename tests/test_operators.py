@@ -1,4 +1,5 @@
 import random
+import shutil
 from datetime import date, timedelta
 
 import pytest
@@ -62,7 +63,7 @@ def test_guards(spark):
     with pytest.raises(ValueError, match="'x'"):
         filters.numeric_or_fail(rows, ["a"])
     card = spark.createDataFrame([("2026-01-01", "A", "a"), ("bad", "", "B")], "event_date string, fighter_a string, fighter_b string")
-    assert [r["reasons"] for r in filters.row_reasons(card, filters.matchup_checks()).collect()] == [["same_name"], ["bad_date", "empty_name"]]
+    assert [r["reasons"] for r in filters.row_reasons(card, filters.bout_checks()).collect()] == [["same_name"], ["bad_date", "empty_a"]]
     assert filters.schema_parity(rows, rows.select("b", "a"), "a") == {"only_new": [], "only_old": [], "same_order": False, "keys_only_new": 0, "keys_only_old": 0}
 
 
@@ -107,13 +108,13 @@ EVENT = """<h2><span class="b-content__title-highlight"> Event 1 </span></h2><li
 
 def test_pages(spark):
     listing = '<table class="b-statistics__table-events"><a href="http://x/event-details/1"> Event 1 </a><span class="b-statistics__date">January 05, 2020</span></table>'
-    assert [pages.classify(x) for x in (None, EVENT, listing, "<p>Just a moment...</p>", "<p>x</p>")] == ["empty", "event_details", "events_list", "challenge", "unknown"]
+    assert [pages.classify(x) for x in (None, EVENT, listing, "<p>Checking your browser</p>", "<p>x</p>")] == ["unknown", "event_detail", "completed_events", "browser_challenge", "unknown"]
     df = spark.createDataFrame([("e", EVENT), ("l", listing)], "path string, html string")
     (bout,) = df.filter("path = 'e'").select(pages.listed_bouts("html").alias("b")).first()["b"]
     assert (bout["winner"], bout["strikes"], bout["method"], bout["time"]) == ("A One", "20 | 10", "SUB | Choke", "1:30")
     assert df.filter("path = 'l'").select(pages.listed_events("html").alias("e")).first()["e"][0]["date_text"] == "January 05, 2020"
     assert pages.header(df.filter("path = 'e'")).first()["header"].asDict() == {"title": "Event 1", "date_text": "January 05, 2020", "location": "X, Y"}
-    assert {r["page_type"]: r["bouts"] for r in pages.inventory(df).collect()} == {"event_details": 1, "events_list": 0}
+    assert {r["page_type"]: r["bouts"] for r in pages.inventory(df).collect()} == {"event_detail": 1, "completed_events": 0}
 
 
 def test_identity(spark):
@@ -240,7 +241,14 @@ def test_streaming(spark, tmp_path):
     batch = spark.createDataFrame([(2, date(2020, 1, 9)), (3, date(2020, 1, 10))], bout)
     gate(batch, 0)
     gate(batch, 0)
-    assert spark.read.parquet(f"{tmp_path}/ok").count() == 1 and spark.read.parquet(f"{tmp_path}/late").count() == 1
+    stored = lambda name: sorted(r["fight_id"] for r in spark.read.parquet(f"{tmp_path}/{name}").collect())
+    assert stored("ok") == [3] and stored("late") == [2]
+    shutil.rmtree(f"{tmp_path}/ok/batch=0")  # the job died before the second write
+    gate(batch, 0)
+    assert stored("ok") == [3] and stored("late") == [2]
+    gate(spark.createDataFrame([(3, date(2020, 1, 10)), (4, date(2020, 1, 12)), (5, date(2020, 1, 10))], bout), 1)
+    gate(spark.createDataFrame([(6, date(2020, 1, 11)), (4, date(2020, 1, 12)), (7, date(2020, 1, 12))], bout), 2)
+    assert stored("ok") == [3, 4, 5, 7] and stored("late") == [2, 6]
 
 
 def test_matchup_labels(spark):
