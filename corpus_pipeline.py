@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet to the shared
 folder and rereads it as the next stage's docs. All but the last return the columns of documents.
+
+Every stage judges each row by its own text: a null or repeated doc_id changes no decision, but that of equal rows of a group the
+smallest doc_id stays. Null texts count as empty: they are clean of toxicity, benchmark and secrets, are near copies of each other and of
+blank texts, and pack as one piece. Of rows equal in every column the near-dedup keeps one. An empty table passes every stage
+as one. Extra columns stay until the last stage.
 """
 
 from __future__ import annotations
@@ -15,22 +20,22 @@ from contestkit.llm.common import stash
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under the threshold; the model learns from all labels."""
+    """Documents whose toxicity is under the threshold; the model learns from all labels. Repeated rows stay or go together."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates, the one with the smallest doc_id (null last, ties by a hash of the row)."""
     return simhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents whose own text holds no passage of the benchmark; rows with a null doc_id are judged as well."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by its kind in brackets."""
+    """All documents, each secret replaced by its kind in brackets; n_chars follows, null texts stay null."""
     return secrets.redact(docs)
 
 
