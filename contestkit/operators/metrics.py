@@ -13,6 +13,10 @@ EIGHTHS = (0.00, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 1.00)
 CONFIDENCE = (0.50, 0.60, 0.70, 0.80, 1.00)
 
 
+#: Ranges of probabilities whose distinct values one task orders.
+AUC_RANGES = 256
+
+
 def summary(clipped: bool = False) -> list[Column]:
     """Count, accuracy at p >= 0.5, log loss, Brier score, mean p and mean y, as aggregates."""
     p, y = (clip(F.col("p")) if clipped else F.col("p")), F.col("y")
@@ -27,11 +31,13 @@ def evaluate(rows: DataFrame, by: tuple[str, ...] = (), clipped: bool = False) -
 def auc(rows: DataFrame) -> DataFrame:
     """Area under the curve with ties at half; null for a single class.
 
-    Counts per distinct p come first, so the ordered pass sees distinct values only; ranges of p are summed apart and
-    brought together by a small prefix sum, so no task holds all of them.
+    Counts per distinct p come first, so the ordered pass sees distinct values only; ranges of p between its quantiles are summed apart
+    and brought together by a small prefix sum, so no task holds all of them, however p is spread.
     """
-    ties = rows.groupBy("p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")).withColumn("part", F.floor(F.col("p") * 1024))
-    parts = ties.groupBy("part").agg(F.sum("neg").alias("neg_in_part"))  # at most 1025 rows
+    cuts = rows.agg(F.percentile_approx("p", [k / AUC_RANGES for k in range(1, AUC_RANGES)], 10 * AUC_RANGES)).first()[0] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col("p"))) if cuts else F.lit(0)
+    ties = rows.groupBy("p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")).withColumn("part", at)
+    parts = ties.groupBy("part").agg(F.sum("neg").alias("neg_in_part"))  # at most AUC_RANGES rows
     lower = F.coalesce(F.sum("neg_in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     ranked = ties.join(F.broadcast(parts.select("part", lower.alias("neg_lower"))), "part")
     within = F.coalesce(F.sum("neg").over(Window.partitionBy("part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

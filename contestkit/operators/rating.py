@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,19 +29,20 @@ def elo(bouts: DataFrame, k: float = K, start: float = START, component: str | N
         part = None
         names = [f.split()[0] for f in SNAPSHOT.split(", ")]
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "fight_id", "date", "a_id", "b_id", "a_won")]
-            out = []
-            for c, fight, date, a, b, won in zip(*columns, strict=True):
+            if not batch.num_rows:
+                continue
+            a_pre, b_pre, expected, a_post, b_post = out = [], [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("component", "a_id", "b_id", "a_won")]
+            for c, a, b, won in zip(*columns, strict=True):
                 if c != part:
                     part, ratings = c, dict(given)
                 ra, rb = ratings.get(a, start), ratings.get(b, start)
                 ea = 1.0 / (1.0 + 10.0 ** ((rb - ra) / 400.0))
-                change = k * (won - ea)
-                ratings[a], ratings[b] = ra + change, rb + k * ((1 - won) - (1.0 - ea))
-                out.append((fight, date, a, b, won, ra, rb, ea, 1.0 - ea, ratings[a], ratings[b], ra - rb))
-            if out:
-                kinds = [pa.int64(), pa.date32(), pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                ratings[a], ratings[b] = na, nb = ra + k * (won - ea), rb + k * ((1 - won) - (1.0 - ea))
+                a_pre.append(ra), b_pre.append(rb), expected.append(ea), a_post.append(na), b_post.append(nb)
+            ra, rb, ea, na, nb = map(np.array, out)
+            rest = [pa.array(x) for x in (ra, rb, ea, 1.0 - ea, na, nb, ra - rb)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), *rest], names=names)
 
     part = F.col(component).cast("string") if component else F.lit("all")
     rows = bouts.select(part.alias("component"), "fight_id", "date", "a_id", "b_id", F.col("a_won").cast("int").alias("a_won"))
