@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of two numbers that are broadcast at most: about 32 MB.
+BROADCAST_ROWS = 1_000_000
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -58,6 +61,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast if it is counted and within the bound; beyond it, a plain side of a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a ``stash`` that nothing reads any more."""
     jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession

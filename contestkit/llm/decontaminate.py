@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestkit.llm.common import pick, stash
+from contestkit.llm.common import pick, small, stash
 
 #: Offsets of the words that each mask reads. Of 12 words in a row any two may differ and one of the first three
 #: masks still fits between them; of 10 words, one of the second five. So no overlap is lost.
@@ -159,9 +159,11 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     text = F.col(f"c{columns.index('text')}")
-    rows = pick(docs, "text").select(F.sha2("text", 256).alias("key"), words(F.col("text")).alias("w")).select("key", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    bad = stash(_found(rows, _items(benchmark)[0]).select(F.col("key").alias("bad")).distinct(), "contaminated")
-    return plain.join(bad, F.sha2(text, 256) == F.col("bad"), "left_anti").toDF(*columns)
+    key = lambda x: F.struct(F.xxhash64(x).alias("k1"), F.xxhash64(x, F.lit(1)).alias("k2"))  # noqa: E731  128 bits of the text
+    rows = pick(docs, "text").select(key("text").alias("key"), words(F.col("text")).alias("w")).select("key", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
+    bad = small(stash(_found(rows, _items(benchmark)[0]).select("key.k1", "key.k2").distinct(), "contaminated"))
+    marked = plain.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(text, F.lit(1))})
+    return marked.join(bad, ["k1", "k2"], "left_anti").select(*plain.columns).toDF(*columns)
 
 
 def oracle() -> str:

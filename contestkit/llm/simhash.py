@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestkit.llm.common import chunks, pick, stash
+from contestkit.llm.common import pick, small, stash
 from contestkit.llm.graph import components
 
 SHINGLE = 3
@@ -251,12 +251,14 @@ def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "m1", "m2")
     first = prints.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     chosen = stash(first.join(with_components(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.m1", "first.m2"), "kept")
-    again = prints.groupBy("m1", "m2").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = stash(again.join(chosen, ["m1", "m2"], "left_semi").select("m1", "m2"), "repeated")
-    kept = keyed.join(chosen, ["m1", "m2"], "left_semi")
+    counted = prints.groupBy("m1", "m2").agg(F.count("*").alias("n")).join(chosen.withColumn("stays", F.lit(True)), ["m1", "m2"], "left")
+    dropped = stash(counted.filter("stays is null").select("m1", "m2"), "dropped")
+    repeated = stash(counted.filter("stays and n > 1").select("m1", "m2"), "repeated")
+    kept = keyed.join(small(dropped), ["m1", "m2"], "left_anti")
     names = plain.columns
     if not repeated.take(1):
         return kept.select(*names).toDF(*columns)
+    repeated = small(repeated)
     once = kept.join(repeated, ["m1", "m2"], "left_anti")
     equal = kept.join(repeated, ["m1", "m2"], "left_semi").dropDuplicates(["m1", "m2"])
     return once.select(*names).union(equal.select(*names)).toDF(*columns)
