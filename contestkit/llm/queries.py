@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestkit.llm import decontaminate, html, langid, neighbours, packing, quality, secrets, simhash, toxicity, urls
+from contestkit.llm import archives, decontaminate, html, langid, neighbours, packing, periods, quality, secrets, simhash, toxicity, urls, whitening
 from contestkit.llm.common import pick
 
 
@@ -85,5 +85,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_toxic_segments, op3_secret_scan, op4_html_extraction, op5_nearest_neighbours, op6_language_mixture, op7_importance_resampling, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which repeat a unit to the end."""
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = docs.select("doc_id", periods.periodic_runs()(periods.planted(F.col("text"), F.col("doc_id"))).alias("t"))
+    found = found.select("doc_id", "t.runs", "t.kept", periods.strongest(F.col("t.runs")).alias("top"))
+    exponent = F.floor(F.lit(1000) * F.col("top.length") / F.col("top.period")).cast("long")
+    digests = F.sha2(periods.runs_text(F.col("runs")), 256).alias("runs_sha256"), F.sha2("kept", 256).alias("collapsed_sha256")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", exponent.alias("exponent_milli"), *digests)
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.by_component(*whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record of every page in WARC archives that are converted from ARC archives and read back."""
+    return archives.archived_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_toxic_segments, op3_secret_scan, op4_html_extraction, op5_nearest_neighbours, op6_language_mixture, op7_importance_resampling, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing, op11_periodic_runs, op12_embedding_whitening, op13_warc)}
 ORACLES: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.oracle()}
