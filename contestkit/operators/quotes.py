@@ -37,9 +37,39 @@ BOOKS = (
 )
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    """One row per provider key; a fixed dimension of a few rows."""
-    return spark.createDataFrame([(alias, key, venue, ok, broad, sharp) for key, venue, ok, broad, sharp, aliases in BOOKS for alias in aliases], "provider_key string, book string, venue_type string, approved boolean, broad boolean, sharp boolean")
+#: Sources that are no sportsbooks, by venue type. Fixed values.
+EXCLUDED = (
+    ("prediction_market", ("kalshi", "polymarket")),
+    ("exchange", ("betfair_ex", "betfair_exchange", "matchbook", "smarkets")),
+    ("peer_to_peer", ("sporttrade", "prophet_exchange")),
+    ("daily_fantasy", ("prizepicks", "underdog", "underdog_fantasy", "sleeper", "sleeper_picks")),
+    ("sweepstakes", ("fliff",)),
+)
+
+
+def source_key(raw: Column) -> Column:
+    """A provider's key as the registry has it: without outer blanks, in lower case; display names mean nothing."""
+    return F.lower(F.trim(raw))
+
+
+def registry(spark: SparkSession, overrides: tuple[str, ...] = ()) -> DataFrame:
+    """One row per provider key, canonical keys and excluded sources included; a fixed dimension of a few rows (ODD-01).
+
+    ``overrides`` are canonical keys of books that count as approved although they are pending. Excluded sources have a venue type and no book.
+    """
+    listed = [(alias, key, venue, ok or key in overrides, broad, sharp) for key, venue, ok, broad, sharp, aliases in BOOKS for alias in dict.fromkeys((key, *aliases))]
+    barred = [(key, None, venue, False, False, False) for venue, keys in EXCLUDED for key in keys]
+    return spark.createDataFrame(listed + barred, "provider_key string, book string, venue_type string, approved boolean, broad boolean, sharp boolean")
+
+
+def resolved(rows: DataFrame, books: DataFrame) -> DataFrame:
+    """``rows`` (provider_key) with book, venue_type (``unknown`` without an entry), approved, broad, sharp and ``source_reason``, which tells why it is not approved."""
+    known = books.withColumnRenamed("provider_key", "_key")
+    joined = rows.join(F.broadcast(known), source_key(F.col("provider_key")) == F.col("_key"), "left").drop("_key")  # a fixed dimension
+    venue = F.coalesce("venue_type", F.lit("unknown"))
+    reason = F.when(venue == "unknown", "unknown provider source").when(venue != "sportsbook", F.concat(F.lit("venue type "), venue, F.lit(" is prohibited"))).when(~F.col("approved"), "sportsbook is pending provider confirmation and is not approved")
+    flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("approved", "broad", "sharp")}
+    return joined.withColumns({"source_reason": reason, "venue_type": venue, **flags})
 
 
 def flatten(events: DataFrame) -> DataFrame:
@@ -56,14 +86,14 @@ def flatten(events: DataFrame) -> DataFrame:
 
 
 def normalized(markets: DataFrame, books: DataFrame) -> DataFrame:
-    """Adds the book's registry entry and status: the first failed check, else normalized (FLT-20)."""
-    joined = markets.join(F.broadcast(books), "provider_key", "left")  # a fixed dimension
+    """Adds the book's registry entry and status: the first failed check, else normalized (FLT-20). Pending books that an override approves come with ``registry``."""
+    joined = resolved(markets, books)
     status = first_reason({
         "rejected_schema": F.col("outcomes").isNull(),
         "rejected_invalid_timestamp": F.col("observed").isNull() | F.col("starts").isNull(),
         "rejected_unsupported_market": F.coalesce(F.col("market_type") != "h2h", F.lit(True)),
         "rejected_cancelled_bout": F.coalesce(F.col("event_status").isin("cancelled", "canceled"), F.lit(False)),
-        "rejected_unknown": F.col("venue_type").isNull(),
+        "rejected_unknown": F.col("venue_type") == "unknown",
         "rejected_prohibited_venue": F.col("venue_type") != "sportsbook",
         "rejected_unapproved_sportsbook": ~F.col("approved"),
         "rejected_live_market": ~F.col("pre_fight"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 BAND = 0.002
 #: Fixed values of single rules: folds to win, Brier tolerance, interactions that are many, agreement of reproduced figures.
@@ -37,25 +38,52 @@ def include_interactions(gain: float, folds_won: int, stable: Iterable[str], ban
     return (gain > band or folds_won >= FOLDS_TO_WIN) and any(True for _ in stable)
 
 
+@dataclass(frozen=True)
+class Duel:
+    """A model beside another, by their losses; a figure that either lacks decides nothing."""
+
+    model: dict
+    other: dict
+
+    @property
+    def same(self) -> bool:
+        return self.model["name"] == self.other["name"]
+
+    def lead(self, figure: str) -> float | None:
+        """By how much the model's figure is lower."""
+        own, theirs = self.model.get(figure), self.other.get(figure)
+        return None if own is None or theirs is None else theirs - own
+
+    def wins(self, figure: str, by: float) -> bool:
+        lead = self.lead(figure)
+        return lead is not None and lead > by
+
+    def keeps_up(self, figure: str, slack: float = 0.0) -> bool:
+        lead = self.lead(figure)
+        return lead is None or lead >= -slack
+
+
+#: What a candidate with interactions must show: in its duels with the official model and with the challenger, given the noise band.
+INTERACTION_RULES: dict[str, Callable[[Duel, Duel, float], bool]] = {
+    "beats_official": lambda official, _, band: official.wins("log_loss", band),
+    "beats_or_is_challenger": lambda _, challenger, band: challenger.same or challenger.wins("log_loss", band) or challenger.model["folds_won"] >= FOLDS_TO_WIN,
+    "test_consistent": lambda official, challenger, band: official.keeps_up("test_log_loss") and (challenger.same or challenger.keeps_up("test_log_loss", band)),
+    "calibration_not_worse": lambda official, _, band: official.keeps_up("brier") and official.keeps_up("test_brier", BRIER_TOLERANCE),
+    "not_too_complex": lambda _, challenger, band: challenger.model["nonzero_interactions"] <= MANY_INTERACTIONS or challenger.lead("log_loss") >= band,
+    "not_fragile": lambda *_: True,  # decided by the study's stability figures, which gate the candidates
+}
+
+
 def interaction_criteria(selected: dict, official: dict, challenger: dict, leakage_ok: bool, band: float = BAND) -> dict:
-    """Seven booleans on a candidate with interactions; a replacement is never made here.
+    """Whether a candidate with interactions meets each of ``INTERACTION_RULES`` and leaks nothing; a replacement is never made here.
 
     Each model: name, log_loss and brier (validation), test_log_loss and test_brier (None if it was no finalist), and for the selected one
     folds_won (against the challenger) and nonzero_interactions.
     """
-    is_challenger = selected["name"] == challenger["name"]
-    gain = challenger["log_loss"] - selected["log_loss"]
-    tested = lambda key, *models: all(m.get(key) is not None for m in models)
-    consistent = not tested("test_log_loss", selected, official) or selected["test_log_loss"] <= official["test_log_loss"]
-    if not is_challenger and tested("test_log_loss", selected, challenger):
-        consistent = consistent and selected["test_log_loss"] <= challenger["test_log_loss"] + band
-    calibrated = selected["brier"] <= official["brier"] and (not tested("test_brier", selected, official) or selected["test_brier"] <= official["test_brier"] + BRIER_TOLERANCE)
-    found = {
-        "beats_official": official["log_loss"] - selected["log_loss"] > band, "beats_or_is_challenger": is_challenger or gain > band or selected["folds_won"] >= FOLDS_TO_WIN,
-        "test_consistent": consistent, "calibration_not_worse": calibrated, "leakage_ok": leakage_ok, "not_fragile": True,
-        "not_too_complex": not (selected["nonzero_interactions"] > MANY_INTERACTIONS and gain < band),
-    }
-    return {"criteria": found, "pass": all(found.values()), "replace_now": False}
+    duels = Duel(selected, official), Duel(selected, challenger)
+    met = {name: rule(*duels, band) for name, rule in INTERACTION_RULES.items()} | {"leakage_ok": leakage_ok}
+    passed, _ = conjunction(met)
+    return {"criteria": met, "pass": passed, "replace_now": False}
 
 
 def nonlinear_promotable(gain: float, folds_won: int, test_loss: float, anchor_test: float, leakage_ok: bool, band: float = BAND) -> bool:

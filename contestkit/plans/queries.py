@@ -410,10 +410,16 @@ def asof_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "median_fair", "mean_fair", "min_fair", "max_fair", "range_fair", "sd_fair", "books", "coverage_low", "sharp_minus_broad", "newest", F.array_join("excluded", ";").alias("excluded"))
 
 
+#: Keys as providers write them: canonical ones, aliases, odd spellings, excluded sources and unknown ones.
+PROVIDER_KEYS = (
+    "draftkings", "fanduel_us", "betmgm", "williamhill_us", "pointsbetus", "sugarhouse", "espnbet", "pinnacle", "hardrockbet", "bet365_us", "circasports", "DraftKings", " thescore_bet ", "theScore Bet",
+    "kalshi", "betfair_exchange", "Smarkets", "sporttrade", "prizepicks", "sleeper_picks", "FLIFF", "an_exchange", "hard_rock_bet",
+)
+
+
 def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provider payloads made of orders and their lines."""
-    keys = [b[5][0] for b in quotes.BOOKS]
-    key = F.get(F.array(*map(F.lit, [*keys, "an_exchange"])), (F.col("l_suppkey") % 12).cast("int"))
+    key = F.get(F.array(*map(F.lit, PROVIDER_KEYS)), (F.col("l_suppkey") % len(PROVIDER_KEYS)).cast("int"))
     outcome = lambda n, p: F.struct(F.lit(n).alias("name"), p.alias("price"))
     outcomes = F.when(F.col("l_linenumber") == 5, F.array(outcome("A", F.col("l_quantity")))).otherwise(F.array(outcome("A", 1 + F.col("l_quantity") / 25), outcome("B", F.when(F.col("l_linenumber") == 6, F.lit(0.5)).otherwise(F.lit(2.0)))))
     time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -426,9 +432,11 @@ def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with reg as (select * from (values {", ".join(f"({k}, '{b[5][0]}', {b[2]})" for k, b in enumerate(quotes.BOOKS))}) t(no, provider_key, approved)),
-m as (select l.*, o.*, coalesce(reg.provider_key, 'an_exchange') as provider_key, reg.approved, case when l_linenumber = 3 then o_orderdate else l_shipdate end as observed, o_orderdate + interval 60 day as starts from lineitem l join orders o on l_orderkey = o_orderkey left join reg on reg.no = l_suppkey % 12),
-s as (select *, case when l_linenumber = 4 then 'rejected_unsupported_market' when o_orderstatus = 'P' then 'rejected_cancelled_bout' when approved is null then 'rejected_unknown' when not approved then 'rejected_unapproved_sportsbook' when date_trunc('second', observed) >= date_trunc('second', starts) then 'rejected_live_market' when l_linenumber = 5 then 'rejected_incomplete_market' when l_linenumber = 6 then 'rejected_invalid_odds' else 'normalized' end as status from m)
+    """with reg as (select * from (values (0, 'draftkings', 'ok'), (1, 'fanduel_us', 'ok'), (2, 'betmgm', 'ok'), (3, 'williamhill_us', 'ok'), (4, 'pointsbetus', 'ok'), (5, 'sugarhouse', 'ok'), (6, 'espnbet', 'ok'), (7, 'pinnacle', 'ok'), (8, 'hardrockbet', 'ok'),
+ (9, 'bet365_us', 'pending'), (10, 'circasports', 'pending'), (11, 'DraftKings', 'ok'), (12, ' thescore_bet ', 'ok'), (13, 'theScore Bet', 'unknown'), (14, 'kalshi', 'barred'), (15, 'betfair_exchange', 'barred'), (16, 'Smarkets', 'barred'), (17, 'sporttrade', 'barred'),
+ (18, 'prizepicks', 'barred'), (19, 'sleeper_picks', 'barred'), (20, 'FLIFF', 'barred'), (21, 'an_exchange', 'unknown'), (22, 'hard_rock_bet', 'ok')) t(no, provider_key, kind)),
+m as (select l.*, o.*, reg.provider_key, reg.kind, case when l_linenumber = 3 then o_orderdate else l_shipdate end as observed, o_orderdate + interval 60 day as starts from lineitem l join orders o on l_orderkey = o_orderkey join reg on reg.no = l_suppkey % 23),
+s as (select *, case when l_linenumber = 4 then 'rejected_unsupported_market' when o_orderstatus = 'P' then 'rejected_cancelled_bout' when kind = 'unknown' then 'rejected_unknown' when kind = 'barred' then 'rejected_prohibited_venue' when kind = 'pending' then 'rejected_unapproved_sportsbook' when date_trunc('second', observed) >= date_trunc('second', starts) then 'rejected_live_market' when l_linenumber = 5 then 'rejected_incomplete_market' when l_linenumber = 6 then 'rejected_invalid_odds' else 'normalized' end as status from m)
 select provider_key, status, count(*) as n from s group by provider_key, status"""
 )
 def normalized_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

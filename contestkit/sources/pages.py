@@ -20,36 +20,55 @@ def _text(part: str) -> str:
     return " ".join(html.unescape(_TAG.sub(" ", part)).split())
 
 
-#: What a page holds that stops a browser, tells a listing, or describes a competitor; and how far down the saved address stands.
-CHALLENGES = ("checking your browser", "this site requires javascript", "enable javascript")
-COMPETITOR = ("stance:", "record:", "b-list__info-box", "career statistics", "date of birth")
+#: How far down a page the address stands from which a browser saved it.
 SAVED_WITHIN = 1000
+#: What can be found in a page, in lower case. The strings are fixed values. ``from_`` facts are sought in the saved address only.
+FACTS = {
+    "challenge": r"checking your browser|this site requires javascript|enable javascript",
+    "listing": r"b-statistics__table-events|(?:event-details/.*){3}",
+    "title": r"b-content__title-highlight",
+    "bout_table": r"b-fight-details__table",
+    "bout_link": r"fight-details/",
+    "event_link": r"event-details/",
+    "person": r"stance:|record:|b-list__info-box|career statistics|date of birth",
+    "person_link": r"fighter-details",
+    "from_upcoming": r"statistics/events/upcoming",
+    "from_completed": r"statistics/events/completed",
+    "from_event": r"event-details/",
+    "from_person": r"fighter-details/",
+    "event_file": r"event_[a-z0-9]+\.html",
+}
+#: The first row whose facts are all there, and whose others are not, names the page. ``read``: title and bouts could be read off.
+LABELS = (
+    ("browser_challenge", ("challenge",), ()),
+    ("upcoming_events", ("listing", "from_upcoming"), ("bout_table", "from_completed")),
+    ("completed_events", ("listing",), ("bout_table",)),
+    *(("event_detail", (*hint, "read"), ()) for hint in (("event_file",), ("from_event",), ("title", "bout_table"), ("title", "bout_link"))),
+    ("fighter_detail", ("from_person",), ()),
+    ("fighter_detail", ("person", "person_link"), ("title",)),
+    *(("event_detail", ("title", bouts), ()) for bouts in ("bout_table", "bout_link")),
+    ("fighter_detail", ("person",), ()),
+    ("events_list", ("event_link",), ()),
+)
+_PATTERNS = {name: re.compile(pattern, re.DOTALL) for name, pattern in FACTS.items()}
 
 
 def classify(page: str | None, file_name: str | None = None) -> str:
-    """One of browser_challenge, completed_events, upcoming_events, event_detail, fighter_detail, events_list, unknown; by content (SRC-16).
-
-    A page of events is a table of events or three links to some; a page saved from the upcoming list's address is one of upcoming events.
-    A page that came from an event's address, or that has a title and bouts, is an event if both can be read off.
-    """
+    """One of the ``LABELS`` or unknown, by content (SRC-16); facts are looked for when a row asks for them."""
     low = (page or "").lower()
-    saved = low[:SAVED_WITHIN]
-    if any(c in low for c in CHALLENGES):
-        return "browser_challenge"
-    bout_table = "b-fight-details__table" in low
-    if not bout_table and ("b-statistics__table-events" in low or low.count("event-details/") >= 3):
-        return "upcoming_events" if "statistics/events/upcoming" in saved and "statistics/events/completed" not in saved else "completed_events"
-    titled = "b-content__title-highlight" in low
-    bouts = titled and (bout_table or "fight-details/" in low)
-    named = bool(re.fullmatch(r"event_[a-zA-Z0-9]+\.html", file_name or ""))
-    if (bouts or named or "event-details/" in saved) and event_header(page)["title"] and event_bouts(page):
-        return "event_detail"
-    about = any(c in low for c in COMPETITOR)
-    labels = {
-        "fighter_detail": "fighter-details/" in saved or about and "fighter-details" in low and not titled,
-        "event_detail": bouts, "fighter_detail ": about, "events_list": "event-details/" in low,
-    }
-    return next((label.strip() for label, holds in labels.items() if holds), "unknown")
+    known: dict[str, bool] = {}
+
+    def holds(fact: str) -> bool:
+        if fact not in known:
+            if fact == "read":
+                known[fact] = bool(event_header(page)["title"] and event_bouts(page))
+            elif fact == "event_file":
+                known[fact] = bool(_PATTERNS[fact].fullmatch((file_name or "").lower()))
+            else:
+                known[fact] = bool(_PATTERNS[fact].search(low[:SAVED_WITHIN] if fact.startswith("from_") else low))
+        return known[fact]
+
+    return next((label for label, needed, barred in LABELS if all(map(holds, needed)) and not any(map(holds, barred))), "unknown")
 
 
 def events_list(page: str | None) -> list[dict]:
