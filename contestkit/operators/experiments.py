@@ -1,23 +1,25 @@
-"""Workflows over splits, feature sets and settings (EXP-01 to EXP-13 but for the parts that the README names as missing) and their decision rules.
+"""Workflows over splits, feature sets and settings (EXP-01 to EXP-03, EXP-05, EXP-07, EXP-12, EXP-13) and their decision rules.
 
-Loops on the driver are over candidates and folds, never over rows. Independent fits run in a small thread pool, as
-MLlib's own tuning does; folds expand in time, so random cross-validation is not used.
+Loops on the driver are over candidates and folds, never over rows; logistic candidates are fitted together. Folds expand in time, so
+random cross-validation is not used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from statistics import fmean, pstdev
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contestkit.functions.numeric import blend, clip, log_loss
+from contestkit.operators import batch
 from contestkit.operators.filters import guard, leaking
 from contestkit.operators.metrics import auc, best_method, calibration_error, evaluate, high_confidence
 from contestkit.operators.models import OFFICIAL, Fitted, Isotonic, Platt, forest, logistic
-from contestkit.operators.splits import folds, noise_band_rank
+from contestkit.operators.rules import effect
+from contestkit.operators.splits import fold_marks, noise_band_rank
+from contestkit.session import cut
 
 BAND = 0.002
 GRID_C = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
@@ -67,15 +69,12 @@ def calibrate(rows: DataFrame, numeric: list[str], label: str, c: float = OFFICI
 
 
 def ablation(rows: DataFrame, groups: dict[str, list[str]], label: str) -> list[dict]:
-    """All features against all but one group; helpful, harmful or neutral by the noise band (EXP-05)."""
+    """All features against all but one group; helpful, harmful or neutral by the noise band (EXP-05). All models are fitted together."""
     every = [c for g in groups.values() for c in g]
-    train, test = part(rows, "train"), part(rows, "test")
-    full = scores(logistic(train, every, label).predict(test), label)["log_loss"]
-    out = []
-    for name, own in groups.items():
-        rise = scores(logistic(train, [c for c in every if c not in own], label).predict(test), label)["log_loss"] - full
-        out.append({"group": name, "rise": rise, "effect": "helpful" if rise > BAND else "harmful" if rise < -BAND else "neutral"})
-    return out
+    listed = [batch.Candidate("all", every), *(batch.Candidate(n, [c for c in every if c not in own]) for n, own in groups.items())]
+    found = batch.fit(rows, label, [(F.col("split") == "train", F.lit(False), F.col("split") == "test")], listed).scores()
+    rises = {c.name: own[0]["log_loss"] - found[0][0]["log_loss"] for c, own in zip(listed, found, strict=True)}
+    return [{"group": n, "rise": rises[n], "effect": effect(rises[n], BAND)} for n in groups]
 
 
 def candidates(cs: tuple[float, ...] = GRID_C, l1: tuple[float, ...] = GRID_L1) -> list[dict]:
@@ -83,21 +82,21 @@ def candidates(cs: tuple[float, ...] = GRID_C, l1: tuple[float, ...] = GRID_L1)
     return [{"c": c, "l1_ratio": r} for r in (0.0, 1.0, *l1) for c in cs]
 
 
-def search(pretest: DataFrame, configs: dict[str, list[str]], label: str, grid: list[dict] | None = None, fractions: tuple | None = None, parallel: int = 4) -> list[dict]:
-    """Mean validation scores of every candidate and feature list over expanding folds, calibrated by Platt, in noise-band order (EXP-07, EXP-08)."""
-    windows = folds(pretest, fractions) if fractions else folds(pretest)
-
-    def one(job: tuple[str, dict]) -> dict:
-        name, setting = job
-        found = []
-        for fit, calibration, validation in windows:
-            base = logistic(fit, configs[name], label, **setting)
-            platt = Platt().fit(base.predict(calibration).withColumn("y", F.col(label)))
-            found.append(scores(platt.apply(base.predict(validation)), label))
-        return {"config": name, **setting, "n_features": len(configs[name]), "folds": [f["log_loss"] for f in found], "log_loss": fmean(f["log_loss"] for f in found), "brier": fmean(f["brier"] for f in found), "auc": fmean(f["auc"] or 0.5 for f in found), "sd": pstdev(f["log_loss"] for f in found)}
+def search(pretest: DataFrame, configs: dict[str, list[str]], label: str, grid: list[dict] | None = None, fractions: tuple | None = None) -> list[dict]:
+    """Mean validation scores of every candidate and feature list over expanding folds, calibrated by Platt, in noise-band order (EXP-07, EXP-08).
 
-    with ThreadPoolExecutor(parallel) as pool:
-        return noise_band_rank(list(pool.map(one, [(n, s) for n in configs for s in (grid or candidates())])))
+    All candidates and folds are fitted, calibrated and scored together, by passes over rows that are stored once.
+    """
+    stored = cut(pretest)
+    windows = fold_marks(stored, fractions) if fractions else fold_marks(stored)
+    listed = [(n, s) for n in configs for s in (grid or candidates())]
+    fits = batch.fit(stored, label, windows, [batch.Candidate(n, configs[n], **s) for n, s in listed])
+    fits.calibrate()
+    out = []
+    for (name, setting), found in zip(listed, fits.scores(), strict=True):
+        losses = [f["log_loss"] for f in found]
+        out.append({"config": name, **setting, "n_features": len(configs[name]), "folds": losses, "log_loss": fmean(losses), "brier": fmean(f["brier"] for f in found), "auc": fmean(f["auc"] if f["auc"] is not None else 0.5 for f in found), "sd": pstdev(losses)})
+    return noise_band_rank(out)
 
 
 def stability(fits: list[Fitted]) -> list[dict]:
@@ -145,12 +144,6 @@ def layoff_recommendation(deltas: dict[str, float], band: float = BAND) -> str:
     return "confirm" if min(deltas.values()) <= -band else "keep_disabled"
 
 
-def replace_rule(official: dict, finalists: list[dict], band: float = BAND) -> dict | None:
-    """A finalist that beats the official test loss by more than the band and is among the validation's first three."""
-    good = [f for f in finalists[:3] if official["test_log_loss"] - f["test_log_loss"] > band]
-    return min(good, key=lambda f: f["test_log_loss"]) if good else None
-
-
 def promote_rule(gain: float, folds_won: int, n_folds: int, test_gain: float, brier_not_worse: bool, leakage_ok: bool, fragile: bool, band: float = BAND) -> bool:
     return gain > band and folds_won == n_folds and test_gain > band and brier_not_worse and leakage_ok and not fragile and test_gain >= 1.5 * band
 

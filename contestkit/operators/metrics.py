@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestkit.functions.numeric import brier, clip, log_loss
+from contestkit.session import cut
 
 TENTHS = tuple(k * 0.1 for k in range(10)) + (1.0,)
 #: Edges of the replay's buckets, and of its buckets of max(p, 1 - p). Fixed values.
@@ -28,21 +29,35 @@ def evaluate(rows: DataFrame, by: tuple[str, ...] = (), clipped: bool = False) -
     return rows.groupBy(*by).agg(*summary(clipped))
 
 
-def auc(rows: DataFrame) -> DataFrame:
-    """Area under the curve with ties at half; null for a single class.
+def ties(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each distinct p with its numbers of ones and zeros: all that any figure needs of the rows."""
+    return rows.groupBy(*by, "p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
 
-    Counts per distinct p come first, so the ordered pass sees distinct values only; ranges of p between its quantiles are summed apart
-    and brought together by a small prefix sum, so no task holds all of them, however p is spread.
+
+def auc(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the curve with ties at half, of each group; null for a single class. The rows are read once, to count ties."""
+    return auc_of(cut(ties(rows, by)), by)
+
+
+def auc_of(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``auc`` from the stored result of ``ties``.
+
+    The ordered pass sees distinct values only; ranges of p between their quantiles are summed apart and brought together
+    by a small prefix sum, so no task holds all of them, however p is spread.
     """
-    cuts = rows.agg(F.percentile_approx("p", [k / AUC_RANGES for k in range(1, AUC_RANGES)], 10 * AUC_RANGES)).first()[0] or []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col("p"))) if cuts else F.lit(0)
-    ties = rows.groupBy("p").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")).withColumn("part", at)
-    parts = ties.groupBy("part").agg(F.sum("neg").alias("neg_in_part"))  # at most AUC_RANGES rows
-    lower = F.coalesce(F.sum("neg_in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = ties.join(F.broadcast(parts.select("part", lower.alias("neg_lower"))), "part")
-    within = F.coalesce(F.sum("neg").over(Window.partitionBy("part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("p", [k / AUC_RANGES for k in range(1, AUC_RANGES)], 10 * AUC_RANGES).alias("cuts"))
+    same = lambda df: [F.col(f"_{c}").eqNullSafe(df[c]) for c in by]
+    under = lambda df, other: df.join(F.broadcast(other), [*same(df)], "inner").drop(*[f"_{c}" for c in by]) if by else df.crossJoin(F.broadcast(other))
+    renamed = lambda df: df.withColumnsRenamed({c: f"_{c}" for c in by})
+    # a row a group: few
+    ranged = under(counts, renamed(cuts)).withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("p")))).drop("cuts")
+    parts = ranged.groupBy(*by, "part").agg(F.sum("neg").alias("neg_in_part"))  # at most AUC_RANGES rows a group
+    lower = F.coalesce(F.sum("neg_in_part").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = parts.select(*by, F.col("part").alias("_part"), lower.alias("neg_lower"))
+    ranked = ranged.join(F.broadcast(renamed(sums)), [*same(ranged), F.col("_part") == ranged["part"]])
+    within = F.coalesce(F.sum("neg").over(Window.partitionBy(*by, "part").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     won = F.sum(F.col("pos") * (F.col("neg_lower") + F.col("neg_before") + F.col("neg") / 2))
-    return ranked.withColumn("neg_before", within).agg((won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
+    return ranked.withColumn("neg_before", within).groupBy(*by).agg((won / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0.0))).alias("auc"))
 
 
 def bucket_of(p: Column, edges: tuple[float, ...]) -> Column:

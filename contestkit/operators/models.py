@@ -14,7 +14,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from contestkit.functions.numeric import clip, logit
 from contestkit.functions.text import canonical_json, schema_version
+from contestkit.operators import batch, boosting, quantiles
 
 #: The reference model's settings. Fixed values.
 OFFICIAL = {"c": 0.003, "l1_ratio": 0.1}
@@ -74,11 +75,12 @@ class Preprocessor:
     deviations: dict[str, float] = field(default_factory=dict)
     categories: list[str] = field(default_factory=list)
     frequent: str | None = None
+    impute: bool = True
 
     def fit(self, rows: DataFrame, mode: str = "all", least: int = 50, allowed: tuple[str, ...] = ()) -> Preprocessor:
         """mode of categories: all, none, allowlist or rare (at least ``least`` fitting rows)."""
-        medians = rows.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in self.numeric]).first().asDict()
-        self.medians = {c: (v if v is not None else 0.0) for c, v in medians.items()}
+        medians = quantiles.exact(rows, self.numeric)[0]
+        self.medians = {c: (v[0] if v[0] is not None else 0.0) for c, v in medians.items()}
         filled = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])).alias(c) for c in self.numeric])
         stats = filled.agg(*[x for c in self.numeric for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first().asDict()
         self.means = {c: stats[f"m_{c}"] or 0.0 for c in self.numeric}
@@ -95,7 +97,9 @@ class Preprocessor:
         return [*self.numeric, *(f"{self.categorical}={v}" for v in self.categories)]
 
     def transform(self, rows: DataFrame, scale: bool = True) -> DataFrame:
-        """Adds ``features``; unknown categories are all zeros."""
+        """Adds ``features``, a vector; unknown categories are all zeros. Without ``impute`` it is an array of the raw values, nulls included."""
+        if not self.impute:
+            return rows.withColumn("features", F.array(*map(boosting.value, self.numeric)))
         columns = {}
         for k, c in enumerate(self.numeric):
             value = F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c]))
@@ -177,24 +181,26 @@ def logistic(rows: DataFrame, numeric: list[str], label: str, c: float = 1.0, l1
     return Fitted(prep, fit.fit(ready.withColumn("_w", weight)))
 
 
+def fitted(found: batch.Batch, k: int, w: int) -> Fitted:
+    """Candidate ``k`` of a batch in window ``w`` as a model of its own, with its calibrator if there is one."""
+    figures, model = found.fitted_parts(k, w)
+    calibrator = Platt(*map(float, found.platt[k][w])) if found.platt else None
+    return Fitted(Preprocessor(found.candidates[k].features, **figures), model, calibrator=calibrator)
+
+
 def forest(rows: DataFrame, numeric: list[str], label: str, trees: int = 300, least_leaf: int = 1, seed: int = 42) -> Fitted:
     prep = Preprocessor(numeric).fit(rows)
     fit = RandomForestClassifier(labelCol="_y", numTrees=trees, minInstancesPerNode=least_leaf, maxDepth=12, seed=seed)
     return Fitted(prep, fit.fit(prep.transform(rows, False).withColumn("_y", F.col(label).cast("double"))), scale=False)
 
 
-def boosted(rows: DataFrame, numeric: list[str], label: str, rounds: int = 100, depth: int = 4, rate: float = 0.05, least_leaf: int = 20, seed: int = 42, held: float = 0.0) -> Fitted:
-    """Gradient boosting by depth on imputed rows; it stands for histogram boosting by leaves, whose results differ (ML-07).
+def boosted(rows: DataFrame, numeric: list[str], label: str, rounds: int = 100, leaves: int = 31, rate: float = 0.1, least_leaf: int = 20, l2: float = 0.0, seed: int = 42, held: float = 0.0) -> Fitted:
+    """Histogram boosting by leaves on raw values, missing ones included (ML-07).
 
     With ``held``, that share of the rows, by a hash of fight_id, stops the rounds once it gains nothing.
     """
-    prep = Preprocessor(numeric).fit(rows)
-    fit = GBTClassifier(labelCol="_y", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=least_leaf, seed=seed)
-    ready = prep.transform(rows, False).withColumn("_y", F.col(label).cast("double"))
-    if held:
-        ready = ready.withColumn("_held", F.pmod(F.xxhash64("fight_id", F.lit(seed)), F.lit(1000)) < int(1000 * held))
-        fit = fit.setValidationIndicatorCol("_held")
-    return Fitted(prep, fit.fit(ready), scale=False)
+    away = F.pmod(F.xxhash64("fight_id", F.lit(seed)), F.lit(1000)) < int(1000 * held) if held else None
+    return Fitted(Preprocessor(numeric, impute=False), boosting.fit(rows, numeric, label, rounds, leaves, rate, least_leaf, l2, away), scale=False)
 
 
 def boosters() -> list[str]:

@@ -96,14 +96,19 @@ FOLDS = ((0.55, 0.65, 0.75), (0.65, 0.75, 0.85), (0.75, 0.85, 1.00))
 CONFIRMATION_FOLDS = ((0.45, 0.55, 0.65), (0.50, 0.60, 0.70), *FOLDS)
 
 
-def folds(rows: DataFrame, fractions: tuple[tuple[float, float, float], ...] = FOLDS) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
-    """Expanding windows: (fit, calibration, validation), each before the next (SRT-05)."""
+def fold_marks(rows: DataFrame, fractions: tuple[tuple[float, float, float], ...] = FOLDS) -> list[tuple[Column, Column, Column]]:
+    """Conditions (fit, calibration, validation) of expanding windows, each before the next (SRT-05)."""
     counts = day_counts(rows)
     n = sum(k for _, k in counts)
     ends = sorted({x for each in fractions for x in each if x < 1})
     cuts = dict(zip(ends, nth_cuts(rows, [round(n * f) for f in ends], counts), strict=True))
     after = lambda f: cuts[f].after() if f < 1 else F.lit(False)
-    return [(rows.filter(~after(a)), rows.filter(after(a) & ~after(b)), rows.filter(after(b) & ~after(c))) for a, b, c in fractions]
+    return [(~after(a), after(a) & ~after(b), after(b) & ~after(c)) for a, b, c in fractions]
+
+
+def folds(rows: DataFrame, fractions: tuple[tuple[float, float, float], ...] = FOLDS) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """The rows of expanding windows (SRT-05)."""
+    return [tuple(rows.filter(m) for m in marks) for marks in fold_marks(rows, fractions)]
 
 
 def live_window(rows: DataFrame, as_of: date, days: int = 730) -> DataFrame:

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 from statistics import fmean, pstdev
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contestkit.functions.numeric import blend, clip, log_loss
-from contestkit.operators import rules
+from contestkit.operators import batch, quantiles, rules
+from contestkit.operators.batch import Candidate
 from contestkit.operators.experiments import blend_robust, layoff_recommendation, part, promote_rule, scores, stability, weak_features
 from contestkit.operators.filters import leaking, market_names
 from contestkit.operators.matchup import division_interactions, eligible_divisions
 from contestkit.operators.metrics import evaluate
-from contestkit.operators.models import Fitted, Isotonic, Platt, boosted, logistic, permutation_importance
-from contestkit.operators.splits import CONFIRMATION_FOLDS, folds
+from contestkit.operators.models import Fitted, Isotonic, Platt, boosted, fitted, logistic, permutation_importance
+from contestkit.operators.splits import CONFIRMATION_FOLDS, fold_marks
+from contestkit.session import cut
 
 Fit = Callable[[DataFrame], Fitted]
 Window = tuple[DataFrame, DataFrame, DataFrame]
@@ -63,14 +64,49 @@ def judged(base: Fitted, window: Window, label: str) -> tuple[dict, DataFrame]:
     return scores(out, label), out
 
 
-def trial(name: str, fit: Fit, windows: list[Window], label: str) -> Trial:
-    fits = [fit(w[0]) for w in windows]
-    return Trial(name, [judged(f, w, label)[0] for f, w in zip(fits, windows, strict=True)], fits)
+def trial(name: str, fit: Fit, windows: Windows, label: str) -> Trial:
+    each = [windows[k] for k in range(len(windows))]
+    fits = [fit(w[0]) for w in each]
+    return Trial(name, [judged(f, w, label)[0] for f, w in zip(fits, each, strict=True)], fits)
 
 
-def trials(candidates: dict[str, Fit], windows: list[Window], label: str, parallel: int = 4) -> dict[str, Trial]:
+@dataclass(frozen=True)
+class Windows:
+    """Rows that are stored once, and the conditions of their windows."""
+
+    rows: DataFrame
+    marks: list[tuple[Column, Column, Column]]
+
+    @classmethod
+    def of(cls, rows: DataFrame, fractions: tuple = CONFIRMATION_FOLDS) -> Windows:
+        stored = cut(rows)
+        return cls(stored, fold_marks(stored, fractions))
+
+    def __getitem__(self, k: int) -> Window:
+        return tuple(self.rows.filter(m) for m in self.marks[k])
+
+    def __len__(self) -> int:
+        return len(self.marks)
+
+
+def trials(candidates: dict[str, Fit | Candidate], windows: Windows, label: str, parallel: int = 4) -> dict[str, Trial]:
+    """Logistic candidates are fitted, calibrated and scored together; others by their functions, a few at a time."""
+    together = [c for c in candidates.values() if isinstance(c, Candidate)]
+    found: dict[str, Trial] = {}
+    if together:
+        fits = batch.fit(windows.rows, label, windows.marks, together)
+        fits.calibrate()
+        names = [n for n, c in candidates.items() if isinstance(c, Candidate)]
+        found = {n: Trial(n, own, [fitted(fits, k, w) for w in range(len(windows))]) for k, (n, own) in enumerate(zip(names, fits.scores(), strict=True))}
+    others = {n: c for n, c in candidates.items() if n not in found}
     with ThreadPoolExecutor(parallel) as pool:
-        return dict(zip(candidates, pool.map(lambda c: trial(c[0], c[1], windows, label), candidates.items()), strict=True))
+        found |= dict(zip(others, pool.map(lambda c: trial(c[0], c[1], windows, label), others.items()), strict=True))
+    return {n: found[n] for n in candidates}
+
+
+def refit(candidate: Fit | Candidate, rows: DataFrame, label: str) -> Fitted:
+    """A candidate on rows of its own."""
+    return logistic(rows, candidate.features, label, candidate.c, candidate.l1_ratio) if isinstance(candidate, Candidate) else candidate(rows)
 
 
 def split_window(rows: DataFrame) -> Window:
@@ -79,7 +115,7 @@ def split_window(rows: DataFrame) -> Window:
 
 def layoff_study(rows: DataFrame, base: list[str], candidates: dict[str, list[str]], label: str, bucket: str | None = None) -> dict:
     """The locked split's test loss with each list of layoff features added, by bucket of layoff as well, and whether any is confirmed (EXP-04)."""
-    window, out = split_window(rows), {}
+    window, out = split_window(cut(rows)), {}
     for name, more in {"baseline": [], **candidates}.items():
         score, predicted = judged(logistic(window[0], base + more, label), window, label)
         if bucket:
@@ -91,27 +127,28 @@ def layoff_study(rows: DataFrame, base: list[str], candidates: dict[str, list[st
 
 def feature_audit(rows: DataFrame, features: list[str], label: str) -> dict:
     """Names that could leak, features by group of kind, scaling fitted on train against all rows, and weak features (EXP-06)."""
+    rows = cut(rows)
     train, test = part(rows, "train"), part(rows, "test")
-    fitted = logistic(train, features, label)
+    found = logistic(train, features, label)
     whole = rows.agg(*[x for c in features for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first().asDict()
-    scaling = [{"feature": c, "train_mean": fitted.prep.means[c], "train_deviation": fitted.prep.deviations[c], "all_mean": whole[f"m_{c}"], "all_deviation": whole[f"s_{c}"], "train_only": fitted.prep.means[c] != whole[f"m_{c}"]} for c in features]
-    importance = {r["feature"]: r["importance"] for r in permutation_importance(fitted, test, label, features)}
-    ranked = [{**r, "importance": importance[r["feature"]]} for r in fitted.coefficients()]
+    scaling = [{"feature": c, "train_mean": found.prep.means[c], "train_deviation": found.prep.deviations[c], "all_mean": whole[f"m_{c}"], "all_deviation": whole[f"s_{c}"], "train_only": found.prep.means[c] != whole[f"m_{c}"]} for c in features]
+    importance = {r["feature"]: r["importance"] for r in permutation_importance(found, test, label, features)}
+    ranked = [{**r, "importance": importance[r["feature"]]} for r in found.coefficients()]
     kind = lambda c: "difference" if c.endswith("_diff") else "interaction" if "_x_" in c else "flag" if c.endswith(("missing", "_stats")) else "other"
     return {"leaking": leaking(features), "markets": market_names(features), "kinds": {c: kind(c) for c in features}, "scaling": scaling, "features": ranked, "weak": weak_features(ranked)}
 
 
-def confirmation(pretest: DataFrame, test: DataFrame, candidates: dict[str, Fit], official: str, label: str, fragile: Callable[[str], bool] = lambda name: False, leakage_ok: bool = True) -> dict:
+def confirmation(pretest: DataFrame, test: DataFrame, candidates: dict[str, Fit | Candidate], official: str, label: str, fragile: Callable[[str], bool] = lambda name: False, leakage_ok: bool = True) -> dict:
     """Five expanding folds, coefficient stability over them, and a recommendation (EXP-08, AGG-21).
 
     The best candidate but the official one is fitted once more on all but the last calibration window and judged on test.
     """
-    windows = folds(pretest, CONFIRMATION_FOLDS)
+    windows, test = Windows.of(pretest), cut(test)
     found = trials(candidates, windows, label)
     summaries = {n: t.summary(found[official]) for n, t in found.items()}
     best = min((n for n in found if n != official), key=lambda n: summaries[n]["log_loss"])
     last = (windows[-1][0].unionByName(windows[-1][1]), windows[-1][2], test)
-    final = {n: judged(candidates[n](last[0]), last, label)[0] for n in (official, best)}
+    final = {n: judged(refit(candidates[n], last[0], label), last, label)[0] for n in (official, best)}
     own = summaries[best]
     stable = {n: sparsity(t.fits) for n, t in found.items()}
     promoted = promote_rule(own["gain"], own["folds_won"], own["n_folds"], final[official]["log_loss"] - final[best]["log_loss"], own["brier"] <= summaries[official]["brier"] and final[best]["brier"] <= final[official]["brier"], leakage_ok, fragile(best))
@@ -130,14 +167,15 @@ def interaction_study(pretest: DataFrame, numeric: list[str], bases: dict[str, t
 
     bases: a name and the features that interact. An interaction is stable if its coefficient is not zero in most folds and has one sign.
     """
+    pretest = cut(pretest)
     divisions = [r[column] for r in eligible_divisions(pretest, column).select(column).collect()]  # a dimension
-    wide, plain = {}, {"plain": lambda rows: logistic(rows, numeric, label, c, l1_ratio)}
+    wide, plain = {}, {"plain": Candidate("plain", numeric, c, l1_ratio)}
     for name, own in bases.items():
         made = [x for x in division_interactions(pretest, own, divisions, column).columns if x not in pretest.columns]
         wide[name] = (own, made)
     with_all = division_interactions(pretest, tuple({b: 0 for own, _ in wide.values() for b in own}), divisions, column)
-    fit = {n: (lambda rows, made=made: logistic(rows, numeric + made, label, c, l1_ratio)) for n, (_, made) in wide.items()}
-    found = trials(plain | fit, folds(with_all, CONFIRMATION_FOLDS), label)
+    fit = {n: Candidate(n, numeric + made, c, l1_ratio) for n, (_, made) in wide.items()}
+    found = trials(plain | fit, Windows.of(with_all), label)
     out = {}
     for name, (_, made) in wide.items():
         per = {r["feature"]: r for r in stability(found[name].fits)}
@@ -158,28 +196,29 @@ def around(best: dict, fine: dict[str, tuple] = FINE) -> list[dict]:
 
 
 def boosting(numeric: list[str], label: str, setting: dict, rounds: int = ROUNDS) -> Fit:
-    """Trees as deep as their leaves ask for. MLlib's trees have no L2 penalty, so points that differ in it alone are one model."""
-    return lambda rows: boosted(rows, numeric, label, rounds, max(1, math.ceil(math.log2(setting["leaves"]))), setting["rate"], setting["least_leaf"], held=HELD)
+    """Trees grown by leaves, with the point's leaves, rate, smallest leaf and L2 penalty."""
+    return lambda rows: boosted(rows, numeric, label, rounds, setting["leaves"], setting["rate"], setting["least_leaf"], setting["l2"], held=HELD)
 
 
 def _label(setting: dict) -> str:
-    return "boosted_" + "_".join(f"{k}{v}" for k, v in setting.items() if k != "l2")
+    return "boosted_" + "_".join(f"{k}{v}" for k, v in setting.items())
 
 
-def boosting_trials(numeric: list[str], label: str, settings: list[dict], windows: list[Window], rounds: int = ROUNDS) -> dict[str, tuple[dict, Trial]]:
+def boosting_trials(numeric: list[str], label: str, settings: list[dict], windows: Windows, rounds: int = ROUNDS) -> dict[str, tuple[dict, Trial]]:
     named = {_label(s): s for s in reversed(settings)}
     found = trials({n: boosting(numeric, label, s, rounds) for n, s in named.items()}, windows, label)
     return {n: (named[n], t) for n, t in found.items()}
 
 
-def blend_study(windows: list[Window], linear: list[Fitted], other: list[Fitted], label: str, steps: int = 11) -> dict:
+def blend_study(windows: Windows, linear: list[Fitted], other: list[Fitted], label: str, steps: int = 11) -> dict:
     """Each weight's mean validation loss over the folds, the best one, and whether its gain is robust; one aggregation a fold (EXP-10)."""
     weights = [k / (steps - 1) for k in range(steps)]
     table = []
-    for (_, _, validation), a, b in zip(windows, linear, other, strict=True):
+    for k, (a, b) in enumerate(zip(linear, other, strict=True)):
+        validation = windows[k][2]
         both = b.predict(a.predict(validation).withColumnRenamed("p", "p1")).withColumnRenamed("p", "p2")
-        row = both.agg(*[F.avg(log_loss(blend(w, F.col("p1"), F.col("p2")), F.col(label))).alias(f"w{k}") for k, w in enumerate(weights)]).first()
-        table.append([row[f"w{k}"] for k in range(steps)])
+        row = both.agg(*[F.avg(log_loss(blend(w, F.col("p1"), F.col("p2")), F.col(label))).alias(f"w{n}") for n, w in enumerate(weights)]).first()
+        table.append([row[f"w{w}"] for w in range(steps)])
     means = [fmean(fold[k] for fold in table) for k in range(steps)]
     best = min(range(steps), key=means.__getitem__)
     own = [weights[min(range(steps), key=fold.__getitem__)] for fold in table]
@@ -189,15 +228,15 @@ def blend_study(windows: list[Window], linear: list[Fitted], other: list[Fitted]
 
 def nonlinear_study(pretest: DataFrame, test: DataFrame, numeric: list[str], label: str, grid: list[dict] | None = None, c: float = 0.003, l1_ratio: float = 0.1, rounds: int = ROUNDS, leakage_ok: bool = True) -> dict:
     """The boosting grid and blends with the linear anchor on five folds; the best of each on test (EXP-10)."""
-    windows = folds(pretest, CONFIRMATION_FOLDS)
-    linear = lambda rows: logistic(rows, numeric, label, c, l1_ratio)
-    anchor = trial("linear", linear, windows, label)
+    windows, test = Windows.of(pretest), cut(test)
+    linear = Candidate("linear", numeric, c, l1_ratio)
+    anchor = trials({"linear": linear}, windows, label)["linear"]
     found = boosting_trials(numeric, label, grid or points(GRID), windows, rounds)
     summaries = {n: t.summary(anchor) | {"setting": s} for n, (s, t) in found.items()}
     best = min(summaries, key=lambda n: summaries[n]["log_loss"])
     mixed = blend_study(windows, anchor.fits, found[best][1].fits, label)
     last = (windows[-1][0].unionByName(windows[-1][1]), windows[-1][2], test)
-    a, b = linear(last[0]), boosting(numeric, label, found[best][0], rounds)(last[0])
+    a, b = refit(linear, last[0], label), boosting(numeric, label, found[best][0], rounds)(last[0])
     final = {"linear": judged(a, last, label)[0], best: judged(b, last, label)[0]}
     both = b.predict(a.predict(test).withColumnRenamed("p", "p1")).withColumnRenamed("p", "p2")
     final["blend"] = scores(both.withColumn("p", blend(mixed["best_weight"], F.col("p1"), F.col("p2"))), label)
@@ -230,8 +269,9 @@ def parity(frames: dict[str, DataFrame], label: str) -> dict:
 
 def distributions(predicted: DataFrame) -> dict:
     """Nine quantiles, mean and deviation of the probabilities (EXP-11)."""
-    r = predicted.agg(F.percentile("p", F.array(*[F.lit(k / 10) for k in range(1, 10)])).alias("deciles"), F.avg("p").alias("mean"), F.stddev_pop("p").alias("deviation"), F.min("p").alias("low"), F.max("p").alias("high")).first()
-    return r.asDict()
+    stored = cut(predicted.select("p"))
+    r = stored.agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("deviation"), F.min("p").alias("low"), F.max("p").alias("high")).first()
+    return {"deciles": quantiles.exact(stored, ["p"], tuple(k / 10 for k in range(1, 10)))[0]["p"]} | r.asDict()
 
 
 def calibration_audit(base: Fitted, window: Window, label: str) -> dict:
@@ -250,8 +290,8 @@ def sanity_audit(pretest: DataFrame, test: DataFrame, numeric: list[str], label:
     expected: the earlier validation losses of ``linear`` and, if it was recorded, ``boosted``. The staged search goes over the coarse grid, then around
     its best point; each point is fitted once.
     """
-    windows = folds(pretest, CONFIRMATION_FOLDS)
-    anchor = trial("linear", lambda rows: logistic(rows, numeric, label, c, l1_ratio), windows, label)
+    windows, test = Windows.of(pretest), cut(test)
+    anchor = trials({"linear": Candidate("linear", numeric, c, l1_ratio)}, windows, label)["linear"]
     first = boosting_trials(numeric, label, coarse or points(COARSE), windows, rounds)
     start = min(first, key=lambda n: fmean(first[n][1].losses))
     refined = [s for s in around(first[start][0]) if _label(s) not in first]
@@ -275,7 +315,7 @@ def sanity_audit(pretest: DataFrame, test: DataFrame, numeric: list[str], label:
     }
 
 
-def leakage_checks(windows: list[Window], test: DataFrame, features: list[str], allowed: frozenset[str] = frozenset()) -> dict[str, bool]:
+def leakage_checks(windows: Windows | list[Window], test: DataFrame, features: list[str], allowed: frozenset[str] = frozenset()) -> dict[str, bool]:
     """All booleans of a study's leakage report (EXP-13): names, market tokens, order and disjointness of every window's parts, and of all of them and the test."""
     extent = lambda df: df.agg(F.min(F.struct("date", "fight_id")).alias("a"), F.max(F.struct("date", "fight_id")).alias("b")).first()
     before = lambda x, y: bool(x["b"] is None or y["a"] is None or tuple(x["b"]) < tuple(y["a"]))

@@ -225,3 +225,42 @@ def test_rules():
     assert rules.result_is_real({"a": (0.65, 0.65005)}, {"x": False}, False) and not rules.result_is_real({"a": (0.65, 0.6502)}, {}, False)
     assert rules.conjunction({"a": True, "b": False}) == (False, ["b"])
     assert rules.listed([("a", "2020-01-01"), ("b", None), ("c", "2021-01-01")], "2020-06-01", 1) == ["b"]
+
+
+def test_registry(spark):
+    venues = {
+        "prediction_market": ("kalshi", "polymarket"), "exchange": ("betfair_ex", "betfair_exchange", "matchbook", "smarkets"), "peer_to_peer": ("sporttrade", "prophet_exchange"),
+        "daily_fantasy": ("prizepicks", "underdog", "underdog_fantasy", "sleeper", "sleeper_picks"), "sweepstakes": ("fliff",), "unknown": ("DraftKings Sportsbook", "theScore Bet", "", None),
+    }
+    keys = {k: v for v, own in venues.items() for k in own} | dict.fromkeys((" DraftKings ", "thescore_bet", "ESPNbet", "hard_rock_bet", "circa"), "sportsbook")
+    rows = spark.createDataFrame([(k,) for k in keys], "provider_key string")
+    got = {r["provider_key"]: r for r in quotes.resolved(rows, quotes.registry(spark)).collect()}
+    assert {k: r["venue_type"] for k, r in got.items()} == keys
+    assert all((r["book"] is None and not r["approved"] and r["source_reason"]) for r in got.values() if r["venue_type"] != "sportsbook")
+    assert got["kalshi"]["source_reason"] == "venue type prediction_market is prohibited"
+    assert (got["ESPNbet"]["book"], got["thescore_bet"]["book"], got[" DraftKings "]["book"]) == ("thescore_bet", "thescore_bet", "draftkings")
+    assert not got["circa"]["approved"] and got["hard_rock_bet"]["approved"] and not got["hard_rock_bet"]["broad"]
+    again = {r["provider_key"]: r for r in quotes.resolved(rows, quotes.registry(spark, overrides=("circa",))).collect()}
+    assert again["circa"]["approved"] and again["circa"]["source_reason"] is None and not again["kalshi"]["approved"]
+
+
+def test_page_types_of_saved_and_named_pages():
+    listing = "<table class='b-statistics__table-events'></table>"
+    saved = "<!-- saved from url=(0056)http://x/statistics/events/{} -->"
+    assert pages.classify(saved.format("completed") + "<a href='x/statistics/events/upcoming'>" + listing) == "completed_events"
+    assert pages.classify("<p>Checking your browser</p>" + DETAIL, "event_a1.html") == "browser_challenge"
+    assert pages.classify(DETAIL + "Stance: record: fighter-details/a", "event_a1.html") == "event_detail" == pages.classify(DETAIL + "Stance:")
+    assert pages.classify("Record: 20-3-0 STANCE: Orthodox fighter-details/self") == "fighter_detail" == pages.classify("stance: x")
+    assert pages.classify("<b class='b-content__title-highlight'></b> fight-details/1 stance:") == "event_detail"
+    assert pages.classify("plain", "event_a1.html") == "unknown"
+
+
+def test_interaction_criteria_without_test_figures():
+    m = lambda name, loss, **k: {"name": name, "log_loss": loss, "brier": 0.2, "test_log_loss": None, "test_brier": None, "folds_won": 3, "nonzero_interactions": 5} | k
+    of = lambda *x: rules.interaction_criteria(*x)["criteria"]
+    assert rules.interaction_criteria(m("s", 0.64), m("o", 0.66), m("c", 0.65), True)["pass"]
+    assert not of(m("s", 0.65), m("o", 0.66), m("c", 0.65), True)["beats_or_is_challenger"] and of(m("c", 0.65), m("o", 0.66), m("c", 0.65), True)["beats_or_is_challenger"]
+    worse = of(m("s", 0.64, test_log_loss=0.67, test_brier=0.2015), m("o", 0.66, test_log_loss=0.66, test_brier=0.2), m("c", 0.65), False)
+    assert not worse["test_consistent"] and not worse["calibration_not_worse"] and not worse["leakage_ok"]
+    assert of(m("s", 0.64, test_log_loss=0.651), m("o", 0.66, test_log_loss=0.66), m("c", 0.65, test_log_loss=0.65), True)["test_consistent"]
+    assert not of(m("s", 0.64, test_log_loss=0.653), m("o", 0.66, test_log_loss=0.66), m("c", 0.65, test_log_loss=0.65), True)["test_consistent"]
