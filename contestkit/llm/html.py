@@ -37,7 +37,9 @@ _PARTS = frozenset(
 _PART_STARTS, _PART_HOLDS = ("advert", "sponsor", "promo"), ("comments", "sidebar", "cookie", "menu", "banner", "navbar", "advert")
 #: Words that name other boxes: dropped outside the article only.
 _BOXES = frozenset("popup modal overlay share sharing social related recommended subscribe subscription newsletter signup login widget toolbar skip hidden".split())
-#: Elements of running text: no box name drops them.
+#: What may follow such a word in a class within an article that still names the part, as in "comments-area"; others, as in "comments-policy", tell of prose.
+_HOLDERS = frozenset("area bar block bottom box container content form frame group holder inner item items left link links list main outer panel right row section slot space thread top unit widget widgets wrap wrapper".split())
+#: Elements of running text: no box name drops them, and within an article of the parts only adverts and notices.
 _PROSE = frozenset("p li blockquote pre td th dd dt".split())
 _APART = re.compile(r"[\s_-]+")
 _REMARKS = re.compile(r"comment|disqus|respond|repl(?:y|ies)", re.IGNORECASE)
@@ -46,10 +48,29 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECAS
 _PASSED_ON = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
 
 
-def _named_after(about: str) -> tuple[bool, bool]:
+def _is_part(word: str) -> bool:
+    return word in _PARTS or word.startswith(_PART_STARTS) or any(x in word for x in _PART_HOLDS)
+
+
+def _is_advert(word: str) -> bool:
+    return word.startswith(("ad", "sponsor", "promo", "cookie", "consent", "gdpr", "notice", "notification")) and _is_part(word)
+
+
+def _names_part(about: str, tag: str) -> bool:
+    """Whether a class or id within an article names a part that is none: by its last word but for those of holders; running text only as an advert or notice."""
+    for name in about.lower().split():
+        words = [w.rstrip("0123456789") for w in _APART.split(name) if w.rstrip("0123456789")]
+        while len(words) > 1 and words[-1] in _HOLDERS and not _is_part(words[-1]):
+            words.pop()
+        if words and (_is_advert(words[-1]) if tag in _PROSE else _is_part(words[-1]) or "side-bar" in name):
+            return True
+    return False
+
+
+def _named_after(about: str, tag: str, within: bool) -> tuple[bool, bool]:
     """Whether a class and id name a part of the page that is no article, and whether some other box."""
     names = [w.rstrip("0123456789") for w in _APART.split(about.lower())]
-    part = "side-bar" in about or any(w in _PARTS or w.startswith(_PART_STARTS) or any(x in w for x in _PART_HOLDS) for w in names)
+    part = _names_part(about, tag) if within else "side-bar" in about or any(map(_is_part, names))
     return part, any(w in _BOXES or "newsletter" in w for w in names)
 
 
@@ -66,7 +87,7 @@ class Node:
             self.about = f"{found.get('class', '')} {found.get('id', '')}".strip()
             self.out = self.out or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").strip().lower() in _ROLES or bool(_HIDDEN.search(found.get("style", "")))
             if not self.out and self.about and tag not in ("body", "html", "article", "main") and tag not in _HEADINGS:
-                part, box = _named_after(self.about)
+                part, box = _named_after(self.about, tag, within)
                 self.out = self.named = part or (box and not within and tag not in _PROSE)
 
 
@@ -141,8 +162,10 @@ def parse(page: str) -> Node:
         node = Node(tag, now.stack[-1], m[3], bool(now.last("article") or now.last("main")))
         now.stack[-1].children.append(node)
         if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            at = close.end() if close else len(page)
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            # no end tag without a ">" after it
+            at = page.find(">", close.end()) + 1 if close else 0
+            at = at or len(page)
         elif tag not in _VOID and not m[3].rstrip().endswith("/"):
             now.push(node)
     if at < len(page):
@@ -283,11 +306,54 @@ def _drop_link_lists(node: Node) -> None:
                     stack.append(child)
 
 
+def _siblings(best: Node) -> list[Node]:
+    """The best container among its siblings of like standing or kind, in page order.
+
+    Short ones stay if they are of the best one's tag and class, further articles, paragraphs, or headings before it; what is mostly links goes.
+    """
+    if best.parent is None:
+        return [best]
+    kept, after = [], False
+    least, whole = max(10.0, 0.2 * _standing(best)), best.tag in ("article", "main")
+    for child in best.parent.children:
+        if child is best:
+            kept.append(child)
+            after = True
+        elif isinstance(child, Node) and not child.out and child.chars and _density(child) < 0.5:
+            alike = child.tag == best.tag and (child.about == best.about if best.about else child.tag in ("article", "section"))
+            bonus = 0.2 * _standing(best) if child.about and child.about == best.about else 0.0
+            if alike or _standing(child) + bonus >= least or (child.tag == "p" and not whole) or (not after and _is_headline(child)):
+                kept.append(child)
+    return kept
+
+
+def _is_headline(node: Node) -> bool:
+    """Whether all its text is that of headings."""
+    if node.tag in _HEADINGS:
+        return True
+    inside = sum(c.chars for c in _headings(node) if isinstance(c, Node))
+    return bool(node.chars) and inside == node.chars
+
+
+def _headline(best: Node) -> list[Node]:
+    """The nearest headline before the best container's own siblings, where neither the container nor they have a first-rank heading."""
+    if best.parent is None or any(c.tag == "h1" for n in _siblings(best) for c in (n, *_headings(n)) if isinstance(c, Node)):
+        return []
+    node = best.parent
+    while node.parent is not None:
+        earlier = node.parent.children[: next(k for k, c in enumerate(node.parent.children) if c is node)]
+        for child in reversed(earlier):
+            if isinstance(child, Node) and not child.out and child.chars and _density(child) < 0.5 and _is_headline(child) and (child.tag == "h1" or any(c.tag == "h1" for c in _headings(child) if isinstance(c, Node))):
+                return [child]
+        node = node.parent
+    return []
+
+
 def extract(page: str | None) -> str:
     """The main text of a page; empty for null, blank or text-free pages.
 
     In an article or main element only the parts named in ``_PARTS``, forms, scripts, styles and the like are left out, and of its
-    headers all but the headings; lists of links stay. Time and memory are linear in the page, however it is nested.
+    headers all but the headings; lists of links stay, and so does running text that is merely styled like a part. Further articles of the same parent are text too. Time and memory are linear in the page, however it is nested.
     """
     if not page:
         return ""
@@ -301,18 +367,7 @@ def extract(page: str | None) -> str:
         above = above.parent
     if above is not None:
         best = above
-    kept = [best]
-    if best.parent is not None:
-        least = max(10.0, 0.2 * _standing(best))
-        kept = []
-        for child in best.parent.children:
-            if child is best:
-                kept.append(child)
-            elif isinstance(child, Node) and not child.out:
-                bonus = 0.2 * _standing(best) if child.about and child.about == best.about else 0.0
-                long_paragraph = child.tag == "p" and child.chars > 80 and _density(child) < 0.25
-                if _standing(child) + bonus >= least or (long_paragraph and best.tag not in ("article", "main")):
-                    kept.append(child)
+    kept = _headline(best) + _siblings(best)
     if best.tag in ("body", "html"):
         _drop_link_lists(best)
     return " ".join(text for node in kept for _, text in blocks(node))

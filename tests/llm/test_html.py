@@ -29,6 +29,12 @@ def page(body):
         (f"<header><h1>Site</h1></header><div class=post><h1>Title</h1><p class=x\">{ARTICLE}</p><ol><li><a href=1>Reference one</a></li></ol></div>", f"Title {ARTICLE} Reference one"),
         (f"<ul><li><a href=1>Home</a></li></ul><p>{ARTICLE}</p><p>{ARTICLE}</p>", f"{ARTICLE} {ARTICLE}"),
         (f"<article><table><tr><td>a<td>b<tr><td>c</table><p>{ARTICLE}</p><template><template></template>x</template></ article></article>", f"a b c {ARTICLE}"),
+        (f"<div class=para><p>{ARTICLE}</p><p>{ARTICLE}</p></div><div class=para><p>Short end.</p></div>", f"{ARTICLE} {ARTICLE} Short end."),
+        (f"<div class=top><h1>Headline of it</h1></div><div class=body><p>{ARTICLE}</p><p>{ARTICLE}</p></div>", f"Headline of it {ARTICLE} {ARTICLE}"),
+        (f"<div><div class=top><h1>Headline of it</h1></div><div class=mid><div class=inner><p>{ARTICLE}</p><p>{ARTICLE}</p></div><div class=links><a href=1>More</a></div></div></div>", f"Headline of it {ARTICLE} {ARTICLE}"),
+        (f"<main><article><h2>One</h2><p>{ARTICLE}</p><p>{ARTICLE}</p></article><article><h2>Two</h2><p>Brief.</p></article><aside>x</aside></main>", f"One {ARTICLE} {ARTICLE} Two Brief."),
+        (f"<article><p class='header'>Intro line.</p><p>{ARTICLE}</p><p class='reply'>He replied.</p><section class='comments-policy'><p>How to comment.</p></section><div class='comments-area'><p>no</p></div><section class='user-comments'><p>no</p></section><p class='advert'>no</p><div class='header-top'>no</div></article>", f"Intro line. {ARTICLE} He replied. How to comment."),
+        (f"<h1>Title</h1><div class=body><p>{ARTICLE}</p><p>{ARTICLE}</p></div><p>Short end.</p><div class=more><a href=1>x</a></div>", f"Title {ARTICLE} {ARTICLE} Short end."),
         ("plain text only", "plain text only"),
         ("", ""),
         ("<script>x</script>", ""),
@@ -48,7 +54,7 @@ def test_broken_pages():
 
 @pytest.mark.parametrize(
     "piece",
-    ["<b>|<div>x</div>", "<b><div><i>|</b>", "<div class='a_a_", "<p>", "<li>x|</ul>", "<a href=\"", "<a b='\">", "<script>|<p", "<!--|--", "<td>|<tr>", "&lt;", "</div", "<h1 a= "],
+    ["<b>|<div>x</div>", "<b><div><i>|</b>", "<div class='a_a_", "<p>", "<li>x|</ul>", "<a href=\"", "<a b='\">", "<script>|<p", "<!--|--", "<td>|<tr>", "&lt;", "</div", "<h1 a= ", "<script>|</script ", "<textarea>|</textarea\n", "<style>|</style"],
 )
 def test_hostile_pages_take_linear_time(piece):
     page = "".join(p * (1_000_000 // 2 // len(p)) for p in (*piece.split("|"), piece.split("|")[-1])[:2])
