@@ -102,14 +102,34 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings"))
 
 
-def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
-    """Scans the unseen pairs of blob and rule version among the rows of ``docs`` (text); appends them to the ledger."""
+def unseen(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, text, rules) of the blobs of ``docs`` with the rule versions that have not scanned them, as a rule one row a blob.
+
+    Only blob ids, counts and doc_ids are shuffled. A text stays where it is read if the blobs that differ from the common case (new, and without copies), or else
+    those to be scanned, are BROADCAST_BLOBS at most; beyond both, texts are joined by a shuffle. Of copies the one with the smallest doc_id is
+    scanned; copies that share it as well are scanned each, and their equal findings count once.
+    """
     spark = docs.sparkSession
-    keys = [r.key for r in rules]
-    blobs = pick(docs, "text").fillna("").withColumn("blob", blob_id(F.col("text"))).groupBy("blob").agg(F.first("text").alias("text"))
+    keys = F.array(*[F.lit(r.key) for r in rules])
+    texts = pick(docs, "text") if "doc_id" not in docs.columns else pick(docs, "text", "doc_id")
+    rows = texts.select(F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") if "doc_id" in texts.columns else F.lit(None).cast("long")).alias("doc_id")).withColumn("blob", blob_id(F.col("text")))
+    copies = rows.groupBy("blob").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"))
     known = read_ledger(spark, ledger).select("blob", F.col("rules").alias("seen"))
-    missing = F.array_except(F.array(*map(F.lit, keys)), F.coalesce("seen", F.array().cast("array<string>")))
-    todo = blobs.join(known, "blob", "left").select("blob", "text", missing.alias("rules")).filter(F.size("rules") > 0)
+    missing = F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")
+    judged = stash(copies.join(known, "blob", "left").select("blob", "n", "keeper", missing), "blobs")
+    special, wanted = (F.size("rules") < len(rules)) | (F.col("n") > 1), F.size("rules") > 0
+    sizes = judged.agg(F.count_if(special).alias("special"), F.count_if(wanted).alias("wanted")).first()
+    if sizes["special"] <= BROADCAST_BLOBS:
+        joined = rows.join(F.broadcast(judged.filter(special)), "blob", "left").withColumn("rules", F.coalesce("rules", keys)).filter(wanted)
+    else:
+        side = judged.filter(wanted)
+        joined = rows.join(F.broadcast(side) if sizes["wanted"] <= BROADCAST_BLOBS else side, "blob")
+    return joined.filter(F.coalesce(F.col("n") == 1, F.lit(True)) | F.col("keeper").eqNullSafe(F.col("doc_id"))).select("blob", "text", "rules")
+
+
+def update_ledger(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
+    """Scans the unseen pairs of blob and rule version among the rows of ``docs`` (text, maybe doc_id); appends them to the ledger."""
+    todo = unseen(docs, ledger, rules)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_key = {r.key: r for r in rules}

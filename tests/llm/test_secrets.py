@@ -4,6 +4,8 @@ import re
 import time
 from dataclasses import replace
 
+import pytest
+
 from contestkit.llm import queries, secrets
 
 from .conftest import documents
@@ -38,7 +40,9 @@ def test_failing_match_takes_its_text(spark):
     assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in got] == plain(text)
 
 
-def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
+@pytest.mark.parametrize("most", [secrets.BROADCAST_BLOBS, 1, -1])
+def test_ledger_scans_unseen_pairs_only(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(secrets, "BROADCAST_BLOBS", most)  # all ways of joining the texts
     ledger = f"file://{tmp_path}/ledger"
     one, two = documents(spark, [(1, "token=abcdef"), (2, "token=abcdef")]), documents(spark, [(2, "token=abcdef"), (3, "passwd: ghijkl")])
     scanned = lambda: sorted(tuple(r["rules"]) for r in spark.read.parquet(ledger).collect())
@@ -53,6 +57,13 @@ def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
     assert {r["doc_id"]: len(r["spans"]) for r in rows} == {2: 1, 3: 1}
 
 
+def test_texts_of_a_first_run_are_not_shuffled(spark, tmp_path):
+    docs = documents(spark, [(k, f"token=abcdef{k}") for k in range(50)] + [(100 + k, "token=same123") for k in range(20)])
+    todo = secrets.unseen(docs, f"file://{tmp_path}/none")
+    assert "Exchange hashpartitioning" not in todo._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["text"] for r in todo.collect()) == sorted([f"token=abcdef{k}" for k in range(50)] + ["token=same123"])
+
+
 def test_redact(spark, monkeypatch):
     docs = documents(spark, [(1, "é token=abcdef end"), (2, "clean"), (3, None), (4, "secret = " + "0123456789abcdef" * 2), (4, "clean")])
     want = [(1, "é [assign] end", 14), (2, "clean", 5), (3, None, None), (4, "[assign]", 8), (4, "clean", 5)]
