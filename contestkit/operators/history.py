@@ -36,7 +36,12 @@ def before() -> WindowSpec:
 def record(long: DataFrame) -> DataFrame:
     """Prior bouts, wins and losses (0 on debut) and the share of wins (null on debut)."""
     n, wins = F.count("*").over(before()), F.coalesce(F.sum("won").over(before()), F.lit(0))
-    return long.withColumns({"prior_fights": n, "prior_wins": wins}).withColumns({"prior_losses": F.col("prior_fights") - F.col("prior_wins"), "prior_win_pct": ratio(F.col("prior_wins").cast("double"), F.col("prior_fights"))})
+    return with_losses(long.withColumns({"prior_fights": n, "prior_wins": wins}))
+
+
+def with_losses(counted: DataFrame) -> DataFrame:
+    """Adds prior_losses and prior_win_pct to prior_fights and prior_wins."""
+    return counted.withColumns({"prior_losses": F.col("prior_fights") - F.col("prior_wins"), "prior_win_pct": ratio(F.col("prior_wins").cast("double"), F.col("prior_fights"))})
 
 
 def form(long: DataFrame, sizes: tuple[int, ...] = (3, 5)) -> DataFrame:
@@ -56,14 +61,18 @@ def layoff(long: DataFrame) -> DataFrame:
     """Days since the latest earlier day with a bout, and functions of them; same-day bouts do not count."""
     day = F.datediff("date", F.to_date(F.lit("1970-01-01")))
     earlier = Window.partitionBy("entity").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    out = long.withColumn("day", day).withColumn("layoff_days", F.col("day") - F.max("day").over(earlier)).drop("day")
+    return with_layoff_flags(long.withColumn("day", day).withColumn("layoff_days", F.col("day") - F.max("day").over(earlier)).drop("day"))
+
+
+def with_layoff_flags(long: DataFrame) -> DataFrame:
+    """Adds what follows from layoff_days."""
     days = F.col("layoff_days")
     flag = lambda c: c.cast("int")  # noqa: E731  null stays null
-    return out.withColumns({"layoff_missing": days.isNull().cast("int"), "log_layoff_days": log_days(days), "short_turnaround": flag(days < 60), "long_layoff": flag(days >= 365), "extreme_layoff": flag(days >= 730)})
+    return long.withColumns({"layoff_missing": days.isNull().cast("int"), "log_layoff_days": log_days(days), "short_turnaround": flag(days < 60), "long_layoff": flag(days >= 365), "extreme_layoff": flag(days >= 730)})
 
 
-def rates(long: DataFrame, strict: bool = False) -> DataFrame:
-    """Rates over all earlier bouts with both sides' statistics and positive minutes.
+def contributions(strict: bool = False) -> dict[str, Column]:
+    """What a bout adds to each total of ``SUMMED``, and to their number ``n``; null for a bout that does not count.
 
     A missing component adds 0; with ``strict`` such bouts are left out as a whole.
     """
@@ -73,8 +82,18 @@ def rates(long: DataFrame, strict: bool = False) -> DataFrame:
     both = F.col("has_stats") & F.col("opp_has_stats") & usable
     if strict:
         both = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in SUMMED], both)
-    total = lambda c: F.coalesce(F.sum(F.when(both, minutes if c == "minutes" else F.coalesce(F.col(c), F.lit(0.0)))).over(before()), F.lit(0.0))
-    summed = long.withColumns({f"t_{c}": total(c) for c in SUMMED} | {"t_n": F.count(F.when(both, 1)).over(before())})
+    return {c: F.when(both, minutes if c == "minutes" else F.coalesce(F.col(c), F.lit(0.0))) for c in SUMMED} | {"n": F.when(both, F.lit(1))}
+
+
+def rates(long: DataFrame, strict: bool = False) -> DataFrame:
+    """Rates over all earlier bouts with both sides' statistics and positive minutes."""
+    each = contributions(strict)
+    totals = {f"t_{c}": F.coalesce(F.sum(v).over(before()), F.lit(0.0)) for c, v in each.items() if c != "n"}
+    return with_rates(long.withColumns(totals | {"t_n": F.count(each["n"]).over(before())}))
+
+
+def with_rates(summed: DataFrame) -> DataFrame:
+    """Replaces the totals t_* by the rates they make."""
     t = lambda c: F.col(f"t_{c}")
     per = lambda c, m: F.when(t("minutes") > 0, t(c) / t("minutes") * m)
     minute_control = lambda c: F.when(t("minutes") > 0, t(c) / 60.0 / t("minutes") * 15)

@@ -67,43 +67,102 @@ def assign(bouts: DataFrame, identities: DataFrame) -> DataFrame:
     )
     sole = lambda c: F.when(F.count_if(c) == 1, F.min(F.when(F.col(c), F.col("slug")))).alias(c)
     judged = many.join(fitting.groupBy("ref").agg(sole("by_weight"), sole("by_age")), "ref")
-    chained = judged.groupBy("name_key").applyInPandas(_by_continuity, "ref long, by_chain string")
+    chained = with_spells(judged).groupBy("name_key", "spell").applyInPandas(_by_continuity, "ref long, by_chain string")
     first = F.coalesce("by_weight", "by_chain", "by_age")
     rule = F.when(F.col("by_weight").isNotNull(), "division_weight").when(F.col("by_chain").isNotNull(), "continuity").when(F.col("by_age").isNotNull(), "age").otherwise("unresolved")
     return single.unionByName(judged.join(chained, "ref").select("ref", first.alias("slug"), rule.alias("rule")))
 
 
+def with_spells(bouts: DataFrame) -> DataFrame:
+    """Adds spell: the bouts of a name between gaps longer than ``CONTINUITY_DAYS``, across which nothing carries over. Undated bouts are a spell of their own."""
+    by_day = Window.partitionBy("name_key").orderBy("date", "ref")
+    begins = F.coalesce((F.datediff("date", F.lag("date").over(by_day)) > CONTINUITY_DAYS).cast("int"), F.when(F.col("date").isNull(), 0).otherwise(F.when(F.lag("date").over(by_day).isNull(), 1).otherwise(0)))
+    return bouts.withColumn("begins", begins).withColumn("spell", F.sum("begins").over(by_day)).drop("begins")
+
+
+class _Open:
+    """Open bouts in order of days. Each sight of an identity passes over the bouts that have it already, and those that are done with, in near-constant time."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+        self.after = list(range(n + 1))  # next bout that is not done with
+        self.unmarked: dict[int, dict[int, int]] = {}  # by identity: next bout without it
+
+    def _follow(self, links: list[int] | dict[int, int], k: int) -> int:
+        at = k
+        while (to := links[at] if isinstance(links, list) else links.get(at, at)) != at:
+            at = to
+        while k != at:
+            following = links[k] if isinstance(links, list) else links.get(k, k)
+            links[k], k = at, following
+        return at
+
+    def close(self, k: int) -> None:
+        self.after[k] = k + 1
+
+    def mark(self, bit: int, k: int) -> None:
+        self.unmarked[bit][k] = k + 1
+
+    def next(self, bit: int, k: int) -> int:
+        """The first open bout from k on that lacks the identity; n if there is none."""
+        links = self.unmarked.setdefault(bit, {})
+        while True:
+            k = self._follow(links, k)
+            open_ = self._follow(self.after, min(k, self.n))
+            if open_ <= k:
+                return k
+            links[k] = open_
+            k = open_
+
+
 def _by_continuity(name: pd.DataFrame) -> pd.DataFrame:
-    """(ref, by_chain) of one shared name's bouts (ref, date, by_weight): the only identity with a bout near enough.
+    """(ref, by_chain) of bouts of one shared name (ref, date, by_weight): the only identity with a bout near enough.
 
-    Bouts lie sorted by day, so an assigned bout reaches a slice of them. A bout's set of identities in reach is a bit mask that only
-    grows; refs whose mask gets its first bit wait in a queue, those already passed wait for the next round.
+    An assigned bout brings its identity to the open ones within reach, in the order of refs; those that were passed already wait for the next round. A bout
+    counts the identities that reached it: with two it can never be told any more, and is closed. So each bout is touched three times at most, and the rest is
+    near-linear.
     """
     name = name.sort_values("ref", ignore_index=True)
     by_day = name["date"].dropna().sort_values(kind="stable")
     days, refs = by_day.to_numpy().astype("datetime64[D]"), by_day.index.to_numpy()
-    slugs = sorted(name["by_weight"].dropna().unique())
-    reach, chosen = [0] * len(name), [None] * len(name)
-    open_ = name["by_weight"].isna().to_numpy()
+    slugs = {s: k for k, s in enumerate(sorted(name["by_weight"].dropna().unique()))}
+    ordered = list(slugs)
+    given = name["by_weight"].notna().to_numpy()
+    reached: list[int | None] = [None] * len(name)
+    chosen: list[str | None] = [None] * len(name)
+    place = {int(k): at for at, k in enumerate(refs)}
+    low, high = (np.searchsorted(days, days + shift, side) for shift, side in ((-CONTINUITY_DAYS, "left"), (CONTINUITY_DAYS, "right")))
+    bouts = _Open(len(refs))
+    for at, k in enumerate(refs.tolist()):
+        if given[k]:
+            bouts.close(at)
     now: list[int] = []
     later: list[int] = []
 
-    def spread(day: np.datetime64, bit: int, passed: int) -> None:
-        for k in refs[np.searchsorted(days, day - CONTINUITY_DAYS) : np.searchsorted(days, day + CONTINUITY_DAYS, "right")].tolist():
-            if open_[k] and not reach[k]:
+    def spread(at: int, slug: int, passed: int) -> None:
+        other = bouts.next(slug, int(low[at]))
+        while other < high[at]:
+            k = int(refs[other])
+            bouts.mark(slug, other)
+            if reached[k] is None:
+                reached[k] = slug
                 heapq.heappush(now if k > passed else later, k)
-            reach[k] |= bit
-
-    for day, slug in name.loc[~open_, ["date", "by_weight"]].dropna().itertuples(index=False):
-        spread(np.datetime64(day, "D"), 1 << slugs.index(slug), -1)
+            else:
+                reached[k] = -1
+                bouts.close(other)
+            other = bouts.next(slug, other)
+
+    for k in np.flatnonzero(given).tolist():
+        if k in place:
+            spread(place[k], slugs[name.at[k, "by_weight"]], -1)
     while now or later:
         if not now:
             now, later = later, now
         k = heapq.heappop(now)
-        if reach[k].bit_count() == 1:
-            open_[k], slug = False, reach[k].bit_length() - 1
-            chosen[k] = slugs[slug]
-            spread(np.datetime64(name["date"][k], "D"), 1 << slug, k)
+        if reached[k] is not None and reached[k] >= 0:
+            chosen[k] = ordered[reached[k]]
+            bouts.close(place[k])
+            spread(place[k], reached[k], k)
     return pd.DataFrame({"ref": name["ref"], "by_chain": chosen})
 
 

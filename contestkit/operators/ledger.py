@@ -1,4 +1,4 @@
-"""Prediction ledger: append with a duplicate policy, resolution, monitoring, card view (INC-02 to INC-07, INC-10, JOIN-11 to JOIN-13, JOIN-17, SRT-09, SRV-01, SRV-04)."""
+"""Prediction ledger: append with a duplicate policy, resolution, monitoring, card view (INC-02 to INC-04, INC-06, INC-07, INC-10, JOIN-11 to JOIN-13, JOIN-17, SRT-09, SRV-01, SRV-04)."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from contestkit.operators.history import AGAINST, FORM, LAYOFF, RECORD, ROLLING,
 from contestkit.operators.identity import lookup
 from contestkit.operators.matchup import matchup
 from contestkit.operators.rating import elo
-from contestkit.sources.tables import promote
 
 #: First number of made-up bouts for cards to come; they count down.
 SYNTHETIC_ID = -1_000_001
@@ -53,8 +52,16 @@ def resolve(ledger: DataFrame, results: DataFrame, overwrite: bool = False) -> D
 
     Adds outcome: resolved, skipped, error, unmatched, ambiguous or unknown_winner.
     """
-    grouped = results.withColumn("k", fight_key()).groupBy("k").agg(F.count("*").alias("found"), F.first(name_key(F.col("winner"))).alias("winner_key"), F.first("winner").alias("result_winner"))
-    joined = ledger.withColumn("k", fight_key()).join(grouped, "k", "left")
+    return judged(ledger.withColumn("k", fight_key()).join(found_results(results.withColumn("k", fight_key())), "k", "left"), ledger.columns, overwrite)
+
+
+def found_results(results: DataFrame) -> DataFrame:
+    """Results by key k: how many there are, and the winner of one."""
+    return results.groupBy("k").agg(F.count("*").alias("found"), F.first(name_key(F.col("winner"))).alias("winner_key"), F.first("winner").alias("result_winner"))
+
+
+def judged(joined: DataFrame, columns: list[str], overwrite: bool = False) -> DataFrame:
+    """Ledger rows (of these columns) with what ``found_results`` tells of their key, scored; adds outcome."""
     target = F.when(F.col("winner_key") == name_key(F.col("fighter_a")), 1).when(F.col("winner_key") == name_key(F.col("fighter_b")), 0)
     outcome = F.when(F.col("status") == "error", "error").when((F.col("status") == "resolved") & F.lit(not overwrite), "skipped").when(F.col("found").isNull(), "unmatched").when(F.col("found") > 1, "ambiguous").when(target.isNull(), "unknown_winner").otherwise("resolved")
     p = F.col("predicted_probability_a")
@@ -64,7 +71,7 @@ def resolve(ledger: DataFrame, results: DataFrame, overwrite: bool = False) -> D
         "correct_prediction": ((p >= 0.5) == (target == 1)).cast("int"), "status": F.lit("resolved"),
     }
     out = joined.withColumn("outcome", outcome)
-    old = lambda c: F.col(c) if c in ledger.columns else F.lit(None)
+    old = lambda c: F.col(c) if c in columns else F.lit(None)
     return out.withColumns({c: F.when(done, v).otherwise(old(c)) for c, v in new.items()}).drop("k", "found", "winner_key", "result_winner")
 
 
@@ -105,24 +112,24 @@ def judge_card(card: DataFrame, entities: DataFrame) -> DataFrame:
     return marked.withColumn("reasons", F.when(F.col("twice"), F.array_append("reasons", F.lit("competitor_twice_that_day"))).otherwise(F.col("reasons"))).drop("twice")
 
 
-def upcoming(history: DataFrame, card: DataFrame, k: float = 32.0, start: float = 1500.0) -> DataFrame:
+def upcoming(history: DataFrame, card: DataFrame, k: float = 32.0, start: float = 1500.0, snapshots: DataFrame | None = None) -> DataFrame:
     """Ratings before a card: history strictly before each card's day, and made-up bouts with numbers from -1,000,001 down (INC-02).
 
-    history: fight_id, date, a_id, b_id, a_won. card: date, a_id, b_id, row_no (from 0). The ratings of all history come once; a side's is the one after its
-    last bout before the card's day.
+    history: fight_id, date, a_id, b_id, a_won. card: date, a_id, b_id, row_no (from 0). A side's rating is the one after its last bout before the card's day: with stored
+    ``snapshots`` of all of history (as ``elo`` gives them) a pass over the card's competitors' rows finds it, without them all bouts are rated first.
     """
-    rated = elo(history, k, start)
-    long = rated.select(F.explode(F.array(*[F.struct(F.col(f"{s}_id").alias("entity"), F.col("date").alias("of"), F.struct("date", "fight_id").alias("at"), F.col(f"{s}_post").alias("rating")) for s in "ab"])).alias("r")).select("r.*")
     out = card.select((F.lit(SYNTHETIC_ID) - F.col("row_no")).alias("fight_id"), "date", "a_id", "b_id")
-    wanted = out.select(F.explode(F.array("a_id", "b_id")).alias("entity"), "date").distinct()
-    last = wanted.join(long, "entity").filter(F.col("of") < F.col("date")).groupBy("entity", "date").agg(F.max_by("rating", "at").alias("rating"))
+    wanted = out.select(F.explode(F.array("a_id", "b_id")).alias("entity"), F.col("date").alias("card_day")).distinct()
+    rated = elo(history, k, start) if snapshots is None else snapshots
+    long = rated.select(F.explode(F.array(*[F.struct(F.col(f"{s}_id").alias("entity"), F.struct("date", "fight_id").alias("at"), F.col(f"{s}_post").alias("rating")) for s in "ab"])).alias("r")).select("r.*")
+    last = long.join(wanted, "entity").filter(F.col("at.date") < F.col("card_day")).groupBy("entity", "card_day").agg(F.max_by("rating", "at").alias("rating"))
     for s in "ab":
-        out = out.join(last.select(F.col("entity").alias(f"{s}_id"), "date", F.col("rating").alias(f"{s}_rating")), [f"{s}_id", "date"], "left")
+        out = out.join(last.select(F.col("entity").alias(f"{s}_id"), F.col("card_day").alias("date"), F.col("rating").alias(f"{s}_rating")), [f"{s}_id", "date"], "left")
     out = out.fillna(start, ["a_rating", "b_rating"])
     return out.select("fight_id", "date", "a_id", "b_id", "a_rating", "b_rating", (1 / (1 + F.pow(F.lit(10.0), (F.col("b_rating") - F.col("a_rating")) / 400.0))).alias("a_expected"))
 
 
-def upcoming_features(appearances: DataFrame, history: DataFrame, card: DataFrame, k: float = 32.0, start: float = 1500.0) -> DataFrame:
+def upcoming_features(appearances: DataFrame, history: DataFrame, card: DataFrame, k: float = 32.0, start: float = 1500.0, snapshots: DataFrame | None = None) -> DataFrame:
     """All features of a card's bouts (INC-02, SET-04): record, form, layoff, rates, matchup projections and ratings, and the last day used.
 
     appearances: two rows a bout, as ``history.features`` takes them; history and card as ``upcoming`` does. The card's bouts are appended as rows without result
@@ -141,7 +148,7 @@ def upcoming_features(appearances: DataFrame, history: DataFrame, card: DataFram
     known = rates(layoff(activity(form(record(both))))).withColumn("entity", F.col("own")).filter(F.col("fight_id") <= SYNTHETIC_ID)
     wide = matchup(to_bouts(known, (*RECORD, *FORM, "days_since_last_fight", *LAYOFF, *ROLLING, *AGAINST, "no_prior_stats"))).drop("a_won", "a_id", "b_id", "date")
     used = history.join(F.broadcast(days), F.col("date") < F.col("card_day")).groupBy("card_day").agg(F.max("date").alias("last_day_used"))  # the days of a card
-    return upcoming(history, card, k, start).join(wide, "fight_id").join(used.withColumnRenamed("card_day", "date"), "date", "left")
+    return upcoming(history, card, k, start, snapshots).join(wide, "fight_id").join(used.withColumnRenamed("card_day", "date"), "date", "left")
 
 
 #: Sections of a card, the first shown first. Fixed values.
@@ -192,39 +199,6 @@ def apply_plan(history: DataFrame, event: DataFrame) -> DataFrame:
     return joined.select(*event.columns, decision.alias("decision"))
 
 
-def guarded_apply(history: DataFrame, event: DataFrame, target: str, excluded: tuple[str, ...] = (), dry_run: bool = True, k: float = 32.0, start: float = 1500.0) -> dict:
-    """Adds an event's bouts to the stored history, as a new version, with ratings for the new bouts only (INC-05).
-
-    history, event: fight_id, date, a_id, b_id, a_won; event also fight_key. The plan names what is blocked: bouts before the last stored
-    day, sides that are the same, undecided or excluded keys, numbers that are stored. A dry run returns the plan. Else every bout must be free to go; the version
-    before stays, and is what readers see again if the checks after the write fail: no old row changed, the new ones are there once, their ratings come from
-    the ones stored before.
-    """
-    plan = apply_plan(history, event)
-    stored = history.select("fight_id", F.lit(True).alias("taken"))
-    own = F.when(F.col("a_id") == F.col("b_id"), "same_sides").when(F.col("a_won").isNull(), "undecided").when(F.col("fight_key").isin(*excluded) if excluded else F.lit(False), "excluded").when(F.col("taken"), "number_is_stored")
-    plan = plan.join(stored, "fight_id", "left").withColumn("decision", F.when(F.col("decision").startswith("append"), F.coalesce(own, F.col("decision"))).otherwise(F.col("decision"))).drop("taken")
-    counts = {r["decision"]: r["count"] for r in plan.groupBy("decision").count().collect()}
-    report = {"decisions": counts, "applied": 0, "dry_run": dry_run}
-    free = plan.filter(F.col("decision").startswith("append"))
-    new = free.select(*history.columns)
-    if dry_run or not counts:
-        return report
-    if blocked := {d: n for d, n in counts.items() if not d.startswith("append") and d != "already_stored"}:
-        raise ValueError(f"nothing applied: {blocked}")
-    n = sum(v for d, v in counts.items() if d.startswith("append"))
-    if not n:
-        return report
-    before = history.count()
-
-    def holds(rows: DataFrame) -> bool:
-        return rows.count() == before + n and rows.select("fight_id").distinct().count() == before + n and not history.exceptAll(rows.select(*history.columns)).take(1)
-
-    path = promote(history.unionByName(new), target, {"two_sides": F.col("a_id") != F.col("b_id"), "decided": F.col("a_won").isin(0, 1)}, holds)
-    ratings = elo(history.unionByName(new), k, start).join(new.select("fight_id"), "fight_id", "left_semi")
-    return report | {"applied": n, "path": path, "ratings": ratings}
-
-
 def next_action(pages: int, missing: int, stale: int) -> str:
     """What an audit of fetched pages asks for: pages, nothing, or a guarded apply."""
     return "save_pages" if not pages else "current" if not missing and not stale else "propose_guarded_apply"
