@@ -158,3 +158,12 @@ def schema_version(columns: list[str], family: str) -> str:
 def canonical_json(value: object) -> str:
     """Sorted keys, no spaces; not-a-number is an error."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def canonical_payload(payload: Column) -> Column:
+    """JSON texts in one form, by executors (JSN-01): keys sorted, no spaces, numbers by their value (1.50 is 1.5, 2.0 is 2).
+
+    Null for what is no JSON, repeats a key, or holds a number beyond a double.
+    """
+    text = F.to_json(F.try_parse_json(payload))
+    return F.when(~(F.contains(text, F.lit('"Infinity"')) & ~F.contains(payload, F.lit("Infinity"))), text)

@@ -129,23 +129,36 @@ def features(long: DataFrame) -> DataFrame:
 RANGE = 50_000
 
 
+def positions(rows: DataFrame, order: tuple[str, str], within: str, width: int = RANGE) -> DataFrame:
+    """Adds _at, the position of a row in its group by day and number (from 0).
+
+    Rows are counted by day and range of numbers, ``width`` numbers or so a range and finer for a day that holds more; each range is ranked on its own, so
+    that no day, however hot, is one task.
+    """
+    day, key = order
+    spread = rows.groupBy(within, day).agg(F.count("*").alias("_n"), F.min(key).alias("_low"), F.max(key).alias("_high"))
+    # ranges of a day's numbers: as many as it has rows for; numbers that lie unevenly make uneven ranges, which are still counted right
+    step = F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.greatest(F.lit(1), F.ceil(F.col("_n") / width)))).cast("long")
+    placed = rows.join(spread.select(within, day, "_low", step.alias("_step")), [within, day]).withColumn("_range", F.expr(f"({key} - _low) div _step")).drop("_low", "_step")
+    counts = placed.groupBy(within, day, "_range").agg(F.count("*").alias("_n"))
+    before = counts.select(within, day, "_range", (F.sum("_n").over(Window.partitionBy(within).orderBy(day, "_range")) - F.col("_n")).alias("_before"))  # a row a range
+    nth = F.row_number().over(Window.partitionBy(within, day, "_range").orderBy(key)) - 1
+    return placed.join(before, [within, day, "_range"]).withColumn("_at", F.col("_before") + nth).drop("_before", "_range")
+
+
 def trailing(predictions: DataFrame, measures: dict[str, Column], size: int, order: tuple[str, str] = ("date", "fight_id"), within: str = "model") -> DataFrame:
     """Means of the last ``size`` predictions within a group; null until there are so many (WIN-11).
 
-    Counts per day give every prediction its position in its group; ranges of positions are windowed apart, each with
-    the ``size`` - 1 predictions before it, so a group of any size is spread over tasks.
+    Every prediction's position comes from counts; ranges of positions are windowed apart, each with the ``size`` - 1 predictions before it, so
+    a group of any size is spread over tasks.
     """
-    day, key = order
-    per_day = predictions.groupBy(within, day).agg(F.count("*").alias("_n"))
-    before = per_day.withColumn("_before", F.sum("_n").over(Window.partitionBy(within).orderBy(day)) - F.col("_n")).drop("_n")  # one row a day
-    nth = F.row_number().over(Window.partitionBy(within, day).orderBy(key)) - 1
     width = max(RANGE, 2 * size)
-    placed = predictions.join(before, [within, day]).withColumn("_at", F.col("_before") + nth).withColumn("_own", F.expr(f"_at div {width}"))
+    placed = positions(predictions, order, within).withColumn("_own", F.expr(f"_at div {width}"))
     shown = F.when(F.col("_at") % width > width - size, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
     frame = Window.partitionBy(within, "_part").orderBy("_at").rowsBetween(1 - size, 0)
     full = F.col("_at") >= size - 1
     out = placed.withColumn("_part", F.explode(shown)).withColumns({f"{name}_{size}": F.when(full, F.avg(c).over(frame)) for name, c in measures.items()} | {f"status_{size}": F.when(full, "ok").otherwise("insufficient_sample")})
-    return out.filter("_part = _own").drop("_before", "_at", "_own", "_part")
+    return out.filter("_part = _own").drop("_at", "_own", "_part")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, key: str = "fight_id") -> DataFrame:

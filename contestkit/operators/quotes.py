@@ -13,7 +13,7 @@ from contestkit.functions.numeric import fair_share, implied, price_error
 from contestkit.functions.parse import days_around, utc_timestamp
 from contestkit.functions.text import pair_key, prefixed_id
 from contestkit.operators.filters import first_reason
-from contestkit.sources.tables import append_new, there
+from contestkit.sources.tables import append_new, archive_key, there
 
 OUTCOME = "array<struct<name:string,price:double>>"
 MARKET = f"array<struct<key:string,last_update:string,id:string,outcomes:{OUTCOME}>>"
@@ -269,7 +269,7 @@ def ingest(payload: str, provider: str, spark: SparkSession, root: str, normaliz
     raised; the archive keeps it. Running a payload again adds no snapshot twice. A dry run writes nothing.
     """
     rows = spark.createDataFrame([(payload,)], "payload string")
-    key = rows.select(F.sha2("payload", 256)).first()[0]
+    key = rows.select(archive_key(F.col("payload"))).first()[0]
     batch = f"batch_{hashlib.sha256(f'{provider}|{key}'.encode()).hexdigest()[:24]}"
     note = lambda status, error, n: spark.createDataFrame([(batch, provider, key, status, error, n)], "batch_id string, provider string, payload_hash string, response_status string, error_message string, snapshots long")
     if not dry_run:

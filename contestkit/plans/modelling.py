@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contestkit.functions.text import canonical_payload
 from contestkit.operators import boosting, quantiles
 from contestkit.plans.queries import query
 from contestkit.session import cut, table
+from contestkit.sources.tables import archive_key
 
 L2 = 2.5
 
@@ -43,3 +45,23 @@ def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = [r[0] for r in rows.select("l_returnflag").distinct().collect()]  # a dimension of three
     found = quantiles.exact(rows, ["price", "quantity"], (0.5, 0.05, 0.95), [F.col("l_returnflag") == f for f in flags])
     return spark.createDataFrame([(f, c, *v) for f, own in zip(flags, found, strict=True) for c, v in own.items()], "flag string, feature string, median double, low double, high double")
+
+
+@query(
+    """with e as (select *, round(value) as whole, cast(json_extract(props, '$.k') as int) as k from events),
+c as (select event_id, '{"at":{"id":' || event_id || ',"user":"u\u00e9' || user_id || '"},"half":' || (event_id % 50) || '.5,"k":[' || k || ',null,true],"type":"' || event_type || '","whole":' || cast(whole as bigint) || '}' as canonical from e)
+select event_id, replace(canonical, '\u00e9', 'é') as canonical, sha256(replace(canonical, '\u00e9', 'é')) as payload_hash from c"""
+)
+def canonical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN-01, SNK-04: one form and one content address of payloads whose keys, spaces, escapes and numbers are written in several ways."""
+    k = F.try_variant_get(F.parse_json("props"), "$.k", "int")
+    text = lambda c: c.cast("string")
+    fields = {
+        "type": F.concat(F.lit('"'), "event_type", F.lit('"')), "k": F.concat(F.lit("[ "), text(k), F.lit(" , null,true ]")), "half": F.concat(text(F.col("event_id") % 50), F.lit(".50")),
+        "whole": F.concat(text(F.round("value").cast("long")), F.when(F.col("event_id") % 3 == 0, ".0").otherwise("")),
+        "at": F.concat(F.lit('{"user" :"u'), F.when(F.col("event_id") % 2 == 0, "\\u00e9").otherwise("é"), text(F.col("user_id")), F.lit('","id":'), text(F.col("event_id")), F.lit("}")),
+    }
+    pairs = [F.concat(F.lit(f'"{n}": '), v) for n, v in fields.items()]
+    payload = F.concat(F.lit("{"), F.array_join(F.when(F.col("event_id") % 2 == 0, F.array(*pairs)).otherwise(F.array(*pairs[::-1])), ", "), F.lit("}"))
+    rows = table(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
+    return rows.select("event_id", canonical_payload(F.col("payload")).alias("canonical"), archive_key(F.col("payload")).alias("payload_hash"))

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestkit.functions.parse import any_date, clock_seconds, fight_minutes, landed_of_attempted, round_lengths
-from contestkit.functions.text import bout_sides, canonical_column, display_name, name_key, pair_key, weight_class
+from contestkit.functions.text import bout_sides, canonical_column, canonical_payload, display_name, name_key, pair_key, weight_class
 from contestkit.operators.history import keep_first
+from contestkit.sources.versioned import Store
 
 #: field -> accepted spellings, best first, in canonical form (lower case, no spaces or underscores). Fixed values.
 SPELLINGS = {
@@ -202,20 +203,25 @@ def rebuild(rows: DataFrame, path: str, protected: tuple[str, ...]) -> DataFrame
 
 def current(spark: SparkSession, target: str) -> str | None:
     """The version that readers of ``target`` see: the newest entry of its log."""
-    if not there(spark, f"{target}/log"):
-        return None
-    return spark.read.parquet(f"{target}/log").agg(F.max_by("path", "number")).first()[0]
+    return _entry(spark, target)[1]
+
+
+def _entry(spark: SparkSession, target: str) -> tuple[int, str | None]:
+    """(number, path) of the newest entry; (-1, None) for none."""
+    store = Store(spark, f"{target}/log")
+    numbers = store.numbers()
+    return (numbers[-1], store.note(numbers[-1])) if numbers else (-1, None)
 
 
 def promote(staged: DataFrame, target: str, checks: dict[str, Column], after: Callable[[DataFrame], bool] | None = None) -> str:
     """Makes ``staged`` the current version of ``target`` (SNK-06); returns its path.
 
     The rows go to a version of their own; all checks must hold for all rows, and what is stored must hold as many rows with the
-    same digest as ``staged``. Only then does a log entry point readers to it. The version before is never touched and so is the
-    backup: if ``after``, which sees the rows as readers do, is not true, an entry for that version is added and the error raised.
+    same digest as ``staged``. Only then does a log entry point readers to it; if somebody else promoted in the meantime, that is a ``Conflict`` and theirs
+    stays. The version before is never touched and so is the backup: if ``after``, which sees the rows as readers do, is not true, an entry for that version is added and the error raised.
     """
     spark, target = staged.sparkSession, target.rstrip("/")
-    before = current(spark, target)
+    number, before = _entry(spark, target)
     path = f"{target}/version={uuid.uuid4().hex}"
     staged.write.mode("errorifexists").parquet(path)
     written = spark.read.schema(staged.schema).parquet(path)
@@ -225,16 +231,15 @@ def promote(staged: DataFrame, target: str, checks: dict[str, Column], after: Ca
     whole = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)"))).first()
     if whole(written) != whole(staged):
         raise ValueError(f"not promoted, {path} differs from what was to be written")
-    _point(spark, target, path)
+    _point(spark, target, number + 1, path)
     if after is not None and not after(spark.read.schema(staged.schema).parquet(current(spark, target))):
-        _point(spark, target, before)
+        _point(spark, target, number + 2, before)
         raise ValueError(f"{path} failed after promotion; {'back to ' + before if before else 'nothing to go back to'}")
     return path
 
 
-def _point(spark: SparkSession, target: str, path: str | None) -> None:
-    number = (spark.read.parquet(f"{target}/log").agg(F.max("number")).first()[0] + 1) if there(spark, f"{target}/log") else 0
-    spark.createDataFrame([(number, path)], "number long, path string").coalesce(1).write.mode("append").parquet(f"{target}/log")
+def _point(spark: SparkSession, target: str, number: int, path: str | None) -> None:
+    Store(spark, f"{target}/log").put(number, path or "")
 
 
 def write_report(report: dict, folder: str | Path, name: str) -> tuple[Path, Path]:
@@ -269,8 +274,8 @@ def _markdown(title: str, part: object, level: int) -> Iterator[str]:
 
 
 def archive_key(payload: Column) -> Column:
-    """Content address of a canonical JSON text (SNK-04)."""
-    return F.sha2(payload, 256)
+    """Content address of a JSON text (SNK-04), the same however its keys are ordered and its numbers written; of its very text if it is no JSON."""
+    return F.sha2(F.coalesce(canonical_payload(payload), payload), 256)
 
 
 def archive(payloads: DataFrame, path: str) -> int:
