@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import math
 import re
 import uuid
 import zlib
@@ -26,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestkit.llm.common import fresh_path, pick, stash
+from contestkit.llm.common import fresh_path, pick, stash, uneven_join
 
 ARCHIVE_BYTES = 16 << 20
-#: Keys that are broadcast at most by ``uneven_join``.
-HOT_KEYS = 200_000
 _BATCH_BYTES = 8 << 20
 _ORIGIN = "contestkit"
 #: Fields of a header line by version, and the lines that declare them (fixed by the format).
@@ -275,24 +272,6 @@ def _parsed(spark: SparkSession, path: str, rows_of: Callable[[str, bytes], Iter
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, ddl)
 
 
-def uneven_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, rows: int) -> DataFrame:
-    """``left`` left-joined with ``right``, which has one row a ``key``, where some keys may hold much of ``left``.
-
-    ``counts`` (key, n) tells how often ``left`` has each key of ``right``, ``rows`` how many rows it has. Keys with more than rows / HOT_KEYS
-    uses, and twice at least, are HOT_KEYS at most: they are broadcast. Only if there are others are they joined by a shuffle, in which no key is large.
-    """
-    often = max(1, math.ceil(rows / HOT_KEYS))
-    sized = right.join(counts, key) if "n" not in right.columns else right
-    names = [c for c in sized.columns if c not in (key, "n")]
-    hot = sized.filter(F.col("n") > often).drop("n")
-    out = left.join(F.broadcast(hot), key, "left")
-    rest = sized.filter(F.col("n") <= often).drop("n")
-    if rest.take(1):
-        out = out.join(rest.toDF(*[c if c == key else f"{c}_" for c in rest.columns]), key, "left")
-        out = out.select(*[c for c in out.columns if c not in names and c[:-1] not in names], *[F.coalesce(c, f"{c}_").alias(c) for c in names])
-    return out
-
-
 def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int = 0, order_field: str | None = None, archive_bytes: int = ARCHIVE_BYTES, compression: str | None = "gzip") -> None:
     """WARC archives of all ARC records under ``arc_path``.
 

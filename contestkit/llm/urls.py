@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestkit.llm.common import pick, stash
+from contestkit.llm.common import pick, stash, uneven_join
 
 #: At most about this many labelled URLs, taken by a hash of the URL, fit the trees.
 FIT_ROWS = 20_000
@@ -100,29 +100,41 @@ class Model:
 
 
 def _with_suffixes(featured: DataFrame, suffixes: DataFrame) -> DataFrame:
-    joined = featured.join(suffixes.withColumnRenamed("suffix", "of"), F.col("suffix") == F.col("of"), "left").drop("of")
-    return joined.fillna({"suffix_share": 0.5, "suffix_weight": 0.0})
+    """Adds a suffix's statistics; unknown ones are even. Beyond FIT_ROWS suffixes the frequent ones are broadcast apart from the others."""
+    if suffixes.count() <= FIT_ROWS:
+        joined = featured.join(F.broadcast(suffixes), "suffix", "left")
+    else:
+        counts = featured.groupBy("suffix").agg(F.count("*").alias("n"))
+        joined = uneven_join(featured, suffixes, "suffix", counts, featured.count())
+    share, weight = _statistics(F.coalesce("suffix_allowed", F.lit(0)), F.coalesce("suffix_rows", F.lit(0)))
+    return joined.withColumns({"suffix_share": share, "suffix_weight": weight}).drop("suffix_allowed", "suffix_rows")
+
+
+def _statistics(allowed: Column, rows: Column) -> tuple[Column, Column]:
+    """Share of allowed rows, drawn to a half, and weight of a suffix."""
+    return (allowed + 1) / (rows + 2), F.log1p(rows.cast("double"))
 
 
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """Fits on ``labelled`` (url, allow boolean): suffix statistics on all rows, trees on at most about ``fit_rows`` distinct URLs.
 
-    Rows with a null url or label are left out; of a URL with both labels the block counts for the trees. With one class only,
-    or none, the verdict is that class, else allow.
+    A URL that fits the trees has its suffix's statistics without its own rows, so that they do not tell its label. Rows with a null url or label are
+    left out; of a URL with both labels the block counts for the trees. With one class only, or none, the verdict is that class, else allow.
     """
     rows = pick(labelled, "url", "allow").dropna()
     share = min(1.0, fit_rows / max(1, rows.agg(F.approx_count_distinct("url")).first()[0]))
     part = rows.filter(F.pmod(F.xxhash64("url", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)))  # sampled before anything is shuffled
-    sample = stash(lexical(part.groupBy("url").agg(F.min("allow").alias("allow"))), "url-features")
+    allowed = F.sum(F.col("allow").cast("long"))
+    own = part.groupBy("url").agg(F.min("allow").alias("allow"), allowed.alias("own_allowed"), F.count("*").alias("own_rows"))
+    sample = stash(lexical(own), "url-features")
     classes = [r["allow"] for r in sample.select("allow").distinct().collect()]
     if len(classes) < 2:
         return Model(None, None, classes[0] if classes else True)
-    allowed = F.sum(F.col("allow").cast("int"))
-    suffixes = rows.select(F.substring_index(host_of(F.col("url")), ".", -1).alias("suffix"), "allow").groupBy("suffix").agg(((allowed + 1) / (F.count("*") + 2)).alias("suffix_share"), F.log1p(F.count("*").cast("double")).alias("suffix_weight"))
+    suffixes = rows.select(F.substring_index(host_of(F.col("url")), ".", -1).alias("suffix"), "allow").groupBy("suffix").agg(allowed.alias("suffix_allowed"), F.count("*").alias("suffix_rows"))
     suffixes = stash(suffixes, "url-suffixes")
-    if suffixes.count() <= FIT_ROWS:
-        suffixes = F.broadcast(suffixes)  # a checked count
-    table = _with_suffixes(sample, suffixes).withColumn("label", F.col("allow").cast("double"))
+    without = _statistics(F.col("suffix_allowed") - F.col("own_allowed"), F.col("suffix_rows") - F.col("own_rows"))
+    needed = suffixes.join(F.broadcast(sample.select("suffix").distinct()), "suffix", "left_semi")  # as many as the sample has at most
+    table = sample.join(F.broadcast(needed), "suffix").withColumns(dict(zip(("suffix_share", "suffix_weight"), without, strict=True))).withColumn("label", F.col("allow").cast("double"))
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(assembler.transform(table.coalesce(4)))
     return Model(PipelineModel([assembler, trees]), suffixes)

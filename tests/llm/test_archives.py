@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from contestkit.llm import archives, queries
+from contestkit.llm import archives, common, queries
 from contestkit.llm.common import fresh_path
 
 
@@ -48,7 +48,7 @@ def test_query_against_the_pages(spark, tmp_path, sf_dir):
 
 
 def test_shuffled_side_of_the_uneven_join(spark, monkeypatch):
-    monkeypatch.setattr(archives, "HOT_KEYS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
     rows = [(k, "u", "hot") for k in range(20)] + [(100 + k, "u", f"pair {k // 2}") for k in range(20)] + [(200 + k, "u", f"own {k}") for k in range(5)]
     assert sorted(map(tuple, archives.archived_pages(pages(spark, rows)).collect()), key=repr) == plain(rows)
 
