@@ -154,6 +154,7 @@ class Batch:
     medians: list[dict[str, float]]
     means: list[dict[str, float]]
     deviations: list[dict[str, float]]
+    carried: tuple[str, ...] = ()
     weights: list[list[np.ndarray]] = field(default_factory=list)
     platt: list[list[np.ndarray]] = field(default_factory=list)
 
@@ -199,18 +200,24 @@ class Batch:
         self.platt = [[problems[k * n + w].w for w in range(n)] for k in range(len(self.candidates))]
 
     def predictions(self) -> DataFrame:
-        """(candidate, window, p, y) of the rows of each window's third part, by the calibrated models if there are any."""
-        design, weights, platt = self.design("third"), self.weights, self.platt
+        """(candidate, window, p, y and the carried columns) of the rows of each window's third part, by the calibrated models if there are any."""
+        design, weights, platt, carried, n = self.design("third"), self.weights, self.platt, self.carried, self.n_windows
 
         def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                inside = batch.column("third").flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(-1, n)
                 for k, w, x, y in design(batch):
+                    if not len(y):
+                        continue
                     z = _logit(x, weights[k][w])
                     if platt:
                         z = platt[k][w][0] * z + platt[k][w][1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), k), pa.int32()), pa.array(np.full(len(y), w), pa.int32()), pa.array(1 / (1 + np.exp(-z))), pa.array(y.astype(np.int64))], names=["candidate", "window", "p", "y"])
+                    own = batch.filter(pa.array(inside[:, w]))
+                    columns = [pa.array(np.full(len(y), k), pa.int32()), pa.array(np.full(len(y), w), pa.int32()), pa.array(1 / (1 + np.exp(-z))), pa.array(y.astype(np.int64)), *(own.column(c) for c in carried)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["candidate", "window", "p", "y", *carried])
 
-        return self.table.mapInArrow(predict, "candidate int, window int, p double, y long")
+        kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in self.table.schema if f.name in carried)
+        return self.table.mapInArrow(predict, "candidate int, window int, p double, y long" + kept)
 
     def scores(self) -> list[list[dict]]:
         """For each candidate and window: n, log_loss, brier, accuracy and auc on the third part; two aggregations for all."""
@@ -236,15 +243,15 @@ def _logit(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.clip(x @ weights[:-1] + weights[-1], -bound, bound)
 
 
-def fit(rows: DataFrame, label: str, windows: list[tuple[Column, Column, Column]], candidates: list[Candidate]) -> Batch:
+def fit(rows: DataFrame, label: str, windows: list[tuple[Column, Column, Column]], candidates: list[Candidate], carried: tuple[str, ...] = (), start: list[np.ndarray] | None = None) -> Batch:
     """All candidates on the first part of each window (fit, calibration, validation).
 
-    Medians (exact), means and population deviations are those of each window's fitting rows. Rows without a label are left out.
+    ``carried`` columns come with the predictions; ``start`` are weights of the candidates to begin with, such as those of an earlier window. Medians (exact), means and population deviations are those of each window's fitting rows. Rows without a label are left out.
     """
     features = sorted({c for cand in candidates for c in cand.features})
     parts = {n: F.array(*[F.coalesce(w[k], F.lit(False)) for w in windows]) for k, n in enumerate(("first", "second", "third"))}
     values = [F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in features]
-    table = cut(rows.filter(F.col(label).isNotNull()).select(*values, F.col(label).cast("double").alias("_y"), *[c.alias(n) for n, c in parts.items()]))
+    table = cut(rows.filter(F.col(label).isNotNull()).select(*values, F.col(label).cast("double").alias("_y"), *[F.col(c).alias(f"_kept_{c}") for c in carried], *[c.alias(n) for n, c in parts.items()]))
     inside = [F.get("first", w) for w in range(len(windows))]
     medians = [{c: (v[0] if v[0] is not None else 0.0) for c, v in own.items()} for own in quantiles.exact(table, features, groups=inside)]
     stats = []
@@ -254,10 +261,11 @@ def fit(rows: DataFrame, label: str, windows: list[tuple[Column, Column, Column]
             stats += [F.avg(x).alias(f"m{k}_{w}"), F.stddev_pop(x).alias(f"s{k}_{w}")]
     found = table.agg(*stats).first()
     means, deviations = ([{c: found[f"{kind}{k}_{w}"] or other for k, c in enumerate(features)} for w in range(len(windows))] for kind, other in (("m", 0.0), ("s", 1.0)))
-    ready = table.select(F.array(*features).alias("x"), F.col("_y").alias("y"), "first", "second", "third")
-    out = Batch(candidates, features, ready, medians, means, deviations)
+    ready = table.select(F.array(*features).alias("x"), F.col("_y").alias("y"), "first", "second", "third", *[F.col(f"_kept_{c}").alias(c) for c in carried])
+    out = Batch(candidates, features, ready, medians, means, deviations, carried)
     design, n = out.design("first"), len(windows)
-    problems = [Problem(cand.c, cand.l1_ratio, np.zeros(len(cand.features) + 1)) for cand in candidates for _ in windows]
+    begin = start or [np.zeros(len(cand.features) + 1) for cand in candidates]
+    problems = [Problem(cand.c, cand.l1_ratio, w.copy()) for cand, w in zip(candidates, begin, strict=True) for _ in windows]
     solve(ready, problems, lambda batch: ((k * n + w, x, y) for k, w, x, y in design(batch)))
     out.weights = [[problems[k * n + w].w for w in range(n)] for k in range(len(candidates))]
     return out

@@ -6,7 +6,6 @@ random cross-validation is not used.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from statistics import fmean, pstdev
 
 from pyspark.sql import DataFrame
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from contestkit.functions.numeric import blend, clip, log_loss
 from contestkit.operators import batch
 from contestkit.operators.filters import guard, leaking
+from contestkit.operators.history import positions
 from contestkit.operators.metrics import auc, best_method, calibration_error, evaluate, high_confidence
 from contestkit.operators.models import OFFICIAL, Fitted, Isotonic, Platt, forest, logistic
 from contestkit.operators.rules import effect
@@ -115,20 +115,34 @@ def blends(predicted: DataFrame, p1: str, p2: str, label: str, steps: int = 11)
     return sums.select(F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), F.col(f"w{k}").alias("log_loss")) for k, w in enumerate(weights)])).alias("r")).select("r.*")
 
 
-def replay(rows: DataFrame, numeric: list[str], label: str, days: list, least_train: int, calibration: int, fit: Callable[..., Fitted] = logistic) -> DataFrame | None:
-    """Event by event: train on all strictly before the day but the last ``calibration`` rows, which fit Platt; then predict the day (EXP-12)."""
-    from contestkit.operators.splits import nth_cut
-
-    out = None
-    for day in days:
-        past = rows.filter(F.col("date") < day)
-        n = past.count()
-        if n < least_train + calibration:
-            continue
-        cut = nth_cut(past, n - calibration).after()
-        base = fit(past.filter(~cut), numeric, label)
-        base.calibrator = Platt().fit(base.predict(past.filter(cut)).withColumn("y", F.col(label)))
-        now = base.predict(rows.filter(F.col("date") == day)).select("fight_id", "date", F.col(label).alias("y"), "p")
+#: Days that are replayed together.
+TOGETHER = 50
+
+
+def replay(rows: DataFrame, numeric: list[str], label: str, days: list, least_train: int, calibration: int, c: float = 1.0, l1_ratio: float = 0.0) -> DataFrame | None:
+    """Event by event: train on all strictly before the day but the last ``calibration`` rows, which fit Platt; then predict the day (EXP-12).
+
+    Rows are stored once with their positions, so a day's parts are ranges of positions. ``TOGETHER`` days are fitted and calibrated by one batch of passes, whose
+    weights begin with those of the day before: the plan grows by a stored table for so many days, the jobs by a dozen. None if no day has enough rows before it.
+    """
+    placed = positions(rows.withColumn("_all", F.lit(True)), ("date", "fight_id"), "_all")
+    stored = cut(placed.drop("_all", "_step"))
+    counts = stored.groupBy("date").agg(F.count("*").alias("n")).orderBy("date").collect()  # a row a day
+    total, at = 0, {}
+    for r in counts:
+        at[r["date"]] = (total, r["n"])
+        total += r["n"]
+    ready = [(at[d][0], at[d][1]) for d in days if d in at and at[d][0] >= least_train + calibration]
+    out, start = None, None
+    place = F.col("_at")
+    between = lambda a, b: (place >= a) & (place < b)
+    for k in range(0, len(ready), TOGETHER):
+        windows = [(place < n - calibration, between(n - calibration, n), between(n, n + own)) for n, own in ready[k : k + TOGETHER]]
+        last = ready[min(k + TOGETHER, len(ready)) - 1]
+        fits = batch.fit(stored.filter(place < sum(last)), label, windows, [batch.Candidate("replay", numeric, c, l1_ratio)], ("fight_id", "date"), start)
+        fits.calibrate()
+        start = [fits.weights[0][-1]]
+        now = cut(fits.predictions().select("fight_id", "date", "y", "p"))
         out = now if out is None else out.unionByName(now)
     return out
 

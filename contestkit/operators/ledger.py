@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contestkit.functions.numeric import brier, log_loss
+from contestkit.functions.numeric import brier, clip, log_loss
 from contestkit.functions.parse import any_date
 from contestkit.functions.text import folded_name, name_key, pair_key
 from contestkit.operators.filters import judge_input
-from contestkit.operators.history import AGAINST, FORM, LAYOFF, RECORD, ROLLING, activity, form, layoff, rates, record, to_bouts
+from contestkit.operators.history import AGAINST, FORM, LAYOFF, RECORD, ROLLING, activity, form, layoff, rates, record, to_bouts, trailing
 from contestkit.operators.identity import lookup
 from contestkit.operators.matchup import matchup
+from contestkit.operators.metrics import auc, evaluate
 from contestkit.operators.rating import elo
+from contestkit.session import cut
 
 #: First number of made-up bouts for cards to come; they count down.
 SYNTHETIC_ID = -1_000_001
@@ -85,6 +87,47 @@ def monitor(resolved: DataFrame, by: str) -> DataFrame:
     return resolved.groupBy(by).agg(n.alias("n"), F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier"), F.avg("correct_prediction").alias("accuracy"), F.when(n < 50, "insufficient_sample").when(n < 100, "small_sample").otherwise("ok").alias("status"))
 
 
+#: Resolved predictions from which on figures are shown and stable, periods are told apart and an area under the curve is given. Fixed values.
+LEAST_RESOLVED, STABLE, LEAST_FOR_PERIODS, LEAST_FOR_AUC = 50, 100, 30, 20
+SHORT = "insufficient_sample"
+
+
+def sample_level(n: int) -> str:
+    """How far figures over n resolved predictions can be trusted."""
+    return "too_noisy" if n < LEAST_RESOLVED else "preliminary" if n < STABLE else "usable"
+
+
+def live_report(ledger: DataFrame, sizes: tuple[int, ...] = (50, 100)) -> dict:
+    """The report on a live ledger (INC-10): counts, level of the sample, overall figures, by event, month and year, and rolling windows.
+
+    ledger: event_date, event_name, seq (order of the append), status, target_a_win, predicted_probability_a, model_version. All gates go by the number of
+    resolved rows of the whole ledger: a part below its gate is ``insufficient_sample``. The rows are read once, then stored.
+    """
+    p, y = clip(F.col("predicted_probability_a")), F.col("target_a_win").cast("int")
+    stored = cut(ledger.select("event_date", "event_name", "seq", "status", F.coalesce("model_version", F.lit("")).alias("model"), p.alias("p"), y.alias("y")))
+    counts = {r["status"]: r["count"] for r in stored.groupBy("status").count().collect()}  # a few statuses
+    rows = stored.filter("status = 'resolved'").withColumns({"log_loss": log_loss(F.col("p"), F.col("y")), "hit": ((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")})
+    n = counts.get("resolved", 0)
+    events = lambda df: df.select("event_date", "event_name").distinct().count()
+    out = {"total": sum(counts.values()), "pending": counts.get("pending", 0), "resolved": n, "errors": counts.get("error", 0), "events": events(stored), "resolved_events": events(rows), "level": sample_level(n)}
+    if not n:
+        return out | {"overall": None}
+    overall = evaluate(rows).first().asDict()
+    overall["auc"] = auc(rows).first()["auc"] if n >= LEAST_FOR_AUC else None
+    periods = {"month": F.date_format("event_date", "yyyy-MM"), "year": F.date_format("event_date", "yyyy")}
+    out |= {"overall": overall, "by_event": evaluate(rows, ("event_date", "event_name"))}
+    out |= {f"by_{name}": evaluate(rows.withColumn(name, c), (name,)) if n >= LEAST_FOR_PERIODS else SHORT for name, c in periods.items()}
+    return out | {"rolling": rolling(rows, sizes) if n >= LEAST_RESOLVED else SHORT}
+
+
+def rolling(rows: DataFrame, sizes: tuple[int, ...] = (50, 100)) -> DataFrame:
+    """Log loss and accuracy of the last so many resolved predictions (event_date, seq, log_loss, hit), over all models; null until there are so many."""
+    out = rows.withColumn("all", F.lit(True))
+    for size in sizes:
+        out = trailing(out, {"log_loss": F.col("log_loss"), "accuracy": F.col("hit")}, size, ("event_date", "seq"), "all")
+    return out.drop("all")
+
+
 def judge_card(card: DataFrame, entities: DataFrame) -> DataFrame:
     """Adds each side's entity and all reasons why a bout of a card cannot be built (FLT-11, JOIN-10, INC-02).
 

@@ -13,7 +13,7 @@ from contestkit.functions.numeric import fair_share, implied, price_error
 from contestkit.functions.parse import days_around, utc_timestamp
 from contestkit.functions.text import pair_key, prefixed_id
 from contestkit.operators.filters import first_reason
-from contestkit.sources.tables import append_new, archive_key, there
+from contestkit.sources.tables import append_new, archive_key, there, tree_digest
 
 OUTCOME = "array<struct<name:string,price:double>>"
 MARKET = f"array<struct<key:string,last_update:string,id:string,outcomes:{OUTCOME}>>"
@@ -329,6 +329,21 @@ def sample_checks(markets: DataFrame, sport: str, structure_ok: bool = True, que
     return row.withColumn("accepted", reduce(lambda a, b: a & b, [F.col(n) for n in REQUIRED_CHECKS]))
 
 
+def validate_sample(spark: SparkSession, markets: Callable[[], DataFrame], sport: str, protected: dict[str, str], **flags: bool) -> dict:
+    """``sample_checks`` of a provider's sample with proof that nothing protected changed (ODD-09).
+
+    The files below each protected path are digested before the sample is read and after it is judged; a change, also one of a path that was not there, makes
+    ``accepted`` false. The report names what failed.
+    """
+    state = lambda: {name: tree_digest(spark, path) if there(spark, path, "binaryFile") else None for name, path in protected.items()}
+    before = state()
+    checks = sample_checks(markets(), sport, **flags).first().asDict()
+    after = state()
+    changed = sorted(n for n in before if before[n] != after[n])
+    failed = [n for n in REQUIRED_CHECKS if not checks[n]]
+    return checks | {"accepted": checks["accepted"] and not changed, "failed": failed, "protected_unchanged": not changed, "changed": changed, "digests": before}
+
+
 #: Tables of the store and their keys (ODD-10). Fixed values.
 STORE = {"books": ("provider_key",), "payloads": ("payload_hash",), "batches": ("batch_id",), "snapshots": ("snapshot_id",), "mappings": ("provider", "entity_type", "raw")}
 

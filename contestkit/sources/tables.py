@@ -139,10 +139,10 @@ def match_stats(wide: DataFrame, fights: DataFrame) -> DataFrame:
     return keep_first(rows.withColumn("back", -F.col("row_id")), ("fight_id", "entity"), ("back",)).drop("back", "row_id")
 
 
-def there(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet table is stored there."""
+def there(spark: SparkSession, path: str, kind: str = "parquet") -> bool:
+    """Whether a table of the format (Parquet, if none is named) is stored there."""
     try:
-        spark.read.parquet(path)
+        spark.read.format(kind).load(path)
     except AnalysisException:
         return False
     return True
