@@ -9,6 +9,7 @@ from contestkit.functions.text import canonical_payload
 from contestkit.operators import boosting, quantiles
 from contestkit.plans.queries import query
 from contestkit.session import cut, table
+from contestkit.sources import pages
 from contestkit.sources.tables import archive_key
 
 L2 = 2.5
@@ -65,3 +66,43 @@ def canonical_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.concat(F.lit("{"), F.array_join(F.when(F.col("event_id") % 2 == 0, F.array(*pairs)).otherwise(F.array(*pairs[::-1])), ", "), F.lit("}"))
     rows = table(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
     return rows.select("event_id", canonical_payload(F.col("payload")).alias("canonical"), archive_key(F.col("payload")).alias("payload_hash"))
+
+
+def event_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of each order, with a bout of each of its lines: path, html."""
+    text = lambda c: F.col(c).cast("string")
+    side = lambda name, key: F.concat(F.lit(f'<p><a class="b-link" href="http://x/fighter-details/{name}'), text(key), F.lit(f'?a=1">{name.upper()} &amp; <b>'), text(key), F.lit("</b></a></p>"))
+    pair = lambda a, b: F.concat(F.lit("<td><p> "), a, F.lit("</p>\n<p>"), b, F.lit("</p></td>"))
+    q = F.col("l_quantity").cast("int")
+    flag = F.when(F.col("l_returnflag") == "R", '<td><i class="b-flag__text">win</i></td>').when(F.col("l_returnflag") == "A", '<td><i class="b-flag__text">draw</i></td>').otherwise("<td></td>")
+    two = F.concat(F.lit("<td>"), side("s", "l_suppkey"), F.when(F.col("l_linenumber") != 6, side("p", "l_partkey")).otherwise(""), F.lit("</td>"))
+    clock = F.concat(F.lit("<td>"), (F.col("l_linenumber") % 5).cast("string"), F.lit(":"), F.lpad((q % 60).cast("string"), 2, "0"), F.lit("</td>"))
+    rest = F.concat(pair(q.cast("string"), F.lit("--")), pair(F.lit("10 of 20"), text("l_linenumber")), pair(F.lit("1"), F.lit("2")), F.lit("<td><p>0</p></td><td><p>Fly&shy;weight</p></td><td><p>SUB</p><p>Choke</p></td><td><p>2</p></td>"), clock)
+    row = F.concat(F.lit('<tr class="x" data-link="http://x/fight-details/'), F.concat_ws("-", "l_orderkey", "l_linenumber"), F.lit('">'), flag, two, rest, F.lit("</tr>"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("row", row).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "row"))).alias("rows"))
+    head = F.concat(F.lit('<h2><span class="b-content__title-highlight"> Event '), text("l_orderkey"), F.lit('</span></h2><ul><li> <i>Date:</i> May 1 </li></ul><table class="b-fight-details__table"><tbody>'))
+    return lines.select(F.col("l_orderkey").alias("path"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["row"]), ""), F.lit("</tbody></table>")).alias("html"))
+
+
+@query(
+    """with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) as nth from lineitem)
+select l_orderkey as path, nth::int as row_index, l_orderkey || '-' || l_linenumber as fight_id, l_linenumber = 6 as blocked, case when l_linenumber <> 6 and l_returnflag in ('R', 'A') then case l_returnflag when 'R' then 'win' else 'draw' end end as result,
+ case when l_linenumber <> 6 then 'S & ' || l_suppkey end as a_name, case when l_linenumber <> 6 then 'p' || l_partkey end as b_key, case when l_linenumber <> 6 then l_quantity::int end as a_knockdowns, case when l_linenumber <> 6 then l_linenumber::int end as b_strikes,
+ case when l_linenumber <> 6 then 5 + (l_linenumber % 5) + (l_quantity::int % 60) / 60.0 end as minutes from l"""
+)
+def event_page_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-16, SRC-19: bouts of event pages by a table function in a lateral join."""
+    pages.register_table_functions(spark)
+    rows = event_pages(spark, sf_dir)
+    return spark.sql(
+        "select p.path, b.row_index, b.fight_id, b.blocked, b.result, b.a.name as a_name, b.b.fighter_id as b_key, b.a.knockdowns as a_knockdowns, b.b.sig_str_landed as b_strikes, b.minutes from {rows} p, lateral event_details(p.html) b", rows=rows
+    )
+
+
+@query(
+    """with o as (select l_orderkey, bool_or(l_linenumber <> 6) as told, count(case when l_linenumber <> 6 then 1 end) as bouts from lineitem group by l_orderkey)
+select case when told then 'event_detail' else 'fighter_detail' end as page_type, count(*) as pages, sum(bouts)::bigint as bouts from o group by 1"""
+)
+def event_page_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-16, SRC-18, SRC-20: event pages by type, with their listed bouts."""
+    return pages.inventory(event_pages(spark, sf_dir)).select("page_type", "pages", F.col("bouts").cast("long").alias("bouts"))

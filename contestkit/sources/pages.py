@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import html
 import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from contestkit.functions.text import METHODS
+from contestkit.sources.scanner import scan
 
 EVENT_ROW = "array<struct<name:string,url:string,date_text:string>>"
 BOUT_ROW = "array<struct<url:string,result:string,fighter_a:string,fighter_b:string,winner:string,kd:string,strikes:string,takedowns:string,subs:string,weight_class:string,method:string,round:string,time:string>>"
-_TAG = re.compile(r"<[^>]+>")
-
-
-def _text(part: str) -> str:
-    return " ".join(html.unescape(_TAG.sub(" ", part)).split())
 
 
 #: How far down a page the address stands from which a browser saved it.
@@ -72,36 +69,27 @@ def classify(page: str | None, file_name: str | None = None) -> str:
 
 
 def events_list(page: str | None) -> list[dict]:
-    """Event anchors, each with the date that follows before the next anchor."""
-    found = list(re.finditer(r'<a[^>]*href="([^"]*event-details/[^"]+)"[^>]*>(.*?)</a>', page or "", re.DOTALL | re.IGNORECASE))
-    out = []
-    for k, m in enumerate(found):
-        rest = page[m.end() : found[k + 1].start() if k + 1 < len(found) else len(page)]
-        day = re.search(r"<span[^>]*date[^>]*>(.*?)</span>", rest, re.DOTALL | re.IGNORECASE)
-        out.append({"name": _text(m[2]), "url": m[1], "date_text": _text(day[1]) if day else None})
-    return out
+    """Event anchors, each with the date that follows before the next anchor (SRC-17)."""
+    return [{"name": e.text, "url": e.href, "date_text": e.dated} for e in scan(page).events]
 
 
 def event_bouts(page: str | None) -> list[dict]:
-    """Rows with data-link: two fighters, the first of whom won if the flag says win; paired cells are joined by a bar."""
+    """Rows with data-link: two fighters, the first of whom won if the flag says win; paired cells are joined by a bar (SRC-18)."""
     out = []
-    for m in re.finditer(r'<tr[^>]*data-link="([^"]*)"[^>]*>(.*?)(?=<tr[^>]*data-link=|</tbody>|\Z)', page or "", re.DOTALL | re.IGNORECASE):
-        cells = re.findall(r"<td[^>]*>(.*?)</td>", m[2], re.DOTALL | re.IGNORECASE)
-        names = [_text(x) for x in re.findall(r"<a[^>]*fighter-details[^>]*>(.*?)</a>", m[2], re.DOTALL | re.IGNORECASE)]
+    for row in scan(page).rows:
+        names = [x.text for x in row.sides]
         if len(names) < 2:
             continue
-        flag = re.search(r"b-flag__text[^>]*>([^<]*)", m[2])
-        result = _text(flag[1]).lower() if flag else ""
-        parts = [" | ".join(t for t in map(_text, re.findall(r"<p[^>]*>(.*?)</p>", c, re.DOTALL | re.IGNORECASE)) if t) or _text(c) for c in cells]
+        result = (row.flag or "").lower()
+        parts = [" | ".join(c.parts) for c in row.cells]
         get = lambda k: parts[k] if k < len(parts) else None  # noqa: E731, B023
-        out.append({"url": m[1], "result": result, "fighter_a": names[0], "fighter_b": names[1], "winner": names[0] if result == "win" else None, "kd": get(2), "strikes": get(3), "takedowns": get(4), "subs": get(5), "weight_class": get(6), "method": get(7), "round": get(8), "time": get(9)})
+        out.append({"url": row.link, "result": result, "fighter_a": names[0], "fighter_b": names[1], "winner": names[0] if result == "win" else None, "kd": get(2), "strikes": get(3), "takedowns": get(4), "subs": get(5), "weight_class": get(6), "method": get(7), "round": get(8), "time": get(9)})
     return out
 
 
 def event_header(page: str | None) -> dict:
-    title = re.search(r"b-content__title-highlight[^>]*>(.*?)</", page or "", re.DOTALL)
-    item = lambda label: (m := re.search(rf"<li[^>]*>(?:(?!</li>).)*?{label}:(.*?)</li>", page or "", re.DOTALL)) and _text(m[1])
-    return {"title": _text(title[1]) if title else None, "date_text": item("Date"), "location": item("Location")}
+    found = scan(page)
+    return {"title": found.title, "date_text": found.items.get("Date"), "location": found.items.get("Location")}
 
 
 DETAIL_SIDE = "struct<name:string,url:string,fighter_id:string,knockdowns:int,sig_str_landed:int,td_landed:int,sub_attempts:int>"
@@ -110,8 +98,7 @@ DETAIL_ROW = (
 )
 #: Results of bouts that took place. Fixed values.
 _ENDED = ("win", "draw", "nc", "no contest")
-_BOUT = re.compile(r'<tr[^>]*data-link="([^"]*fight-details/([^"/?]+)[^"]*)"[^>]*>(.*?)(?=<tr[^>]*data-link=|</tbody>|\Z)', re.DOTALL | re.IGNORECASE)
-_SIDE = re.compile(r'<a[^>]*href="([^"]*fighter-details/([^"/?]+)[^"]*)"[^>]*>(.*?)</a>', re.DOTALL | re.IGNORECASE)
+_KEY = re.compile(r"(?:fight|fighter)-details/([^\"/?]+)")
 
 
 def _number(text: str | None) -> int | None:
@@ -124,18 +111,17 @@ def event_details(page: str | None) -> list[dict]:
     A row without two competitors is blocked and holds its address only. Of the two, the first won if the flag says so.
     """
     out = []
-    for k, m in enumerate(_BOUT.finditer(page or ""), 1):
-        sides = [(_text(n), u.strip(), i) for u, i, n in _SIDE.findall(m[3]) if _text(n)]
+    for k, found in enumerate((r for r in scan(page).rows if _KEY.search(r.link)), 1):
+        sides = [(x.text, x.href, _KEY.search(x.href)[1]) for x in found.sides if x.text and _KEY.search(x.href)]
         row = dict.fromkeys(("result", "a", "b", "winner", "completed", "weight_class", "method", "method_detail", "round", "time", "minutes"))
-        row |= {"row_index": k, "fight_id": m[2], "url": m[1], "blocked": len(sides) < 2}
+        row |= {"row_index": k, "fight_id": _KEY.search(found.link)[1], "url": found.link, "blocked": len(sides) < 2}
         out.append(row)
         if len(sides) < 2:
             continue
-        cells = [[t for t in map(_text, re.findall(r"<p[^>]*>(.*?)</p>", c, re.DOTALL | re.IGNORECASE)) if t] or [_text(c)] for c in re.findall(r"<td[^>]*>(.*?)</td>", m[3], re.DOTALL | re.IGNORECASE)]
+        cells = [c.parts for c in found.cells]
         cell = lambda at: cells[at] if at < len(cells) and any(cells[at]) else []  # noqa: E731, B023
         one = lambda at: " ".join(cell(at)) or None  # noqa: E731, B023
-        flag = re.search(r"b-flag__text[^>]*>([^<]*)", m[3])
-        result = _text(flag[1]).lower() or None if flag else None
+        result = (found.flag or "").lower() or None
         for side, at in (("a", 0), ("b", 1)):
             name, url, key = sides[at]
             counts = [_number(cell(c)[at]) if len(cell(c)) > 1 else None for c in range(2, 6)]
@@ -178,3 +164,39 @@ def cached(spark: SparkSession, path: str) -> DataFrame:
 def inventory(pages: DataFrame) -> DataFrame:
     """Pages and listed bouts by type (SRC-20)."""
     return pages.select(page_type("html").alias("page_type"), F.size(listed_bouts("html")).alias("bouts")).groupBy("page_type").agg(F.count("*").alias("pages"), F.sum("bouts").alias("bouts"))
+
+
+def _fields(kind: str) -> str:
+    """The columns of an array of structs."""
+    return kind.removeprefix("array<struct<").removesuffix(">>")
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Table functions for lateral joins: ``listed_events(html)``, ``event_bouts(html)`` and ``event_details(html)``, a row each.
+
+    ``SELECT p.path, b.* FROM pages p, LATERAL event_details(p.html) b`` reads each page once. Sides of details come as structs.
+    """
+
+    def table(f: Callable[[str | None], list[dict]], kind: str) -> type:
+        names = [x.name for x in StructType.fromDDL(", ".join(_columns(_fields(kind))))]
+
+        class Rows:
+            def eval(self, page: str) -> Iterator[tuple]:
+                for row in f(page):
+                    yield tuple(row[n] for n in names)
+
+        return Rows
+
+    for name, f, kind in (("listed_events", events_list, EVENT_ROW), ("event_bouts", event_bouts, BOUT_ROW), ("event_details", event_details, DETAIL_ROW)):
+        spark.udtf.register(name, F.udtf(table(f, kind), returnType=", ".join(_columns(_fields(kind)))))
+
+
+def _columns(fields: str) -> list[str]:
+    """name:type,... at the outer level, as column definitions."""
+    out, depth, begin = [], 0, 0
+    for k, c in enumerate(fields + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append(fields[begin:k].replace(":", " ", 1))
+            begin = k + 1
+    return out
