@@ -90,23 +90,6 @@ def schema_and_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(T.schema_version(sorted(counts), "features"), T.canonical_json(counts))], "version string, as_json string")
 
 
-COLUMN_NAMES = ("winner", "winner_name", "elo_diff", "closing_odds", "sig_str_landed", "Method", "round_no", "ranking_gap", "post_elo", "reach_diff", "avg_time", "td_rate", "implied_prob_x", "playbook", "sportsbook_key", "age_diff")
-
-
-def _any_like(column: str, parts: tuple[str, ...]) -> str:
-    return "(" + " or ".join(f"contains(lower({column}), '{p}')" for p in parts) + ")"
-
-
-@query(
-    "with n as (select * from (values " + ", ".join(f"('{n}')" for n in COLUMN_NAMES) + f""") t(name))
-select name, {_any_like('name', filters.EXPORT_PATTERNS)} and name not in ('winner', 'fighter_a_won', 'method', 'round') as export_leak, {_any_like('name', filters.MODEL_PATTERNS)} as model_leak, {_any_like('name', filters.MARKET_TOKENS)} as market from n"""
-)
-def column_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-06, FLT-07, FLT-18: which names each guard refuses."""
-    found = {"export_leak": filters.leaking(list(COLUMN_NAMES), filters.EXPORT_PATTERNS, filters.EXPORT_ALLOWED), "model_leak": filters.leaking(list(COLUMN_NAMES)), "market": filters.market_names(list(COLUMN_NAMES))}
-    return spark.createDataFrame([(n, *(n in found[g] for g in ("export_leak", "model_leak", "market"))) for n in COLUMN_NAMES], "name string, export_leak boolean, model_leak boolean, market boolean")
-
-
 CARD_SQL = """card as (select event_id as row_index, case when event_id % 19 = 0 then 'soon' else strftime(ts, '%Y-%m-%d') end as event_date, case when event_id % 23 = 0 then ' ' else 'User ' || (user_id % 25) end as fa, case when event_id % 29 = 0 then '' else 'USER  ' || (event_id % 25) end as fb from events),
 keyed as (select *, trim(lower(fa)) as a, trim(regexp_replace(lower(fb), '\\s+', ' ', 'g')) as b from card),
 own as (select *, [event_date = 'soon', a = '', b = '', a = b and a <> ''] as bad from keyed),
@@ -498,19 +481,28 @@ def side_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("fight_id", "entity", "median_fair", "mean_fair", "min_fair", "max_fair", "books", "coverage_low", F.array_join("excluded", ";").alias("excluded"))
 
 
-PAYLOADS = (
-    '{"timestamp":"t","data":[{"id":1,"sport_key":"s","commence_time":"c","home_team":"h","away_team":"a","bookmakers":[]}]}', '{"data":[{"id":null,"sport_key":"s"},7]}', '{"timestamp":"t","data":{}}', "[1]", "{broken", '{"timestamp":"t","data":[]}',
-)
-PAYLOAD_ERRORS = (
-    "", "no timestamp;event[0] lacks commence_time;event[0] lacks home_team;event[0] lacks away_team;event[0] lacks bookmakers;event[1] is no object", "events are no list", "events are no list", "invalid_json", "",
-)
+def broken_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, payload): the orders of each customer as a provider's payload, broken by their own values."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    known = [("id", key.cast("string")), ("sport_key", F.lit('"s"')), ("commence_time", F.concat(F.lit('"'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('"'))), ("home_team", F.when(status == "P", "null").otherwise('"h"')), ("away_team", F.lit('"a"')), ("bookmakers", F.lit("[]"))]
+    gone = {"commence_time": status == "F", "bookmakers": key % 5 == 0, "id": key % 11 == 0}
+    fields = [F.when(~gone.get(n, F.lit(False)), F.concat(F.lit(f'"{n}": '), v)) for n, v in known]
+    event = F.when(key % 13 == 0, key.cast("string")).otherwise(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ", "), F.lit("}")))
+    each = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", event.alias("event")).groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "event"))), lambda e: e["event"]), ",").alias("events"))
+    whole = lambda mark, close="]}": F.concat(F.lit("{" + mark + '"data":['), "events", F.lit(close))
+    k = F.col("k")
+    return each.select("k", F.when(k % 7 == 0, F.concat(F.lit('{"timestamp":"t","data":{"one":['), "events", F.lit("]}}"))).when(k % 17 == 0, whole('"timestamp":"t",', "]")).when(k % 3 == 0, whole("")).otherwise(whole('"timestamp":"t",')).alias("payload"))
 
 
-@query(f"select s_suppkey as k, {picked(PAYLOAD_ERRORS, 's_suppkey')} as errors from supplier")
+@query(
+    """with o as (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 as nth from orders),
+e as (select o_custkey as k, o_orderkey, case when o_orderkey % 13 = 0 then 'event[' || nth || '] is no object' else array_to_string(list_filter([case when o_orderkey % 11 = 0 then 'event[' || nth || '] lacks id' end, case when o_orderstatus = 'F' then 'event[' || nth || '] lacks commence_time' end, case when o_orderkey % 5 = 0 then 'event[' || nth || '] lacks bookmakers' end], lambda x: x is not null), ';') end as told from o),
+g as (select k, array_to_string(list_filter(list(told order by o_orderkey), lambda x: x <> ''), ';') as told from e group by k)
+select k, case when k % 7 = 0 then 'events are no list' when k % 17 = 0 then 'invalid_json' when k % 3 = 0 then 'no timestamp' || case when told <> '' then ';' || told else '' end else told end as errors from g"""
+)
 def payload_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ODD-02: what is wrong with a provider's payloads."""
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), pick(PAYLOADS, F.col("s_suppkey")).alias("payload"))
-    return quotes.payload_errors(rows).select("k", F.array_join("errors", ";").alias("errors"))
+    """ODD-02: what is wrong with payloads made of customers' orders."""
+    return quotes.payload_errors(broken_payloads(spark, sf_dir)).select("k", F.array_join("errors", ";").alias("errors"))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="contestkit-cut-"))
     return df.checkpoint()
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A folder in the cluster's shared storage that nothing else uses: below ``spark.checkpoint.dir``, or a local session's own temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='contestkit-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"

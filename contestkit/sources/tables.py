@@ -284,5 +284,5 @@ def archive(payloads: DataFrame, path: str) -> int:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Null is an empty cell (SNK-01)."""
-    rows.write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
+    """Null is an empty cell, a quote within one is doubled (SNK-01)."""
+    rows.write.mode("errorifexists").option("header", True).option("nullValue", "").option("emptyValue", "").option("escape", '"').csv(path)
