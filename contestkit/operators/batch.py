@@ -18,7 +18,6 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestkit.functions.numeric import brier, log_loss
 from contestkit.operators import quantiles
 from contestkit.session import cut
 
@@ -220,20 +219,10 @@ class Batch:
         return self.table.mapInArrow(predict, "candidate int, window int, p double, y long" + kept)
 
     def scores(self) -> list[list[dict]]:
-        """For each candidate and window: n, log_loss, brier, accuracy and auc on the third part; two aggregations for all."""
-        from contestkit.operators.metrics import auc_of, ties
-
-        by = ("candidate", "window")
-        # each distinct p once: all figures come from its counts
-        counts = cut(ties(self.predictions(), by))
-        n, p = F.col("pos") + F.col("neg"), F.col("p")
-        mean = lambda one, zero: F.sum(F.col("pos") * one + F.col("neg") * zero) / F.sum(n)
-        one, zero = F.lit(1), F.lit(0)
-        hit = (p >= 0.5).cast("int")
-        plain = counts.groupBy(*by).agg(F.sum(n).cast("long").alias("n"), mean(log_loss(p, one), log_loss(p, zero)).alias("log_loss"), mean(brier(p, one), brier(p, zero)).alias("brier"), mean(hit, 1 - hit).alias("accuracy"))
-        found = {(r["candidate"], r["window"]): r.asDict() for r in plain.collect()}  # a row a candidate and window
-        for r in auc_of(counts, by).collect():
-            found[r["candidate"], r["window"]]["auc"] = r["auc"]
+        """For each candidate and window: n, log_loss, brier, accuracy and auc on the third part; all together."""
+        from contestkit.operators.metrics import bundle
+
+        found = {(r["candidate"], r["window"]): r.asDict() for r in bundle(self.predictions(), ("candidate", "window")).collect()}  # a row a candidate and window
         return [[found.get((k, w), {"n": 0, "log_loss": None, "brier": None, "accuracy": None, "auc": None}) for w in range(self.n_windows)] for k in range(len(self.candidates))]
 
 

@@ -15,7 +15,7 @@ from contestkit.functions.numeric import blend, clip, log_loss
 from contestkit.operators import batch
 from contestkit.operators.filters import guard, leaking
 from contestkit.operators.history import positions
-from contestkit.operators.metrics import auc, best_method, calibration_error, evaluate, high_confidence
+from contestkit.operators.metrics import best_method, bundle, calibration_error, high_confidence
 from contestkit.operators.models import OFFICIAL, Fitted, Isotonic, Platt, forest, logistic
 from contestkit.operators.rules import effect
 from contestkit.operators.splits import fold_marks, noise_band_rank
@@ -27,10 +27,7 @@ GRID_L1 = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
 def scores(predicted: DataFrame, label: str) -> dict:
-    rows = predicted.withColumn("y", F.col(label).cast("int"))
-    out = evaluate(rows).first().asDict()
-    out["auc"] = auc(rows).first()["auc"]
-    return out
+    return bundle(predicted.withColumn("y", F.col(label).cast("int"))).first().asDict()
 
 
 def part(rows: DataFrame, name: str) -> DataFrame:

@@ -10,16 +10,19 @@ import importlib
 import importlib.util
 import json
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from contestkit.functions.numeric import clip, logit
 from contestkit.functions.text import canonical_json, schema_version
@@ -258,18 +261,31 @@ class Isotonic:
 
 
 def permutation_importance(fitted: Fitted, rows: DataFrame, label: str, features: list[str], seed: int = 42) -> list[dict]:
-    """Rise in log loss when a column's values change places (ML-15). Values are dealt out by two random orders joined on their rank within salted parts."""
+    """Rise in log loss when a column's values change places (ML-15), for all features in one job.
+
+    Rows are dealt out by a hash; within each batch of so dealt rows (some thousands) every feature's values are shuffled by themselves, in a copy of the
+    batch that carries the feature's name. One shuffle moves the rows once; the copies are scored where they are made.
+    """
     from contestkit.operators.metrics import evaluate
 
-    scored = lambda df: evaluate(fitted.predict(df).withColumn("y", F.col(label))).first()["log_loss"]
-    base = scored(rows)
-    out = []
-    parts = max(64, rows.count() // 10_000)
-    from pyspark.sql import Window
-
-    for k, c in enumerate(features):
-        deal = lambda df, s: df.withColumn("_part", F.floor(F.rand(s) * parts)).withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(F.rand(s + 1))))
-        other = deal(rows.select(F.col(c).alias("_other")), seed + 2 * k)
-        mixed = deal(rows, seed + 100 + 2 * k).join(other, ["_part", "_nth"], "left").withColumn(c, F.coalesce("_other", c)).drop("_other", "_part", "_nth")
-        out.append({"feature": c, "importance": scored(mixed) - base})
-    return out
+    needed = list(dict.fromkeys([*fitted.prep.numeric, *([fitted.prep.categorical] if fitted.prep.categorical else []), *features]))
+    plain = rows.select(*needed, F.col(label).cast("int").alias("y"))
+    dealt = plain.withColumn("_deal", F.xxhash64(*plain.columns, F.lit(seed))).repartition("_deal").sortWithinPartitions("_deal")
+    names = ["", *features]
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rng = np.random.default_rng([seed, batch.column("_deal")[0].as_py() & (1 << 63) - 1])
+            for name in names:
+                own = batch
+                if name:
+                    at = batch.schema.get_field_index(name)
+                    own = batch.set_column(at, batch.schema.field(at), batch.column(at).take(pa.array(rng.permutation(batch.num_rows))))
+                yield own.append_column("_feature", pa.array([name] * own.num_rows))
+
+    schema = StructType([*dealt.schema.fields, StructField("_feature", StringType())])
+    scored = evaluate(fitted.predict(dealt.mapInArrow(copies, schema)), ("_feature",))
+    losses = {r["_feature"]: r["log_loss"] for r in scored.collect()}  # a row a feature
+    return [{"feature": c, "importance": losses[c] - losses[""]} for c in features]

@@ -230,8 +230,7 @@ select count(*) as n, avg(hit) as accuracy, avg(row_ll) as log_loss, avg(row_br)
 )
 def metrics_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-10, MET-01, MET-04: accuracy, log loss, Brier score, means and the area under the curve."""
-    rows = predictions(spark, sf_dir)
-    return metrics.evaluate(rows).crossJoin(F.broadcast(metrics.auc(rows)))  # one row each
+    return metrics.bundle(predictions(spark, sf_dir))
 
 
 @query(f"with {APPS}, {PRED}, {_spine(metrics.TENTHS, 'x')}, t as ({_buckets(metrics.TENTHS)}) select sum(n * abs(gap)) / sum(n) as ece from t")
