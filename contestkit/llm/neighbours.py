@@ -4,8 +4,10 @@ The trees are fitted on a bounded sample: each node splits its points at the med
 direction, down to leaves of a fixed number of rows, so that leaves grow in number with the data until the sample is too
 thin. Every row is routed to one leaf of each tree. A query searches all trees through one priority queue, ordered by
 the largest distance to a hyperplane that a branch lies beyond, until the leaves taken hold enough points. How many are
-enough, and how many trees serve with the least comparisons, is measured on the sample. Queries and rows that meet in a
-leaf are compared exactly.
+enough, and how many trees serve with the least comparisons, is measured: on the sample if it is the whole table, else on
+the whole table, whose rows are all compared with TRIALS points of the sample in one pass. Where the sample is too thin for
+leaves of LEAF_ROWS rows, the task that holds a leaf splits its rows further with a tree of their own, and a query is led
+to WIDEN times the rows that it needs and looks at the nearest part of them. Queries and rows that meet are compared exactly.
 
 Neighbouring leaves lie in one bundle of a bounded number of rows, which one task holds while the queries stream by,
 so neither many rows nor many queries fill a task. Equal vectors are one entry of the index with its
@@ -17,7 +19,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ SAMPLE_ROWS, SAMPLE_NUMBERS = 60_000, 4_000_000
 TARGET_RECALL, TRIALS = 0.97, 150
 #: Points that a query is compared with, as shares of all, that are tried.
 SHARES = (0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.2, 1.4, 1.6, 1.8, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0)
+#: Where leaves are split further, a query is led to so many times the rows that it is compared with.
+WIDEN = 4
 #: Rows of a bundle that a task holds, about.
 PART_ROWS = 20_000
 SEED = 17
@@ -95,43 +99,43 @@ class Tree:
 
 @dataclass(frozen=True)
 class Forest:
+    """``enough``: points of the sample in the leaves that a query is led to; of a large leaf's rows it is compared with one in ``widen``."""
+
     trees: list[Tree]
     enough: float
+    widen: int = 1
 
     @classmethod
-    def fit(cls, points: np.ndarray, k: int, share: float = 1.0) -> Forest:
-        """Fits on ``points``, a ``share`` of all rows, for queries for ``k`` neighbours."""
+    def fit(cls, points: np.ndarray, k: int, share: float = 1.0, rows: DataFrame | None = None) -> Forest:
+        """Fits on ``points``, a ``share`` of all rows, for queries for ``k`` neighbours; ``rows`` (vector) are all of them, if that is more."""
         rng = np.random.default_rng(SEED)
         leaf = max(LEAF, math.ceil(LEAF_ROWS * share))
         all_trees = [Tree.fit(points, rng, leaf) for _ in range(max(TREES))]
         n = len(points)
-        if n <= 4 * leaf:
+        if n <= 4 * leaf:  # a few leaves in all: every one is searched, whatever the measure would say
             return cls(all_trees[: min(TREES)], float("inf"))
-        tried = rng.permutation(n)[:TRIALS]
-        leaves = [t.leaf_of(points) for t in all_trees]
-        true = []
-        for q in tried:
-            far = ((points - points[q]) ** 2).sum(axis=1)
-            far[q] = np.inf
-            true.append(np.argpartition(far, k)[:k])
+        tried = points[rng.permutation(n)[:TRIALS]]
+        homes = _true_homes(points, tried, all_trees, k) if rows is None else _true_homes_of_all(rows, tried, all_trees, k)
         best: tuple[float, int] | None = None
         for count in TREES:
             forest = cls(all_trees[:count], float("inf"))
-            needed = np.array([forest._needed(points[q], near, leaves) for q, near in zip(tried, true, strict=True)])
-            good = [s for s in SHARES if s <= count and np.mean(needed < s * n) >= TARGET_RECALL]
+            needed = np.array([x for q, near in zip(tried, homes, strict=True) for x in forest._needed(q, near)])
+            # the least of the tried shares that reaches the recall on a whole sample; on a whole table the very number
+            good = [s * n for s in SHARES if s <= count and np.mean(needed < s * n) >= TARGET_RECALL] if rows is None else [float(np.quantile(needed, TARGET_RECALL, method="higher")) + 1]
             if good and (best is None or good[0] < best[0]):
                 best = good[0], count
         if best is None:
             return cls(all_trees[: min(TREES)], float("inf"))
-        return cls(all_trees[: best[1]], max(best[0] * n, float(leaf)))
+        widen = WIDEN if leaf / share > 2 * LEAF_ROWS else 1
+        return cls(all_trees[: best[1]], max(best[0] * widen, float(leaf)), widen)
 
-    def _needed(self, point: np.ndarray, near: np.ndarray, leaves: list[np.ndarray]) -> list[float]:
-        """For each of the points ``near``, how many points lie in the leaves that are searched before it is met."""
+    def _needed(self, point: np.ndarray, homes: np.ndarray) -> list[float]:
+        """For each of the neighbours with these leaves (one a tree), how many points lie in the leaves that are searched before it is met."""
         wanted: dict[tuple[int, int], list[int]] = {}
-        for i, p in enumerate(near.tolist()):
-            for t in range(len(self.trees)):
-                wanted.setdefault((t, int(leaves[t][p])), []).append(i)
-        out, taken, left = [float("inf")] * len(near), 0, len(near)
+        for i, leaves in enumerate(homes.tolist()):
+            for t, leaf in enumerate(leaves[: len(self.trees)]):
+                wanted.setdefault((t, leaf), []).append(i)
+        out, taken, left = [float("inf")] * len(homes), 0, len(homes)
         for t, leaf, _ in self.search(point, float("inf")):
             for i in wanted.get((t, leaf), ()):
                 if out[i] == float("inf"):
@@ -160,6 +164,47 @@ class Forest:
             yield k, -1 - at, beyond
 
 
+def _homes(trees: list[Tree], points: np.ndarray) -> np.ndarray:
+    return np.stack([t.leaf_of(points) for t in trees], axis=1)
+
+
+def _true_homes(points: np.ndarray, tried: np.ndarray, trees: list[Tree], k: int) -> list[np.ndarray]:
+    """The leaves, one a tree, of each tried point's true neighbours among the points."""
+    leaves, out = _homes(trees, points), []
+    for q in tried:
+        far = ((points - q) ** 2).sum(axis=1)
+        far[far == 0] = np.inf  # itself: vectors are distinct
+        out.append(leaves[np.argpartition(far, min(k, len(far) - 1))[:k]])
+    return out
+
+
+def _true_homes_of_all(rows: DataFrame, tried: np.ndarray, trees: list[Tree], k: int) -> list[np.ndarray]:
+    """``_true_homes`` among all rows (vector): each task sends the nearest of its rows for each of the tried points, a bounded query set."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros((0, len(trees)), dtype=np.int64)) for _ in tried]
+        for batch in (b.slice(at, 4096) for b in batches for at in range(0, b.num_rows, 4096)):
+            own = _vectors(batch.column("vector"))
+            square = (own**2).sum(axis=1)[None, :] + (tried**2).sum(axis=1)[:, None] - 2 * tried @ own.T
+            for i, line in enumerate(square):
+                first = np.argpartition(line, min(k, len(line) - 1))[: k + 1]
+                far = ((own[first] - tried[i]) ** 2).sum(axis=1)
+                first, far = first[far > 0], far[far > 0]
+                far, homes = np.append(best[i][0], far), np.vstack([best[i][1], _homes(trees, own[first])]) if len(first) else best[i][1]
+                keep = np.argsort(far, kind="stable")[:k]
+                best[i] = far[keep], homes[keep]
+        trial = np.repeat(np.arange(len(tried)), [len(b[0]) for b in best])
+        yield pa.RecordBatch.from_arrays([pa.array(trial, pa.int32()), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.vstack([b[1] for b in best]).tolist(), pa.list_(pa.int32()))], names=["trial", "far", "homes"])
+
+    met = rows.select("vector").mapInArrow(near, "trial int, far double, homes array<int>")
+    nth = F.row_number().over(Window.partitionBy("trial").orderBy("far"))
+    found = met.withColumn("nth", nth).filter(F.col("nth") <= k).select("trial", "homes").collect()  # TRIALS x k rows
+    out: list[list[list[int]]] = [[] for _ in tried]
+    for r in found:
+        out[r["trial"]].append(r["homes"])
+    return [np.array(h).reshape(-1, len(trees)) for h in out]
+
+
 ROW = "tree int, bundle int, part int, kind int, leaves array<int>, key long, ids array<long>, vector array<double>"
 #: Kinds of ROW, in the order in which a task meets them.
 HELD, ASKING = 0, 1
@@ -198,13 +243,37 @@ class Held:
     leaves: np.ndarray
     ids: list[list[int]]
     vectors: np.ndarray
+    widen: int = 1
+    split: dict[int, tuple[Forest, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, batches: list[pa.RecordBatch]) -> Held:
+    def of(cls, batches: list[pa.RecordBatch], widen: int = 1) -> Held:
         leaves = np.concatenate([b.column("leaves").flatten().to_numpy() for b in batches])
         order = np.argsort(leaves, kind="stable")
         ids = [x for b in batches for x in b.column("ids").to_pylist()]
-        return cls(leaves[order], [ids[i] for i in order.tolist()], np.concatenate([_vectors(b.column("vector")) for b in batches])[order])
+        return cls(leaves[order], [ids[i] for i in order.tolist()], np.concatenate([_vectors(b.column("vector")) for b in batches])[order], widen)
+
+    def _part(self, leaf: int, first: int, last: int) -> tuple[Forest, np.ndarray]:
+        """A tree of a large leaf's own rows, and each row's place in it."""
+        if leaf not in self.split:
+            own = self.vectors[first:last]
+            tree = Tree.fit(own, np.random.default_rng([SEED, leaf]), LEAF_ROWS)
+            self.split[leaf] = Forest([tree], len(own) / self.widen), tree.leaf_of(own)
+        return self.split[leaf]
+
+    def _blocks(self, leaf: int, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries by their place in ``asked``, rows) that are compared: all with all, but in a large leaf only with the nearest of its parts."""
+        first, last = np.searchsorted(self.leaves, leaf), np.searchsorted(self.leaves, leaf, "right")
+        if self.widen == 1 or last - first <= 2 * LEAF_ROWS:
+            yield np.arange(len(asked)), np.arange(first, last)
+            return
+        forest, places = self._part(leaf, first, last)
+        looks: dict[int, list[int]] = {}
+        for q, point in enumerate(asked):
+            for _, at, _ in forest.search(point):
+                looks.setdefault(at, []).append(q)
+        for at, who in looks.items():
+            yield np.array(who), first + np.flatnonzero(places == at)
 
     def nearest(self, asking: pa.RecordBatch, keep: int) -> list[list[tuple[float, int]]]:
         """For each query its ``keep`` best among the rows in the leaves that it looks at."""
@@ -216,13 +285,13 @@ class Held:
         where, who = where[order], who[order]
         for leaf in np.intersect1d(where, self.leaves).tolist():
             own = who[np.searchsorted(where, leaf) : np.searchsorted(where, leaf, "right")]
-            first, last = np.searchsorted(self.leaves, leaf), np.searchsorted(self.leaves, leaf, "right")
-            found = [best[i] for i in own.tolist()]
-            for at in range(first, last, BLOCK):
-                end = min(last, at + BLOCK)
-                closest(vectors[own], self.vectors[at:end], self.ids[at:end], found, keep)
-            for i, x in zip(own.tolist(), found, strict=True):
-                best[i] = x
+            for asked, rows in self._blocks(leaf, vectors[own]):
+                found = [best[i] for i in own[asked].tolist()]
+                for at in range(0, len(rows), BLOCK):
+                    block = rows[at : at + BLOCK]
+                    closest(vectors[own[asked]], self.vectors[block], [self.ids[i] for i in block.tolist()], found, keep)
+                for i, x in zip(own[asked].tolist(), found, strict=True):
+                    best[i] = x
         return best
 
 
@@ -283,7 +352,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     sample = distinct.filter(F.pmod("check", F.lit(1 << 20)) < int(share * (1 << 20))).select("vector").limit(2 * size).toArrow()
     points = _vectors(sample.column("vector").combine_chunks()) if sample.num_rows else np.zeros((0, width))
     points = points[np.lexsort(points.T)]
-    forest = Forest.fit(points, min(k, max(1, len(points) - 1)), share)
+    forest = Forest.fit(points, min(k, max(1, len(points) - 1)), share, distinct if share < 1 else None)
     bundles = [Bundles.plan(t, share) for t in forest.trees]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +389,7 @@ def nearest(table: DataFrame, queries: Column, k: int = 10) -> DataFrame:
                     waiting.append(run)
                     continue
                 if waiting:
-                    held, waiting = Held.of(waiting), []
+                    held, waiting = Held.of(waiting, forest.widen), []
                 if held is None:
                     continue
                 keys, checks = run.column("key").to_pylist(), run.column("ids").to_pylist()

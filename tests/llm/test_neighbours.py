@@ -60,3 +60,33 @@ def test_clustered_vectors_need_few_comparisons(spark, monkeypatch):
     for r in neighbours.nearest(table(spark, [(i, [float(x) for x in p]) for i, p in vectors.items()]), F.col("vec_id") % 100 == 0).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in want]) >= 0.95
+
+
+def test_a_thin_sample_is_measured_on_the_whole_table(spark, monkeypatch):
+    """Far more rows than sample: large leaves are split further, and a query is compared with the rows that it needs, not with a share of all."""
+    monkeypatch.setattr(neighbours, "SAMPLE_ROWS", 600)
+    rng = np.random.default_rng(8)
+    centres = 3 * rng.standard_normal((400, 12))
+    points = (centres[rng.integers(400, size=40_000)] + 0.3 * rng.standard_normal((40_000, 12))).astype(np.float32)
+    vectors = points.astype(float)
+    compared, plain_closest = [0], neighbours.closest
+
+    def counting(asked, block, ids, best, keep):
+        compared[0] += len(asked) * len(block)
+        plain_closest(asked, block, ids, best, keep)
+
+    held = neighbours.Held.of([neighbours._rows([np.zeros(5000, int)] * 3, 0, [[0]] * 5000, list(range(5000)), [[i] for i in range(5000)], list(vectors[:5000]))], neighbours.WIDEN)
+    monkeypatch.setattr(neighbours, "closest", counting)
+    asking = neighbours._rows([np.zeros(50, int)] * 3, 1, [[0]] * 50, list(range(50)), [[0]] * 50, list(vectors[:50]))
+    assert all(found[0] == (0.0, i) for i, found in enumerate(held.nearest(asking, 11))) and compared[0] <= 50 * (5000 / neighbours.WIDEN + 2 * neighbours.LEAF_ROWS)
+    monkeypatch.setattr(neighbours, "closest", plain_closest)
+    table_ = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in neighbours.nearest(table_, F.col("vec_id") % 400 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = {}
+    for q in range(0, 40_000, 400):
+        far = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        want[q] = set(np.argsort(far, kind="stable")[:10].tolist())
+    assert got.keys() == want.keys() and np.mean([len(got[q] & want[q]) / 10 for q in want]) >= 0.93
