@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contestkit.functions.text import canonical_column
-from contestkit.operators import batch, filters, history, models, splits
+from contestkit.operators import applying, batch, filters, history, ledger, models, rating, splits
 from contestkit.plans import bindings as B
 from contestkit.plans.queries import APPS, LAYOFF_LONG, RECORD_LONG, query
 from contestkit.session import cut, fresh, table
-from contestkit.sources import pages, tables
+from contestkit.sources import pages, tables, versioned
 from contestkit.streaming import state
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
@@ -253,3 +255,46 @@ def streamed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set(key, before)
     first = history.layoff(history.activity(history.form(history.record(long.filter(early)))))
     return spark.read.parquet(f"{base}/out").select(*columns).unionByName(first.select(*columns))
+
+
+# --- events and the live report --------------------------------------------------------------------------------------
+
+EVENT_DAY = date(2024, 1, 20)
+
+
+@query(
+    f"""with {B.BOUTS_SQL}, ev as (select *, row_number() over (order by fight_id) as row_index from bouts where date = date '{EVENT_DAY}'),
+act as (select *, case when a_id % 3 > 0 then '' when a_id % 10 = 0 then 'a_blocked_ambiguous_name' else '' end as a_bad, case when b_id % 3 > 0 then '' when b_id % 10 = 0 then 'b_blocked_ambiguous_name' else '' end as b_bad from ev),
+r as (select *, array_to_string(list_filter([a_bad, b_bad, case when fight_id % 7 = 0 then 'undecided' else '' end, case when fight_id % 11 = 0 then 'no_length' else '' end], lambda x: x <> ''), ',') as reasons,
+ row_number() over (partition by case when a_bad = '' and b_bad = '' then least(a_id, b_id) || '|' || greatest(a_id, b_id) else 'row ' || row_index end order by row_index) > 1 as again from act)
+select row_index::int as row_index, reasons, case when reasons <> '' then 'blocked' when again then 'already_stored' else 'append' end as decision from r"""
+)
+def event_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INC-05, IDN-07, SNK-05: what an apply of a day's bouts to the versioned table of those before would do."""
+    bouts = B.bouts(spark, sf_dir)
+    store = versioned.begin(spark, fresh(spark, "rated"), rating.elo(bouts.filter(F.col("date") < EVENT_DAY)))
+    side = lambda c: (F.concat(F.lit("User "), c), F.concat(F.lit("http://x/fighter-details/u"), c))
+    nth = F.row_number().over(Window.orderBy("fight_id"))  # one day's bouts
+    (an, au), (bn, bu) = side("a_id"), side("b_id")
+    card = bouts.filter(F.col("date") == EVENT_DAY).select(nth.alias("row_index"), F.col("fight_id").cast("string").alias("fight_key"), an.alias("a_name"), au.alias("a_url"), bn.alias("b_name"), bu.alias("b_url"), F.when(F.col("fight_id") % 7 > 0, "win").otherwise("draw").alias("result"), F.when(F.col("fight_id") % 11 > 0, 5.0).alias("minutes"), "a_won")
+    users = bouts.select(F.explode(F.array("a_id", "b_id")).alias("entity")).distinct()
+    known = users.select("entity", F.when(F.col("entity") % 3 > 0, F.concat(F.lit("u"), "entity")).alias("slug"), F.concat(F.lit("user "), "entity").alias("name_key"))
+    twins = known.filter(F.col("entity") % 10 == 0).select((F.col("entity") + 1_000_000).alias("entity"), F.lit(None).cast("string").alias("slug"), "name_key")
+    event = spark.createDataFrame([("event_detail", "Event", EVENT_DAY, "e1")], applying.EVENT)
+    ready = applying.plan(store, event, card, known.unionByName(twins))
+    return ready.bouts.select("row_index", F.array_join("reasons", ",").alias("reasons"), "decision")
+
+
+def _rolling_sql(size: int) -> str:
+    frame = f"(order by date, fight_id rows between {size - 1} preceding and current row)"
+    return f"case when nth >= {size} then avg(loss) over {frame} end as log_loss_{size}, case when nth >= {size} then avg(hit) over {frame} end as accuracy_{size}"
+
+
+@query(
+    f"""with {B.BOUTS_SQL}, r as (select date, fight_id, case when a_won = 1 then -ln((a_id % 10 + 0.5) / 10) else -ln(1 - (a_id % 10 + 0.5) / 10) end as loss, (((a_id % 10 + 0.5) / 10 >= 0.5)::int = a_won)::int as hit, row_number() over (order by date, fight_id) as nth from bouts)
+select fight_id as seq, {_rolling_sql(50)}, {_rolling_sql(100)} from r"""
+)
+def live_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INC-10: rolling figures of a live ledger's resolved predictions."""
+    rows = B.bouts(spark, sf_dir).select(F.col("date").alias("event_date"), F.concat(F.lit("E"), F.col("date").cast("string")).alias("event_name"), F.col("fight_id").alias("seq"), F.lit("resolved").alias("status"), F.col("a_won").alias("target_a_win"), ((F.col("a_id") % 10 + 0.5) / 10).alias("predicted_probability_a"), F.lit("v1").alias("model_version"))
+    return ledger.live_report(rows)["rolling"].select("seq", *[f"{n}_{s}" for s in (50, 100) for n in ("log_loss", "accuracy")])
