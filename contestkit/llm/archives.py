@@ -189,7 +189,7 @@ def _packed(pieces: Iterator[bytes], first: Callable[[], bytes], most: int) -> I
 def _write(archives: DataFrame, path: str, end: str, compression: str | None) -> None:
     """Each row (archive binary) as a file; the sink supplies ``end``, with which every archive ends."""
     text = archives.select(F.col("archive").cast("string").alias("value"))
-    text.write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", compression or "none").text(path)
+    text.write.option("maxRecordsPerFile", 1).option("lineSep", end).option("compression", compression or "none").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _archives(batches: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
