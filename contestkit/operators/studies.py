@@ -309,7 +309,7 @@ def sanity_audit(pretest: DataFrame, test: DataFrame, numeric: list[str], label:
     bugs = {"orientation": not all(t["ok"] for t in turned.values()), "parity": not aligned["aligned"], "calibration": not calibrations["boosted"]["auc_stable"]}
     gain = losses["linear"] - fmean(tried.losses)
     return {
-        "coarse": len(first), "refined": len(every) - len(first), "best": best, "setting": setting, "summary": tried.summary(anchor), "rounds_used": [f.model.getNumTrees for f in tried.fits],
+        "coarse": len(first), "refined": len(every) - len(first), "best": best, "setting": setting, "summary": tried.summary(anchor), "rounds_used": [len(f.model.trees) for f in tried.fits],
         "reproduction": {n: (e, losses[n]) for n, e in expected.items()}, "orientation": turned, "parity": aligned, "calibration": calibrations, "missing": missingness(marked, numeric), "distributions": {n: distributions(p) for n, p in predicted.items()},
         "blend": mixed, "bugs": bugs, "result_is_real": rules.result_is_real({n: (e, losses[n]) for n, e in expected.items()}, bugs, gain > rules.BAND),
     }
