@@ -387,3 +387,12 @@ def archived_pages(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
     known = read.filter(F.col("record_type") == "response").select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("size"))
     joined = uneven_join(read, stash(known.join(uses, "of"), "warc-referred"), "of", uses, read.count())
     return joined.select("page_id", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
+def oracle(min_bytes: int = 0) -> str:
+    """DuckDB SQL for the rows of ``archived_pages`` on the table pages, whose ids do not repeat."""
+    group = "('0x' || substr(x, 5 * i + 1, 5))::int"  # twenty bits, four digits
+    digits = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({group} >> {shift}) & 31), 1)" for shift in (15, 10, 5, 0))
+    return f"""with p as (select page_id, coalesce(html, '') as payload from pages),
+f as (select page_id, payload, sha1(payload) as x, case when strlen(payload) >= {min_bytes} then min(page_id) over (partition by payload) else page_id end as first from p)
+select page_id, strlen(payload)::bigint as payload_bytes, array_to_string(list_transform(range(8), lambda i: {digits}), '') as payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to from f"""

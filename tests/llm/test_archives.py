@@ -115,3 +115,16 @@ def test_conversion_of_foreign_archives(spark):
     assert by["dns:a"]["record_type"] == "resource" and by["dns:a"]["date"] == "1999-01-01T00:00:00Z"
     again = archives.read_arc(spark, f"{base}/arc").collect()
     assert [r["record_id"] for r in again] == [r["record_id"] for r in records]
+
+
+def test_query_against_its_sql(spark, tmp_path, sf_dir):
+    import duckdb
+
+    rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    rows += [(50_000 + k, None, rows[k % 2][2]) for k in range(6)] + [(60_000, "u", None), (60_001, "u", ""), (60_002, "u", "é 漢")]
+    pages(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    base = duckdb.connect()
+    base.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found = base.execute(queries.ORACLES["op13_warc"])
+    assert [d[0] for d in found.description] == queries.op13_warc(spark, str(tmp_path)).columns
+    assert sorted(found.fetchall(), key=repr) == plain(rows) == sorted(map(tuple, queries.op13_warc(spark, str(tmp_path)).collect()), key=repr)
