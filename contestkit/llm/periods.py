@@ -202,3 +202,28 @@ def planted(text: Column, doc_id: Column) -> Column:
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
     units = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
     return F.coalesce(F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(units, F.lit(1), n - a)), " "), text)
+
+
+def oracle() -> str:
+    """DuckDB SQL for the rows of the query on the table documents, whose ids do not repeat.
+
+    Runs come from equal windows of sixteen words: those at one distance that follow each other are one stretch. CRC-32 is worked out bit by bit.
+    """
+    step = "case when o >= 0 then xor(c, o) else xor(c >> 1, 3988292384 * (c & 1)) end"
+    bits = "list_transform(range(9), lambda k: case when k = 0 then ascii(b)::bigint else -1 end)"
+    crc = f"xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda b: {bits}))), lambda c, o: {step}), 4294967295)"
+    return f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, coalesce({crc}, 1) as h from documents),
+e as (select doc_id, w, len(w) as n, h, h // 10 as g from d), f as (select *, case when h % 10 = 0 and n > 0 then g % n else n end as a from e),
+u as (select *, 1 + (n - a) // (3 + g % 8) as p from f),
+x as (select doc_id, n, list_transform(range(n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end) as w from u),
+gram as (select doc_id, n, unnest(list_transform(range(greatest(n - 15, 0)), lambda i: {{'i': i, 'k': array_to_string(w[i + 1:i + 16], ' ')}}), recursive := true) from x),
+pair as (select l.doc_id, l.i, r.i - l.i as q, l.n from gram l join gram r on l.doc_id = r.doc_id and l.k = r.k and r.i > l.i and 3 * (r.i - l.i) <= l.n),
+island as (select doc_id, q, min(i) as start, max(i) + 16 - min(i) + q as length from (select *, i - row_number() over (partition by doc_id, q order by i) as part from pair) group by doc_id, q, part),
+run as (select doc_id, start, length, min(q) as period from island where length >= greatest(24, 3 * q) group by doc_id, start, length),
+told as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as text, first({{'start': start, 'length': length, 'period': period}} order by length / period desc, start, period) as top from run group by doc_id),
+word as (select doc_id, unnest(w) as v, unnest(range(n)) as i from x where doc_id in (select doc_id from run)),
+gone as (select distinct word.doc_id, word.i from word join run on run.doc_id = word.doc_id and word.i >= run.start + run.period and word.i < run.start + run.length),
+kept as (select doc_id, string_agg(v, ' ' order by i) as text from word anti join gone using (doc_id, i) group by doc_id)
+select x.doc_id, coalesce(n_runs, 0)::bigint as n_runs, top.start::bigint as start, top.length::bigint as length, top.period::bigint as period, (1000 * top.length // top.period)::bigint as exponent_milli,
+ sha256(coalesce(told.text, '')) as runs_sha256, sha256(case when told.doc_id is null then array_to_string(x.w, ' ') else coalesce(kept.text, '') end) as collapsed_sha256
+ from x left join told using (doc_id) left join kept using (doc_id)"""

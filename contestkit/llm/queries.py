@@ -106,4 +106,4 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_toxic_segments, op3_secret_scan, op4_html_extraction, op5_nearest_neighbours, op6_language_mixture, op7_importance_resampling, op8_simhash_near_dedup, op9_benchmark_decontamination, op10_best_fit_packing, op11_periodic_runs, op12_embedding_whitening, op13_warc)}
-ORACLES: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.oracle(), "op13_warc": archives.oracle()}
+ORACLES: dict[str, str] = {"op9_benchmark_decontamination": decontaminate.oracle(), "op11_periodic_runs": periods.oracle(), "op13_warc": archives.oracle()}

@@ -96,3 +96,18 @@ def test_operator_and_empty_table(spark, odd):
     assert odd.limit(0).select(periods.periodic_runs()(F.col("text")).alias("t")).collect() == []
     one = spark.createDataFrame([("go on " * 20 + "end",)], "text string").select(periods.periodic_runs()(F.col("text")).alias("t")).first()["t"]
     assert one["kept"] == "go on end" and [tuple(r) for r in one["runs"]] == [(0, 40, 2)]
+
+
+def test_query_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("a b c d".split()) for _ in range(rng.choice([5, 30, 150])))) for i in range(120)]
+    rows += [(1000 + i, "go on\t" * i + "end " + "x y z " * i) for i in range(8, 20)] + [(5000, None), (5001, ""), (5002, " \n "), (None, "w " * 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    base = duckdb.connect()
+    base.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    mine = queries.op11_periodic_runs(spark, str(tmp_path))
+    found = base.execute(queries.ORACLES["op11_periodic_runs"])
+    assert [d[0] for d in found.description] == mine.columns
+    assert sorted(found.fetchall(), key=repr) == sorted(map(tuple, mine.collect()), key=repr)
