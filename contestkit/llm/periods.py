@@ -205,7 +205,7 @@ def planted(text: Column, doc_id: Column) -> Column:
 
 
 def oracle() -> str:
-    """DuckDB SQL for the rows of the query on the table documents, whose ids do not repeat.
+    """DuckDB SQL for the rows of the query on the table documents, whose ids neither repeat nor are null.
 
     Runs come from equal windows of sixteen words: those at one distance that follow each other are one stretch. CRC-32 is worked out bit by bit.
     """

@@ -103,7 +103,7 @@ def test_query_against_its_sql(spark, tmp_path):
 
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice("a b c d".split()) for _ in range(rng.choice([5, 30, 150])))) for i in range(120)]
-    rows += [(1000 + i, "go on\t" * i + "end " + "x y z " * i) for i in range(8, 20)] + [(5000, None), (5001, ""), (5002, " \n "), (None, "w " * 40)]
+    rows += [(1000 + i, "go on\t" * i + "end " + "x y z " * i) for i in range(8, 20)] + [(5000, None), (5001, ""), (5002, " \n "), (5003, "w " * 40)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     base = duckdb.connect()
     base.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
