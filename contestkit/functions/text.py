@@ -155,6 +155,11 @@ def schema_version(columns: list[str], family: str) -> str:
     return f"{family}-{len(columns)}f-{hashlib.sha1('|'.join(columns).encode()).hexdigest()[:8]}"
 
 
+def schema_version_of(names: Column, family: str) -> Column:
+    """``schema_version`` of an array of names, in their order."""
+    return F.concat(F.lit(f"{family}-"), F.size(names).cast("string"), F.lit("f-"), F.substring(F.sha1(F.array_join(names, "|")), 1, 8))
+
+
 def canonical_json(value: object) -> str:
     """Sorted keys, no spaces; not-a-number is an error."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)

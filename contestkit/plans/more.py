@@ -86,8 +86,11 @@ def numbers_and_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def schema_and_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HSH-02, JSN-01: the version of a list of features, and canonical JSON, of an event type's counts."""
-    counts = {r["event_type"]: r["n"] for r in table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).collect()}  # a dimension
-    return spark.createDataFrame([(T.schema_version(sorted(counts), "features"), T.canonical_json(counts))], "version string, as_json string")
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    one = counts.agg(F.collect_list(F.struct("event_type", F.col("n").cast("string").alias("n"))).alias("c"))  # a dimension
+    names = F.array_sort(F.transform("c", lambda x: x["event_type"]))
+    payload = F.concat(F.lit("{"), F.array_join(F.transform("c", lambda x: F.concat(F.lit('"'), x["event_type"], F.lit('": '), x["n"])), ", "), F.lit("}"))
+    return one.select(T.schema_version_of(names, "features").alias("version"), T.canonical_payload(payload).alias("as_json"))
 
 
 CARD_SQL = """card as (select event_id as row_index, case when event_id % 19 = 0 then 'soon' else strftime(ts, '%Y-%m-%d') end as event_date, case when event_id % 23 = 0 then ' ' else 'User ' || (user_id % 25) end as fa, case when event_id % 29 = 0 then '' else 'USER  ' || (event_id % 25) end as fb from events),
