@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from contestkit.functions.numeric import clip, logit
+from contestkit.functions.numeric import logit
 from contestkit.functions.text import canonical_json, schema_version
 from contestkit.operators import batch, boosting, quantiles
 

@@ -10,7 +10,6 @@ from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Row
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 SIZES = (50, 100)
