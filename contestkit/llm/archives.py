@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contestkit.llm.common import fresh_path, pick, stash, uneven_join
+from contestkit.llm.common import forget, fresh_path, pick, remove, stash, uneven_join
 
 ARCHIVE_BYTES = 16 << 20
 _BATCH_BYTES = 8 << 20
@@ -308,6 +308,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
         return _archives(x[:-4] for x in _packed(pieces(batches), bytes, archive_bytes))
 
     _write(joined.mapInArrow(pack, "archive binary"), warc_path, "\r\n\r\n", compression)
+    forget(seen)
+    forget(groups)
 
 
 def _synthesised(archive: str, kind: str, name: str, url: str, ip: str, date: str, content_type: str, head: bytes, payload_digest: str, payload: bytes, first: str | None, first_url: str | None, first_date: str | None) -> bytes:
@@ -365,7 +367,7 @@ def page_records(pages: DataFrame, date: str = "19991231235959") -> DataFrame:
 
 
 def archived_pages(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """``pages`` written as ARC archives of both versions, converted to WARC archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """``pages`` written as ARC archives of both versions, converted to WARC archives, which stay, and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Repeated rows have a record each; of rows that share payload and smallest page_id one is the response and the others revisit it. A null page_id comes after all
     numbers. A null url or html is an empty one; no pages make no archives and no rows. Extra columns are ignored.
@@ -377,6 +379,7 @@ def archived_pages(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = AR
     for version in FIELDS:
         write_arc(records.filter(F.col("version") == version).drop("version"), f"{base}/arc/version{version}", version, archive_bytes)
     convert(spark, f"{base}/arc/*", f"{base}/warc", min_bytes, PAGE_FIELD, archive_bytes)
+    remove(spark, f"{base}/arc")
 
     def ids(heads: pa.Array) -> pa.Array:
         return pa.array([head_field(x.as_py() or b"", PAGE_FIELD) for x in heads], pa.string())

@@ -90,10 +90,14 @@ def uneven_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame,
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a ``stash`` that nothing reads any more."""
-    jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+        remove(df.sparkSession, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared storage with all below it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
