@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contestkit.functions.parse import any_date, height_cm, reach_cm, signed_age, weight_lbs
+from contestkit.functions.parse import any_date, height_cm, reach_cm, weight_lbs
 from contestkit.functions.text import display_name, division_limit, folded_name, name_key, resolve_alias, url_slug, without_suffix
 from contestkit.operators.history import keep_first
 from contestkit.sources.tables import append_new
@@ -52,25 +53,40 @@ def unclaimed(entities: DataFrame, identities: DataFrame) -> DataFrame:
 def assign(bouts: DataFrame, identities: DataFrame) -> DataFrame:
     """(ref, slug or null, rule) of bout sides (ref, name_key, date, weight_class).
 
-    Names with one identity are joined. For the few names that several share, evidence is taken in turn: a unique division
+    Names with one identity are joined. For names that several share, evidence is taken in turn: a unique division
     weight; career continuity within 540 days of an assigned bout, until nothing changes; a unique plausible
-    age. Otherwise nothing is guessed. Weight and age are joins that count the candidates left; only the
-    continuity of one shared name, in the order of refs, is followed row by row.
+    age. Otherwise nothing is guessed. Candidates are counted by name and weight and by name and day before they meet the bouts, so no bout is
+    paired with each of its candidates; only the continuity of one shared name, in the order of refs, is followed row by row.
     """
     twins = identities.groupBy("name_key").agg(F.count("*").alias("n"), F.min("slug").alias("only"))
     marked = bouts.join(twins, "name_key", "left")
     single = marked.filter("n is null or n = 1").select("ref", F.col("only").alias("slug"), F.when(F.col("n") == 1, "unique_name").otherwise("unknown_name").alias("rule"))
     many = marked.filter("n > 1").select("ref", "name_key", "date", division_limit(F.col("weight_class")).alias("lbs"))
     candidates = identities.join(twins.filter("n > 1").select("name_key"), "name_key").select("name_key", "slug", "weight_lbs", "dob")
-    fitting = many.join(candidates, "name_key").select(
-        "ref", "slug", (F.col("lbs") == F.col("weight_lbs")).alias("by_weight"), signed_age(F.col("dob"), F.col("date")).between(*PLAUSIBLE_AGE).alias("by_age")
-    )
-    sole = lambda c: F.when(F.count_if(c) == 1, F.min(F.when(F.col(c), F.col("slug")))).alias(c)
-    judged = many.join(fitting.groupBy("ref").agg(sole("by_weight"), sole("by_age")), "ref")
-    chained = with_spells(judged).groupBy("name_key", "spell").applyInPandas(_by_continuity, "ref long, by_chain string")
+    of_weight = candidates.groupBy("name_key", F.col("weight_lbs").alias("lbs")).agg(F.when(F.count("*") == 1, F.min("slug")).alias("by_weight"))
+    judged = many.join(of_weight, ["name_key", "lbs"], "left").join(of_age(many, candidates), ["name_key", "date"], "left")
+    begun = judged.filter("by_weight is not null").select("name_key").distinct()  # without an assigned bout nothing carries over
+    followed = judged.filter("date is not null").join(begun, "name_key", "left_semi").select("ref", "name_key", "date", "by_weight")
+    chained = with_spells(followed).groupBy("name_key", "spell").applyInPandas(_by_continuity, "ref long, by_chain string")
     first = F.coalesce("by_weight", "by_chain", "by_age")
     rule = F.when(F.col("by_weight").isNotNull(), "division_weight").when(F.col("by_chain").isNotNull(), "continuity").when(F.col("by_age").isNotNull(), "age").otherwise("unresolved")
-    return single.unionByName(judged.join(chained, "ref").select("ref", first.alias("slug"), rule.alias("rule")))
+    return single.unionByName(judged.join(chained, "ref", "left").select("ref", first.alias("slug"), rule.alias("rule")))
+
+
+def of_age(bouts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(name_key, date, by_age) of each name and day of the bouts: the only candidate of a plausible age then.
+
+    Ages are a range of birthdays: candidates born up to its ends are counted in one window a name, over days and not over bouts or pairs.
+    """
+    youngest, oldest = math.ceil(PLAUSIBLE_AGE[0] * 365.25), math.floor(PLAUSIBLE_AGE[1] * 365.25)  # days, as ``signed_age`` counts
+    born = candidates.filter("dob is not null").groupBy("name_key", F.col("dob").alias("day")).agg(F.count("*").alias("n"), F.min("slug").alias("slug"))
+    end = lambda last, days: F.struct(F.lit(last).alias("last"), F.date_sub("date", days).alias("day"))
+    ends = bouts.filter("date is not null").select("name_key", "date").distinct().select("name_key", "date", F.explode(F.array(end(True, youngest), end(False, oldest + 1))).alias("e"))
+    by_day = Window.partitionBy("name_key").orderBy("day")
+    both = born.unionByName(ends.select("name_key", "date", "e.*"), allowMissingColumns=True)
+    seen = both.withColumns({"up_to": F.coalesce(F.sum("n").over(by_day), F.lit(0)), "newest": F.last("slug", ignorenulls=True).over(by_day)}).filter("date is not null")
+    inside = F.sum(F.when(F.col("last"), F.col("up_to")).otherwise(-F.col("up_to")))
+    return seen.groupBy("name_key", "date").agg(F.when(inside == 1, F.max(F.when(F.col("last"), F.col("newest")))).alias("by_age"))
 
 
 def with_spells(bouts: DataFrame) -> DataFrame:
