@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from contestkit.functions.parse import any_date, clock_seconds, fight_minutes, landed_of_attempted, round_lengths
 from contestkit.functions.text import bout_sides, canonical_column, canonical_payload, display_name, name_key, pair_key, weight_class
 from contestkit.operators.history import keep_first
-from contestkit.sources.versioned import Store
+from contestkit.sources.versioned import Store, digest, write
 
 #: field -> accepted spellings, best first, in canonical form (lower case, no spaces or underscores). Fixed values.
 SPELLINGS = {
@@ -217,19 +217,18 @@ def promote(staged: DataFrame, target: str, checks: dict[str, Column], after: Ca
     """Makes ``staged`` the current version of ``target`` (SNK-06); returns its path.
 
     The rows go to a version of their own; all checks must hold for all rows, and what is stored must hold as many rows with the
-    same digest as ``staged``. Only then does a log entry point readers to it; if somebody else promoted in the meantime, that is a ``Conflict`` and theirs
+    same digest as were written. Only then does a log entry point readers to it; if somebody else promoted in the meantime, that is a ``Conflict`` and theirs
     stays. The version before is never touched and so is the backup: if ``after``, which sees the rows as readers do, is not true, an entry for that version is added and the error raised.
     """
     spark, target = staged.sparkSession, target.rstrip("/")
     number, before = _entry(spark, target)
     path = f"{target}/version={uuid.uuid4().hex}"
-    staged.write.mode("errorifexists").parquet(path)
+    sent = write(staged, path)
     written = spark.read.schema(staged.schema).parquet(path)
     failed = written.agg(*[F.count(F.when(~F.coalesce(c, F.lit(False)), 1)).alias(n) for n, c in checks.items()]).first().asDict() if checks else {}
     if bad := {n: k for n, k in failed.items() if k}:
         raise ValueError(f"not promoted, {path} stays aside: {bad}")
-    whole = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(F.to_json(F.struct(*df.columns))).cast("decimal(38,0)"))).first()
-    if whole(written) != whole(staged):
+    if digest(written) != sent:
         raise ValueError(f"not promoted, {path} differs from what was to be written")
     _point(spark, target, number + 1, path)
     if after is not None and not after(spark.read.schema(staged.schema).parquet(current(spark, target))):

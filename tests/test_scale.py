@@ -3,7 +3,11 @@
 import random
 from datetime import date, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from contestkit.operators import identity
+from contestkit.sources import tables, versioned
 
 
 def test_ages_are_counted_by_name_and_day(spark):
@@ -23,3 +27,23 @@ def test_ages_are_counted_by_name_and_day(spark):
     assert {r["ref"]: r["slug"] for r in identity.assign(rows, people).collect()} == want and sum(v is not None for v in want.values()) > 20
     ages = identity.of_age(rows, people)
     assert ages.count() == len({(n, d) for _, n, d, _ in bouts if d})  # a row a name and day, whatever the number of candidates
+
+
+def test_promoted_rows_are_judged_as_they_were_written(spark, tmp_path):
+    # rows that differ whenever they are worked out, as sums of doubles may in their last bits
+    rows = spark.range(20).select("id", F.expr("uuid()").alias("x"))
+    path = tables.promote(rows, f"file://{tmp_path}/p", {"some": F.col("id") >= 0})
+    assert tables.current(spark, f"file://{tmp_path}/p") == path and spark.read.parquet(path).count() == 20
+    with pytest.raises(ValueError, match="not promoted"):
+        tables.promote(rows, f"file://{tmp_path}/p", {"none": F.col("id") < 0})
+    store = versioned.begin(spark, f"file://{tmp_path}/v", rows)
+    assert store.read().count() == 20 and store.sound()
+    empty = versioned.begin(spark, f"file://{tmp_path}/e", rows.filter("id < 0"))
+    assert empty.read().count() == 0
+
+
+def test_files_that_differ_from_what_was_written_are_not_promoted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "digest", lambda rows: (0, "0"))
+    with pytest.raises(ValueError, match="differs from what was to be written"):
+        tables.promote(spark.range(5).toDF("id"), f"file://{tmp_path}/p", {})
+    assert tables.current(spark, f"file://{tmp_path}/p") is None
