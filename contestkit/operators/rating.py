@@ -68,6 +68,11 @@ def with_leagues(bouts: DataFrame) -> DataFrame:
     return bouts.join(labels.select(F.col("u").alias("a_id"), F.col("label").alias("league")), "a_id", "left").withColumn("league", F.coalesce("league", "a_id"))
 
 
+def elo_by_league(bouts: DataFrame, k: float = K, start: float = START) -> DataFrame:
+    """``elo`` with each league that ``with_leagues`` finds replayed on its own: the same snapshots, and a task sorts and holds a league, not all bouts."""
+    return elo(with_leagues(cut(bouts.select("fight_id", "date", "a_id", "b_id", "a_won"))), k, start, "league")
+
+
 def baseline(snapshots: DataFrame, bouts: DataFrame, names: DataFrame) -> DataFrame:
     """Snapshots with names (JOIN-01): inner joins for the sides, a left one for the winner; names is (entity, name)."""
     side = lambda p: names.select(F.col("entity").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"))

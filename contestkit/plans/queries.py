@@ -131,7 +131,7 @@ select entity, count(*) as fights, cast(sum(won) as bigint) as wins, cast(count(
 )
 def standings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-01, WIN-01, SET-01: record and latest rating of every entity."""
-    return rating.standings(rating.elo(B.bouts(spark, sf_dir)))
+    return rating.standings(rating.elo_by_league(B.bouts(spark, sf_dir)))
 
 
 @query(

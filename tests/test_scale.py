@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from contestkit.operators import identity, metrics
+from contestkit.operators import identity, metrics, rating
 from contestkit.sources import pages, tables, versioned
 
 
@@ -68,3 +68,11 @@ def test_a_page_is_scanned_once_for_type_and_bouts(monkeypatch):
     assert [c.parts for c in found.rows[0].cells] == [["win"], ["A 1", "B"], ["3", "4 & 5"]] and found.rows[0].cells[2].text == "3 4 & 5"
     monkeypatch.setattr(pages, "scan", lambda page: pytest.fail("scanned again"))
     assert (pages.classify(page, found=found), pages.listed(found)) == ("event_detail", 1)
+
+
+def test_leagues_are_rated_apart_with_the_same_snapshots(spark):
+    rng = random.Random(3)
+    bouts = spark.createDataFrame([(k, date(2020, 1, 1) + timedelta(days=k // 3), 100 * (k % 8) + a, 100 * (k % 8) + b, rng.randrange(2)) for k in range(240) for a, b in [rng.sample(range(6), 2)]], "fight_id long, date date, a_id long, b_id long, a_won int")
+    apart = rating.elo_by_league(bouts)
+    assert sorted(apart.collect()) == sorted(rating.elo(bouts).collect())
+    assert rating.standings(apart).count() == 48
