@@ -13,7 +13,7 @@ from contestkit.operators.history import AGAINST, FORM, LAYOFF, RECORD, ROLLING,
 from contestkit.operators.identity import lookup
 from contestkit.operators.matchup import matchup
 from contestkit.operators.metrics import auc, evaluate
-from contestkit.operators.rating import elo
+from contestkit.operators.rating import elo_by_league
 from contestkit.session import cut
 
 #: First number of made-up bouts for cards to come; they count down.
@@ -163,7 +163,7 @@ def upcoming(history: DataFrame, card: DataFrame, k: float = 32.0, start: float
     """
     out = card.select((F.lit(SYNTHETIC_ID) - F.col("row_no")).alias("fight_id"), "date", "a_id", "b_id")
     wanted = out.select(F.explode(F.array("a_id", "b_id")).alias("entity"), F.col("date").alias("card_day")).distinct()
-    rated = elo(history, k, start) if snapshots is None else snapshots
+    rated = elo_by_league(history, k, start) if snapshots is None else snapshots
     long = rated.select(F.explode(F.array(*[F.struct(F.col(f"{s}_id").alias("entity"), F.struct("date", "fight_id").alias("at"), F.col(f"{s}_post").alias("rating")) for s in "ab"])).alias("r")).select("r.*")
     last = long.join(wanted, "entity").filter(F.col("at.date") < F.col("card_day")).groupBy("entity", "card_day").agg(F.max_by("rating", "at").alias("rating"))
     for s in "ab":
