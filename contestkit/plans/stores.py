@@ -272,7 +272,7 @@ select row_index::int as row_index, reasons, case when reasons <> '' then 'block
 def event_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """INC-05, IDN-07, SNK-05: what an apply of a day's bouts to the versioned table of those before would do."""
     bouts = B.bouts(spark, sf_dir)
-    store = versioned.begin(spark, fresh(spark, "rated"), rating.elo(bouts.filter(F.col("date") < EVENT_DAY)))
+    store = versioned.begin(spark, fresh(spark, "rated"), rating.elo_by_league(bouts.filter(F.col("date") < EVENT_DAY)))
     side = lambda c: (F.concat(F.lit("User "), c), F.concat(F.lit("http://x/fighter-details/u"), c))
     nth = F.row_number().over(Window.orderBy("fight_id"))  # one day's bouts
     (an, au), (bn, bu) = side("a_id"), side("b_id")
