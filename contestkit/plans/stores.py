@@ -143,9 +143,9 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-13: JSON files, one document each."""
     path = fresh(spark, "json")
-    rows = table(spark, sf_dir, "supplier").select(F.to_json(F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))).alias("value"), F.col("s_suppkey").alias("of"))
-    rows.repartition(4).write.partitionBy("of").text(path)
-    return tables.load_json(spark, f"{path}/*/*.txt", "key long, name string, balance double").select("document.*")
+    rows = table(spark, sf_dir, "supplier").select(F.to_json(F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))).alias("value"))
+    tables.write_documents(rows, path)
+    return tables.load_json(spark, path, "key long, name string, balance double").select("document.*")
 
 
 @query("select o_custkey as page, 'Order ' || o_orderkey || ' & more' as name, 'http://x/event-details/' || o_orderkey as url, case when o_orderstatus <> 'F' then strftime(o_orderdate, '%Y-%m-%d') end as date_text from orders")

@@ -175,6 +175,12 @@ def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return texts.select("path", F.from_json("value", schema).alias("document"))
 
 
+def write_documents(rows: DataFrame, path: str) -> None:
+    """A file a row of the ``value`` column, all in one folder. Tasks move their files into place themselves, the driver does not move them one by one."""
+    once = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+    rows.select("value").repartition(rows.sparkSession.sparkContext.defaultParallelism * 2).write.mode("errorifexists").options(**once).text(path)
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(path, n_bytes, md5, sha256) of the files below ``path`` (HSH-05); executors read them."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

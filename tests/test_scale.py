@@ -76,3 +76,9 @@ def test_leagues_are_rated_apart_with_the_same_snapshots(spark):
     apart = rating.elo_by_league(bouts)
     assert sorted(apart.collect()) == sorted(rating.elo(bouts).collect())
     assert rating.standings(apart).count() == 48
+
+
+def test_documents_are_files_of_one_folder(spark, tmp_path):
+    tables.write_documents(spark.range(50).select(F.to_json(F.struct("id")).alias("value")), f"file://{tmp_path}/d")
+    assert len(list((tmp_path / "d").glob("*.txt"))) == 50
+    assert sorted(r["document"]["id"] for r in tables.load_json(spark, f"file://{tmp_path}/d", "id long").collect()) == list(range(50))
