@@ -1,7 +1,8 @@
 """The whole history as keyed state (INC-01): every feature of ``history.features`` for rows of a stream, given before the row counts.
 
-A competitor's state is a map of totals and a row of counts, last results and last days. It can begin with what a batch table holds, and
-goes once the competitor has been away for ``expire_days``. The formulas over the totals are those of ``history``.
+A competitor's state is one row of counts, last results, last days and totals, which a batch reads and writes once: each call to the store is a
+round trip between Python and the JVM. It can begin with what a batch table holds, and goes once the competitor has been away for ``expire_days``.
+The formulas over the totals are those of ``history``.
 
 Sessions need the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass`` (see ``PROVIDER``).
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import date
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, Window
@@ -24,9 +26,10 @@ EPOCH = date(1970, 1, 1)
 KEPT = 5
 MEASURES = (*SUMMED, "n")
 KNOWN = "fights long, wins long, results array<int>, last int, earlier int"
+STATE = f"{KNOWN}, totals array<double>"
 _COUNTED = "prior_fights long, prior_wins long, " + ", ".join(f"wins_last_{n} long, win_pct_last_{n} double" for n in (3, 5)) + ", days_since_last_fight int, layoff_days int"
-_TOTALS = ", ".join(f"t_{m} double" for m in SUMMED) + ", t_n long"
-OUTPUT = f"fight_id long, date date, side string, entity long, opponent long, won int, late boolean, {_COUNTED}, {_TOTALS}"
+OUTPUT = f"fight_id long, day int, side string, entity long, opponent long, won int, late boolean, {_COUNTED}, totals array<double>"
+_Given = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def start_state(long: DataFrame) -> DataFrame:
@@ -51,13 +54,10 @@ class _History(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", KNOWN)
-        self.totals = handle.getMapState("totals", "measure string", "total double")
+        self.known = handle.getValueState("known", STATE)
 
     def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
-        self.known.update(tuple(initialState["known"][c.split()[0]] for c in KNOWN.split(", ")))
-        for measure, total in zip(MEASURES, initialState["totals"], strict=True):
-            self.totals.updateValue((measure,), (float(total),))
+        self.known.update((*(initialState["known"][c.split()[0]] for c in KNOWN.split(", ")), [float(t) for t in initialState["totals"]]))
         self._wait(initialState["known"]["last"])
 
     def _wait(self, last: int) -> None:
@@ -69,39 +69,26 @@ class _History(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.known.clear()
-        self.totals.clear()
         return iter(())
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        fights, wins, results, last, earlier = self.known.get() if self.known.exists() else (0, 0, [], None, None)
-        results = list(results)
-        totals = {k[0]: v[0] for k, v in self.totals.iterator()}
-        before = last
-        changed: set[str] = set()
-        for r in sorted(rows, key=lambda r: (r["date"], r["fight_id"])):
-            day = (r["date"] - EPOCH).days
+        fights, wins, results, last, earlier, totals = self.known.get() or (0, 0, [], None, None, [0.0] * len(MEASURES))
+        results, totals, before = list(results), tuple(totals), last
+        for day, fight_id, side, _, opponent, won, added, *_ in sorted(rows, key=itemgetter(0, 1)):
             late = before is not None and day < before
-            form = {}
-            for n in (3, 5):
-                own = results[-n:]
-                form |= {f"wins_last_{n}": sum(own), f"win_pct_last_{n}": sum(own) / len(own) if own else None}
-            away = None if last is None else day - last
+            three, five = results[-3:], results[-5:]
             since = earlier if day == last else last
-            yield Row(
-                fight_id=r["fight_id"], date=r["date"], side=r["side"], entity=key[0], opponent=r["opponent"], won=r["won"], late=late, prior_fights=fights, prior_wins=wins, **form, days_since_last_fight=away,
-                layoff_days=None if since is None else day - since, **{f"t_{m}": totals.get(m, 0.0) for m in SUMMED}, t_n=int(totals.get("n", 0)),
+            yield _Given(
+                fight_id, day, side, key[0], opponent, won, late, fights, wins, sum(three), sum(three) / len(three) if three else None, sum(five), sum(five) / len(five) if five else None,
+                None if last is None else day - last, None if since is None else day - since, totals,
             )
             if late:
                 continue
-            fights, wins, results = fights + 1, wins + int(r["won"]), [*results, int(r["won"])][-KEPT:]
+            fights, wins, results = fights + 1, wins + won, [*results, won][-KEPT:]
             last, earlier = day, since
-            for m in MEASURES:
-                if r[f"c_{m}"] is not None:
-                    totals[m] = totals.get(m, 0.0) + float(r[f"c_{m}"])
-                    changed.add(m)
-        self.known.update((fights, wins, results, last, earlier))
-        for m in changed:
-            self.totals.updateValue((m,), (totals[m],))
+            if added is not None:
+                totals = tuple(t + a for t, a in zip(totals, added, strict=True))
+        self.known.update((fights, wins, results, last, earlier, list(totals)))
         if last != before:
             self._wait(last)
 
@@ -116,11 +103,15 @@ def running_features(long: DataFrame, initial: DataFrame | None = None, expire_d
     features as they stand, and changes nothing. ``initial`` is what ``start_state`` makes of a batch table. With ``expire_days`` the event time is the
     day, with a watermark of ``late``: rows behind it are gone, and a competitor's state once it lies that far back.
     """
-    rows = long.withColumns({f"c_{m}": c.cast("double") for m, c in history.contributions().items()})
-    rows = rows.select("fight_id", "date", "side", "entity", "opponent", F.col("won").cast("int").alias("won"), *[f"c_{m}" for m in MEASURES])
+    adds = history.contributions()
+    # the processor takes and gives totals as one array: every further column of a row costs Python more than its sum
+    added = F.when(adds["n"].isNotNull(), F.array(*[adds[m].cast("double") for m in MEASURES]))
+    rows = long.select(F.datediff("date", F.lit(EPOCH)).alias("day"), "fight_id", "side", "entity", "opponent", F.col("won").cast("int").alias("won"), added.alias("added"))
     mode = "None"
     if expire_days is not None:
-        rows, mode = rows.withColumn("at", F.col("date").cast("timestamp")).withWatermark("at", late), "EventTime"
+        rows, mode = rows.withColumn("at", F.date_from_unix_date("day").cast("timestamp")).withWatermark("at", late), "EventTime"
     begun = None if initial is None else initial.groupBy("entity")
     out = rows.groupBy("entity").transformWithState(_History(expire_days), OUTPUT, "Append", mode, begun)
-    return history.with_rates(history.with_layoff_flags(history.with_losses(out)))
+    totals = [F.col("totals")[k].cast("long" if m == "n" else "double").alias(f"t_{m}") for k, m in enumerate(MEASURES)]
+    named = out.select(*[F.date_from_unix_date("day").alias("date") if c == "day" else c for c in out.columns if c != "totals"], *totals)
+    return history.with_rates(history.with_layoff_flags(history.with_losses(named)))

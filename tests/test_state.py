@@ -78,6 +78,22 @@ def test_state_begins_with_a_batch_table(rocks, tmp_path):
     assert days and rounded(spark.read.parquet(f"{tmp_path}/out").select("fight_id", "side", *OUT).collect()) == want
 
 
+def test_state_is_one_row_a_competitor(rocks, tmp_path):
+    spark, rows = rocks, bouts(120, seed=3)
+    first, second = batches_of(rows, 2)
+    first, second = [r for r in first if r[3] != 7], [r for r in second if r[3] != 6]  # 7 is new, 6 stays away
+    spark.createDataFrame(second, LONG).write.parquet(f"{tmp_path}/in")
+    stream = state.running_features(spark.readStream.schema(LONG).parquet(f"{tmp_path}/in"), state.start_state(spark.createDataFrame(first, LONG)))
+    q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    kept = [p["stateOperators"][0] for p in q.recentProgress if p["numInputRows"]]
+    # 7 competitors at first, 7 in the stream, 8 in all: one write each
+    assert [(s["numRowsTotal"], s["numRowsUpdated"]) for s in kept] == [(8, 14)]
+    new = {r[0] for r in second}
+    want = [r for r in rounded(expected(spark, first + second).collect()) if r[0] in new]
+    assert want and rounded(spark.read.parquet(f"{tmp_path}/out").select("fight_id", "side", *OUT).collect()) == want
+
+
 def test_late_rows_change_nothing_and_old_state_goes(rocks, tmp_path):
     spark = rocks
     row = lambda k, d, e: (k, d, "a", e, 99, 1, False, False, *[None] * 16)
