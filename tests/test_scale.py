@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contestkit.operators import identity, metrics, rating
-from contestkit.sources import pages, tables, versioned
+from contestkit.sources import pages, scanner, tables, versioned
 
 
 def anew():
@@ -70,6 +70,32 @@ def test_a_page_is_scanned_once_for_type_and_bouts(monkeypatch):
     assert (pages.classify(page, found=found), pages.listed(found)) == ("event_detail", 1)
 
 
+CELLS = (
+    "<td></td>", '<td><i class="b-flag__text">win</i></td>', '<td>{0}</td>', "<td><p> 1{0}</p>\n<p>--</p></td>", "<td><b>x</b> &amp; y</td>", '<td><a href="http://x/fighter-details/z"> Z</a></td>', "<td class='c'>4</td>", "<td>a</i></td>", "<td><p>3</td>",
+    '<td><p><a class="l" href="http://x/fighter-details/a{0}">A <b>{0}</b></a></p><p><a href="http://x/fighter-details/b">B</a></p></td>', '<td><a class="b-flag__text" href="http://x/fighter-details/q">Q</a></td>', '<td><a href="http://x/event-details/e">E</a></td>',
+)
+
+
+def test_rows_that_are_written_out_are_read_as_tag_by_tag(monkeypatch):
+    rng = random.Random(5)
+    cells = lambda: "".join(rng.choice(CELLS).format(rng.randrange(9)) for _ in range(rng.randrange(12)))
+    made = ["".join(f'<tr data-link="http://x/fight-details/{k}">{cells()}{rng.choice(["</tr>", "</tr>", ""])}' for k in range(3)) for _ in range(400)]
+    read = lambda p: (pages.event_bouts(p), pages.event_details(p), pages.events_list(p), pages.classify(p))
+    whole = [read(p) for p in made]
+    row, taken = scanner._row, []
+    monkeypatch.setattr(scanner, "_row", lambda *a: taken.append(row(*a) is not None))
+    assert whole == [read(p) for p in made] and 0 < sum(taken) < len(taken)
+
+
+def test_a_row_that_is_written_out_is_not_met_tag_by_tag(monkeypatch):
+    row = '<tr data-link="http://x/fight-details/{0}"><td><i class="b-flag__text">win</i></td><td><p><a href="http://x/fighter-details/a{0}">A <b>{0}</b></a></p><p><a href="http://x/fighter-details/b">B</a></p></td><td><p>1</p>\n<p>2</p></td></tr>'
+    met = []
+    start = scanner._Scanner.start
+    monkeypatch.setattr(scanner._Scanner, "start", lambda self, *a: (met.append(a), start(self, *a)))
+    found = pages.event_details("<table><tbody>" + "".join(row.format(k) for k in range(50)) + "</tbody></table>")
+    assert len(met) < 10 and [(r["a"]["name"], r["b"]["knockdowns"], r["winner"]) for r in found] == [(f"A {k}", 2, f"A {k}") for k in range(50)]
+
+
 def test_leagues_are_rated_apart_with_the_same_snapshots(spark):
     rng = random.Random(3)
     bouts = spark.createDataFrame([(k, date(2020, 1, 1) + timedelta(days=k // 3), 100 * (k % 8) + a, 100 * (k % 8) + b, rng.randrange(2)) for k in range(240) for a, b in [rng.sample(range(6), 2)]], "fight_id long, date date, a_id long, b_id long, a_won int")
